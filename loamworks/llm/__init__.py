@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sharding", "mixing", "chat_format", "quality_rules", "ngram_join")
+MODULES = ("sharding", "mixing", "chat_format", "quality_rules", "ngram_join", "decontaminate")
 
 
 def queries() -> dict:
