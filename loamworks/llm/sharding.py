@@ -3,7 +3,7 @@
 Linked documents (here: those of one group) start spread evenly over the shards. Each round joins every document to
 its group's members per shard and lets it ask for the shard with more neighbours than its own. Requests that face each
 other are exchanged one for one; the rest are admitted as far as the target shard has room under its quota. Rounds end
-when nothing moves. Documents without neighbours then fill the shards up to their exact row quota, so that sizes differ by
+when nothing moves any more. Documents without neighbours then fill the shards up to their exact row quota, so that sizes differ by
 one row at most (law `rows`).
 
 A group larger than a quota fills one shard after another, and isn't one task anywhere: counts per group and shard are
@@ -47,11 +47,12 @@ def propagate(linked: DataFrame, quotas: list[int], rounds: int = MAX_ROUNDS, se
     scale = sum(quotas) / max(n, 1)
     start = F.size(F.filter(shares, lambda top: top <= (F.col("_r") * F.lit(scale)))).cast("int")
     state = common.materialise(ranked.select("key", "grp", F.least(start, F.lit(shards - 1)).alias("shard")), "shard-state")
+    idle = 0
     for turn in range(rounds):
         loads = _loads(state, shards)
         room = [q - x for q, x in zip(quotas, loads)]
         votes = state.groupBy("grp", "shard").agg(F.count("*").alias("n"))
-        lean = F.xxhash64(F.lit(seed), F.col("grp"), F.col("shard"))
+        lean = F.xxhash64(F.lit(seed + turn), F.col("grp"), F.col("shard"))  # ties lean another way each round
         # A group's best shard: most members among shards with room; any shard with members is a candidate for exchange.
         asks = votes.groupBy("grp").agg(
             F.max(F.struct(F.when(_pick(room, F.col("shard")) > 0, 1).otherwise(0).alias("open"), "n", lean.alias("lean"), "shard")).alias("best"),
@@ -60,18 +61,23 @@ def propagate(linked: DataFrame, quotas: list[int], rounds: int = MAX_ROUNDS, se
         asks = asks.select("grp", F.when(F.col("best.open") == 1, F.col("best")).otherwise(F.struct(F.lit(0).alias("open"), F.col("most.n"), F.col("most.lean"), F.col("most.shard"))).alias("b"))
         here = votes.withColumnRenamed("n", "own").join(asks.hint("merge"), "grp")
         better = (F.col("b.n") > F.col("own")) | ((F.col("b.n") == F.col("own")) & (F.col("b.lean") > lean))
-        here = here.filter((F.col("b.shard") != F.col("shard")) & better).select("grp", "shard", F.col("b.shard").alias("to"), "own")
+        here = here.filter((F.col("b.shard") != F.col("shard")) & better).select("grp", "shard", F.col("b.shard").alias("to"), "own", (F.col("b.n") - F.col("own")).alias("gain"))
         flows = {(r.shard, r.to): r.n for r in here.groupBy("shard", "to").agg(F.sum("own").alias("n")).collect()}  # at most shards * shards rows
         admit = {k: min(v, flows.get(k[::-1], 0)) for k, v in flows.items()}
         for (a, b), v in sorted(flows.items(), key=lambda x: (-x[1], x[0])):
             extra = min(v - admit[a, b], room[b])
             admit[a, b] += extra
             room[b] -= extra
-        if not any(admit.values()):
+        idle = 0 if any(admit.values()) else idle + 1
+        if not flows or idle == 2:
             break
+        if idle:
+            continue
         table = [admit.get((a, b), 0) for a in range(shards) for b in range(shards)]
-        moving = state.join(here.select("grp", "shard", "to").hint("merge"), ["grp", "shard"])
-        moving = moving.withColumn("_o", F.shiftrightunsigned(F.xxhash64(F.lit(seed + turn), "key"), 4))
+        moving = state.join(here.select("grp", "shard", "to", "gain").hint("merge"), ["grp", "shard"])
+        # Documents with more to gain go first (by powers of two), else in hash order: both are in the upper bits.
+        level = F.least(F.floor(F.log2(F.col("gain") + 1)), F.lit(31)).cast("long")
+        moving = moving.withColumn("_o", F.shiftleft(31 - level, 55).bitwiseOR(F.shiftrightunsigned(F.xxhash64(F.lit(seed + turn), "key"), 9)))
         moving = common.running_total(moving, ["shard", "to"], "_o", ["key"], F.lit(1), "_r")
         moving = moving.filter(F.col("_r") < _pick(table, F.col("shard") * shards + F.col("to"))).select("key", F.col("to").alias("_to"))
         after = state.join(moving.hint("merge"), "key", "left").select("key", "grp", F.coalesce("_to", "shard").alias("shard"))
