@@ -4,12 +4,32 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ()
+MODULES = ("plans.corpus", "plans.dedup")
+
+
+class Register(dict):
+    """Collects a module's queries: used as a decorator with the query's SQL, or None where SQL can't say it."""
+
+    def __init__(self) -> None:
+        self.oracles: dict[str, str] = {}
+
+    def __call__(self, sql: str | None = None):
+        def add(f):
+            self[f.__name__] = f
+            if sql:
+                self.oracles[f.__name__] = sql
+            return f
+
+        return add
+
+
+def _modules() -> list:
+    return [import_module(f"loamworks.{m}") for m in MODULES]
 
 
 def queries() -> dict:
-    return {k: f for m in MODULES for k, f in import_module(f"loamworks.{m}").QUERIES.items()}
+    return {k: f for m in _modules() for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {k: s for m in MODULES for k, s in import_module(f"loamworks.{m}").ORACLES.items()}
+    return {k: s for m in _modules() for k, s in m.QUERIES.oracles.items()}
