@@ -153,7 +153,7 @@ def prj_source_family(spark, sf_dir):
 
 # RE2 has no lookaround, so the SQL tests the character before and after with groups.
 EMAIL_SQL = r"(?i)(^|[^A-Z0-9._%+-])[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}($|[^A-Z0-9.-])"
-CARDS = r"[regexp_replace(x, '[^0-9]', '', 'g') for x in regexp_extract_all(regexp_replace(text, '[0-9]{20,}', 'x', 'g'), '[0-9](?:[ -]?[0-9]){12,18}')]"
+CARDS = r"[regexp_replace(x, '[^0-9]', '', 'g') for x in regexp_extract_all(regexp_replace(text, '[0-9]{20,}', 'x', 'g'), '[0-9](?:[ -]?[0-9]){12,18}(?:[^0-9]|$)')]"
 LUHN = "[x for x in {c} if list_sum([CASE WHEN (length(x) - i) % 2 = 1 THEN (CASE WHEN x[i]::INT > 4 THEN x[i]::INT * 2 - 9 ELSE x[i]::INT * 2 END) ELSE x[i]::INT END for i in generate_series(1, length(x))]) % 10 = 0 AND length(replace(x, x[1], '')) > 0]"
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("plans.corpus", "plans.dedup")
+MODULES = ("plans.corpus", "plans.dedup", "plans.relational")
 
 
 class Register(dict):
