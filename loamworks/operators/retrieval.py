@@ -53,8 +53,15 @@ def ngram_topk(queries: DataFrame, items: DataFrame, k: int, dims: int = 8192, s
     """
 
     def vectors(df: DataFrame, key: str) -> DataFrame:
-        t = df.select(key, F.concat(F.lit(" "), F.lower("text"), F.lit(" ")).alias("t"))
-        grams = [F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - (n - 1), F.lit(1))), lambda i, n=n: F.substring(F.col("t"), i, F.lit(n))) for n in sizes]
+        # Characters first become an array column; shifted copies of it are zipped, which is linear in the text's length.
+        t = df.select(key, F.split(F.concat(F.lit(" "), F.lower("text"), F.lit(" ")), "").alias("c"))
+        grams = []
+        for n in sizes:
+            count = F.greatest(F.size("c") - (n - 1), F.lit(0))
+            g = F.slice("c", F.lit(1), count)
+            for j in range(2, n + 1):
+                g = F.zip_with(g, F.slice("c", F.lit(j), count), F.concat)
+            grams.append(g)
         g = t.select(key, F.explode(F.concat(*grams)).alias("g")).select(key, F.pmod(F.crc32(F.col("g").cast("binary")), F.lit(dims)).alias("dim"))
         c = g.groupBy(key, "dim").agg(F.count("*").alias("c"))
         norm = c.groupBy(key).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
