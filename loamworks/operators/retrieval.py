@@ -60,7 +60,7 @@ def ngram_topk(queries: DataFrame, items: DataFrame, k: int, dims: int = 8192, s
             count = F.greatest(F.size("c") - (n - 1), F.lit(0))
             g = F.slice("c", F.lit(1), count)
             for j in range(2, n + 1):
-                g = F.zip_with(g, F.slice("c", F.lit(j), count), F.concat)
+                g = F.zip_with(g, F.slice("c", F.lit(j), count), lambda x, y: F.concat(x, y))
             grams.append(g)
         g = t.select(key, F.explode(F.concat(*grams)).alias("g")).select(key, F.pmod(F.crc32(F.col("g").cast("binary")), F.lit(dims)).alias("dim"))
         c = g.groupBy(key, "dim").agg(F.count("*").alias("c"))
