@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("plans.corpus", "plans.dedup", "plans.relational", "plans.evaluation", "plans.ordering", "plans.reshaping", "plans.audits")
+MODULES = ("plans.corpus", "plans.dedup", "plans.relational", "plans.evaluation", "plans.ordering", "plans.reshaping", "plans.audits", "plans.streams")
 
 
 class Register(dict):
