@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 HASH_DIGITS = 15
 
@@ -63,7 +64,7 @@ def with_shingles(df: DataFrame, size: int, text: str = "text", out: str = "s")
     return df.withColumn("_tokens", tokens(F.col(text))).withColumn(out, shingles(F.col("_tokens"), size)).drop("_tokens")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """NFKC normalisation, which Spark has no function for."""
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
