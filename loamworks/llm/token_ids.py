@@ -20,6 +20,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,9 @@ from . import common
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
-CACHE = 400_000
+#: Words whose ids are kept (about 150 bytes each).
+CACHE = 1_000_000
+MARKS = (".", ",", ";", ":", "?", "!")
 SEGMENT_IDS = 4_000_000
 LANES, STEPS = 32, 512
 BITS = 18
@@ -53,39 +56,56 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         vocab = self.tok.get_vocab(with_added_tokens=True)
-        self.size = np.zeros(max(vocab.values()) + 1, np.int64)
-        for t, i in vocab.items():
-            self.size[i] = len(t)  # a byte-level token has a character for each byte
+        self.marks = {c: self.tok.encode(c, add_special_tokens=False).ids[0] for c in MARKS}
+        #: Tokens that begin with the byte of a space or a newline: with these a word begins.
+        self.begins = np.zeros(max(vocab.values()) + 1, bool)
+        self.begins[[i for t, i in vocab.items() if t[:1] in ("Ġ", "Ċ")]] = True
         self.reset()
 
     def reset(self) -> None:
         self.known: dict[str, int] = {}
         self.flat = np.empty(1 << 20, np.uint32)
-        self.at = np.zeros(CACHE + 200_001, np.int64)
+        self.at = np.zeros(2 * CACHE + 1, np.int64)
         self.used = 0
 
+    def _keep(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        n = len(self.known)
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty(len(self.flat) + len(ids), np.uint32)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.at[n + 1 : n + 1 + len(words)] = self.used + ends
+        self.used += len(ids)
+        self.known.update(zip(words, range(n, n + len(words))))
+
     def _learn(self, new: list[str]) -> None:
-        for a in range(0, len(new), 500):
-            some = new[a : a + 500]
-            text = [p if p[0] == "\n" else p[1:] if p[0] == "\0" else " " + p for p in some]
-            heads = [i for i, p in enumerate(some) if p[0] == "\0"]
-            got = [None] * len(some)
-            for i, e in zip(heads, self.tok.encode_batch_fast([text[i] for i in heads], add_special_tokens=False)):
-                got[i] = np.array(e.ids, np.uint32)
-            rest = [i for i, p in enumerate(some) if p[0] != "\0"]
-            if rest:
-                ids = np.array(self.tok.encode("".join(text[i] for i in rest), add_special_tokens=False).ids, np.uint32)
-                ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(text[i].encode()) for i in rest])) + 1
-                for i, b, e in zip(rest, np.append(0, ends[:-1]), ends):
-                    got[i] = ids[b:e]
-            for p, ids in zip(some, got):
-                n = len(self.known)
-                if self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.empty(len(self.flat) + len(ids), np.uint32)])
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
-                self.known[p] = n
-                self.at[n + 1] = self.used
+        """A word with one mark behind a letter is its bare word's ids and the mark's: the pre-tokenizer always cuts there."""
+        marked = [p for p in new if p[-1:] in MARKS and p[-2:-1].isalpha()]
+        if marked:
+            bare = [p[:-1] for p in marked]
+            self._library(list({p for p in bare if p not in self.known}))
+            k = np.array([self.known[p] for p in bare], np.int64)
+            size = self.at[k + 1] - self.at[k]
+            ends = np.cumsum(size + 1)
+            ids = np.empty(int(ends[-1]), np.uint32)
+            of = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            ids[np.repeat(ends - size - 1, size) + of] = self.flat[np.repeat(self.at[k], size) + of]
+            ids[ends - 1] = [self.marks[p[-1]] for p in marked]
+            self._keep(marked, ids, ends)
+        self._library([p for p in new if p not in self.known])
+
+    def _library(self, new: list[str]) -> None:
+        heads = [p for p in new if p[0] == "\0"]
+        for p, e in zip(heads, self.tok.encode_batch_fast([p[1:] for p in heads], add_special_tokens=False)):
+            self._keep([p], np.array(e.ids, np.uint32), np.array([len(e.ids)]))
+        rest = [p for p in new if p[0] != "\0"]
+        for a in range(0, len(rest), 2000):
+            some = rest[a : a + 2000]
+            text = "".join([p if p[0] == "\n" else " " + p for p in some])
+            ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.append(np.flatnonzero(self.begins[ids])[1:], len(ids))
+            if len(ends) != len(some):
+                raise ValueError("the pre-tokenizer doesn't cut before single spaces and newlines")
+            self._keep(some, ids, ends)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids with END_ID behind each text, ids of each text with it)."""
@@ -101,15 +121,18 @@ class Encoder:
                 count[i] = len(p)
                 parts += p
             else:
-                whole[i] = np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32)
-        new = list({p for p in parts if p not in self.known})
-        if len(self.known) + len(new) > CACHE:
-            self.reset()
-            new = list(set(parts))
-            if len(new) > CACHE:
-                self.at = np.zeros(len(new) + 1, np.int64)
-        self._learn(new)
-        k = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+                whole[i] = np.array(self.tok.encode_batch_fast([t], add_special_tokens=False)[0].ids, np.uint32)
+        k = np.fromiter(map(self.known.get, parts, repeat(-1)), np.int64, len(parts))
+        missing = np.flatnonzero(k < 0)
+        if len(missing):
+            new = list({parts[i] for i in missing})
+            if len(self.known) + len(new) > CACHE:
+                self.reset()
+                new, missing = list(set(parts)), np.arange(len(parts))
+                if 2 * len(new) > len(self.at):
+                    self.at = np.zeros(2 * len(new) + 1, np.int64)
+            self._learn(new)
+            k[missing] = [self.known[parts[i]] for i in missing]
         size = self.at[k + 1] - self.at[k]
         ends = np.cumsum(size)
         words = self.flat[np.repeat(self.at[k] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
@@ -165,19 +188,19 @@ def encode_segment(ids: np.ndarray) -> bytes:
     if n:
         sym[:] = np.argmax(freq)
         sym[:n] = rank[ids]
-    grid = sym.reshape(blocks, STEPS, LANES)
+    grid = np.ascontiguousarray(sym.reshape(blocks, STEPS, LANES).transpose(1, 0, 2))
     f, start = freq.astype(np.uint64), (np.cumsum(freq) - freq).astype(np.uint64)
     x = np.full((blocks, LANES), LOW, np.uint64)
     words = np.zeros((STEPS, blocks, LANES), np.uint32)
     sent = np.zeros((STEPS, blocks, LANES), bool)
-    for t in range(min(STEPS, STEPS if blocks > 1 else last) - 1, -1, -1):
+    for t in range((STEPS if blocks > 1 else last) - 1, -1, -1):
         b = blocks if t < last else blocks - 1
-        s = grid[:b, t]
+        s = grid[t, :b]
         fs, y = f[s], x[:b]
         full = (y >> np.uint64(63 - BITS)) >= fs
         sent[t, :b] = full
-        words[t, :b][full] = y[full].astype(np.uint32)
-        y = np.where(full, y >> np.uint64(32), y)
+        words[t, :b] = y  # the low 32 bits; those of lanes that aren't full are left out below
+        y = y >> (full.astype(np.uint64) << np.uint64(5))
         q = y // fs
         x[:b] = (q << np.uint64(BITS)) + (y - q * fs) + start[s]
     order = sent.transpose(1, 0, 2)
@@ -202,28 +225,30 @@ def decode_segment(data: bytes, only: int | None = None) -> np.ndarray:
     if not n:
         return np.empty(0, np.uint32)
     freq = table[:, 1].astype(np.int64)
-    slot = np.repeat(np.arange(distinct), freq)
-    f, start = freq.astype(np.uint64), (np.cumsum(freq) - freq).astype(np.uint64)
+    # Per slot: its symbol, the symbol's frequency, and the slot's place in the symbol's range.
+    slot = np.repeat(np.arange(distinct, dtype=np.uint32), freq)
+    f = np.repeat(freq.astype(np.uint32), freq)
+    inner = (np.arange(1 << BITS) - np.repeat(np.cumsum(freq) - freq, freq)).astype(np.uint32)
     all_blocks, last = _shape(n)
     picked = np.arange(blocks) if only is None else np.array([only])
     x = marks["x"][picked].copy()
     at = marks["first"][picked].astype(np.int64)
-    out = np.zeros((len(picked), STEPS, LANES), np.int64)
+    out = np.zeros((STEPS, len(picked), LANES), np.uint32)
+    stream = np.append(stream, np.uint32(0)).astype(np.uint64)
     ends_short = picked[-1] == all_blocks - 1
     low = np.uint64((1 << BITS) - 1)
     for t in range(STEPS if len(picked) > 1 or not ends_short else last):
         b = len(picked) - (1 if ends_short and t >= last else 0)
         y = x[:b]
-        r = y & low
-        s = slot[r]
-        out[:b, t] = s
-        y = f[s] * (y >> np.uint64(BITS)) + r - start[s]
+        r = (y & low).astype(np.int64)
+        out[t, :b] = slot[r]
+        y = f[r] * (y >> np.uint64(BITS)) + inner[r]
         need = y < LOW
-        place = np.cumsum(need, axis=1)
-        got = stream[np.minimum(at[:b, None] + place - 1, max(len(stream) - 1, 0))] if len(stream) else np.zeros_like(need, np.uint32)
+        place = np.cumsum(need, axis=1, dtype=np.int32)
+        got = stream[np.minimum(at[:b, None] + place - need, len(stream) - 1)]
         x[:b] = np.where(need, (y << np.uint64(32)) | got, y)
         at[:b] += place[:, -1]
-    ids = table[:, 0].astype(np.uint32)[out].reshape(len(picked), -1)
+    ids = table[:, 0].astype(np.uint32)[out.transpose(1, 0, 2).reshape(len(picked), -1)]
     size = LANES * STEPS
     for row, b in zip(ids, picked):
         if zlib.crc32(row[: min(size, n - b * size)].astype("<u4").tobytes()) != marks["crc"][b]:
