@@ -26,9 +26,13 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+|[^\w\s])"), F.lit(1))
 
 
-def repetition(text: Column, min_length: int = 20) -> Column:
-    """Share of repeated lines among the squeezed, lower-cased lines of at least min_length characters; 0 without any."""
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.lower(squeeze(x))), lambda x: F.length(x) >= min_length)
+def long_lines(text: Column, min_length: int = 20) -> Column:
+    """Squeezed, lower-cased lines of at least min_length characters."""
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.lower(squeeze(x))), lambda x: F.length(x) >= min_length)
+
+
+def repeated_share(lines: Column) -> Column:
+    """1 - distinct / all of an array; 0 where it is empty."""
     return F.when(F.size(lines) > 0, 1 - F.size(F.array_distinct(lines)) / F.size(lines)).otherwise(F.lit(0.0))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.stages import staged
 
 #: Entries up to which a denylist is broadcast; beyond, candidates come from a shuffled join on an anchor.
 BROADCAST_ENTRIES = 100_000
@@ -44,7 +45,7 @@ def shingle_cover(docs: DataFrame, entries: DataFrame, size: int = 5, min_cover:
     e = tx.with_shingles(entries.select("item_id", "text"), size).drop("text")
     e = e.withColumn("hashes", F.array_sort(F.transform("s", lambda x: tx.hash60(x)))).filter(F.size("s") > 0)
     a = e.select("item_id", F.explode(F.slice("hashes", 1, anchors)).alias("h"))
-    d = tx.with_shingles(docs.select("doc_id", "text"), size).select("doc_id", F.transform("s", lambda x: tx.hash60(x)).alias("ds"))
+    d = staged(tx.with_shingles(docs.select("doc_id", "text"), size).select("doc_id", F.transform("s", lambda x: tx.hash60(x)).alias("ds")), "cover")
     hint = "broadcast" if a.limit(anchors * BROADCAST_ENTRIES + 1).count() <= anchors * BROADCAST_ENTRIES else "merge"
     hits = d.select("doc_id", F.explode("ds").alias("h")).join(a.hint(hint), "h").select("doc_id", "item_id").distinct()
     full = hits.join(d.hint("merge"), "doc_id").join(e.select("item_id", "hashes").hint("merge"), "item_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import contamination, filters, sampling
 from ..registry import Register
-from ..sources.stages import table
+from ..sources.stages import spread, table
 from .corpus import REASON, SQUEEZED
 from .dedup import COVER
 
@@ -147,7 +147,7 @@ def snk_filtered(spark, sf_dir):
     """Retained documents written as canonical JSON lines and read back."""
     from ..sources import sinks
 
-    kept = table(spark, sf_dir, "documents").filter(filters.reject_reason(F.col("text")).isNull())
+    kept = filters.with_reject_reason(spread(table(spark, sf_dir, "documents"))).filter("reject_reason IS NULL").drop("reject_reason")
     return sinks.json_lines(kept).agg(F.count("*").alias("rows"), F.sum("n_chars").alias("chars"), F.count_distinct("doc_id").alias("ids"))
 
 

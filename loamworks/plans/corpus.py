@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import filters
 from ..registry import Register
-from ..sources.stages import table
+from ..sources.stages import spread, staged, table
 
 QUERIES = query = Register()
 
@@ -26,7 +26,7 @@ TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 @query("SELECT doc_id, source, n_chars, length(text) AS chars, coalesce(octet_length(encode(text)), 0) <= 8388608 AS fits FROM documents")
@@ -93,18 +93,19 @@ def src_trajectory_rows(spark, sf_dir):
 
 @query(f"SELECT doc_id, length({CLEAN}) AS chars, {REASON} AS reject_reason FROM documents")
 def flt_quality(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.length(tx.unix_lines(F.col("text"))).cast("long").alias("chars"), filters.reject_reason(F.col("text")).alias("reject_reason"))
+    return filters.with_reject_reason(docs(spark, sf_dir)).select("doc_id", F.length(tx.unix_lines(F.col("text"))).cast("long").alias("chars"), "reject_reason")
 
 
 @query(f"SELECT coalesce({REASON}, 'passed') AS outcome, count(*) AS documents, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1")
 def flt_quality_counts(spark, sf_dir):
-    d = docs(spark, sf_dir).select(F.coalesce(filters.reject_reason(F.col("text")), F.lit("passed")).alias("outcome"), "n_chars")
+    d = filters.with_reject_reason(docs(spark, sf_dir)).select(F.coalesce("reject_reason", F.lit("passed")).alias("outcome"), "n_chars")
     return d.groupBy("outcome").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"))
 
 
 @query(f"SELECT doc_id, round({REPETITION}, 6) AS repetition FROM documents")
 def prj_repetition(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.round(tx.repetition(tx.unix_lines(F.col("text"))), 6).alias("repetition"))
+    d = docs(spark, sf_dir).select("doc_id", tx.long_lines(tx.unix_lines(F.col("text"))).alias("lines"))
+    return d.select("doc_id", F.round(tx.repeated_share(F.col("lines")), 6).alias("repetition"))
 
 
 @query(r"SELECT doc_id, round((length(text) - length(regexp_replace(text, '[\x00-\x08\x0B-\x1F]', '', 'g'))) / greatest(length(text), 1), 6) AS control_ratio FROM documents")
@@ -203,9 +204,10 @@ def corpus_by_split(spark, sf_dir):
     """The flagship: quality rules, exact deduplication, benchmark screen, exact-count split; documents and characters per language."""
     from ..operators import contamination, dedup, sampling
 
-    d = docs(spark, sf_dir).filter(filters.reject_reason(F.col("text")).isNull())
-    d = dedup.exact_winners(d.withColumn("digest", tx.digest(F.col("text"))), ["doc_id"])
-    d = contamination.without_contained(d.withColumn("t", F.lower(tx.squeeze(F.col("text")))), table(spark, sf_dir, "benchmark").select(F.lower(tx.squeeze(F.col("text"))).alias("entry")))
+    d = filters.with_reject_reason(docs(spark, sf_dir)).filter("reject_reason IS NULL")
+    d = staged(d.select("doc_id", "lang", "n_chars", tx.squeeze(F.col("text")).alias("t")).withColumn("digest", F.sha2("t", 256)), "passed")  # texts are worked on once
+    d = dedup.exact_winners(d, ["doc_id"]).withColumn("t", F.lower("t"))
+    d = staged(contamination.without_contained(d, table(spark, sf_dir, "benchmark").select(F.lower(tx.squeeze(F.col("text"))).alias("entry"))).select("doc_id", "lang", "n_chars"), "screened")
     d = sampling.exact_split(d, "doc_id", 0.01, 7)
     return d.groupBy("lang", "split").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"))
 

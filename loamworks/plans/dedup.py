@@ -8,7 +8,7 @@ from ..functions import text as tx
 from ..functions.ranks import global_rank
 from ..operators import contamination, dedup, filters
 from ..registry import Register
-from ..sources.stages import staged, table
+from ..sources.stages import spread, staged, table
 from .corpus import SQUEEZED, TOKENS
 
 QUERIES = query = Register()
@@ -50,7 +50,7 @@ NEAR = "bit_count(xor(a.sim_hi, b.sim_hi)) + bit_count(xor(a.sim_lo, b.sim_lo))
 
 
 def signed(spark, sf_dir):
-    return dedup.signatures(table(spark, sf_dir, "documents").select("doc_id", "n_chars", "source", "text"))
+    return dedup.signatures(spread(table(spark, sf_dir, "documents")).select("doc_id", "n_chars", "source", "text"))
 
 
 @query(f"WITH {SIGNATURES} SELECT doc_id, features, sim_hi, sim_lo FROM g")
@@ -126,7 +126,7 @@ ENTRY = r"lower(trim(regexp_replace(text, '\s+', ' ', 'g')))"
 @query(f"SELECT d.doc_id, count(*) AS entries, min(e.entry) AS first_entry FROM (SELECT doc_id, {ENTRY} AS t FROM documents) d JOIN (SELECT DISTINCT {ENTRY} AS entry FROM benchmark) e ON contains(d.t, e.entry) GROUP BY d.doc_id")
 def dc_exact_short(spark, sf_dir):
     """Entries that occur in a document as a substring, matching inside words too."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.lower(tx.squeeze(F.col("text"))).alias("t"))
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", F.lower(tx.squeeze(F.col("text"))).alias("t"))
     e = table(spark, sf_dir, "benchmark").select(F.lower(tx.squeeze(F.col("text"))).alias("entry"))
     return contamination.contained(d, e).groupBy("doc_id").agg(F.count("*").alias("entries"), F.min("entry").alias("first_entry"))
 
@@ -140,7 +140,7 @@ c AS (SELECT d.doc_id, e.item_id, count(*) / any_value(n.n) AS cover FROM d JOIN
 
 
 def _cover(spark, sf_dir):
-    return contamination.shingle_cover(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contamination.shingle_cover(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 @query(f"{COVER} SELECT doc_id, item_id, round(cover, 6) AS cover FROM c")

@@ -69,7 +69,7 @@ def sessions(events: DataFrame, gap: str = "6 hours") -> DataFrame:
 
 def pool(documents: DataFrame) -> DataFrame:
     """New fingerprints of acceptable documents; the state remembers those seen before, across restarts."""
-    d = documents.filter(filters.reject_reason(F.col("text")).isNull()).select(tx.digest(F.col("text")).alias("digest"))
+    d = filters.with_reject_reason(documents).filter("reject_reason IS NULL").select(tx.digest(F.col("text")).alias("digest"))
     return d.dropDuplicates(["digest"])
 
 

@@ -17,9 +17,10 @@ from loamworks.sources import sinks
 def test_quality_reasons(spark):
     long = "\n".join(f"line number {i} is long enough" for i in range(12))
     texts = {"short": "too_short", long: None, "x\n" * 150: None, ("a line of over twenty characters\n" * 9): "repetitive", "a" * 300 + "\x01" * 9: "control_characters", "a" * 300 + "�" * 2: "replacement_characters", "a\r\n" * 2_000_000: "too_long"}
-    df = spark.createDataFrame([(t, r) for t, r in texts.items()], "text string, want string").withColumn("got", filters.reject_reason(F.col("text")))
-    assert [r.got for r in df.collect()] == [r.want for r in df.collect()]
-    assert spark.createDataFrame([(None,)], "text string").select(filters.reject_reason(F.col("text")).alias("r")).first().r is None
+    df = spark.createDataFrame([(t, r) for t, r in texts.items()], "text string, want string")
+    rows = filters.with_reject_reason(df).collect()
+    assert [r.reject_reason for r in rows] == [r.want for r in rows]
+    assert filters.with_reject_reason(spark.createDataFrame([(None,)], "text string")).first().reject_reason is None
 
 
 def test_privacy(spark):
