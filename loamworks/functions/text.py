@@ -12,6 +12,11 @@ from pyspark.sql.types import StringType
 HASH_DIGITS = 15
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value evaluated once a row, wherever the optimizer moves the expression (as into a filter)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unix_lines(text: Column) -> Column:
     """CRLF and CR become LF; white space at both ends goes."""
     return F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"(?U)^\s+|\s+$", "")

@@ -33,17 +33,17 @@ CODE_FILE = r"(?i)\.(c|cc|cpp|cs|css|go|h|hpp|html|java|js|json|jsx|kt|php|py|rb
 def with_reject_reason(df: DataFrame, text: str = "text", out: str = "reject_reason", min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS, max_control: float = MAX_CONTROL, max_repetition: float = MAX_REPETITION) -> DataFrame:
     """df with the first quality rule that a text breaks, null if none. The length cap is tested on the raw text, the rest on the stripped one.
 
-    The stripped text and its long lines are columns of their own first, so that no rule makes them again.
+    The stripped text and its long lines are bound once, so that no rule makes them again.
     """
-    t = F.col("_t")
-    df = df.withColumn("_t", F.when(F.length(text) <= max_chars, tx.unix_lines(F.col(text)))).withColumn("_lines", tx.long_lines(t))
-    n = F.greatest(F.length(t), F.lit(1))
-    marks = F.length(t) - F.length(F.replace(t, F.lit("�"), F.lit("")))
-    reason = (
-        F.when(F.length(text) > max_chars, "too_long").when(F.length(t) < min_chars, "too_short").when(tx.controls(t) / n > max_control, "control_characters")
-        .when(marks / n > MAX_REPLACEMENT, "replacement_characters").when(tx.repeated_share(F.col("_lines")) > max_repetition, "repetitive")
-    )
-    return df.withColumn(out, reason).drop("_t", "_lines")
+
+    def rules(t: Column) -> Column:
+        n = F.greatest(F.length(t), F.lit(1))
+        marks = F.length(t) - F.length(F.replace(t, F.lit("�"), F.lit("")))
+        share = tx.let(tx.long_lines(t), tx.repeated_share)
+        return F.when(F.length(t) < min_chars, "too_short").when(tx.controls(t) / n > max_control, "control_characters").when(marks / n > MAX_REPLACEMENT, "replacement_characters").when(share > max_repetition, "repetitive")
+
+    raw = F.col(text)
+    return df.withColumn(out, F.when(F.length(raw) > max_chars, "too_long").otherwise(tx.let(tx.unix_lines(raw), rules)))
 
 
 def code_like(text: Column, source: Column) -> Column:
