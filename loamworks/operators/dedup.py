@@ -17,16 +17,11 @@ from ..sources.stages import staged
 def exact_winners(df: DataFrame, order: list[str], key: str = "digest") -> DataFrame:
     """One row per key: the smallest by `order`. Two aggregates over the ids decide it, so that no key's rows meet in one task."""
     smallest = df.groupBy(key).agg(F.min(F.struct(*order)).alias("_first"))
-    firsts = smallest.select(key, *[F.col(f"_first.{c}").alias(f"_{c}") for c in order])
-    on = (df[key] == firsts[key]) & _same(df, firsts, order)
-    return df.join(firsts, on, "left_semi")
-
-
-def _same(df: DataFrame, firsts: DataFrame, order: list[str]):
-    cond = df[order[0]].eqNullSafe(firsts[f"_{order[0]}"])
-    for c in order[1:]:
-        cond = cond & df[c].eqNullSafe(firsts[f"_{c}"])
-    return cond
+    firsts = smallest.select(F.col(key).alias("_key"), *[F.col(f"_first.{c}").alias(f"_first_{c}") for c in order])
+    same = F.col(key) == F.col("_key")
+    for c in order:
+        same = same & F.col(c).eqNullSafe(F.col(f"_first_{c}"))
+    return df.join(firsts, same, "left_semi")
 
 
 @F.pandas_udf(StructType([StructField("hi", LongType()), StructField("lo", LongType())]))
