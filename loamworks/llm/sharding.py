@@ -62,6 +62,8 @@ def propagate(linked: DataFrame, quotas: list[int], rounds: int = MAX_ROUNDS, se
         here = votes.withColumnRenamed("n", "own").join(asks.hint("merge"), "grp")
         better = (F.col("b.n") > F.col("own")) | ((F.col("b.n") == F.col("own")) & (F.col("b.lean") > lean))
         here = here.filter((F.col("b.shard") != F.col("shard")) & better).select("grp", "shard", F.col("b.shard").alias("to"), "own", (F.col("b.n") - F.col("own")).alias("gain"))
+        # Written, since both uses below read it, and so that the join of a hot group's rows has plain shuffles on both sides, which can be split.
+        here = common.materialise(here, "shard-asks")
         flows = {(r.shard, r.to): r.n for r in here.groupBy("shard", "to").agg(F.sum("own").alias("n")).collect()}  # at most shards * shards rows
         admit = {k: min(v, flows.get(k[::-1], 0)) for k, v in flows.items()}
         for (a, b), v in sorted(flows.items(), key=lambda x: (-x[1], x[0])):
@@ -82,7 +84,7 @@ def propagate(linked: DataFrame, quotas: list[int], rounds: int = MAX_ROUNDS, se
         moving = moving.filter(F.col("_r") < _pick(table, F.col("shard") * shards + F.col("to"))).select("key", F.col("to").alias("_to"))
         after = state.join(moving.hint("merge"), "key", "left").select("key", "grp", F.coalesce("_to", "shard").alias("shard"))
         before, state = state, common.materialise(after, "shard-state")
-        common.release(before)
+        common.release(before, here)
     return state
 
 
@@ -99,7 +101,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = MAX_ROUNDS, seed
     if n == 0:
         return slim.select("doc_id", "size", "text_crc32", "grp", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     quotas = _quotas(n, shards)
-    groups = slim.groupBy("grp").agg(F.count("*").alias("n")).filter("n > 1").select("grp")
+    groups = common.materialise(slim.groupBy("grp").agg(F.count("*").alias("n")).filter("n > 1").select("grp"), "shard-groups")
     linked = slim.select("key", "grp").join(groups.hint("merge"), "grp", "left_semi")
     linked = propagate(common.materialise(linked, "shard-linked"), quotas, rounds, seed)
     room = [q - x for q, x in zip(quotas, _loads(linked, shards))]
