@@ -2,31 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stages import shared_dir, table
+
+__all__ = ["bucket_of", "materialise", "release", "running_total", "seeded_key", "shared_dir", "table", "word_count"]
+
 #: A word, everywhere in this subpackage: a run of characters other than these six.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Rank buckets a key. Ranks within a bucket are windows over 1/4096 of a key's rows.
 RANK_BUCKETS = 4096
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a temporary one where it names none."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet under the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
