@@ -8,7 +8,7 @@ elements, all stretches of the largest (and of others at least a third as long)
 is, with those at least a quarter as long.
 
 Nulls: null or empty html gives an empty text; a page without text too. Broken markup never fails: a container that isn't
-closed skips only its own line. Empty table: an empty result. Repeated rows and ties get the same text; extra columns are ignored.
+closed skips only its own tag, and script, style or a comment without an end takes the rest of the page, as in a browser. Empty table: an empty result. Repeated rows and ties get the same text; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ WINDOW = 3
 THRESHOLD = 60
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*>"
-    r"|<(script|style|noscript|template|svg|iframe|select|textarea|head|button|object|canvas|math)\b(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|iframe|textarea)\b(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>",
     re.S | re.I,
 )
@@ -36,7 +36,9 @@ _NAMED = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog fieldset title".split())
+BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog fieldset title head".split())
+#: Elements without text of the article that may stand inside a line: they vanish and don't part it.
+INLINE_SKIPS = frozenset("noscript template svg select button object canvas math".split())
 BOILERPLATE_WORDS = frozenset(
     "ad ads adbox advert adverts advertisement advertising banner promo promoted sponsor sponsored nav navbar navigation menu menus breadcrumb breadcrumbs masthead topbar footer foot sidebar aside widget widgets comment comments commentlist reply replies disqus cookie cookies consent gdpr notice notices notification alert popup modal overlay subscribe subscription newsletter signup login share sharing social related recommended recommendations teaser form search pagination pager copyright".split()
 )
@@ -48,7 +50,7 @@ _SPACES = re.compile(r"\s+")
 
 
 def _boilerplate(tag: str, attrs: str, inside: bool) -> bool:
-    if tag in BOILERPLATE_TAGS or tag in HEADER_TAGS and not inside:
+    if tag in BOILERPLATE_TAGS or tag in INLINE_SKIPS or tag in HEADER_TAGS and not inside:
         return True
     if tag in ("html", "body", "main") or tag not in BLOCKS and tag != "span":
         return False
@@ -88,7 +90,8 @@ def to_lines(page: str) -> list[tuple[str, int]]:
                 skips[-1][1] += -1 if close else 1
                 if not skips[-1][1]:
                     skips.pop()
-                    lines += [("", 0)] * WINDOW
+                    if name not in INLINE_SKIPS:
+                        lines += [("", 0)] * WINDOW
             continue
         if name == "br":
             piece.append(" ")
@@ -104,7 +107,8 @@ def to_lines(page: str) -> list[tuple[str, int]]:
             continue
         if _boilerplate(name, m[4] or m[7] or "", bool(mains)):
             if whole:
-                end()
+                if name not in INLINE_SKIPS:
+                    end()
                 skips.append([name, 1])
             continue
         if name in MAIN_TAGS:

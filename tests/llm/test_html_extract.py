@@ -37,6 +37,15 @@ def test_no_article_and_broken_pages():
     assert [he.extract(x) for x in (None, "", "<", "<p>", "plain", "<p>a < b</p>", "<!-- x", "&#65;&#x42;&nbsp;C&bogus;")] == ["", "", "<", "", "plain", "a < b", "", "AB C&bogus;"]
 
 
+def test_open_and_inline_elements():
+    long = "word " * 40
+    text = long.strip()
+    assert he.extract(f"<html><head><title>T</title><meta charset=x><style>p{{}}</style><body><p>{long}</p>") == text
+    assert he.extract(f"<head><title>T</title></head><body><button>Go<p>{long}<select><option>") == f"Go\n\n{text}"
+    assert he.extract(f"<p>One <svg><text>no</text></svg>line <button>no</button>of {long}<noscript>no</noscript></p>") == f"One line of {text}"
+    assert he.extract(f"<p>{long}</p><script>if (a < b) <p>{long}") == text
+
+
 def test_awkward_rows(spark):
     rows = [(1, None, None), (None, "u", "<p>a"), (None, "u", "<p>a"), (2, "u", ""), (3, "u", "<p>" + "x" * 300_000 + "</p>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'z' AS text", "1 AS n_chars")
