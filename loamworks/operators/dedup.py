@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from hashlib import sha256
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -50,17 +51,25 @@ def hamming(a_hi, a_lo, b_hi, b_lo):
 
 
 def band_pairs(df: DataFrame, rank: str = "rank", max_distance: int = 3) -> DataFrame:
-    """Pairs (a, b) of ranks, a before b, that share one of eight 8-bit bands and differ in at most max_distance bits.
+    """Pairs (a, b) of ranks, a before b, that differ in at most max_distance bits.
 
-    With fewer bits allowed than bands no pair is missed. Equal signatures are one row here (their first rank), so a
-    group of copies makes no pairs of its own; the others join it through that row.
+    The 64 bits are max_distance + 3 bands, of which such a pair shares three at least, so the join is on three bands at
+    a time: about 32 bits, where a join on one narrow band would meet a fixed share of all signatures. A pair is taken
+    under its first common key only. Equal signatures are one row here (their first rank), so a group of copies makes no
+    pairs of its own; the others join it through that row.
     """
     sig = df.groupBy("sim_hi", "sim_lo").agg(F.min(rank).alias(rank))
-    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftright(F.col("sim_hi" if i < 4 else "sim_lo"), 8 * (i % 4)).bitwiseAND(F.lit(255)).alias("value")) for i in range(8)])
-    rows = sig.select(rank, "sim_hi", "sim_lo", F.explode(bands).alias("x")).select(rank, "sim_hi", "sim_lo", "x.band", "x.value")
-    a, b = (rows.select(F.col(rank).alias(s), F.col("sim_hi").alias(f"{s}_hi"), F.col("sim_lo").alias(f"{s}_lo"), "band", "value") for s in "ab")
-    near = a.join(b.hint("merge"), ["band", "value"]).filter((F.col("a") < F.col("b")) & (hamming(F.col("a_hi"), F.col("a_lo"), F.col("b_hi"), F.col("b_lo")) <= max_distance))
-    return near.select("a", "b", "a_hi", "a_lo", "b_hi", "b_lo").distinct()
+    bands = max_distance + 3
+    edges = [64 * i // bands for i in range(bands + 1)]
+    masks = [sum((1 << edges[k + 1]) - (1 << edges[k]) for k in three) for three in combinations(range(bands), 3)]
+    halves = [(m >> 32, m & 0xFFFFFFFF) for m in masks]
+    part = lambda c, m: F.col(c).bitwiseAND(F.lit(m).cast("long"))
+    keys = F.array(*[F.struct(F.lit(i).alias("key"), part("sim_hi", hi).alias("key_hi"), part("sim_lo", lo).alias("key_lo")) for i, (hi, lo) in enumerate(halves)])
+    rows = sig.select(rank, "sim_hi", "sim_lo", F.explode(keys).alias("x")).select(rank, "sim_hi", "sim_lo", "x.*")
+    a, b = (rows.select(F.col(rank).alias(s), F.col("sim_hi").alias(f"{s}_hi"), F.col("sim_lo").alias(f"{s}_lo"), "key", "key_hi", "key_lo") for s in "ab")
+    near = a.join(b.hint("merge"), ["key", "key_hi", "key_lo"]).filter((F.col("a") < F.col("b")) & (hamming(F.col("a_hi"), F.col("a_lo"), F.col("b_hi"), F.col("b_lo")) <= max_distance))
+    first = F.coalesce(*[F.when((part("a_hi", hi) == part("b_hi", hi)) & (part("a_lo", lo) == part("b_lo", lo)), i) for i, (hi, lo) in enumerate(halves)])
+    return near.filter(first == F.col("key")).select("a", "b", "a_hi", "a_lo", "b_hi", "b_lo")
 
 
 def greedy_keep(nodes: DataFrame, pairs: DataFrame, rounds: int = 200) -> DataFrame:
@@ -101,7 +110,3 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not new.filter(F.col("was") != F.col("label")).limit(1).count():
             return labels
     raise RuntimeError("components not settled")
-
-
-def winners_window(df: DataFrame, key: str, order: list) -> DataFrame:
-    return df.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_k = 1").drop("_k")
