@@ -16,14 +16,16 @@ BLOCK = 512
 def _blocks(df: DataFrame, out: str) -> DataFrame:
     """Vectors packed into blocks of about BLOCK rows; each block is one row."""
     n = max(1, -(-df.count() // BLOCK))
-    return df.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias(f"{out}_block")).agg(F.collect_list(F.struct(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))).alias(out))
+    spread = max(1, min(n, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return df.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias(f"{out}_block")).agg(F.collect_list(F.struct(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))).alias(out)).repartition(spread)
 
 
 def cosine_topk(queries: DataFrame, items: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
     """queries(vec_id, embedding), items(vec_id, embedding) -> query_id, vec_id, score, rank: all queries against all items.
 
     Blocks of queries meet blocks of items, each pair of blocks one matrix product, of which k candidates a query stay. So
-    what is shuffled grows with queries times item blocks, never with pairs of vectors.
+    what is shuffled grows with queries times item blocks, never with pairs of vectors; the blocks themselves are spread
+    before they meet, and pairs of blocks are handled where they arise.
     """
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -40,8 +42,8 @@ def cosine_topk(queries: DataFrame, items: DataFrame, k: int, exclude_self: bool
                 out = pd.DataFrame({"query_id": qid[row], "vec_id": ids[order.reshape(-1)], "score": s[row, order.reshape(-1)]})
                 yield out[np.isfinite(out["score"])]
 
-    pairs = _blocks(items, "t").crossJoin(_blocks(queries, "q")).select("q", "t")
-    found = pairs.repartition(pairs.sparkSession.sparkContext.defaultParallelism).mapInPandas(best, "query_id long, vec_id long, score double")
+    pairs = _blocks(items, "t").hint("shuffle_replicate_nl").crossJoin(_blocks(queries, "q")).select("q", "t")
+    found = pairs.mapInPandas(best, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
 
