@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranks import global_rank
+from ..functions.ranks import global_rank, rank_within
 from ..sources.stages import staged
 from . import dedup
 
@@ -29,8 +29,7 @@ def quota_order(rows: DataFrame, stratum: str, sha: str, ids: list[str]) -> Data
 
     The i-th of a stratum's m other rows stands at (2i - 1) / 2m; equal quantiles are equal doubles, and hashes break ties.
     """
-    w = Window.partitionBy(stratum)
-    r = rows.withColumns({"_n": F.count("*").over(w), "_i": F.row_number().over(w.orderBy(sha, *ids))})
+    r = rank_within(rows, stratum, [sha, *ids], "_i", "_n")
     head = F.col("_i") == 1
     tie = F.sha2(F.concat(stratum, F.lit("\x1f"), sha), 256)
     r = r.withColumns({

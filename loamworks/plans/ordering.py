@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.ranks import global_rank
+from ..functions.ranks import global_rank, rank_within
 from ..operators import ordering, sampling
 from ..operators.retrieval import ngram_topk
 from ..registry import Register
@@ -207,8 +207,7 @@ def sm_budget_alloc(spark, sf_dir):
 def sm_budget_take(spark, sf_dir):
     """Per language, rows in seeded order until the characters first reach 50,000."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", _h(14).alias("h"))
-    w = Window.partitionBy("lang").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    return d.withColumn("before", F.coalesce(F.sum("n_chars").over(w), F.lit(0))).filter("before < 50000").select("doc_id", "lang", "n_chars")
+    return rank_within(d, "lang", ["h", "doc_id"], "before", "all_chars", F.col("n_chars")).filter("before < 50000").select("doc_id", "lang", "n_chars")
 
 
 @query("""WITH o AS (SELECT n_chars, coalesce(sum(n_chars) OVER (ORDER BY sha256('15:' || doc_id), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents) SELECT count(*) AS rows, sum(n_chars)::BIGINT AS chars FROM o WHERE before < 500000""")
