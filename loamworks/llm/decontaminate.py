@@ -4,8 +4,10 @@ A seed is a fixed mask of six out of at most twelve consecutive words; the other
 substitution there doesn't hide the overlap. The three masks find every window of 20 aligned words with at most 4
 substitutions (tests/llm proves it by enumeration). Seed hashes of benchmark items and of documents are joined, and around
 each hit the aligned words are compared: an item is in a document if 20 aligned words (without insertions) agree in at
-least 16. An item of 5 to 19 words must occur whole and exact, found by the seed of its first five words; an item of
-fewer words says too little and isn't searched.
+least 16. An item of 10 to 19 words must occur whole, with a substitution for each full five words at most; it has three
+masks of its own, which find all such occurrences (proved for each length). An item of 5 to 9 words must occur whole and
+exact, found by the seed of its first five words; an item of fewer words says too little and isn't searched. Documents are
+only searched by masks of which the benchmark has items.
 
 Documents are read once: a Bloom filter of the benchmark's seeds (8 MB, whatever the benchmark's size) discards positions
 that can't join, and what joins carries the words around it. The join itself is a shuffled one, so the benchmark may be large.
@@ -27,14 +29,28 @@ from . import common
 from .ngram_join import _bitmap, _has
 from .wordhash import Texts, U, chunks, mix, ragged
 
-#: Positions of a window that each mask reads; the last mask is that of short items.
+#: Positions of a window that each mask reads.
 MASKS = ((0, 1, 4, 6, 8, 9), (0, 1, 3, 9, 10, 11), (0, 1, 3, 4, 5, 6))
+#: The mask of short items.
 SHORT_MASK = (0, 1, 2, 3, 4)
 WINDOW = 20
 MAX_SUBSTITUTIONS = 4
+#: Words from which a whole item may have substitutions, and the masks by the item's fewest words.
+TOLERANT = 10
+ITEM_MASKS = {
+    5: (SHORT_MASK,),
+    10: ((0, 2, 3, 4, 7), (0, 3, 5, 6, 7), (0, 1, 4, 6, 7)),
+    15: ((0, 1, 2, 5, 7, 10), (0, 2, 3, 6, 7, 8), (0, 1, 3, 7, 9, 10)),
+    WINDOW: MASKS,
+}
 BLOOM_BITS = 1 << 26
 
 
+def substitutions(n: int) -> int:
+    """Words that may differ in a window of an item of n words."""
+    return 0 if n < TOLERANT else min(n // 5, MAX_SUBSTITUTIONS)
+
+
 def _seeds(x: Texts, masks: tuple[tuple[int, ...], ...], first_id: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(index of the first word, hash) for each mask at every position where it lies in one text."""
     for k, mask in enumerate(masks, first_id):
@@ -48,41 +64,55 @@ def _seeds(x: Texts, masks: tuple[tuple[int, ...], ...], first_id: int) -> Itera
         yield at, mix(h)
 
 
+def _families() -> dict[int, tuple[int, tuple[tuple[int, ...], ...]]]:
+    """Fewest words -> number of the first mask, masks."""
+    out, first_id = {}, 0
+    for low, masks in ITEM_MASKS.items():
+        out[low] = first_id, masks
+        first_id += len(masks)
+    return out
+
+
+def _family(n: np.ndarray) -> np.ndarray:
+    """The fewest words of the masks of items of n words; 0 for items that aren't searched."""
+    lows = np.array([0, *ITEM_MASKS])
+    return lows[np.searchsorted(lows, n, "right") - 1]
+
+
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """item_id, its word hashes, and its seeds (hash, position)."""
+    """item_id, the family of its masks, its word hashes, and its seeds (hash, position)."""
     for batch in batches:
         for a, b, texts in chunks(batch.column("text")):
             x = Texts(texts, fold=True)
             n = x.words[x.doc]
             hashes, places = [], []
-            for at, h in _seeds(x, MASKS, 0):
-                on = n[at] >= WINDOW
-                hashes.append(h[on])
-                places.append(at[on])
-            for at, h in _seeds(x, (SHORT_MASK,), len(MASKS)):
-                on = (n[at] < WINDOW) & (at == x.word_at[x.doc[at]])
-                hashes.append(h[on])
-                places.append(at[on])
+            for low, (first_id, masks) in _families().items():
+                for at, h in _seeds(x, masks, first_id):
+                    on = _family(n[at]) == low
+                    if low < TOLERANT:
+                        on &= at == x.word_at[x.doc[at]]
+                    hashes.append(h[on])
+                    places.append(at[on])
             h, at = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (hashes, places))
             order = np.argsort(at, kind="stable")
             h, at = h[order].astype(U).view(np.int64), at[order]
             off = np.searchsorted(x.doc[at], np.arange(x.n + 1)) if len(at) else np.zeros(x.n + 1, np.int64)
             words = np.append(x.word_at, len(x.word))
-            yield pa.RecordBatch.from_arrays([batch.column("item_id").slice(a, b - a), ragged(x.word.view(np.int64), words, pa.int64()), ragged(h, off, pa.int64()), ragged(at - x.word_at[x.doc[at]], off, pa.int32())], ["item_id", "words", "seed", "place"])
+            yield pa.RecordBatch.from_arrays([batch.column("item_id").slice(a, b - a), pa.array(_family(x.words), pa.int32()), ragged(x.word.view(np.int64), words, pa.int64()), ragged(h, off, pa.int64()), ragged(at - x.word_at[x.doc[at]], off, pa.int32())], ["item_id", "family", "words", "seed", "place"])
 
 
 def _second(h: np.ndarray) -> np.ndarray:
     return h >> np.int64(27)
 
 
-def _hits(bloom):
+def _hits(bloom, used: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Runs of positions whose seeds may be the benchmark's, with all words a window through them can reach."""
         for batch in batches:
             for a, b, texts in chunks(batch.column("text")):
                 x = Texts(texts, fold=True)
                 found = []
-                for at, h in _seeds(x, (*MASKS, SHORT_MASK), 0):
+                for at, h in (y for low, (k, masks) in _families().items() if low in used for y in _seeds(x, masks, k)):
                     s = h.view(np.int64)
                     on = _has(bloom.value, s, BLOOM_BITS)
                     on[on] = _has(bloom.value, _second(s[on]), BLOOM_BITS)
@@ -123,7 +153,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             sums = np.concatenate([[0], np.cumsum(t[lo:hi] == d[lo + k : hi + k])])
             got = sums[size:] - sums[:-size]
-            good = np.flatnonzero(got >= size - (MAX_SUBSTITUTIONS if size == WINDOW else 0))
+            good = np.flatnonzero(got >= size - substitutions(size))
             if len(good):
                 on.append(i)
                 start.append(first[i] + lo + k + good[0])
@@ -137,13 +167,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs(doc_id, text), benchmark(item_id, text) -> verified overlaps: doc_id, th (xxhash64 of the text), item_id, start, end, matches."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = common.materialise(items.mapInArrow(_items, "item_id long, words array<long>, seed array<long>, place array<int>").withColumn("item", F.monotonically_increasing_id()), "seed-items")
+    items = common.materialise(items.mapInArrow(_items, "item_id long, family int, words array<long>, seed array<long>, place array<int>").withColumn("item", F.monotonically_increasing_id()), "seed-items")
     seeds = items.select("item", F.explode(F.arrays_zip("seed", "place")).alias("s")).select(F.col("s.seed").alias("seed"), "item", F.col("s.place").alias("item_place"))
     seeds = common.materialise(seeds, "seed-hashes")
     both = seeds.select(F.explode(F.array("seed", F.shiftright("seed", 27))).alias("h"))
     bloom = spark.sparkContext.broadcast(_bitmap(both, F.col("h"), BLOOM_BITS))
+    used = [r.family for r in items.select("family").distinct().collect()]
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-    runs = docs.mapInArrow(_hits(bloom), "doc_id long, th long, first long, around array<long>, seed array<long>, place array<int>")
+    runs = docs.mapInArrow(_hits(bloom, used), "doc_id long, th long, first long, around array<long>, seed array<long>, place array<int>")
     runs = common.materialise(runs.withColumn("run", F.monotonically_increasing_id()), "seed-runs")
     hits = runs.select("run", F.explode(F.arrays_zip("seed", "place")).alias("s")).select("run", F.col("s.seed").alias("seed"), F.col("s.place").alias("place"))
     hits = hits.join(seeds.hint("merge"), "seed").select("run", "item", (F.col("place") - F.col("item_place")).alias("diag")).distinct()

@@ -58,3 +58,30 @@ def test_substitutions_short_items_and_awkward_rows(spark):
     assert kept.columns == docs.columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter(r[0] for r in rows if r[0] not in {d for d, _ in want})
     assert got(docs.limit(0), bench) == set() == got(docs, bench.limit(0))
+
+
+def test_item_masks_find_every_whole_item_with_its_substitutions():
+    for n in range(dc.TOLERANT, dc.WINDOW):
+        masks = dc.ITEM_MASKS[max(low for low in dc.ITEM_MASKS if low <= n)]
+        at = [frozenset(o + p for p in m) for m in masks for o in range(n - m[-1])]
+        assert dc.substitutions(n) == n // 5
+        assert all(any(not (set(s) & m) for m in at) for s in combinations(range(n), n // 5))
+
+
+def test_items_below_a_window_take_substitutions_anywhere(spark):
+    rows, want = [], set()
+    items = [(n, " ".join(f"m{n}x{k}" for k in range(n))) for n in range(dc.TOLERANT, dc.WINDOW)]
+    for n, text in items:
+        for most in (n // 5, n // 5 + 1):
+            for s in combinations(range(n), most):
+                if s[0] % 2 == 0 and s[-1] % 3 == 0:
+                    d = len(rows)
+                    rows.append((d, " ".join(["lead"] * (d % 5) + ["zz" if k in s else w for k, w in enumerate(text.split())] + ["tail"] * (d % 3))))
+                    want |= {(d, n)} if most == n // 5 else set()
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert len(want) > 500 and got(docs, bench) == want
+
+
+def test_given_items_below_a_window(spark):
+    docs, bench = cases.documents(spark, "sf0.1"), spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet")
+    assert {(262, 11), (8287, 160), (8376, 101)} <= got(docs.filter("doc_id IN (262, 8287, 8376)"), bench)
