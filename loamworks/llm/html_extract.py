@@ -2,10 +2,11 @@
 
 Markup is stripped to lines: each block element starts a line, inline tags vanish, scripts, styles and comments go.
 Containers that are boilerplate by their element or by a word of their class or id (menus, adverts, footers, forms,
-reader comments ...) leave a gap of empty lines. Text lengths are summed over windows of WINDOW lines; text begins at a
-surge (a window sum reaches the threshold) and ends at a dive (a window without text). If the page has article or main
-elements, all stretches of the largest (and of others at least a third as long) are text; otherwise the stretch with most text
-is, with those at least a quarter as long.
+reader comments ...) are left out; those about the site (headers, menus, footers) leave a gap of empty lines, those that
+stand amid a text (adverts, asides, forms ...) don't. Text lengths are summed over windows of WINDOW lines; a stretch begins
+at a surge (a window sum reaches the threshold) and ends at a dive (a window without text). If the page has article or main
+elements, all of them are text; otherwise all between the first surge and the last stretch's end is, short lines between
+two gaps too.
 
 Nulls: null or empty html gives an empty text; a page without text too. Broken markup never fails: a container that isn't
 closed skips only its own tag, and script, style or a comment without an end takes the rest of the page, as in a browser. Empty table: an empty result. Repeated rows and ties get the same text; extra columns are ignored.
@@ -45,6 +46,9 @@ BOILERPLATE_WORDS = frozenset(
 #: Site headers; inside an article a header holds its title and stays.
 HEADER_TAGS, HEADER_WORDS = frozenset(["header"]), frozenset(["header", "siteheader", "pageheader"])
 MAIN_TAGS = frozenset(["article", "main"])
+#: Elements about the site, and such words: text ends there, unless there is a surge behind them.
+SITE_TAGS = frozenset("nav footer menu header head title".split())
+SITE_WORDS = frozenset("nav navbar navigation menu menus breadcrumb breadcrumbs masthead topbar footer foot pagination pager copyright".split()) | HEADER_WORDS
 _EMPTY = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _SPACES = re.compile(r"\s+")
 
@@ -54,17 +58,19 @@ def _boilerplate(tag: str, attrs: str, inside: bool) -> bool:
         return True
     if tag in ("html", "body", "main") or tag not in BLOCKS and tag != "span":
         return False
-    if "=" not in attrs:
-        return False
-    words = {w for m in _NAMED.finditer(attrs) for w in re.split(r"[^a-z0-9]+", m[1].lower())}
+    words = _words(attrs)
     return bool(words & BOILERPLATE_WORDS) or not inside and bool(words & HEADER_WORDS)
 
 
+def _words(attrs: str) -> set[str]:
+    return {w for m in _NAMED.finditer(attrs) for w in re.split(r"[^a-z0-9]+", m[1].lower())} if "=" in attrs else set()
+
+
 def to_lines(page: str) -> list[tuple[str, int]]:
     """(text, number of the article or main element it is in, 0 for none); an empty text stands for a gap."""
     lines: list[tuple[str, int]] = []
     piece: list[str] = []
-    skips: list[list] = []  # the open boilerplate container: tag, depth
+    skips: list[list] = []  # the open boilerplate container: tag, depth, whether it leaves a gap
     mains: list[str] = []
     number = seen = 0
 
@@ -88,10 +94,8 @@ def to_lines(page: str) -> list[tuple[str, int]]:
         if skips:
             if name == skips[-1][0]:
                 skips[-1][1] += -1 if close else 1
-                if not skips[-1][1]:
-                    skips.pop()
-                    if name not in INLINE_SKIPS:
-                        lines += [("", 0)] * WINDOW
+                if not skips[-1][1] and skips.pop()[2]:
+                    lines += [("", 0)] * WINDOW
             continue
         if name == "br":
             piece.append(" ")
@@ -105,11 +109,12 @@ def to_lines(page: str) -> list[tuple[str, int]]:
                 while mains.pop() != name:
                     pass
             continue
-        if _boilerplate(name, m[4] or m[7] or "", bool(mains)):
+        attrs = m[4] or m[7] or ""
+        if _boilerplate(name, attrs, bool(mains)):
             if whole:
                 if name not in INLINE_SKIPS:
                     end()
-                skips.append([name, 1])
+                skips.append([name, 1, name in SITE_TAGS or name not in INLINE_SKIPS and bool(_words(attrs) & SITE_WORDS)])
             continue
         if name in MAIN_TAGS:
             if not mains:
@@ -134,20 +139,20 @@ def _closed(names: list[tuple[str, bool]]) -> list[bool]:
     return out
 
 
-def stretches(lines: list[tuple[str, int]], threshold: int) -> list[list[str]]:
-    """Texts between surge and dive."""
+def stretches(lines: list[tuple[str, int]], threshold: int) -> list[list[int]]:
+    """First and last line of each stretch between surge and dive."""
     n = [len(t) for t, _ in lines] + [0] * WINDOW
-    out: list[list[str]] = []
+    out: list[list[int]] = []
     on = False
     for i, (text, _) in enumerate(lines):
         s = sum(n[i : i + WINDOW])
         if not on and s >= threshold and text:
             on = True
-            out.append([])
+            out.append([i, i])
         elif on and not s:
             on = False
         if on and text:
-            out[-1].append(text)
+            out[-1][1] = i
     return out
 
 
@@ -155,19 +160,11 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     lines = to_lines(page)
-    groups: dict[int, int] = {}
-    for text, k in lines:
-        groups[k] = groups.get(k, 0) + len(text)
-    best = max((v for k, v in groups.items() if k), default=0)
-    if best:
-        keep = {k for k, v in groups.items() if k and 3 * v >= best}
-        parts = stretches([(t if k in keep else "", k) for t, k in lines], 1)
-    else:
-        top = max((sum(len(t) for t, _ in lines[i : i + WINDOW]) for i in range(len(lines))), default=0)
-        parts = stretches(lines, min(THRESHOLD, max(top, 1)))
-        most = max((sum(map(len, p)) for p in parts), default=0)
-        parts = [p for p in parts if 4 * sum(map(len, p)) >= most]
-    return "\n\n".join(t for p in parts for t in p)
+    if any(k for _, k in lines):
+        return "\n\n".join(t for t, k in lines if k)
+    top = max((sum(len(t) for t, _ in lines[i : i + WINDOW]) for i in range(len(lines))), default=0)
+    parts = stretches(lines, min(THRESHOLD, max(top, 1)))
+    return "\n\n".join(t for t, _ in lines[parts[0][0] : parts[-1][1] + 1] if t) if parts else ""
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -52,3 +52,18 @@ def test_awkward_rows(spark):
     got = Counter((r.page_id, r.url, len(r.text), r.n_chars) for r in he.extract_pages(df).collect())
     assert got == Counter([(1, None, 0, 0), (None, "u", 1, 1), (None, "u", 1, 1), (2, "u", 0, 0), (3, "u", 300_000, 300_000)])
     assert he.extract_pages(df.limit(0)).count() == 0
+
+
+def test_text_around_containers_amid_it():
+    long, close = ("word " * 400).strip(), ("tail " * 40).strip()
+    for gap in ("<div class=ad>Buy</div>", "<aside>See also</aside>", "<form>Name</form>", "<nav>Menu</nav>", "<div class='menu'>Menu</div>"):
+        assert he.extract(f"<div><p>{long}</p>{gap}<p>{close}</p></div>") == f"{long}\n\n{close}"
+        assert he.extract(f"<p>{long}</p>{gap}<p>Short.</p>{gap}<p>{close}</p>") == f"{long}\n\nShort.\n\n{close}"
+    for gap in ("<div class=ad>Buy</div>", "<aside>See also</aside>", "<form>Name</form>"):
+        assert he.extract(f"<h1>Title</h1>{gap}<p>{long}</p>{gap}<p>Short.</p><footer>x</footer><p>Imprint</p>") == f"Title\n\n{long}\n\nShort."
+
+
+def test_short_articles_beside_a_long_one():
+    long = ("word " * 400).strip()
+    page = f"<article><p>One.</p></article><article><p>{long}</p></article><aside>x</aside><article><p>Two.</p><div class=ad>Buy</div><p>Three.</p></article>"
+    assert he.extract(page) == f"One.\n\n{long}\n\nTwo.\n\nThree."
