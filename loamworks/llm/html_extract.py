@@ -1,9 +1,10 @@
 """HTML extraction by line-block distribution.
 
 Markup is stripped to lines: each block element starts a line, inline tags vanish, scripts, styles and comments go.
-Containers that are boilerplate by their element or by a word of their class or id (menus, adverts, footers, forms,
-reader comments ...) are left out; those about the site (headers, menus, footers) leave a gap of empty lines, those that
-stand amid a text (adverts, asides, forms ...) don't. Text lengths are summed over windows of WINDOW lines; a stretch begins
+Containers that are boilerplate by their element or by a whole name in their class, id, role or label (menus, adverts,
+footers, forms, reader comments ...) are left out, unless they hold half of the page's text or of its articles'; headings,
+paragraphs, items and cells never are. If no text is left, names and forms don't count. Containers about the site (headers,
+menus, footers) leave a gap of empty lines, those that stand amid a text (adverts, asides, forms ...) don't. Text lengths are summed over windows of WINDOW lines; a stretch begins
 at a surge (a window sum reaches the threshold) and ends at a dive (a window without text). If the page has article or main
 elements, all of them are text; otherwise all between the first surge and the last stretch's end is, short lines between
 two gaps too.
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +33,7 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>",
     re.S | re.I,
 )
-_NAMED = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_NAMED = re.compile(r"""(?<![\w-])(class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 #: HTML's block elements: their tags part lines.
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -45,6 +46,15 @@ BOILERPLATE_WORDS = frozenset(
 )
 #: Site headers; inside an article a header holds its title and stays.
 HEADER_TAGS, HEADER_WORDS = frozenset(["header"]), frozenset(["header", "siteheader", "pageheader"])
+#: Elements that a name can make boilerplate.
+CONTAINERS = frozenset("address article center details dir div dl figure header hgroup ol section table ul".split())
+#: Words beside those of boilerplate that a name of boilerplate may have.
+NEUTRAL_WORDS = frozenset(
+    "area article articles bar block body bottom box buttons col column container content entry first global group holder icons inner item items last left link links list main message mini mobile outer page panel post posts primary region right row secondary section site slot small sticky sub top unit wrap wrapper".split()
+)
+#: Elements that may hold the whole page, as named ones may. Reader comments may be longer than the article.
+WRAPPERS = frozenset(["form", "header"])
+COMMENT_WORDS = frozenset("comment comments commentlist reply replies disqus".split())
 MAIN_TAGS = frozenset(["article", "main"])
 #: Elements about the site, and such words: text ends there, unless there is a surge behind them.
 SITE_TAGS = frozenset("nav footer menu header head title".split())
@@ -53,20 +63,56 @@ _EMPTY = frozenset("area base br col embed hr img input link meta source track w
 _SPACES = re.compile(r"\s+")
 
 
-def _boilerplate(tag: str, attrs: str, inside: bool) -> bool:
-    if tag in BOILERPLATE_TAGS or tag in INLINE_SKIPS or tag in HEADER_TAGS and not inside:
+def _boilerplate(tag: str, attrs: str, inside: bool, names: bool = True) -> bool:
+    if tag in WRAPPERS:
+        return names and (tag == "form" or not inside or bool(_words(attrs) & BOILERPLATE_WORDS))
+    if tag in BOILERPLATE_TAGS or tag in INLINE_SKIPS:
         return True
-    if tag in ("html", "body", "main") or tag not in BLOCKS and tag != "span":
+    if not names or tag not in CONTAINERS:
         return False
     words = _words(attrs)
     return bool(words & BOILERPLATE_WORDS) or not inside and bool(words & HEADER_WORDS)
 
 
 def _words(attrs: str) -> set[str]:
-    return {w for m in _NAMED.finditer(attrs) for w in re.split(r"[^a-z0-9]+", m[1].lower())} if "=" in attrs else set()
+    """Words of the names that consist of words of boilerplate and neutral ones; a label is one name."""
+    out: set[str] = set()
+    for m in _NAMED.finditer(attrs) if "=" in attrs else ():
+        value = m[2].strip("\"'").lower()
+        for name in [value] if m[1].lower() == "aria-label" else value.split():
+            words = {w for w in re.split(r"[^a-z0-9]+", name) if w and not w[0].isdigit()}
+            if words <= BOILERPLATE_WORDS | HEADER_WORDS | NEUTRAL_WORDS:
+                out |= words
+    return out
+
+
+def _holding(page: str, tokens: list, names: list[tuple[str, bool]], closes: list[int], attrs: list[str]) -> Callable[[int, bool], bool]:
+    """Whether the element that a tag opens holds half of the page's text, or half of that of its article and main elements (comments: all of that)."""
+    total, main = [0], [0]
+    at = depth = 0
+    ends: set[int] = set()
+    for i, m in enumerate(tokens):
+        n = len("".join(page[at : m.start()].split()))
+        total.append(total[-1] + n)
+        main.append(main[-1] + (n if depth else 0))
+        at = m.end()
+        if i in ends:
+            depth -= 1
+        elif names[i][0] in MAIN_TAGS and closes[i] and not _words(attrs[i]) & BOILERPLATE_WORDS:
+            depth += 1
+            ends.add(closes[i])
+    text = total[-1] + len("".join(page[at:].split()))
+
+    def holds(i: int, comments: bool) -> bool:
+        a, b = i + 1, closes[i] + 1
+        if comments:
+            return main[b] - main[a] == main[-1] > 0
+        return 2 * (total[b] - total[a]) >= text > 0 or 2 * (main[b] - main[a]) >= main[-1] > 0
 
+    return holds
 
-def to_lines(page: str) -> list[tuple[str, int]]:
+
+def to_lines(page: str, by_name: bool = True) -> list[tuple[str, int]]:
     """(text, number of the article or main element it is in, 0 for none); an empty text stands for a gap."""
     lines: list[tuple[str, int]] = []
     piece: list[str] = []
@@ -84,8 +130,10 @@ def to_lines(page: str) -> list[tuple[str, int]]:
     at = 0
     tokens = list(_TOKEN.finditer(page))
     names = [((m[3] or m[6] or "").lower(), (m[2] if m[3] else m[5]) == "/") for m in tokens]
-    closed = _closed(names)
-    for m, (name, close), whole in zip(tokens, names, closed):
+    closes = _closes(names)
+    attrs = [m[4] or m[7] or "" for m in tokens]
+    holds = None
+    for i, (m, (name, close)) in enumerate(zip(tokens, names)):
         if not skips and m.start() > at:
             piece.append(page[at : m.start()])
         at = m.end()
@@ -109,13 +157,19 @@ def to_lines(page: str) -> list[tuple[str, int]]:
                 while mains.pop() != name:
                     pass
             continue
-        attrs = m[4] or m[7] or ""
-        if _boilerplate(name, attrs, bool(mains)):
-            if whole:
+        if _boilerplate(name, attrs[i], bool(mains), by_name):
+            skip = bool(closes[i])
+            words = _words(attrs[i])
+            comments = bool(words & COMMENT_WORDS)
+            if skip and (name in WRAPPERS or name in CONTAINERS) and not (comments and mains):
+                holds = holds or _holding(page, tokens, names, closes, attrs)
+                skip = not holds(i, comments and name != "article")
+            if skip:
                 if name not in INLINE_SKIPS:
                     end()
-                skips.append([name, 1, name in SITE_TAGS or name not in INLINE_SKIPS and bool(_words(attrs) & SITE_WORDS)])
-            continue
+                skips.append([name, 1, name in SITE_TAGS or name not in INLINE_SKIPS and bool(words & SITE_WORDS)])
+            if skip or name not in MAIN_TAGS:
+                continue
         if name in MAIN_TAGS:
             if not mains:
                 seen += 1
@@ -127,15 +181,15 @@ def to_lines(page: str) -> list[tuple[str, int]]:
     return lines
 
 
-def _closed(names: list[tuple[str, bool]]) -> list[bool]:
-    """For every tag, whether it opens an element that is closed behind it."""
+def _closes(names: list[tuple[str, bool]]) -> list[int]:
+    """For every tag that opens an element, the tag that closes it; 0 for none."""
     open_at: dict[str, list[int]] = {}
-    out = [False] * len(names)
+    out = [0] * len(names)
     for i, (name, close) in enumerate(names):
         if not close:
             open_at.setdefault(name, []).append(i)
         elif open_at.get(name):
-            out[open_at[name].pop()] = True
+            out[open_at[name].pop()] = i
     return out
 
 
@@ -160,6 +214,8 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     lines = to_lines(page)
+    if not any(t for t, _ in lines):
+        lines = to_lines(page, False)
     if any(k for _, k in lines):
         return "\n\n".join(t for t, k in lines if k)
     top = max((sum(len(t) for t, _ in lines[i : i + WINDOW]) for i in range(len(lines))), default=0)

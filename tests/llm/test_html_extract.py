@@ -67,3 +67,25 @@ def test_short_articles_beside_a_long_one():
     long = ("word " * 400).strip()
     page = f"<article><p>One.</p></article><article><p>{long}</p></article><aside>x</aside><article><p>Two.</p><div class=ad>Buy</div><p>Three.</p></article>"
     assert he.extract(page) == f"One.\n\n{long}\n\nTwo.\n\nThree."
+
+
+def test_names_of_wrappers_headings_and_cells():
+    long, more = ("word " * 400).strip(), ("more " * 40).strip()
+    for name in ("div class='content with-sidebar'", "article class='post comments-open'", "article class='post comments'", "div class='layout sidebar'", "div id=content data-id='share'", "form", "div class=header"):
+        assert he.extract(f"<div>Home</div><{name}><p>{long}</p></{name.split()[0]}>").endswith(long), name
+        assert he.extract(f"<{name}><p>{long}</p></{name.split()[0]}>") == long, name
+    for name in ("h2 id='search-and-sorting'", "section id='related-work'", "p id='ad-hoc-networks'", "p class=ad", "td class=comment", "li class=share", "pre id=form", "table id='share-prices'", "span class=notice"):
+        inner = f"<{name}>{more}</{name.split()[0]}>"
+        assert he.extract(f"<article><p>{long}</p>{inner}</article>").split() == (long + " " + more).split(), name
+    assert he.extract(f"<div class=comments><main><p>{long}</p></main></div>") == long
+    assert he.extract(f"<div class=ad>{more}</div>") == more
+
+
+def test_names_of_boilerplate():
+    long = ("word " * 400).strip()
+    for name in ("div class='col ad-slot'", "div id=cookie-banner", "ul class=nav-links", "section class='related-posts'", "div class=ad-300x250", "div aria-label='Social links'", "div class='post-footer'"):
+        inner = f"<{name}>no</{name.split()[0]}>"
+        for a, b in (("<article>", "</article>"), ("<div>", "</div>")):
+            assert he.extract(f"{a}<p>{long}</p>{inner}<p>{long}</p>{b}") == f"{long}\n\n{long}", name
+    short = "A short post " * 9
+    assert he.extract(f"<article><p>{short}</p></article><section class=comments><article><p>{long}</p></article></section>") == short.strip()
