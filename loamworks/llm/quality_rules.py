@@ -2,8 +2,9 @@
 
 Every line with a word is hashed in normal form (folded words, white space ignored). For each host (column `source`) a
 line's distinct documents are counted; equal texts count once, so that exact copies don't make their own lines common.
-A line is above the limit of its host when more than max(min_docs, max_share * the host's distinct texts) documents hold
-it. It is removed from all of them but the first (smallest doc_id). A document is depleted, and rejected, when fewer than
+A line is above the limit when more than min_docs documents of its host hold it, or more than long_docs if it has LONG_WORDS
+words or more. The limits don't grow with the host, so that a line is judged alike in a small and in a large one (max_share,
+a share of the host's distinct texts below which lines of any length stay, is 0 unless given). It is removed from all of them but the first (smallest doc_id). A document is depleted, and rejected, when fewer than
 min_left of its words remain. Documents that fail the base rules (under 50 words, or over half of the words in repeated
 three-word windows) are rejected too.
 
@@ -26,7 +27,9 @@ from .wordhash import Texts, chunks, per_doc, ragged
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_DOCS = 20
-MAX_SHARE = 0.01
+MAX_SHARE = 0.0
+LONG_WORDS = 50
+LONG_DOCS = 5
 MIN_LEFT = 0.5
 SYMBOLS = b"#*$%&|<>"
 #: Rows up to which the lines above the limit are broadcast (24 bytes each); beyond, a shuffled join is used.
@@ -72,7 +75,9 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             off = per_doc(doc, exact.n)
             cols = [batch.column(c).slice(a, b - a) for c in ("doc_id", "source", "th")]
             cols += [pa.array(v.astype(np.int64)) for v in (exact.words, _count_by_doc(exact, char), _count_by_doc(exact, _is_symbol[exact.data]), n_dup, _covered(exact))]
-            cols += [ragged(no, off, pa.int32()), ragged(words, off, pa.int32()), ragged(normal.view(np.int64), off, pa.int64())]
+            # The lowest bit of a line's hash says whether the line is long.
+            normal = (normal.view(np.int64) & ~np.int64(1)) | (words >= LONG_WORDS)
+            cols += [ragged(no, off, pa.int32()), ragged(words, off, pa.int32()), ragged(normal, off, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "source", "th", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_no", "line_words", "line_hash"])
 
 
@@ -81,16 +86,19 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("th", F.xxhash64("text"))
 
 
-def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, long_docs: int = LONG_DOCS) -> DataFrame:
     """docs(doc_id, source, text) -> per row the base columns, base_failed, drop_lines (numbers from 0), left_words, kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     stats = common.materialise(_keyed(docs).mapInArrow(_stats, _STATS), "rules-stats")
     lines = stats.select("doc_id", "source", "th", F.explode(F.array_distinct("line_hash")).alias("line"))
     texts = lines.groupBy("source", "line", "th").agg(F.min("doc_id").alias("doc_id"))
     counts = texts.groupBy("source", "line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
-    hosts = stats.groupBy("source", "th").agg(F.lit(1).alias("one")).groupBy("source").agg(F.count("*").alias("host_docs"))
-    counts = counts.filter(F.col("n") > min_docs)
-    above = counts.alias("c").join(hosts.alias("h").hint("merge"), F.col("c.source").eqNullSafe(F.col("h.source"))).filter(F.col("n") > F.greatest(F.lit(float(min_docs)), F.lit(max_share) * F.col("host_docs"))).select(F.col("c.source").alias("_s"), F.col("line").alias("_l"), "first")
+    limit = F.when(F.col("line").bitwiseAND(1) == 1, F.lit(min(min_docs, long_docs))).otherwise(F.lit(min_docs))
+    above = counts.filter(F.col("n") > limit)
+    if max_share:
+        hosts = stats.groupBy("source", "th").agg(F.lit(1).alias("one")).groupBy("source").agg(F.count("*").alias("host_docs"))
+        above = above.alias("c").join(hosts.alias("h").hint("merge"), F.col("c.source").eqNullSafe(F.col("h.source"))).filter(F.col("n") > F.lit(max_share) * F.col("host_docs")).select("c.source", "line", "first")
+    above = above.select(F.col("source").alias("_s"), F.col("line").alias("_l"), "first")
     above = common.materialise(above, "rules-lines")
     above = above.hint("broadcast" if above.count() <= BROADCAST_LINES else "merge")
     each = stats.select("doc_id", "source", "th", F.explode(F.arrays_zip(F.col("line_no").alias("no"), F.col("line_hash").alias("hash"))).alias("x"))

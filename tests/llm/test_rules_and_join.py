@@ -66,6 +66,20 @@ def test_clean_removes_shared_lines_only(spark):
     assert got == {k: (f"share this page\n{body(k)}" if k == 0 else body(k)) for k in range(30)}
 
 
+@pytest.mark.parametrize("size", [60, 4000])
+def test_repeated_passages_go_at_every_size_of_host(spark, size):
+    """A line in 25 documents and a passage of 60 words in 8 go but for the first; in 20 and 5 documents they stay."""
+    body = lambda k: " ".join(f"t{k}v{i}" for i in range(130))
+    passage = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    planted = {"a line of the host": range(0, 25), "another line": range(5, 25), passage("p"): range(30, 38), passage("q"): range(40, 45), "word " * 48 + "end": range(46, 54)}
+    rows = [(k, "\n".join([body(k), *[x for x, at in planted.items() if k in at]]), "en", "h", 0, 0, "") for k in range(size)]
+    gone = {k: {"a line of the host"} for k in range(1, 25)} | {k: {passage("p")} for k in range(31, 38)}
+    got = {r.doc_id: r.text for r in quality_rules.clean(spark.createDataFrame(rows, cases.DOCS)).collect()}
+    want = {k: "\n".join(x for x in t.split("\n") if x not in gone.get(k, ())) for k, t, *_ in rows if k not in range(46, 54)}
+    assert {k: t for k, t in got.items() if k not in range(46, 54)} == want
+    assert all(got[k].endswith("end") for k in range(46, 54))
+
+
 def plain_components(docs):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     return Counter((d, *x) for (d, _), x in zip(rows, cases.components(rows)))
