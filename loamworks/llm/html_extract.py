@@ -1,16 +1,22 @@
 """HTML extraction by line-block distribution.
 
-Markup is stripped to lines: each block element starts a line, inline tags vanish, scripts, styles and comments go.
-Containers that are boilerplate by their element or by a whole name in their class, id, role or label (menus, adverts,
-footers, forms, reader comments ...) are left out, unless they hold half of the page's text or of its articles'; headings,
-paragraphs, items and cells never are. If no text is left, names and forms don't count. Containers about the site (headers,
-menus, footers) leave a gap of empty lines, those that stand amid a text (adverts, asides, forms ...) don't. Text lengths are summed over windows of WINDOW lines; a stretch begins
-at a surge (a window sum reaches the threshold) and ends at a dive (a window without text). If the page has article or main
-elements, all of them are text; otherwise all between the first surge and the last stretch's end is, short lines between
-two gaps too.
+Markup is stripped to lines: each block element starts a line, inline tags vanish, scripts, styles and comments go. Elements
+that group others (div, section, nav ...) leave WINDOW empty lines at their ends, and a first-level heading before it. A
+line weighs its text's length; link text, copyright notices and menus of bare labels weigh nothing. Weights are summed over
+blocks of WINDOW lines. The page's own distribution sets the threshold: the mean of its blocks with text, SURGE at most. Text
+begins at the first surge (a line from which a block reaches the threshold) and ends at the dive (a block without weight)
+behind the last surge; all between is kept, short lines and stretches too. A first-level heading above the surge, without a
+gap between, is the text's first line.
+
+Names and tags only settle what lengths can't: containers that are boilerplate by their element or by a whole name in their
+class, id, role or label (adverts, forms, reader comments ...) are left out, unless they hold half of the page's text or of
+its articles'; headings, paragraphs, items and cells never are. If there is a surge in an article or main element, all text of
+such elements is kept, and none outside. If no text is left, names and forms don't count.
 
 Nulls: null or empty html gives an empty text; a page without text too. Broken markup never fails: a container that isn't
-closed skips only its own tag, and script, style or a comment without an end takes the rest of the page, as in a browser. Empty table: an empty result. Repeated rows and ties get the same text; extra columns are ignored.
+closed skips only its own tag, and script, style or a comment without an end takes the rest of the page, as in a browser.
+Very long pages are handled one at a time. Empty table: an empty result. Repeated rows and ties get the same text; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +24,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +33,8 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 3
-THRESHOLD = 60
+#: The threshold's upper bound in characters, so that long paragraphs don't make short sections beside them boilerplate.
+SURGE = 160
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*>"
     r"|<(script|style|iframe|textarea)\b(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*>.*?(?:</\1\s*>|\Z)"
@@ -56,9 +64,14 @@ NEUTRAL_WORDS = frozenset(
 WRAPPERS = frozenset(["form", "header"])
 COMMENT_WORDS = frozenset("comment comments commentlist reply replies disqus".split())
 MAIN_TAGS = frozenset(["article", "main"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that group others: empty lines at both ends, where they hold blocks of their own.
+GROUPS = frozenset("article aside center details div fieldset footer form header main menu nav section".split())
 #: Elements about the site, and such words: text ends there, unless there is a surge behind them.
 SITE_TAGS = frozenset("nav footer menu header head title".split())
 SITE_WORDS = frozenset("nav navbar navigation menu menus breadcrumb breadcrumbs masthead topbar footer foot pagination pager copyright".split()) | HEADER_WORDS
+_NOTICE = re.compile(r"(©|\(c\)|copyright\b)", re.I)
+_LABEL = re.compile(r"\S+( \S+)?(?<![.?!:;,…])")
 _EMPTY = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _SPACES = re.compile(r"\s+")
 
@@ -112,30 +125,53 @@ def _holding(page: str, tokens: list, names: list[tuple[str, bool]], closes: lis
     return holds
 
 
-def to_lines(page: str, by_name: bool = True) -> list[tuple[str, int]]:
-    """(text, number of the article or main element it is in, 0 for none); an empty text stands for a gap."""
-    lines: list[tuple[str, int]] = []
+class Line(NamedTuple):
+    text: str
+    #: Number of the article or main element it is in, 0 for none.
+    main: int
+    weight: int
+    #: A few words without an end mark, in no heading.
+    label: bool
+    title: bool
+
+
+GAP = Line("", 0, 0, False, False)
+
+
+def to_lines(page: str, by_name: bool = True) -> list[Line]:
+    """The page's lines; those without text stand for gaps."""
+    lines: list[Line] = []
     piece: list[str] = []
+    linked: list[str] = []
     skips: list[list] = []  # the open boilerplate container: tag, depth, whether it leaves a gap
     mains: list[str] = []
-    number = seen = 0
+    number = seen = links = 0
+    heading = ""
 
     def end() -> None:
         if piece:
-            text = _SPACES.sub(" ", html.unescape("".join(piece))).strip()
-            piece.clear()
+            text = _plain(piece)
             if text:
-                lines.append((text, number if mains else 0))
+                weight = 0 if _NOTICE.match(text) else len(text) - len(_plain(linked))
+                lines.append(Line(text, number if mains else 0, max(weight, 0), not heading and bool(_LABEL.fullmatch(text)), heading == "h1"))
+            piece.clear()
+            linked.clear()
+
+    def add(text: str) -> None:
+        piece.append(text)
+        if links:
+            linked.append(text)
 
     at = 0
     tokens = list(_TOKEN.finditer(page))
     names = [((m[3] or m[6] or "").lower(), (m[2] if m[3] else m[5]) == "/") for m in tokens]
     closes = _closes(names)
+    groups = _groups(names, closes)
     attrs = [m[4] or m[7] or "" for m in tokens]
     holds = None
     for i, (m, (name, close)) in enumerate(zip(tokens, names)):
         if not skips and m.start() > at:
-            piece.append(page[at : m.start()])
+            add(page[at : m.start()])
         at = m.end()
         if not name:
             continue
@@ -143,19 +179,24 @@ def to_lines(page: str, by_name: bool = True) -> list[tuple[str, int]]:
             if name == skips[-1][0]:
                 skips[-1][1] += -1 if close else 1
                 if not skips[-1][1] and skips.pop()[2]:
-                    lines += [("", 0)] * WINDOW
+                    lines += [GAP] * WINDOW
             continue
         if name == "br":
-            piece.append(" ")
+            add(" ")
             continue
         if name in _EMPTY and name != "hr":
             continue
         if name in BLOCKS:
             end()
+            links, heading = 0, ""
+        elif name == "a":
+            links = 0 if close else closes[i]
         if close:
             if name in MAIN_TAGS and name in mains:
                 while mains.pop() != name:
                     pass
+            if i in groups:
+                lines += [GAP] * WINDOW
             continue
         if _boilerplate(name, attrs[i], bool(mains), by_name):
             skip = bool(closes[i])
@@ -169,18 +210,41 @@ def to_lines(page: str, by_name: bool = True) -> list[tuple[str, int]]:
                     end()
                 skips.append([name, 1, name in SITE_TAGS or name not in INLINE_SKIPS and bool(words & SITE_WORDS)])
             if skip or name not in MAIN_TAGS:
+                if i in groups and not skip:
+                    lines += [GAP] * WINDOW
                 continue
+        if i in groups or name == "h1":
+            lines += [GAP] * WINDOW
+        if name in HEADINGS:
+            heading = name
         if name in MAIN_TAGS:
             if not mains:
                 seen += 1
                 number = seen
             mains.append(name)
     if not skips and at < len(page):
-        piece.append(page[at:])
+        add(page[at:])
     end()
     return lines
 
 
+def _plain(pieces: list[str]) -> str:
+    return _SPACES.sub(" ", html.unescape("".join(pieces))).strip()
+
+
+def _groups(names: list[tuple[str, bool]], closes: list[int]) -> set[int]:
+    """The tags that open or close a grouping element with a block element in it."""
+    after, out = len(names), set()
+    for i in range(len(names) - 1, -1, -1):
+        name, close = names[i]
+        if close or name not in BLOCKS:
+            continue
+        if name in GROUPS and after < closes[i]:
+            out |= {i, closes[i]}
+        after = i
+    return out
+
+
 def _closes(names: list[tuple[str, bool]]) -> list[int]:
     """For every tag that opens an element, the tag that closes it; 0 for none."""
     open_at: dict[str, list[int]] = {}
@@ -193,34 +257,53 @@ def _closes(names: list[tuple[str, bool]]) -> list[int]:
     return out
 
 
-def stretches(lines: list[tuple[str, int]], threshold: int) -> list[list[int]]:
-    """First and last line of each stretch between surge and dive."""
-    n = [len(t) for t, _ in lines] + [0] * WINDOW
-    out: list[list[int]] = []
-    on = False
-    for i, (text, _) in enumerate(lines):
-        s = sum(n[i : i + WINDOW])
-        if not on and s >= threshold and text:
-            on = True
-            out.append([i, i])
-        elif on and not s:
-            on = False
-        if on and text:
-            out[-1][1] = i
-    return out
+def blocks(lines: list[Line]) -> list[int]:
+    """Weight of the block of WINDOW lines that begins at each line. Labels under each other, as menus have, weigh nothing before the first long line."""
+    n = [x.weight for x in lines]
+    for i, x in enumerate(lines):
+        if x.weight >= SURGE:
+            break
+        if x.label and any(0 <= j < len(lines) and lines[j].label for j in (i - 1, i + 1)):
+            n[i] = 0
+    if not any(n):
+        n = [len(x.text) for x in lines]
+    return n
+
+
+def body(lines: list[Line]) -> tuple[int, int]:
+    """The lines from the first surge to the last dive, as (first, behind the last); (0, 0) if there is no text."""
+    n = blocks(lines)
+    sums = [sum(n[i : i + WINDOW]) for i in range(len(n))]
+    full = [x for x in sums if x]
+    if not full:
+        return 0, 0
+    threshold = min(SURGE, sum(full) / len(full))
+    first = next(i for i, x in enumerate(sums) if x >= threshold and n[i])
+    at = first
+    while at and lines[at - 1].text:
+        at -= 1
+        if lines[at].title:
+            first = at
+    last = next(i for i in range(len(n) - 1, -1, -1) if n[i] and sum(n[max(0, i - WINDOW + 1) : i + 1]) >= threshold)
+    at = last
+    while at + 1 < len(n) and sums[at + 1]:  # until a block without text
+        at += 1
+        if n[at]:
+            last = at
+    return first, last + 1
 
 
 def extract(page: str | None) -> str:
     if not page:
         return ""
     lines = to_lines(page)
-    if not any(t for t, _ in lines):
+    if not any(x.text for x in lines):
         lines = to_lines(page, False)
-    if any(k for _, k in lines):
-        return "\n\n".join(t for t, k in lines if k)
-    top = max((sum(len(t) for t, _ in lines[i : i + WINDOW]) for i in range(len(lines))), default=0)
-    parts = stretches(lines, min(THRESHOLD, max(top, 1)))
-    return "\n\n".join(t for t, _ in lines[parts[0][0] : parts[-1][1] + 1] if t) if parts else ""
+    first, stop = body(lines)
+    text = [x for x in lines[first:stop] if x.text]
+    if any(x.main for x in text):
+        text = [x for x in lines if x.main]
+    return "\n\n".join(x.text for x in text)
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
