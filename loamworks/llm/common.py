@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.stages import shared_dir, table
 
-__all__ = ["bucket_of", "materialise", "release", "running_total", "seeded_key", "shared_dir", "table", "word_count"]
+__all__ = ["bucket_of", "fresh", "materialise", "release", "running_total", "seeded_key", "shared_dir", "table", "word_count"]
 
 #: A word, everywhere in this subpackage: a run of characters other than these six.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -37,6 +37,17 @@ def release(*frames: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until no column of df has them (in any case)."""
+    used, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 

@@ -1,15 +1,17 @@
 """Quality rules: lines that too many documents of a host share are removed, and documents they leave depleted rejected.
 
 Every line with a word is hashed in normal form (folded words, white space ignored). For each host (column `source`) a
-line's distinct documents are counted; equal texts count once, so that exact copies don't make their own lines common.
-A line is above the limit when more than min_docs documents of its host hold it, or more than long_docs if it has LONG_WORDS
-words or more. The limits don't grow with the host, so that a line is judged alike in a small and in a large one (max_share,
-a share of the host's distinct texts below which lines of any length stay, is 0 unless given). It is removed from all of them but the first (smallest doc_id). A document is depleted, and rejected, when fewer than
-min_left of its words remain. Documents that fail the base rules (under 50 words, or over half of the words in repeated
-three-word windows) are rejected too.
-
-Nulls: a null text has no words (rejected: under 50 words), a null source is a host of its own, a null doc_id sorts first.
-Empty table: an empty result. Repeated rows get the same verdict each. Extra columns stay as they are in clean().
+line's distinct documents are counted; a document is its text, so that copies of one aren't several (by_row=True counts
+rows with different ids instead). A line is above the limit when more than min_docs documents of its host hold it (long_docs,
+if it has LONG_WORDS words or more), or, in a small host, more than two and more than small_share of all its documents. The
+limit never grows beyond min_docs, so that a line is judged alike in a large and in a huge host, and no host is too small for
+one. Lines above it go from all documents. A document is depleted, and rejected, when fewer than min_left of its words
+remain. Documents that fail the base rules (under 50 words, or over half of the words in repeated three-word windows) are
+rejected too.
+
+Nulls: a null text has no words (rejected: under 50 words), a null source is a host of its own, null ids are documents as
+others. Very long texts are handled whole, one at a time. Ties don't occur: no line is spared. Repeated rows get the same
+verdict each. Empty table: an empty result. Extra columns stay as they are in clean(), whatever their names.
 """
 
 from __future__ import annotations
@@ -27,13 +29,15 @@ from .wordhash import Texts, chunks, per_doc, ragged
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_DOCS = 20
-MAX_SHARE = 0.0
+SMALL_SHARE = 0.5
 LONG_WORDS = 50
 LONG_DOCS = 5
 MIN_LEFT = 0.5
 SYMBOLS = b"#*$%&|<>"
 #: Rows up to which the lines above the limit are broadcast (24 bytes each); beyond, a shuffled join is used.
 BROADCAST_LINES = 200_000
+#: Small hosts up to which they are broadcast; beyond, lines and hosts meet in SALTS parts of each host.
+BROADCAST_HOSTS, SALTS = 200_000, 32
 _STATS = "doc_id long, source string, th long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line_no array<int>, line_words array<int>, line_hash array<long>"
 _is_symbol = np.zeros(256, bool)
 _is_symbol[list(SYMBOLS)] = True
@@ -86,23 +90,39 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("th", F.xxhash64("text"))
 
 
-def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, long_docs: int = LONG_DOCS) -> DataFrame:
+def _lines_above(stats: DataFrame, min_docs: int, small_share: float, long_docs: int, by_row: bool) -> DataFrame:
+    """(source, line) of the lines above their limit."""
+    each = ["source", "doc_id", "th"] if by_row else ["source", "th"]
+    lines = stats.select(*each, F.explode(F.array_distinct("line_hash")).alias("line")).groupBy(*each, "line").agg(F.lit(1).alias("one"))
+    counts = lines.groupBy("source", "line").agg(F.count("*").alias("n")).filter("n > 2")
+    limit = F.when(F.col("line").bitwiseAND(1) == 1, F.lit(min(min_docs, long_docs))).otherwise(F.lit(min_docs))
+    counts = common.materialise(counts.withColumn("above", F.col("n") > limit), "rules-counts")
+    # Only hosts of few documents have a limit of their own.
+    hosts = stats.groupBy(*each).agg(F.lit(1).alias("one")).groupBy(F.col("source").alias("host")).agg(F.count("*").alias("docs"))
+    hosts = common.materialise(hosts.filter(F.col("docs") * small_share < min_docs), "rules-hosts")
+    few = hosts.count()
+    rest = counts.filter(~F.col("above"))
+    if not few:
+        return counts.filter("above").select("source", "line")
+    same = F.col("source").eqNullSafe(F.col("host"))
+    if few <= BROADCAST_HOSTS:
+        near = rest.join(F.broadcast(hosts), same)
+    else:
+        parts = hosts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        near = rest.withColumn("_part", F.pmod(F.shiftright("line", 1), F.lit(SALTS)).cast("int")).join(parts.hint("merge"), same & (F.col("_part") == F.col("part")))
+    small = near.filter(F.col("n") > F.col("docs") * small_share)
+    return counts.filter("above").select("source", "line").unionByName(small.select("source", "line"))
+
+
+def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, small_share: float = SMALL_SHARE, min_left: float = MIN_LEFT, long_docs: int = LONG_DOCS, by_row: bool = False) -> DataFrame:
     """docs(doc_id, source, text) -> per row the base columns, base_failed, drop_lines (numbers from 0), left_words, kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     stats = common.materialise(_keyed(docs).mapInArrow(_stats, _STATS), "rules-stats")
-    lines = stats.select("doc_id", "source", "th", F.explode(F.array_distinct("line_hash")).alias("line"))
-    texts = lines.groupBy("source", "line", "th").agg(F.min("doc_id").alias("doc_id"))
-    counts = texts.groupBy("source", "line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
-    limit = F.when(F.col("line").bitwiseAND(1) == 1, F.lit(min(min_docs, long_docs))).otherwise(F.lit(min_docs))
-    above = counts.filter(F.col("n") > limit)
-    if max_share:
-        hosts = stats.groupBy("source", "th").agg(F.lit(1).alias("one")).groupBy("source").agg(F.count("*").alias("host_docs"))
-        above = above.alias("c").join(hosts.alias("h").hint("merge"), F.col("c.source").eqNullSafe(F.col("h.source"))).filter(F.col("n") > F.lit(max_share) * F.col("host_docs")).select("c.source", "line", "first")
-    above = above.select(F.col("source").alias("_s"), F.col("line").alias("_l"), "first")
-    above = common.materialise(above, "rules-lines")
+    above = _lines_above(stats, min_docs, small_share, long_docs, by_row)
+    above = common.materialise(above.select(F.col("source").alias("_s"), F.col("line").alias("_l")), "rules-lines")
     above = above.hint("broadcast" if above.count() <= BROADCAST_LINES else "merge")
     each = stats.select("doc_id", "source", "th", F.explode(F.arrays_zip(F.col("line_no").alias("no"), F.col("line_hash").alias("hash"))).alias("x"))
-    cut = each.join(above, F.col("source").eqNullSafe(F.col("_s")) & (F.col("x.hash") == F.col("_l"))).filter(~F.col("doc_id").eqNullSafe(F.col("first")))
+    cut = each.join(above, F.col("source").eqNullSafe(F.col("_s")) & (F.col("x.hash") == F.col("_l")))
     cut = cut.groupBy("doc_id", "source", "th").agg(F.sort_array(F.collect_set("x.no")).alias("drop_lines"))
     cut = cut.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("th").alias("_t"), "drop_lines")
     j = stats.drop("line_hash").join(cut.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & F.col("th").eqNullSafe(F.col("_t")), "left")
@@ -117,16 +137,17 @@ def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_S
 
 def clean(docs: DataFrame, **options) -> DataFrame:
     """The documents that stay, with their lines above the limit removed; all columns of docs, `n_chars` brought up to date."""
-    names = docs.columns
+    d, s, t, drop, th = common.fresh(docs, "d", "s", "t", "drop", "th")
     ruled = common.materialise(verdicts(docs, **options).filter("kept"), "rules-verdicts")
-    ruled = ruled.groupBy("doc_id", "source", "th").agg(F.first("drop_lines").alias("_drop"))
-    ruled = ruled.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("th").alias("_t"), "_drop")
-    j = docs.withColumn("_th", F.xxhash64("text")).join(ruled.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_th") == F.col("_t")))
-    stay = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("_drop"), i))
-    j = j.withColumn("text", F.when(F.size("_drop") > 0, F.array_join(stay, "\n")).otherwise(F.col("text")))
-    if "n_chars" in names:
+    ruled = ruled.groupBy("doc_id", "source", "th").agg(F.first("drop_lines").alias(drop))
+    ruled = ruled.select(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("th").alias(t), drop)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & F.col("source").cast("string").eqNullSafe(F.col(s)) & (F.col(th) == F.col(t))
+    j = docs.withColumn(th, F.xxhash64(F.col("text").cast("string"))).join(ruled.hint("merge"), same)
+    stay = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col(drop), i))
+    j = j.withColumn("text", F.when(F.size(drop) > 0, F.array_join(stay, "\n")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
         j = j.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return j.select(*names)
+    return j.select(*docs.columns)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

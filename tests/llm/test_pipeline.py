@@ -3,7 +3,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from loamworks.llm import mixing, quality_rules
+from loamworks.llm import mixing
 
 from . import cases
 from .test_decontaminate import plain
@@ -20,7 +20,7 @@ def test_stages_equal_plain_forms(spark, sf):
     assert list(stages) == ["quality rules", "n-gram Jaccard join", "benchmark decontamination", "mixing", "sharding"]
 
     out = stages["quality rules"](spark, docs, sf_dir)
-    verdict = plain_rules([(r.doc_id, r.text, r.source) for r in rows.values()], quality_rules.MIN_DOCS, quality_rules.MAX_SHARE, quality_rules.MIN_LEFT)
+    verdict = plain_rules([(r.doc_id, r.text, r.source) for r in rows.values()])
     one = {r.doc_id: r for r in out.collect()}
     assert out.columns == docs.columns and set(one) == {v[0] for v in verdict if v[-1]}
     assert all(r.n_chars == len(r.text) for r in one.values())
