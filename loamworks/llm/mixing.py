@@ -5,15 +5,18 @@ sources whose share is above their cap are clamped there and the excess is share
 is above. A source's target then is taken as floor(target / size) whole repetitions and one partial one, which holds
 the first documents in a seeded order up to the target.
 
-Nulls: a null text has size 0, a null source is a source of its own (last in the order). Empty table: an empty result.
-Documents of size 0 take 0 words. Repeated rows count each. Extra columns are ignored by the plan and kept by `mix`.
+Nulls: a null text has size 0, a null source is a source of its own (last in the order), null ids are documents as others.
+Empty table: an empty result. Documents of size 0 take 0 words. Very long texts count by their words; one that is larger than
+the rest of its source's target is left out if that is nearer. Ties of the order go by doc_id and size; what ties there too is
+alike to the plan. Repeated rows count each. Extra columns are ignored by the plan and kept by `mix`, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ranks import global_rank, rank_within
 from . import common
 
 SEED = 20260
@@ -45,39 +48,55 @@ def source_targets(sizes: DataFrame, total_share: float = TOTAL_SHARE, max_epoch
 
 
 def cycle_weights(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """Weights dealt in turn over the sources in the order of their names, null last. One row a source, not a document."""
-    turn = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
-    return sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (turn + 1).cast("int")))
+    """Weights dealt in turn over the sources in the order of their names, null last."""
+    turn = (F.col("_turn") - 1) % len(weights)
+    ranked = global_rank(sizes, [F.col("source").asc_nulls_last()], "_turn")
+    return ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (turn + 1).cast("int"))).drop("_turn")
 
 
-def take_plan(docs: DataFrame, targets: DataFrame, size: Column, seed: int = SEED) -> DataFrame:
-    """docs(doc_id, source, size) with source_size, target and taken (words the mix takes of the document)."""
-    slim = docs.select("doc_id", "source", size.alias("size")).withColumn("_h", common.seeded_key(seed, F.col("doc_id")))
-    slim = common.running_total(slim, ["source"], "_h", ["doc_id", "size"], F.col("size"), "_cum")
+def take_plan(slim: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
+    """slim(row, doc_id, source, size, ...) with source_size, target, copies and taken (words the mix takes of the row)."""
+    slim = rank_within(slim.withColumn("_h", common.seeded_key(seed, F.col("doc_id"))), "source", ["_h", "doc_id", "size", "row"], "_cum", "_all", F.col("size"))
     plan = targets.select(F.col("source").alias("_src"), "source_size", "target").hint("broadcast" if targets.count() <= 10_000 else "merge")
     j = slim.join(plan, F.col("source").eqNullSafe(F.col("_src"))).drop("_src")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     part = F.col("target") - whole * F.col("source_size")
-    extra = (F.col("_cum") + F.col("size") / 2 <= part).cast("long")
-    return j.withColumn("copies", whole + extra).withColumn("taken", F.col("size") * F.col("copies")).drop("_h", "_cum")
+    extra = ((F.col("size") > 0) & (F.col("_cum") + F.col("size") / 2 <= part)).cast("long")
+    return j.withColumn("copies", whole + extra).withColumn("taken", F.col("size") * F.col("copies")).drop("_h", "_cum", "_all")
+
+
+def _planned(docs: DataFrame, seed: int, total_share: float, max_epochs: float, weights: tuple[float, ...]) -> DataFrame:
+    """plan(), with the texts' hashes."""
+    text = F.col("text").cast("string")
+    slim = docs.select("doc_id", F.col("source").cast("string").alias("source"), common.word_count(text).alias("size"), F.xxhash64(text).alias("th"))
+    slim = common.materialise(slim.withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
+    sizes = cycle_weights(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights)
+    return take_plan(slim, source_targets(common.materialise(sizes, "mix-sources"), total_share, max_epochs), seed)
 
 
 def plan(docs: DataFrame, seed: int = SEED, total_share: float = TOTAL_SHARE, max_epochs: float = MAX_EPOCHS, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken. Texts are read once."""
-    slim = common.materialise(docs.select("doc_id", "source", common.word_count(F.col("text")).alias("size")), "mix-sizes")
-    sizes = cycle_weights(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights)
-    sizes = common.materialise(sizes, "mix-sources")
-    return take_plan(slim, source_targets(sizes, total_share, max_epochs), F.col("size"), seed)
+    return _planned(docs, seed, total_share, max_epochs, weights).drop("row", "th")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: each document as often as its plan says (0, 1, 2 ... rows), all its columns kept.
+def mix(docs: DataFrame, seed: int = SEED, total_share: float = TOTAL_SHARE, max_epochs: float = MAX_EPOCHS, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """The mixed corpus: each row as often as its plan says (0, 1, 2 ... rows), all its columns kept.
 
-    Rows of one doc_id are alike to the plan, which counts each of them; a doc_id that repeats gets the plan of one row.
+    What the plan takes of rows alike in doc_id, source and text is dealt out to them evenly, the rest to the first ones.
     """
-    copies = plan(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    joined = docs.join(copies.hint("merge"), docs["doc_id"].eqNullSafe(copies["doc_id"])).drop(copies["doc_id"])
-    return joined.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_n", "_copies")
+    d, s, th, n, like, row, k, m, times = common.fresh(docs, "d", "s", "th", "n", "like", "row", "k", "m", "times")
+    text_hash = F.xxhash64(F.col("text").cast("string"))
+    copies = _planned(docs, seed, total_share, max_epochs, weights).groupBy("doc_id", "source", "th").agg(F.sum("copies").alias(times), F.count("*").alias(n))
+    copies = common.materialise(copies.select(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("th").alias(th), times, n).filter(F.col(times) > 0), "mix-copies")
+    same = F.col("doc_id").eqNullSafe(F.col(d)) & F.col("source").cast("string").eqNullSafe(F.col(s)) & (text_hash == F.col(th))
+    joined = docs.join(copies.filter(F.col(n) == 1).hint("merge"), same).select(*docs.columns, times)
+    several = copies.filter(F.col(n) > 1)
+    if several.limit(1).count():
+        rows = docs.join(several.hint("merge"), same).withColumn(like, F.xxhash64("doc_id", "source", th)).withColumn(row, F.monotonically_increasing_id())
+        rows = rank_within(rows, like, [row], k, m)
+        share = F.floor(F.col(times) / F.col(n)) + (F.col(k) <= F.col(times) % F.col(n)).cast("long")
+        joined = joined.unionByName(rows.withColumn(times, share).filter(F.col(times) > 0).select(*docs.columns, times))
+    return joined.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*docs.columns)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
