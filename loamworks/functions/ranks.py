@@ -15,16 +15,15 @@ def global_rank(df: DataFrame, order: list, out: str, amount: Column | None = No
     the ranges before it. The ranges are written once, so that offsets and rows agree even if an executor is lost. The
     order must be total.
     """
-    amount = F.lit(1).cast("long") if amount is None else amount
+    counted = amount is None
     inner = Window.partitionBy("_range").orderBy(*order)
-    ranged = staged(df.withColumn("_amount", amount).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    ranged = staged(df.withColumn("_amount", F.lit(1).cast("long") if counted else amount).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
     sums = ranged.groupBy("_range").agg(F.sum("_amount").alias("_sum"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     offsets = sums.select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
     earlier = F.coalesce(F.sum("_amount").over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = ranged.withColumn("_earlier", earlier).join(offsets.hint("merge"), "_range")
     value = F.col("_before") + F.col("_earlier")
-    counted = str(amount) == str(F.lit(1).cast("long"))
     return ranked.withColumn(out, value + 1 if counted else value).drop("_range", "_amount", "_before", "_earlier")
 
 
