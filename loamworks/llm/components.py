@@ -30,4 +30,5 @@ def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError(f"components not settled after {rounds} rounds")
+    common.release(both)
     return labels

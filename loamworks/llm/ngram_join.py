@@ -8,13 +8,16 @@ Pairs are compared in two steps, and each pair at most once:
 1. Under every shared prefix shingle each node meets the node that has the shingle earliest (the pivot), so a group of
    near copies costs one comparison a node, not one a pair. Of its pivots a node is verified with the one with which it
    shares most prefix shingles. Verified links give components.
-2. Under shingles whose nodes still lie in more than one component, the nodes of different components are paired. Nothing
-   is left out: pairs inside a component need no comparison, as they can't change it.
+2. Under shingles whose nodes still lie in more than one component, the nodes of different components are paired. A shingle's
+   nodes are split into bands of sizes (each 1 / 0.8 of the one before); a node meets larger ones of its own and the next
+   band, and only under the first ninth of its own shingles, in which a pair's first shared shingle must lie. Nothing is left
+   out: pairs inside a component need no comparison, as they can't change it.
 Length (sizes within 0.8), positional (overlap still possible behind the shared shingle) and suffix filters (Hamming bound
 from how many shingles lie in each of 256 hash ranges) discard pairs before both sets are brought together and intersected.
 
 Nulls: a null or wordless text has an empty set and links with nothing; a null doc_id takes part and is never the
-smallest id. Repeated rows get the same result each. Empty table: an empty result. Extra columns are ignored.
+smallest id. Very long texts are shingled whole. Repeated rows and ties get the same result each. Empty table: an empty
+result. Extra columns are ignored, and kept by deduplicate(), whatever their names.
 """
 
 from __future__ import annotations
@@ -108,7 +111,9 @@ def _prefixes(sketch):
                 keys = h[order][(np.arange(len(h)) - np.repeat(off[:-1], size)) < np.repeat(keep, size)]
                 some = np.flatnonzero(size)
                 ends = np.concatenate([[0], np.cumsum(keep[some])])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).take(pa.array(some)), pa.array(size[some].astype(np.int64)), pa.array(s1[some]), pa.array(s2[some]), ragged(keys.view(np.int64), ends, pa.int64()), pa.array([x.astype(np.uint16).tobytes() if x.max() < 65536 else b"" for x in profile[some]], pa.binary())], ["doc_id", "n", "s1", "s2", "prefix", "profile"])
+                cols = [batch.column(c).slice(a, b - a).take(pa.array(some)) for c in ("doc_id", "th")] + [pa.array(size[some].astype(np.int64)), pa.array(s1[some]), pa.array(s2[some]), ragged(keys.view(np.int64), ends, pa.int64())]
+                cols.append(pa.array([x.astype(np.uint16).tobytes() if x.max() < 65536 else b"" for x in profile[some]], pa.binary()))
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "n", "s1", "s2", "prefix", "profile"])
 
     return run
 
@@ -173,12 +178,15 @@ def _suffix_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _sets_of(bitmap):
+    """Sets of the texts whose hash is in the bitmap: one text of each node in question, and few others."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.take(pa.array(np.flatnonzero(_has(bitmap.value, batch.column("th").to_numpy(), NODE_BITS))))
             for a, b, texts in chunks(batch.column("text")):
                 doc, h = Texts(texts, fold=True).shingles(SHINGLE)
                 off, size, s1, s2 = _signature(doc, h, b - a)
-                of = np.flatnonzero((size > 0) & _has(bitmap.value, s1, NODE_BITS))
+                of = np.flatnonzero(size > 0)
                 if len(of):
                     yield pa.RecordBatch.from_arrays([pa.array(size[of].astype(np.int64)), pa.array(s1[of]), pa.array(s2[of]), pa.array([h[off[i] : off[i + 1]].tobytes() for i in of], pa.binary())], ["n", "s1", "s2", "hashes"])
 
@@ -207,14 +215,14 @@ class _Corpus:
     def __init__(self, docs: DataFrame) -> None:
         spark = docs.sparkSession
         self.spark = spark
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        scanned = common.materialise(self.docs.withColumn("th", F.xxhash64("text")).mapInArrow(_scan, _SCAN), "ngram-scan")
+        docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        self.docs = docs.withColumn("th", F.xxhash64("text"))
+        scanned = common.materialise(self.docs.mapInArrow(_scan, _SCAN), "ngram-scan")
         self.rows = scanned.filter("block IS NULL").select("doc_id", "th", "n", "s1", "s2")
         sketch = spark.sparkContext.broadcast(_sketch(scanned.filter("block IS NOT NULL")))
-        found = self.docs.mapInArrow(_prefixes(sketch), "doc_id long, n long, s1 long, s2 long, prefix array<long>, profile binary")
-        found = found.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("min_doc"), F.first("prefix").alias("prefix"), F.first("profile").alias("profile"))
+        found = self.docs.mapInArrow(_prefixes(sketch), "doc_id long, th long, n long, s1 long, s2 long, prefix array<long>, profile binary")
+        found = found.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("min_doc"), F.min("th").alias("th"), F.first("prefix").alias("prefix"), F.first("profile").alias("profile"))
         self.nodes = common.materialise(found.withColumn("node", F.monotonically_increasing_id()), "ngram-nodes")
-        self._drop: list[DataFrame] = []
 
     def postings(self) -> DataFrame:
         """(key, node, pos, n) of the prefix shingles that two nodes share (and few others)."""
@@ -229,11 +237,11 @@ class _Corpus:
         near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_suffix_filter, "a long, b long")
         near = common.materialise(near, "ngram-near")
         ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        ids = self.nodes.select("node", "n", "s1", "s2").join(ends.hint("merge"), "node", "left_semi")
+        ids = self.nodes.select("node", "n", "s1", "s2", "th").join(ends.hint("merge"), "node", "left_semi")
         ids = common.materialise(ids, "ngram-ends")
-        bits = self.spark.sparkContext.broadcast(_bitmap(ids, F.col("s1"), NODE_BITS))
-        sets = self.docs.select("text").mapInArrow(_sets_of(bits), "n long, s1 long, s2 long, hashes binary")
-        sets = sets.groupBy("n", "s1", "s2").agg(F.first("hashes").alias("hashes")).join(ids.hint("merge"), ["n", "s1", "s2"]).select("node", "hashes")
+        bits = self.spark.sparkContext.broadcast(_bitmap(ids, F.col("th"), NODE_BITS))
+        sets = self.docs.select("th", "text").mapInArrow(_sets_of(bits), "n long, s1 long, s2 long, hashes binary")
+        sets = sets.groupBy("n", "s1", "s2").agg(F.first("hashes").alias("hashes")).join(ids.drop("th").hint("merge"), ["n", "s1", "s2"]).select("node", "hashes")
         sets = common.materialise(sets, "ngram-sets")
         one = near.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")).hint("merge"), "a")
         two = one.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")).hint("merge"), "b")
@@ -242,6 +250,19 @@ class _Corpus:
         return links
 
 
+def _between_components(open_: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of nodes of different components that share a key and may link."""
+    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM)) + 1e-9).cast("int")
+    side = lambda s, *more: [F.col(x).alias(f"{x}_{s}") for x in ("node", "pos", "n", "comp")] + list(more)
+    # The smaller of a pair has its first shared shingle among the first n - overlap + 1, with an overlap of 2 * 0.8 / 1.8 of n at least.
+    small = open_.filter(F.col("pos") <= F.col("n") - F.ceil(2 * NUM * F.col("n") / (NUM + DEN) - 1e-9))
+    small = small.select("key", *side("a", F.explode(F.array(size, size + 1)).alias("band")))
+    large = open_.select("key", *side("b", size.alias("band")))
+    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
+    pairs = small.hint("merge").join(large.hint("merge"), ["key", "band"]).filter(smaller & (F.col("comp_a") != F.col("comp_b")) & _possible(F.col("n_a"), F.col("n_b"), F.col("pos_a"), F.col("pos_b")))
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
 def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows with n, s1, s2; nodes with their component)."""
     c = _Corpus(docs)
@@ -257,10 +278,10 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     labelled = posts.join(comps.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node")).select("key", "node", "pos", "n", "comp")
     open_keys = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
     open_ = common.materialise(labelled.join(open_keys.hint("merge"), "key", "left_semi"), "ngram-open")
-    l, r = (open_.select("key", *[F.col(x).alias(f"{x}_{s}") for x in ("node", "pos", "n", "comp")]) for s in "ab")
-    cross = l.join(r.hint("merge"), "key").filter((F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & _possible(F.col("n_a"), F.col("n_b"), F.col("pos_a"), F.col("pos_b")))
-    cross = cross.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(first.hint("merge"), ["a", "b"], "left_anti")
-    more = c.verify(common.materialise(cross, "ngram-cross"))
+    cross = _between_components(open_).join(first.hint("merge"), ["a", "b"], "left_anti")
+    cross = common.materialise(cross, "ngram-cross")
+    more = c.verify(cross)
+    common.release(posts, open_, first, cross)
     if more.limit(1).count():
         comps = connected(links.unionByName(more))
     nodes = c.nodes.select("node", "n", "s1", "s2", "min_doc").join(comps.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -277,12 +298,15 @@ def components(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs with one document of each component: the smallest doc_id (then text hash). Rows alike in doc_id and text are one."""
+    d, t, th = common.fresh(docs, "d", "t", "th")
     found = common.materialise(components(docs), "ngram-components")
     alone = found.filter("comp IS NULL").select("doc_id", "th")
     best = found.filter("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("o"), "th", "doc_id")).alias("w")).select("w.doc_id", "w.th")
-    stay = alone.unionByName(best).distinct().select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"))
-    keyed = docs.withColumn("_th", F.xxhash64("text")).dropDuplicates(["doc_id", "_th"])
-    return keyed.join(stay.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), "left_semi").select(*docs.columns)
+    stay = alone.unionByName(best).distinct().select(F.col("doc_id").alias(d), F.col("th").alias(t))
+    keyed = docs.withColumn(th, F.xxhash64(F.col("text").cast("string")))
+    if found.groupBy("doc_id", "th").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
+        keyed = keyed.dropDuplicates(["doc_id", th])  # another shuffle of the texts, for tables with repeated rows only
+    return keyed.join(stay.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.col(th) == F.col(t)), "left_semi").select(*docs.columns)
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

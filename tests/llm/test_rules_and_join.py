@@ -1,3 +1,4 @@
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -107,13 +108,21 @@ def plain_components(docs):
     return Counter((d, *x) for (d, _), x in zip(rows, cases.components(rows)))
 
 
-@pytest.mark.parametrize("which", ["sf0.001", "sf0.01", "awkward", "empty", "ladder"])
+@pytest.mark.parametrize("which", ["sf0.001", "sf0.01", "awkward", "empty", "ladder", "templates"])
 def test_components_equal_brute_force(spark, which):
     if which == "ladder":  # many near copies of which only neighbours link, and a hub
         base = [f"b{i}" for i in range(120)]
         rows = [(100 - k, " ".join(base[: 120 - 3 * k] + [f"n{k}_{i}" for i in range(3 * k)])) for k in range(20)]
         rows += [(200 + k, " ".join(base[:5 + k] + [f"m{k}"] + base[6 + k :])) for k in range(60)]
         docs = spark.createDataFrame(rows, "doc_id long, text string")
+    elif which == "templates":  # one template with own parts of 2 to 30 per cent, in texts of 6 to 220 words: hot shingles, links between bands
+        rnd = random.Random(8)
+        rows = []
+        for k in range(400):
+            n = rnd.choice((6, 9, 40, 90, 95, 110, 200, 220))
+            own = max(1, int(n * rnd.choice((0.02, 0.05, 0.1, 0.12, 0.16, 0.3))))
+            rows.append((k, " ".join([f"t{i}" for i in range(n - own)] + [f"o{rnd.randint(0, 3)}x{i}" for i in range(own)])))
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
     elif which.startswith("sf"):
         docs = cases.documents(spark, which)
     else:
@@ -122,8 +131,11 @@ def test_components_equal_brute_force(spark, which):
     assert Counter(map(tuple, got)) == plain_components(docs)
 
 
-def test_deduplicate_keeps_one_of_each_group(spark):
-    docs = spark.createDataFrame(cases.awkward(), cases.DOCS)
+@pytest.mark.parametrize("repeats", [True, False])
+def test_deduplicate_keeps_one_of_each_group(spark, repeats):
+    docs = spark.createDataFrame([r for i, r in enumerate(cases.awkward()) if repeats or i != 5], cases.DOCS).selectExpr("*", "node AS d", "key AS T", "'x' AS th", "1 AS comp")
     kept = ngram_join.deduplicate(docs)
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 2, 3, 4, 6, 10, 20, 21, 22, 23], key=str)
+    got = kept.collect()
+    assert sorted((r.doc_id for r in got), key=str) == sorted([1, 2, 3, 4, 6, 10, 20, 21, 22, 23], key=str)
+    assert {r[-2:] for r in got} == {("x", 1)}
