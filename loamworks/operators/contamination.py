@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -12,42 +12,89 @@ from ..sources.stages import staged
 BROADCAST_ENTRIES = 100_000
 
 
+def _grams(text: Column, size: int) -> Column:
+    """Distinct character n-grams of a text; a shorter text has none."""
+    c = F.split(text, "")
+    n = F.greatest(F.size(c) - (size - 1), F.lit(0))
+    out = F.slice(c, F.lit(1), n)
+    for j in range(2, size + 1):
+        out = F.zip_with(out, F.slice(c, F.lit(j), n), lambda x, y: F.concat(x, y))
+    return F.array_distinct(out)
+
+
 def contained(docs: DataFrame, entries: DataFrame, text: str = "t") -> DataFrame:
     """(doc_id, entry) for entries that occur in a document's text as a substring.
 
-    Candidates share the entry's rarest word among its inner ones (whole words even inside a document), as an equi-join;
-    entries of fewer than three words are compared by a broadcast of those alone.
+    Candidates share the longest of the entry's inner words (whole words even inside a document), as an equi-join of ids and
+    words; an entry of fewer than three words has its first characters, three at most, as anchor instead. Texts are
+    brought back to the candidates only.
     """
     words = F.split("entry", " ")
     inner = F.slice(words, 2, F.size(words) - 2)
-    entries = entries.select("entry").distinct().withColumn("anchor", F.when(F.size(words) >= 3, F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    entries = staged(entries.select("entry").distinct().filter("entry <> ''").withColumn("anchor", F.when(F.size(words) >= 3, longest)).withColumn("size", F.when(F.col("anchor").isNull(), F.least(F.length("entry"), F.lit(3)))), "entries")
     d = docs.select("doc_id", F.col(text).alias("_t"))
-    tokens = d.select("doc_id", "_t", F.explode(F.array_distinct(F.split("_t", " "))).alias("anchor"))
-    long = entries.filter("anchor IS NOT NULL")
-    hint = "broadcast" if long.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES else "merge"
-    found = tokens.join(long.hint(hint), "anchor").filter(F.contains("_t", "entry")).select("doc_id", "entry")
-    short = entries.filter("anchor IS NULL AND entry <> ''").select("entry")
-    if short.limit(1).count():
-        few = F.broadcast(short) if short.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES else short
-        found = found.union(d.join(few, F.contains("_t", "entry")).select("doc_id", "entry"))
-    return found.distinct()
+    hint = "broadcast" if entries.count() <= BROADCAST_ENTRIES else "merge"
+    tokens = d.select("doc_id", F.explode(F.array_distinct(F.split("_t", " "))).alias("anchor"))
+    found = tokens.join(entries.filter("anchor IS NOT NULL").select("anchor", "entry").hint(hint), "anchor").select("doc_id", "entry")
+    for (size,) in sorted(entries.filter("anchor IS NULL").select("size").distinct().collect()):  # three sizes at most
+        few = entries.filter(F.col("size") == size).select(F.substring("entry", 1, size).alias("anchor"), "entry").hint(hint)
+        found = found.union(d.select("doc_id", F.explode(_grams(F.col("_t"), size)).alias("anchor")).join(few, "anchor").select("doc_id", "entry"))
+    found = staged(found.distinct(), "anchored")
+    both = found.withColumnRenamed("doc_id", "_id").hint("merge").join(d, F.col("_id").eqNullSafe(F.col("doc_id"))).filter(F.contains("_t", "entry"))
+    return both.select("doc_id", "entry").distinct()
 
 
 def without_contained(docs: DataFrame, entries: DataFrame, text: str = "t") -> DataFrame:
-    return docs.join(contained(docs, entries, text).select("doc_id").distinct(), "doc_id", "left_anti")
+    bad = staged(contained(docs, entries, text).select(F.col("doc_id").alias("_id")).distinct(), "containing")
+    return docs.join(bad.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+
+
+def cover_candidates(docs: DataFrame, entries: DataFrame, size: int = 5, min_cover: float = 0.9) -> DataFrame:
+    """(doc_id, item_id, cover) of documents and entries that share an anchor; entries without a shingle have none.
+
+    A document may lack a share of 1 - min_cover of an entry's shingles. An entry's anchors are one more than that, those
+    with the smallest hashes, so that every covering document has one. Only for candidates all shingles are intersected.
+    """
+    e = tx.with_shingles(entries.select("item_id", "text"), size).drop("text").filter(F.size("s") > 0)
+    ordered = F.transform(F.array_sort(F.transform("s", lambda x: F.struct(tx.hash60(x).alias("h"), x.alias("x")))), lambda y: F.xxhash64(y["x"]))
+    e = staged(e.select("item_id", ordered.alias("hashes")), "cover-entries")
+    lacking = F.floor(F.size("hashes") * F.lit(round(1 - min_cover, 9)) + 1e-9).cast("int")
+    a = e.select("item_id", F.explode(F.slice("hashes", F.lit(1), lacking + 1)).alias("h"))
+    d = staged(tx.with_shingles(docs.select("doc_id", "text"), size).select("doc_id", F.transform("s", lambda x: F.xxhash64(x)).alias("ds")), "cover")
+    hint = "broadcast" if a.limit(8 * BROADCAST_ENTRIES + 1).count() <= 8 * BROADCAST_ENTRIES else "merge"
+    hits = staged(d.select("doc_id", F.explode("ds").alias("h")).join(a.hint(hint), "h").select("doc_id", "item_id").distinct(), "cover-hits")
+    full = hits.join(d.hint("merge"), "doc_id").join(e.hint("merge"), "item_id")
+    return full.select("doc_id", "item_id", (F.size(F.array_intersect("ds", "hashes")) / F.size("hashes")).alias("cover"))
+
+
+def shingle_cover(docs: DataFrame, entries: DataFrame, size: int = 5, min_cover: float = 0.9) -> DataFrame:
+    """(doc_id, item_id, cover): documents that hold at least min_cover of an entry's shingles."""
+    return cover_candidates(docs, entries, size, min_cover).filter(F.col("cover") >= min_cover)
+
+
+def normalised(text: Column) -> Column:
+    """Lower-cased tokens joined by single spaces."""
+    return F.array_join(tx.tokens(text), " ")
 
 
-def shingle_cover(docs: DataFrame, entries: DataFrame, size: int = 5, min_cover: float = 0.9, anchors: int = 8) -> DataFrame:
-    """(doc_id, item_id, cover): documents that hold at least min_cover of an entry's shingles.
+def screen(docs: DataFrame, entries: DataFrame, size: int = 5, min_shingles: int = 8, min_cover: float = 0.9) -> tuple[DataFrame, DataFrame]:
+    """docs(doc_id, text), entries(text) -> (doc_id, kind, entry) of the contaminated documents, and the audit of one row.
 
-    Candidates share one of the entry's `anchors` smallest shingle hashes; only for them all shingles are intersected.
+    Entries are compared in normal form. One of fewer than min_shingles shingles must occur exactly, as a substring; short
+    entries come first, then long ones, each in the order of the forms, and the first match is recorded.
     """
-    e = tx.with_shingles(entries.select("item_id", "text"), size).drop("text")
-    e = e.withColumn("hashes", F.array_sort(F.transform("s", lambda x: tx.hash60(x)))).filter(F.size("s") > 0)
-    a = e.select("item_id", F.explode(F.slice("hashes", 1, anchors)).alias("h"))
-    d = staged(tx.with_shingles(docs.select("doc_id", "text"), size).select("doc_id", F.transform("s", lambda x: tx.hash60(x)).alias("ds")), "cover")
-    hint = "broadcast" if a.limit(anchors * BROADCAST_ENTRIES + 1).count() <= anchors * BROADCAST_ENTRIES else "merge"
-    hits = d.select("doc_id", F.explode("ds").alias("h")).join(a.hint(hint), "h").select("doc_id", "item_id").distinct()
-    full = hits.join(d.hint("merge"), "doc_id").join(e.select("item_id", "hashes").hint("merge"), "item_id")
-    cover = F.size(F.array_intersect("ds", "hashes")) / F.size("hashes")
-    return full.select("doc_id", "item_id", cover.alias("cover")).filter(F.col("cover") >= min_cover)
+    forms = entries.select(normalised(F.col("text")).alias("text")).filter("text <> ''").distinct()
+    forms = tx.with_shingles(forms, size).select("text", (F.size("s") < min_shingles).alias("short"))
+    forms = staged(forms, "screen-entries")
+    short = contained(docs.select("doc_id", normalised(F.col("text")).alias("t")), forms.filter("short").select(F.col("text").alias("entry")))
+    long = staged(cover_candidates(docs, forms.filter(~F.col("short")).select(F.col("text").alias("item_id"), "text"), size, min_cover), "screen-long")
+    hits = short.select("doc_id", F.lit(0).alias("order"), "entry").union(long.filter(F.col("cover") >= min_cover).select("doc_id", F.lit(1), F.col("item_id")))
+    first = hits.groupBy("doc_id").agg(F.min(F.struct("order", "entry")).alias("m"))
+    first = staged(first.select("doc_id", F.when(F.col("m.order") == 0, "short").otherwise("long").alias("kind"), F.col("m.entry").alias("entry")), "screened")
+    n = docs.agg(F.count("*").alias("input_documents"))
+    e = forms.agg(F.count("*").alias("entries"), F.count_if("short").alias("short_entries"))
+    m = first.agg(F.count("*").alias("removed_documents"), F.count_distinct("entry").alias("matched_entries"))
+    c = long.agg(F.count("*").alias("candidate_checks"))
+    audit = n.crossJoin(F.broadcast(e)).crossJoin(F.broadcast(m)).crossJoin(F.broadcast(c))  # one row each
+    return first, audit.withColumn("retained_documents", F.col("input_documents") - F.col("removed_documents"))

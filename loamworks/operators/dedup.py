@@ -2,74 +2,140 @@
 
 from __future__ import annotations
 
-from hashlib import sha256
+from hashlib import blake2b
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ..functions import text as tx
 from ..sources.stages import staged
 
 
 def exact_winners(df: DataFrame, order: list[str], key: str = "digest") -> DataFrame:
-    """One row per key: the smallest by `order`. Two aggregates over the ids decide it, so that no key's rows meet in one task."""
+    """One row per key, null being one too: the smallest by `order`; of rows alike in key and order, one.
+
+    An aggregate over the ids decides, so that no key's rows meet in one task.
+    """
     smallest = df.groupBy(key).agg(F.min(F.struct(*order)).alias("_first"))
     firsts = smallest.select(F.col(key).alias("_key"), *[F.col(f"_first.{c}").alias(f"_first_{c}") for c in order])
-    same = F.col(key) == F.col("_key")
+    same = F.col(key).eqNullSafe(F.col("_key"))
     for c in order:
         same = same & F.col(c).eqNullSafe(F.col(f"_first_{c}"))
-    return df.join(firsts, same, "left_semi")
+    return df.join(firsts, same, "left_semi").dropDuplicates([key, *order])
+
 
+_SIGNED = StructType([StructField("hi", LongType()), StructField("lo", LongType()), StructField("hashes", ArrayType(LongType())), StructField("set_id", StringType())])
 
-@F.pandas_udf(StructType([StructField("hi", LongType()), StructField("lo", LongType())]))
-def _majority(features: pd.Series) -> pd.DataFrame:
-    """Majority bits of the first 64 bits of the features' sha256, as two halves; all 0 without features."""
-    out = np.zeros((len(features), 2), np.int64)
+
+@F.pandas_udf(_SIGNED)
+def _signature(features: pd.Series) -> pd.DataFrame:
+    """Of features given as 16 hex digits each, one behind the other: majority bits as two halves, the sorted 64-bit values, and a digest of these."""
+    sims, sets, ids = np.zeros((len(features), 2), np.int64), [], []
     for i, f in enumerate(features):
-        if f is not None and len(f):
-            bits = np.unpackbits(np.frombuffer(b"".join(sha256(x.encode()).digest()[:8] for x in f), np.uint8).reshape(-1, 8), axis=1)
-            out[i] = np.packbits(2 * bits.sum(axis=0) >= len(f)).view(">u4")
-    return pd.DataFrame(out, columns=["hi", "lo"])
+        raw = np.frombuffer(bytes.fromhex(f or ""), np.uint8).reshape(-1, 8)
+        if len(raw):
+            sims[i] = np.packbits(2 * np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64) >= len(raw)).view(">u4")
+        sets.append(np.unique(raw.view(">i8").ravel().astype(np.int64)))
+        ids.append(blake2b(sets[-1].tobytes(), digest_size=16).hexdigest())
+    return pd.DataFrame({"hi": sims[:, 0], "lo": sims[:, 1], "hashes": sets, "set_id": ids})
 
 
-def simhash(df: DataFrame, features: str) -> DataFrame:
-    """df(id, array of strings) with sim_hi, sim_lo: a 64-bit SimHash as two 32-bit halves.
+def signatures(docs: DataFrame, size: int = 5) -> DataFrame:
+    """docs(text, ...) with the number of shingles `features`, a 64-bit SimHash as two 32-bit halves sim_hi and sim_lo, the
+    shingles' 64-bit `hashes` (sorted), and `set_id`, a digest of these.
 
-    Each feature votes with the first 64 bits of its sha256; a bit is set when at least half of the votes are. Counting 64
-    bits of every feature takes column functions about ten times as long as numpy, hence the pandas UDF.
+    Each shingle votes with the first 64 bits of its sha256, which the JVM makes; a bit is set when at least half of the
+    votes are. Counting 64 bits of every shingle takes column functions about ten times as long as numpy, hence the UDF.
     """
-    df = df.withColumn("_sim", _majority(F.col(features)))
-    return df.withColumns({"sim_hi": F.col("_sim.hi"), "sim_lo": F.col("_sim.lo")}).drop("_sim")
+    df = tx.with_shingles(docs, size)
+    df = df.withColumn("features", F.size("s").cast("long")).withColumn("_sim", _signature(F.array_join(F.transform("s", lambda x: F.substring(F.sha2(x, 256), 1, 16)), "")))
+    return df.withColumns({"sim_hi": F.col("_sim.hi"), "sim_lo": F.col("_sim.lo"), "hashes": F.col("_sim.hashes"), "set_id": F.col("_sim.set_id")}).drop("_sim", "s")
 
 
-def hamming(a_hi, a_lo, b_hi, b_lo):
+def hamming(a_hi: Column, a_lo: Column, b_hi: Column, b_lo: Column) -> Column:
     return F.bit_count(a_hi.bitwiseXOR(b_hi)) + F.bit_count(a_lo.bitwiseXOR(b_lo))
 
 
-def band_pairs(df: DataFrame, rank: str = "rank", max_distance: int = 3) -> DataFrame:
-    """Pairs (a, b) of ranks, a before b, that differ in at most max_distance bits.
-
-    The 64 bits are max_distance + 3 bands, of which such a pair shares three at least, so the join is on three bands at
-    a time: about 32 bits, where a join on one narrow band would meet a fixed share of all signatures. A pair is taken
-    under its first common key only. Equal signatures are one row here (their first rank), so a group of copies makes no
-    pairs of its own; the others join it through that row.
-    """
-    sig = df.groupBy("sim_hi", "sim_lo").agg(F.min(rank).alias(rank))
+def _masks(max_distance: int) -> list[tuple[int, int]]:
+    """Masks (upper, lower half) of three of max_distance + 3 bands of 64 bits each. Signatures within max_distance bits share three bands at least."""
     bands = max_distance + 3
     edges = [64 * i // bands for i in range(bands + 1)]
     masks = [sum((1 << edges[k + 1]) - (1 << edges[k]) for k in three) for three in combinations(range(bands), 3)]
-    halves = [(m >> 32, m & 0xFFFFFFFF) for m in masks]
-    part = lambda c, m: F.col(c).bitwiseAND(F.lit(m).cast("long"))
-    keys = F.array(*[F.struct(F.lit(i).alias("key"), part("sim_hi", hi).alias("key_hi"), part("sim_lo", lo).alias("key_lo")) for i, (hi, lo) in enumerate(halves)])
-    rows = sig.select(rank, "sim_hi", "sim_lo", F.explode(keys).alias("x")).select(rank, "sim_hi", "sim_lo", "x.*")
-    a, b = (rows.select(F.col(rank).alias(s), F.col("sim_hi").alias(f"{s}_hi"), F.col("sim_lo").alias(f"{s}_lo"), "key", "key_hi", "key_lo") for s in "ab")
-    near = a.join(b.hint("merge"), ["key", "key_hi", "key_lo"]).filter((F.col("a") < F.col("b")) & (hamming(F.col("a_hi"), F.col("a_lo"), F.col("b_hi"), F.col("b_lo")) <= max_distance))
-    first = F.coalesce(*[F.when((part("a_hi", hi) == part("b_hi", hi)) & (part("a_lo", lo) == part("b_lo", lo)), i) for i, (hi, lo) in enumerate(halves)])
-    return near.filter(first == F.col("key")).select("a", "b", "a_hi", "a_lo", "b_hi", "b_lo")
+    return [(m >> 32, m & 0xFFFFFFFF) for m in masks]
+
+
+def _part(col: str, mask: int) -> Column:
+    return F.col(col).bitwiseAND(F.lit(mask).cast("long"))
+
+
+def band_keys(nodes: DataFrame, max_distance: int = 3) -> DataFrame:
+    """nodes(rank, sim_hi, sim_lo) -> one row for each three bands (about 32 bits), of keys that two nodes have: rank, sim_hi, sim_lo, band, key."""
+    keys = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), _part("sim_hi", hi), _part("sim_lo", lo)).alias("key")) for i, (hi, lo) in enumerate(_masks(max_distance))])
+    rows = nodes.select("rank", "sim_hi", "sim_lo", F.explode(keys).alias("x")).select("rank", "sim_hi", "sim_lo", "x.band", "x.key")
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    return rows.join(shared.hint("merge"), "key", "left_semi")
+
+
+def band_pairs(nodes: DataFrame, max_distance: int = 3) -> DataFrame:
+    """Pairs (a, b) of ranks, a before b, that differ in at most max_distance bits; equal signatures are pairs too.
+
+    The join is on three bands at a time, where one on a narrow band would meet a fixed share of all signatures. A pair is
+    taken under its first common bands only. Nodes are to be distinct sets, so that copies make no pairs.
+    """
+    rows = band_keys(nodes, max_distance)
+    a, b = (rows.select(F.col("rank").alias(s), F.col("sim_hi").alias(f"{s}_hi"), F.col("sim_lo").alias(f"{s}_lo"), "band", "key") for s in "ab")
+    near = a.join(b.hint("merge"), ["band", "key"]).filter((F.col("a") < F.col("b")) & (hamming(F.col("a_hi"), F.col("a_lo"), F.col("b_hi"), F.col("b_lo")) <= max_distance))
+    first = F.coalesce(*[F.when((_part("a_hi", hi) == _part("b_hi", hi)) & (_part("a_lo", lo) == _part("b_lo", lo)), i) for i, (hi, lo) in enumerate(_masks(max_distance))])
+    return near.filter(first == F.col("band")).select("a", "b", "a_hi", "a_lo", "b_hi", "b_lo")
+
+
+def jaccard(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs(a, b), sets(rank, hashes) -> a, b, jaccard (unrounded)."""
+    j = pairs.select("a", "b").join(sets.select(F.col("rank").alias("a"), F.col("hashes").alias("sa")).hint("merge"), "a")
+    j = j.join(sets.select(F.col("rank").alias("b"), F.col("hashes").alias("sb")).hint("merge"), "b")
+    n = F.size(F.array_intersect("sa", "sb"))
+    return j.select("a", "b", (n / (F.size("sa") + F.size("sb") - n)).alias("jaccard"))
+
+
+def near_walk(nodes: DataFrame, max_distance: int = 3, min_jaccard: float = 0.95) -> DataFrame:
+    """nodes(rank, sim_hi, sim_lo, hashes), distinct sets -> ranks of those that an earlier kept node matches.
+
+    The walk in rank order, in rounds: an undecided node that is the first undecided under each of its band keys is kept (all
+    kept nodes before it have met it), meets the others under its keys, and those it matches go. So a group of near copies
+    costs a comparison for each kept node and member, as in the walk, and never all its pairs. State is ranks and keys.
+    """
+    state = staged(band_keys(nodes, max_distance), "near-state")
+    sets = staged(nodes.select("rank", "hashes").join(state.select("rank").distinct().hint("merge"), "rank", "left_semi"), "near-sets")
+    gone = state.select("rank").limit(0)
+    while state.limit(1).count():
+        lead = state.groupBy("key").agg(F.min("rank").alias("lead"), F.min_by(F.struct("sim_hi", "sim_lo"), "rank").alias("w"))
+        met = state.join(lead.hint("merge"), "key")
+        met = staged(met.select("rank", "key", "lead", hamming(F.col("sim_hi"), F.col("sim_lo"), F.col("w.sim_hi"), F.col("w.sim_lo")).alias("distance")), "near-met")
+        kept = met.groupBy("rank").agg(F.min(F.col("rank") == F.col("lead")).alias("first")).filter("first").select("rank")
+        pairs = met.filter((F.col("rank") != F.col("lead")) & (F.col("distance") <= max_distance)).select(F.col("lead").alias("a"), F.col("rank").alias("b")).distinct()
+        pairs = pairs.join(kept.select(F.col("rank").alias("a")).hint("merge"), "a", "left_semi")
+        hit = staged(jaccard(pairs, sets).filter(F.col("jaccard") >= min_jaccard).select(F.col("b").alias("rank")).distinct(), "near-hit")
+        gone = gone.union(hit)
+        decided = kept.union(hit)
+        left = state.join(decided.hint("merge"), "rank", "left_anti")
+        shared = left.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+        state = staged(left.join(shared.hint("merge"), "key", "left_semi"), "near-state")
+    return gone
+
+
+def near_keep(docs: DataFrame, max_distance: int = 3, min_jaccard: float = 0.95) -> DataFrame:
+    """docs(rank, able, sim_hi, sim_lo, hashes, set_id) -> rank, kept. Documents that aren't able stay; of equal sets only the first can."""
+    able = docs.filter("able")
+    firsts = able.groupBy("set_id").agg(F.min("rank").alias("_first"))
+    nodes = able.join(firsts.select(F.col("_first").alias("rank")).hint("merge"), "rank", "left_semi")
+    gone = near_walk(nodes.select("rank", "sim_hi", "sim_lo", "hashes"), max_distance, min_jaccard)
+    copies = able.select("rank", "set_id").join(firsts.hint("merge"), "set_id").filter(F.col("rank") != F.col("_first")).select("rank")
+    out = gone.union(copies).withColumn("_gone", F.lit(True))
+    return docs.select("rank").join(out.hint("merge"), "rank", "left").select("rank", F.col("_gone").isNull().alias("kept"))
 
 
 def greedy_keep(nodes: DataFrame, pairs: DataFrame, rounds: int = 200) -> DataFrame:
@@ -92,11 +158,6 @@ def greedy_keep(nodes: DataFrame, pairs: DataFrame, rounds: int = 200) -> DataFr
     return nodes.join(state.hint("merge"), "rank", "left").withColumn("kept", F.coalesce("kept", F.lit(True)))
 
 
-def signatures(docs: DataFrame, size: int = 5) -> DataFrame:
-    """docs(doc_id, text) with shingles `s`, SimHash halves, and rank_key columns (n_chars, raw_sha)."""
-    return simhash(tx.with_shingles(docs, size), "s")
-
-
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges(a, b) -> (node, label): label is the smallest node reachable. Min-label propagation with label jumping."""
     both = staged(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")

@@ -27,7 +27,9 @@ CODE_SIGNS = (
     r"(?m)^\s*#(include|define|!/)",
 )
 CODE_SAMPLE = 16_384
-CODE_FILE = r"(?i)\.(c|cc|cpp|cs|css|go|h|hpp|html|java|js|json|jsx|kt|php|py|rb|rs|scala|sh|sql|swift|ts|tsx|xml|yaml|yml)$"
+#: File suffixes and words of a provenance that mean source code.
+CODE_SUFFIXES = "c cc cpp cs css go h hpp html java js jsx kt php py rb rs sh sql swift ts tsx vue".split()
+CODE_HINTS = ("codeparrot", "github", "starcoder", "the-stack", "source-code")
 
 
 def with_reject_reason(df: DataFrame, text: str = "text", out: str = "reject_reason", min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS, max_control: float = MAX_CONTROL, max_repetition: float = MAX_REPETITION) -> DataFrame:
@@ -46,10 +48,14 @@ def with_reject_reason(df: DataFrame, text: str = "text", out: str = "reject_rea
     return df.withColumn(out, F.when(F.length(raw) > max_chars, "too_long").otherwise(tx.let(tx.unix_lines(raw), rules)))
 
 
-def code_like(text: Column, source: Column) -> Column:
+def code_like(text: Column, source: Column, provenance: Column | None = None) -> Column:
+    """Source code by the source's file suffix (of its path, if it is a URL), a hint in source or other provenance, or two signs in the text's first characters."""
     sample = F.substring(text, 1, CODE_SAMPLE)
     signs = reduce(lambda a, b: a + b, [F.coalesce(sample.rlike(p).cast("int"), F.lit(0)) for p in CODE_SIGNS])
-    return F.coalesce(source.rlike(CODE_FILE), F.lit(False)) | (signs >= 2)
+    path = F.when(source.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), F.regexp_extract(source, r"^[^:]*://[^/?#]*([^?#]*)", 1)).otherwise(source)
+    file = path.rlike(rf"(?i)[^/]\.({'|'.join(CODE_SUFFIXES)})$")
+    hint = F.lower(F.concat_ws(" ", source, *([] if provenance is None else [provenance]))).rlike("|".join(CODE_HINTS))
+    return F.coalesce(file, F.lit(False)) | F.coalesce(hint, F.lit(False)) | (signs >= 2)
 
 
 def privacy_reasons(text: Column) -> Column:
@@ -82,6 +88,6 @@ def source_family(source: Column) -> Column:
 
 
 def exclude_groups(df: DataFrame, group: str, reasons: Column) -> DataFrame:
-    """Rows of groups in which no row has a reason."""
-    bad = df.filter(F.size(reasons) > 0).select(group).distinct()
-    return df.join(bad, group, "left_anti")
+    """Rows of groups in which no row has a reason; a null group is one too."""
+    bad = df.filter(F.size(reasons) > 0).select(F.col(group).alias("_group")).distinct()
+    return df.join(bad, F.col(group).eqNullSafe(F.col("_group")), "left_anti")

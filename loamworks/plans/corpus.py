@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import filters
 from ..registry import Register
-from ..sources.stages import spread, staged, table
+from ..sources.stages import shared_dir, spread, staged, table
 
 QUERIES = query = Register()
 
@@ -29,10 +31,23 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents"))
 
 
-@query("SELECT doc_id, source, n_chars, length(text) AS chars, coalesce(octet_length(encode(text)), 0) <= 8388608 AS fits FROM documents")
+@query("""SELECT coalesce(doc_id::VARCHAR, sha256(text)) AS doc_id, source, length(text) AS chars FROM documents WHERE text IS NOT NULL AND octet_length(encode(text)) <= 20000
+UNION ALL SELECT sha256(text), 'benchmark/' || item_id, length(text) FROM benchmark WHERE octet_length(encode(text)) <= 20000""")
 def src_documents(spark, sf_dir):
-    """Documents with the record size guard as a column."""
-    return docs(spark, sf_dir).select("doc_id", "source", "n_chars", F.length("text").alias("chars"), (F.coalesce(F.octet_length("text"), F.lit(0)) <= 8 * 1024 * 1024).alias("fits"))
+    """The corpus as JSON lines beside the benchmark as text files, read back by the readers; records over 20,000 bytes of text are refused."""
+    from ..sources import readers
+
+    base = f"{shared_dir(spark)}/raw-{uuid.uuid4().hex}"
+    d = docs(spark, sf_dir).filter("text IS NOT NULL")
+    blank = F.when(F.col("doc_id") % 5 == 0, "  ")  # blank lines, which the reader skips
+    lines = d.select(F.explode(F.array_compact(F.array(F.to_json(F.struct(F.col("doc_id").cast("string").alias("doc_id"), "source", "text")), blank))).alias("value"))
+    lines.write.text(f"{base}/lines")
+    table(spark, sf_dir, "benchmark").select("item_id", "text").write.partitionBy("item_id").option("lineSep", "\x00").text(f"{base}/files")
+    a = readers.json_lines(spark, f"{base}/lines")
+    b = readers.text_files(spark, f"{base}/files")
+    b = b.withColumn("source", F.concat(F.lit("benchmark/"), F.regexp_extract("source", "item_id=([0-9]+)", 1))).withColumn("text", F.rtrim(F.col("text"), F.lit("\x00")))
+    both = readers.identified(a.filter("state = 'ok'").select("doc_id", "source", "text").unionByName(b.select("doc_id", "source", "text")))
+    return readers.within(both, 20_000).select("doc_id", "source", F.length("text").cast("long").alias("chars"))
 
 
 @query("SELECT doc_id, coalesce(CASE WHEN doc_id % 7 <> 0 THEN doc_id::VARCHAR END, sha256(text)) AS stable_id FROM documents")
@@ -48,10 +63,15 @@ def src_parquet_project(spark, sf_dir):
     return docs(spark, sf_dir).select("text").agg(F.count("*").alias("documents"), F.sum(F.length("text")).alias("chars"), F.max(F.length("text")).cast("long").alias("longest"))
 
 
-@query("SELECT source FROM (SELECT DISTINCT source FROM documents) ORDER BY sha256('2026:' || source), source LIMIT 5")
+@query("""WITH p AS (SELECT source, count(*) AS documents, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY source) SELECT * FROM p ORDER BY sha256('2026:source=' || source), source LIMIT 5""")
 def src_file_sample(spark, sf_dir):
-    """A deterministic subset of inputs: the first five sources by seeded hash."""
-    return docs(spark, sf_dir).select("source").distinct().orderBy(F.sha2(F.concat(F.lit("2026:"), "source"), 256), "source").limit(5)
+    """A deterministic subset of files: the corpus is written as a folder a source, five folders are taken by seeded hash of their paths, and only these are read."""
+    from ..sources import readers
+
+    base = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    docs(spark, sf_dir).select("doc_id", "n_chars", "source").write.partitionBy("source").parquet(base)
+    paths = readers.sample_folders(spark, base, 5, 2026)
+    return spark.read.option("basePath", base).parquet(*paths).groupBy("source").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"))
 
 
 @query(rf"SELECT min(item_id) AS item_id, lower({SQUEEZED}) AS prompt, count(*) AS entries FROM benchmark WHERE octet_length(encode(text)) <= 65536 GROUP BY lower({SQUEEZED})")
@@ -68,20 +88,32 @@ def src_conversations(spark, sf_dir):
     return c.select("conv_id", F.size("m").cast("long").alias("turns"), F.array_join("m.role", ">").alias("roles"), F.aggregate("m", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("chars"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k') AS k, props IS NOT NULL AND json_valid(props) AS parsed FROM events")
+@query("""WITH e AS (SELECT event_id, event_type, CASE WHEN event_id % 97 = 0 THEN left(props, length(props) - 1) ELSE props END AS arguments FROM events)
+SELECT event_id, CASE WHEN json_valid(arguments) THEN 'ok' ELSE 'quarantined' END AS state, CASE WHEN json_valid(arguments) THEN 'user>assistant' END AS roles, CASE WHEN json_valid(arguments) THEN event_type END AS tool, CASE WHEN json_valid(arguments) THEN json_extract_string(arguments, '$.k') END AS k FROM e""")
 def src_function_call_rows(spark, sf_dir):
-    """JSON strings to typed columns; rows that don't parse are marked for quarantine."""
+    """Function-calling rows of JSON strings (query, tools, answers) to conversations; rows that don't parse go to a quarantine table. Every 97th row is broken here."""
+    from ..sources import readers
+
     e = table(spark, sf_dir, "events")
-    return e.select("event_id", F.get_json_object("props", "$.k").alias("k"), F.coalesce(F.try_parse_json("props").isNotNull(), F.lit(False)).alias("parsed"))
+    arguments = F.when(F.col("event_id") % 97 == 0, F.expr("left(props, length(props) - 1)")).otherwise(F.col("props"))
+    raw = e.select(
+        F.col("event_id").alias("row_id"), F.concat(F.lit("What did "), F.col("user_id"), F.lit(" do?")).alias("query"), F.to_json(F.array(F.struct(F.col("event_type").alias("name")))).alias("tools"),
+        F.concat(F.lit('[{"name":"'), F.col("event_type"), F.lit('","arguments":'), arguments, F.lit("}]")).alias("answers"),
+    )
+    good, bad = readers.function_calls(raw)
+    ok = good.select(F.col("row_id").alias("event_id"), F.lit("ok").alias("state"), F.array_join("messages.role", ">").alias("roles"), F.col("messages")[1]["tool_calls"][0]["name"].alias("tool"), F.get_json_object(F.col("messages")[1]["tool_calls"][0]["arguments"], "$.k").alias("k"))
+    none = F.lit(None).cast("string")
+    return ok.union(bad.select(F.col("row_id"), F.lit("quarantined"), none, none, none))
 
 
 @query("""SELECT user_id, event_id, step, event_type, least(total, 5) AS kept_steps FROM (
   SELECT user_id, event_id, event_type, row_number() OVER w AS step, count(*) OVER (PARTITION BY user_id) AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE step <= 5""")
 def src_web_action_rows(spark, sf_dir):
-    """Action lists per task, capped to five steps, one row a step."""
-    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("a"))
-    steps = e.select("user_id", F.least(F.size("a"), F.lit(5)).cast("long").alias("kept_steps"), F.posexplode(F.slice("a", 1, 5)).alias("p", "x"))
-    return steps.select("user_id", "x.event_id", (F.col("p") + 1).cast("long").alias("step"), "x.event_type", "kept_steps")
+    """Action lists per task, capped to five steps, one row a step. Later steps are pruned before the shuffle."""
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    total = e.groupBy(F.col("user_id").alias("_user")).agg(F.least(F.count("*"), F.lit(5)).cast("long").alias("kept_steps"))
+    steps = e.withColumn("step", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).filter("step <= 5")
+    return steps.join(total.hint("merge"), F.col("user_id").eqNullSafe(F.col("_user"))).select("user_id", "event_id", F.col("step").cast("long").alias("step"), "event_type", "kept_steps")
 
 
 @query("SELECT user_id, count(*) AS steps, string_agg(event_type, ' ' ORDER BY ts, event_id) AS actions, round(sum(value), 4) AS total FROM events GROUP BY user_id")
@@ -134,8 +166,12 @@ def prj_shingles(spark, sf_dir):
     return d.select("doc_id", F.size("s").cast("long").alias("shingles"), F.array_min(F.transform("s", lambda x: F.sha2(x, 256))).alias("least"))
 
 
-@query(r"""SELECT doc_id, (regexp_matches(t, '(?m)^\s*(def|class|import|from|function|interface)\s+\w+')::INT + regexp_matches(t, '(?m)^\s*(const|let|var)\s+\w+\s*=')::INT
-  + regexp_matches(t, '(?m)[{};]\s*(//.*)?$')::INT + regexp_matches(t, '(?m)^\s*#(include|define|!/)')::INT) >= 2 AS code_like FROM (SELECT doc_id, text[:16384] AS t FROM documents)""")
+CODE = r"""cl AS (SELECT doc_id, regexp_matches(source, '(?i)[^/]\.(c|cc|cpp|cs|css|go|h|hpp|html|java|js|jsx|kt|php|py|rb|rs|sh|sql|swift|ts|tsx|vue)$') OR regexp_matches(lower(source), 'codeparrot|github|starcoder|the-stack|source-code') OR
+  (regexp_matches(t, '(?m)^\s*(def|class|import|from|function|interface)\s+\w+')::INT + regexp_matches(t, '(?m)^\s*(const|let|var)\s+\w+\s*=')::INT
+  + regexp_matches(t, '(?m)[{};]\s*(//.*)?$')::INT + regexp_matches(t, '(?m)^\s*#(include|define|!/)')::INT) >= 2 AS code_like FROM (SELECT doc_id, source, text[:16384] AS t FROM documents))"""
+
+
+@query(f"WITH {CODE} SELECT doc_id, code_like FROM cl")
 def flt_code_like(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", filters.code_like(F.col("text"), F.col("source")).alias("code_like"))
 
@@ -158,20 +194,29 @@ CARDS = r"[regexp_replace(x, '[^0-9]', '', 'g') for x in regexp_extract_all(rege
 LUHN = "[x for x in {c} if list_sum([CASE WHEN (length(x) - i) % 2 = 1 THEN (CASE WHEN x[i]::INT > 4 THEN x[i]::INT * 2 - 9 ELSE x[i]::INT * 2 END) ELSE x[i]::INT END for i in generate_series(1, length(x))]) % 10 = 0 AND length(replace(x, x[1], '')) > 0]"
 
 
-@query(rf"""SELECT doc_id, regexp_matches(text, '{EMAIL_SQL}') AS email, regexp_matches(text, '(^|[^0-9])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}($|[^0-9])') AS ssn,
-  len({LUHN.replace("{c}", CARDS)}) > 0 AS payment_card FROM documents""")
+PHONE_SQL = filters.PHONE
+SECRET_SQL = filters.SECRET.replace("'", "''")
+REASONS = ("email", "labeled_phone", "labeled_secret", "payment_card", "ssn")
+FLAGS = rf"""regexp_matches(text, '{EMAIL_SQL}') AS email, regexp_matches(text, '{PHONE_SQL}') AS labeled_phone, regexp_matches(text, '{SECRET_SQL}') AS labeled_secret,
+  len({LUHN.replace("{c}", CARDS)}) > 0 AS payment_card, regexp_matches(text, '(^|[^0-9])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}($|[^0-9])') AS ssn"""
+
+
+@query(f"SELECT doc_id, {FLAGS} FROM documents")
 def flt_privacy(spark, sf_dir):
-    """Personal data per document (the reasons that the shared tables hold, as flags)."""
+    """Personal data per document, as a flag for each reason."""
     d = docs(spark, sf_dir).select("doc_id", filters.privacy_reasons(F.col("text")).alias("r"))
-    return d.select("doc_id", *[F.array_contains("r", k).alias(k) for k in ("email", "ssn", "payment_card")])
+    return d.select("doc_id", *[F.array_contains("r", k).alias(k) for k in REASONS])
 
 
-@query(rf"""WITH r AS (SELECT source, regexp_matches(text, '{EMAIL_SQL}') AS hit FROM documents)
-SELECT source, count(*) AS documents, count(*) FILTER (WHERE hit) AS with_email, bool_or(hit) AS excluded FROM r GROUP BY source""")
+@query(f"""WITH r AS (SELECT doc_id, source || ':' || (doc_id % 50) AS grp, {FLAGS} FROM documents), g AS (SELECT grp, count(*) AS documents, {", ".join(f"count(*) FILTER (WHERE {k}) AS {k}" for k in REASONS)}, bool_or({" OR ".join(REASONS)}) AS excluded FROM r GROUP BY grp)
+SELECT *, CASE WHEN excluded THEN 0 ELSE documents END AS retained FROM g""")
 def flt_privacy_group(spark, sf_dir):
-    """Whole sources go when one of their documents holds an e-mail address."""
-    d = docs(spark, sf_dir).select("source", F.array_contains(filters.privacy_reasons(F.col("text")), "email").alias("hit"))
-    return d.groupBy("source").agg(F.count("*").alias("documents"), F.count_if("hit").alias("with_email"), F.bool_or("hit").alias("excluded"))
+    """Whole groups (a source's documents with one remainder of doc_id by 50) go when any of their rows has a reason; rows and reasons of each group are counted."""
+    grp = F.concat(F.col("source"), F.lit(":"), F.col("doc_id") % 50)
+    d = staged(docs(spark, sf_dir).select(grp.alias("grp"), filters.privacy_reasons(F.col("text")).alias("r")), "reasons")
+    counts = d.groupBy("grp").agg(F.count("*").alias("documents"), *[F.count_if(F.array_contains("r", k)).alias(k) for k in REASONS], F.bool_or(F.size("r") > 0).alias("excluded"))
+    kept = filters.exclude_groups(d, "grp", F.col("r")).groupBy("grp").agg(F.count("*").alias("n"))
+    return counts.join(kept.hint("merge"), "grp", "left").select("grp", "documents", *REASONS, "excluded", F.coalesce("n", F.lit(0)).alias("retained"))
 
 
 @query(rf"SELECT item_id, lower({SQUEEZED}) AS prompt FROM benchmark")

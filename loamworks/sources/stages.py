@@ -13,9 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where the session names none."""
+    """The folder all executors share (spark.checkpoint.dir). A local session that names none gets a temporary one; on a cluster it is required."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -31,4 +33,4 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as there are cores: a table of few, large files would leave most of them idle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
