@@ -9,6 +9,9 @@ from ..functions.ranks import global_rank, rank_within
 from ..sources.stages import staged
 from . import dedup
 
+#: Rows up to which one side of a join is broadcast here.
+SMALL_SIDE = 100_000
+
 
 def decisions(conversations: DataFrame, role: str = "assistant") -> DataFrame:
     """One row per assistant turn: conv_id, turn, ordinal, decisions, with_system, chars, sha, stratum fields and id."""
@@ -48,34 +51,68 @@ def spread(ordered: DataFrame, coverage: int, n: int) -> DataFrame:
     return j.withColumn("place", F.when(F.col("pos") <= coverage, to).otherwise(F.col("_free"))).drop("_free")
 
 
-def capped_select(rows: DataFrame, order: list[str], cluster: str, template: str, cluster_cap: int, template_cap: int, most: int, rounds: int = 500) -> DataFrame:
-    """rows with `taken`: the walk in `order` that takes a row unless its cluster or template is full, cut at `most`.
+def capped_select(rows: DataFrame, order: list[str], cluster: str, template: str, cluster_cap: int, template_cap: int, most: int, least: int = 0, least_clusters: int = 0) -> DataFrame:
+    """rows with `state` of the walk in `order`: taken, cluster_full, template_full, or cut (behind the last of `most` taken rows).
 
-    Rounds: an undecided row that is within the remaining room of both its groups, counted among undecided rows, is taken; a
-    row of a full group is refused. The earliest undecided row is always decided. A row refused by one cap uses no room of the other.
+    Rounds: among undecided rows of groups with room, the first of each cluster and of each template are found, as many as
+    there is room for; what is among both is taken, and rows of full groups leave. The earliest undecided row is always
+    taken. Only the first `cap` rows of a group are ranked (the rest is pruned before the shuffle), so a hot cluster or
+    template is no task of its own. Fails when fewer than `least` rows or `least_clusters` clusters are taken. The order
+    must be total and without nulls; a null cluster or template is one too.
     """
-    w = lambda k: Window.partitionBy(k).orderBy(*order)
-    state = staged(rows.withColumn("_state", F.lit(0)), "capped")
-    for _ in range(rounds):
-        taken = F.count_if(F.col("_state") == 1)
-        open_ = F.when(F.col("_state") == 0, 1).otherwise(0)
-        s = state.withColumns({"_ca": taken.over(Window.partitionBy(cluster)), "_ta": taken.over(Window.partitionBy(template)), "_cr": F.sum(open_).over(w(cluster)), "_tr": F.sum(open_).over(w(template))})
-        room_c, room_t = F.lit(cluster_cap) - F.col("_ca"), F.lit(template_cap) - F.col("_ta")
-        new = F.when(F.col("_state") != 0, F.col("_state")).when((room_c <= 0) | (room_t <= 0), -1).when((F.col("_cr") <= room_c) & (F.col("_tr") <= room_t), 1).otherwise(0)
-        state = staged(s.withColumn("_state", new).drop("_ca", "_ta", "_cr", "_tr"), "capped")
-        if not state.filter("_state = 0").limit(1).count():
+    open_ = staged(rows.select(*order, F.col(cluster).alias("_c"), F.col(template).alias("_t")), "capped")
+    key = F.struct(*order)
+    taken = open_.limit(0)
+    caps = {"_c": cluster_cap, "_t": template_cap}
+
+    def with_counts(df: DataFrame, by: str) -> DataFrame:
+        n = taken.groupBy(F.col(by).alias("_g")).agg(F.count("*").alias("_n"))
+        hint = "broadcast" if n.limit(SMALL_SIDE + 1).count() <= SMALL_SIDE else "merge"
+        return df.join(n.hint(hint), F.col(by).eqNullSafe(F.col("_g")), "left").withColumn("_n", F.coalesce("_n", F.lit(0))).drop("_g")
+
+    while True:
+        firsts = []
+        for by, cap in caps.items():
+            ranked = open_.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("_k") <= cap)
+            firsts.append(with_counts(ranked, by).filter(F.col("_k") <= cap - F.col("_n")).select(*order, "_c", "_t"))
+        new = staged(firsts[0].join(firsts[1].select(*order).hint("merge"), order, "left_semi"), "capped-new")
+        taken = staged(taken.unionByName(new), "capped-taken")
+        open_ = open_.join(new.select(*order).hint("merge"), order, "left_anti")
+        for by, cap in caps.items():
+            open_ = with_counts(open_, by).filter(F.col("_n") < cap).drop("_n")
+        last = _nth(taken, order, most)
+        if last is not None:
+            open_ = open_.filter(key < last)  # what comes later is cut in any case
+        open_ = staged(open_, "capped")
+        if not open_.limit(1).count():
             break
-    else:
-        raise RuntimeError("not settled")
-    kept = state.filter("_state = 1").orderBy(*order).limit(most).select(*order)
-    mark = kept.withColumn("_t", F.lit(True))
-    return state.join(mark, order, "left").withColumn("taken", F.coalesce("_t", F.lit(False))).drop("_t", "_state")
+    last = _nth(taken, order, most)
+    if last is not None:
+        taken = taken.filter(key <= last)
+    n, clusters = taken.agg(F.count("*"), F.count_distinct(F.struct("_c"))).first()
+    if n < least or clusters < least_clusters:
+        raise ValueError(f"{n} rows of {clusters} clusters are taken, fewer than {least} of {least_clusters}")
+    full = taken.groupBy(F.col("_c").alias("_g")).agg(F.count("*").alias("_n"), F.max(key).alias("_at")).filter(F.col("_n") >= cluster_cap).select("_g", "_at")
+    out = rows.join(taken.select(*order, F.lit(True).alias("_taken")).hint("merge"), order, "left")
+    out = out.join(full.hint("broadcast" if full.limit(SMALL_SIDE + 1).count() <= SMALL_SIDE else "merge"), F.col(cluster).eqNullSafe(F.col("_g")), "left")
+    cut = F.lit(False) if last is None else key > last
+    state = F.when(F.col("_taken"), "taken").when(cut, "cut").when(F.col("_at") < key, "cluster_full").otherwise("template_full")
+    return out.withColumn("state", state).drop("_taken", "_g", "_at")
+
+
+def _nth(taken: DataFrame, order: list[str], n: int):
+    """The order columns of the n-th row, as a literal struct; None if there are fewer. One row reaches the driver."""
+    first = taken.select(*order).orderBy(*order).limit(n)
+    row = first.agg(F.count("*").alias("n"), F.max(F.struct(*order)).alias("m")).first()
+    return None if row.n < n else F.struct(*[F.lit(row.m[c]).alias(c) for c in order])
 
 
 def greedy_cover(strata: DataFrame, most: int) -> DataFrame:
-    """strata(row_id, h, stratum) -> (row_id, round): rows picked until every stratum is covered, most new strata first, then h.
+    """strata(row_id, h, stratum) -> (row_id, kind, pos): rows picked until every stratum is covered, most new strata first, then
+    h; then others in the order of h, up to `most` rows in all. pos is the place in the order of row_id.
 
-    Rows with the same strata are one candidate (their first by hash). A round brings one winner to the driver.
+    Rows with the same strata are one candidate (their first by hash). A round brings one winner to the driver. Fails if the
+    cover alone has more than `most` rows.
     """
     sets = strata.groupBy("row_id", "h").agg(F.array_sort(F.collect_set("stratum")).alias("set"))
     sets = sets.groupBy("set").agg(F.min(F.struct("h", "row_id")).alias("w")).select("set", "w.h", "w.row_id")
@@ -85,14 +122,16 @@ def greedy_cover(strata: DataFrame, most: int) -> DataFrame:
         best = left.groupBy("row_id", "h").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "h", "row_id").first()
         if best is None:
             break
-        picked.append((best.row_id, len(picked)))
+        picked.append((best.row_id, "cover"))
         if len(picked) > most:
             raise ValueError(f"a cover needs more than {most} rows")
         gone = left.filter(F.col("row_id") == best.row_id).select("stratum")
         left = staged(left.join(F.broadcast(gone), "stratum", "left_anti"), "cover")  # one row's strata
-    spark = strata.sparkSession
     kind = dict(strata.dtypes)["row_id"]
-    return spark.createDataFrame(picked, f"row_id {kind}, round int")
+    cover = strata.sparkSession.createDataFrame(picked, f"row_id {kind}, kind string")
+    rest = strata.groupBy("row_id").agg(F.min("h").alias("h")).join(F.broadcast(cover.select("row_id")), "row_id", "left_anti")  # `most` rows at most
+    fill = rest.orderBy("h", "row_id").limit(most - len(picked)).select("row_id", F.lit("fill").alias("kind"))
+    return global_rank(cover.union(fill), ["row_id"], "pos")
 
 
 def component_sides(members: DataFrame, row: str, key: str, percent: int) -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stages import staged
+
 from ..functions.ranks import global_rank
 
 MARK = "<|{}|>"
@@ -107,8 +109,9 @@ def rank_nodes(nodes: DataFrame, tasks: DataFrame, budget: int) -> DataFrame:
     tasks(page_id, task). The budget is filled by a running sum over the ranking; a node that doesn't fit ends it.
     """
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"(?U)\W+"), lambda w: w != ""))
+    nodes = staged(nodes, "nodes")  # pages are parsed once
     parents = nodes.select("page_id", F.col("node").alias("parent"), words(F.col("text")).alias("up"))
-    j = nodes.join(tasks, "page_id").join(parents, ["page_id", "parent"], "left")
+    j = nodes.join(tasks.hint("merge"), "page_id").join(parents.hint("merge"), ["page_id", "parent"], "left")
     goal = words(F.col("task"))
     j = j.select(
         "page_id", "node", "tag", "text", F.contains(F.lower("text"), F.lower("task")).cast("int").alias("phrase"), F.size(F.array_intersect(words(F.col("text")), goal)).alias("own"),

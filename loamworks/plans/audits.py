@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import contamination, filters, sampling
 from ..registry import Register
-from ..sources.stages import spread, table
+from ..sources.stages import spread, staged, table
 from .corpus import REASON, SQUEEZED
 from .dedup import COVER
 
@@ -49,13 +49,18 @@ def so_except(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id").exceptAll(table(spark, sf_dir, "labels").select("doc_id"))
 
 
-@query("SELECT 'conversations split by id' AS rule, 0::BIGINT AS shared, true AS ok")
+@query(f"""WITH f AS (SELECT conv_id, arg_min({PROMPT}, turn) AS prompt, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY conv_id),
+s AS (SELECT rule, prompt, CASE rule WHEN 'by first prompt' THEN ('0x' || substr(sha256('0:' || prompt), 1, 15))::BIGINT ELSE ('0x' || substr(sha256('0:' || conv_id), 1, 15))::BIGINT END % 100 < 30 AS e FROM f, (VALUES ('by first prompt'), ('by conversation')) v(rule)),
+g AS (SELECT rule, prompt, bool_or(e) AND bool_or(NOT e) AS shared, bool_or(e) AS e FROM s GROUP BY rule, prompt)
+SELECT rule, count(*) AS prompts, count(*) FILTER (WHERE e) AS eval_prompts, count(*) FILTER (WHERE shared) AS shared, count(*) FILTER (WHERE shared) = 0 AS ok FROM g GROUP BY rule""")
 def so_assert_disjoint(spark, sf_dir):
-    """Fails when two splits share a conversation; passing, it reports the empty overlap."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", F.when(sampling.bucket(F.col("conv_id")) < 10, "eval").otherwise("train").alias("side"))
-    shared = c.groupBy("conv_id").agg(F.count_distinct("side").alias("n")).agg(F.count_if(F.col("n") > 1).alias("shared"))
-    ok = F.assert_true(F.col("shared") == 0, "splits share rows").isNull()
-    return shared.select(F.lit("conversations split by id").alias("rule"), "shared", ok.alias("ok"))
+    """Prompts that two sides of a split share: conversations split by their first prompt share none, or the query fails; split by id, the shared ones are counted."""
+    first = table(spark, sf_dir, "conversations").filter("role = 'user'").withColumn("p", _prompt()).groupBy("conv_id").agg(F.min_by("p", "turn").alias("prompt"))
+    sides = [first.select(F.lit(rule).alias("rule"), "prompt", (sampling.bucket(F.col(c)) < 30).alias("e")) for rule, c in (("by first prompt", "prompt"), ("by conversation", "conv_id"))]
+    g = sides[0].union(sides[1]).groupBy("rule", "prompt").agg((F.bool_or("e") & F.bool_or(~F.col("e"))).alias("shared"), F.bool_or("e").alias("e"))
+    s = g.groupBy("rule").agg(F.count("*").alias("prompts"), F.count_if("e").alias("eval_prompts"), F.count_if("shared").alias("shared"))
+    ok = F.assert_true((F.col("shared") == 0) | (F.col("rule") != "by first prompt"), "splits share prompts").isNull()
+    return s.select("rule", "prompts", "eval_prompts", "shared", (ok & (F.col("shared") == 0)).alias("ok"))
 
 
 @query("""WITH v AS (SELECT event_type, user_id % 10 = 0 AS e, key || '=' || json_extract_string(props, '$.' || key) AS slot FROM (SELECT event_type, user_id, props, unnest(json_keys(props)) AS key FROM events)),
@@ -83,12 +88,24 @@ def so_template_leak(spark, sf_dir):
     return s.agg(F.count_if("e").alias("templates"), F.count_if(F.col("e") & F.col("t")).alias("leaked"))
 
 
-@query(f"{COVER} SELECT lang AS training_table, count(DISTINCT c.item_id) AS matched_items, count(DISTINCT c.doc_id) AS matched_documents FROM documents LEFT JOIN c USING (doc_id) GROUP BY lang")
+TEMPLATE = r"trim(regexp_replace(regexp_replace(lower({t}), '[0-9]+', '<arg>', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(f"""{COVER}, ln AS (SELECT DISTINCT lang, {TEMPLATE.format(t="x")} AS template FROM (SELECT lang, unnest(string_split(text, chr(10))) AS x FROM documents)),
+it AS (SELECT item_id, {TEMPLATE.format(t="text")} AS template FROM benchmark), tm AS (SELECT ln.lang, count(DISTINCT item_id) AS n FROM ln JOIN it USING (template) GROUP BY ln.lang)
+SELECT lang AS training_table, count(DISTINCT c.item_id) AS matched_items, count(DISTINCT c.doc_id) AS matched_documents, any_value(coalesce(tm.n, 0)) AS matched_templates, count(DISTINCT c.item_id) + any_value(coalesce(tm.n, 0)) = 0 AS ok FROM documents LEFT JOIN c USING (doc_id) LEFT JOIN tm USING (lang) GROUP BY lang""")
 def so_fresh_slice(spark, sf_dir):
-    """A fresh slice (benchmark) against each training table (language), one audit row a table."""
-    c = contamination.shingle_cover(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("training_table")).join(c.withColumnRenamed("doc_id", "_d"), F.col("doc_id") == F.col("_d"), "left")
-    return d.groupBy("training_table").agg(F.count_distinct("item_id").alias("matched_items"), F.count_distinct("_d").alias("matched_documents"))
+    """A fresh slice (benchmark) against each training table (language): items that a document covers, and items whose template (digits replaced) is a line of one. A table with any isn't ok."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    c = staged(contamination.shingle_cover(docs, items).withColumnRenamed("doc_id", "_d"), "fresh")
+    d = docs.select("doc_id", F.col("lang").alias("training_table")).join(c.hint("merge"), F.col("doc_id") == F.col("_d"), "left")
+    d = d.groupBy("training_table").agg(F.count_distinct("item_id").alias("matched_items"), F.count_distinct("_d").alias("matched_documents"))
+    template = lambda t: F.trim(F.regexp_replace(F.regexp_replace(F.lower(t), "[0-9]+", "<arg>"), r"\s+", " "))
+    wanted = staged(items.select("item_id", template(F.col("text")).alias("template")), "templates")
+    lines = docs.select("lang", F.explode(F.split("text", "\n")).alias("x")).select("lang", template(F.col("x")).alias("template"))
+    t = lines.join(wanted.hint("merge"), "template").groupBy("lang").agg(F.count_distinct("item_id").alias("matched_templates"))
+    j = d.join(F.broadcast(t), F.col("training_table").eqNullSafe(F.col("lang")), "left").withColumn("matched_templates", F.coalesce("matched_templates", F.lit(0)))  # a row a table
+    return j.select("training_table", "matched_items", "matched_documents", "matched_templates", (F.col("matched_items") + F.col("matched_templates") == 0).alias("ok"))
 
 
 @query(f"SELECT conv_id, turn FROM conversations WHERE role = 'user' AND {PROMPT} NOT IN (SELECT {PROMPT} FROM conversations WHERE role = 'user' AND conv_id % 20 = 0)")
@@ -125,8 +142,6 @@ def so_partition_union(spark, sf_dir):
 @query("SELECT 0::BIGINT AS only_saved, 0::BIGINT AS only_rebuilt, count(*) AS audit_rows FROM (SELECT source FROM documents GROUP BY source)")
 def so_frozen_verify(spark, sf_dir):
     """An audit record rebuilt from reordered rows and compared with the saved one, both ways."""
-    from ..sources.stages import staged
-
     build = lambda df: df.groupBy("source").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"), F.bit_xor(tx.hash60(F.col("doc_id"))).alias("fp"))
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     saved, again = staged(build(d), "audit"), build(d.repartition(7, "doc_id"))
@@ -142,13 +157,13 @@ def snk_partitioned_views(spark, sf_dir):
     return sinks.partitioned_views(table(spark, sf_dir, "documents"), ["lang"]).groupBy("source", "lang").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"))
 
 
-@query(f"SELECT count(*) AS rows, sum(n_chars)::BIGINT AS chars, count(DISTINCT doc_id) AS ids FROM documents WHERE {REASON} IS NULL")
+@query(f"SELECT count(*) AS rows, sum(n_chars)::BIGINT AS chars, count(DISTINCT doc_id) AS ids, bit_xor(('0x' || substr(sha256(doc_id || ':' || sha256(text)), 1, 15))::BIGINT) AS fingerprint, sum(octet_length(encode(text)))::BIGINT AS bytes FROM documents WHERE {REASON} IS NULL")
 def snk_filtered(spark, sf_dir):
-    """Retained documents written as canonical JSON lines and read back."""
+    """Retained documents written as canonical JSON lines and read back, with an identity of what was read that no order changes."""
     from ..sources import sinks
 
     kept = filters.with_reject_reason(spread(table(spark, sf_dir, "documents"))).filter("reject_reason IS NULL").drop("reject_reason")
-    return sinks.json_lines(kept).agg(F.count("*").alias("rows"), F.sum("n_chars").alias("chars"), F.count_distinct("doc_id").alias("ids"))
+    return sinks.json_lines(kept).agg(F.count("*").alias("rows"), F.sum("n_chars").alias("chars"), F.count_distinct("doc_id").alias("ids"), F.bit_xor(tx.hash60(F.col("doc_id"), F.sha2("text", 256))).alias("fingerprint"), F.sum(F.octet_length("text")).alias("bytes"))
 
 
 @query(f"WITH {SIDES} SELECT count(DISTINCT digest) AS pool_rows, 0::BIGINT AS added_again FROM d")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import quantiles
 from ..operators import resampling
 from ..operators.retrieval import cosine_topk
 from ..operators.scoring import name_overlap, pass_hat, ratio, same_calls, sign_test
@@ -284,14 +285,16 @@ def ev_surface_delta(spark, sf_dir):
 
 @query(f"WITH {LATENCY} SELECT family, round(quantile_cont(ms, 0.5), 6) AS p50, round(quantile_cont(ms, 0.9), 6) AS p90 FROM attempts GROUP BY family")
 def st_percentile(spark, sf_dir):
-    return attempts(spark, sf_dir).groupBy("family").agg(F.round(F.percentile("ms", 0.5), 6).alias("p50"), F.round(F.percentile("ms", 0.9), 6).alias("p90"))
+    q = quantiles(attempts(spark, sf_dir), "family", "ms", {"p50": 0.5, "p90": 0.9})
+    return q.select("family", *[F.round(k, 6).alias(k) for k in ("p50", "p90")])
 
 
 @query(f"WITH {LATENCY} SELECT count(*) AS n, min(ms) AS low, round(avg(ms), 6) AS mean, round(quantile_cont(ms, 0.5), 6) AS p50, round(quantile_cont(ms, 0.9), 6) AS p90, round(quantile_cont(ms, 0.95), 6) AS p95, round(quantile_cont(ms, 0.99), 6) AS p99, max(ms) AS high FROM attempts")
 def st_latency(spark, sf_dir):
-    p = F.percentile("ms", [0.5, 0.9, 0.95, 0.99])
-    s = attempts(spark, sf_dir).agg(F.count("*").alias("n"), F.min("ms").alias("low"), F.round(F.avg("ms"), 6).alias("mean"), p.alias("p"), F.max("ms").alias("high"))
-    return s.select("n", "low", "mean", *[F.round(F.col("p")[i], 6).alias(k) for i, k in enumerate(("p50", "p90", "p95", "p99"))], "high")
+    a = attempts(spark, sf_dir).withColumn("every", F.lit(1))
+    q = quantiles(a, "every", "ms", {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}).drop("every")
+    s = a.agg(F.count("*").alias("n"), F.min("ms").alias("low"), F.round(F.avg("ms"), 6).alias("mean"), F.max("ms").alias("high"))
+    return s.crossJoin(F.broadcast(q)).select("n", "low", "mean", *[F.round(k, 6).alias(k) for k in ("p50", "p90", "p95", "p99")], "high")  # one row each
 
 
 DEADLINE = "count(*) AS n, round(avg((ms <= d)::INT), 6) AS on_time, round(avg((exact AND valid AND ms <= d)::INT), 6) AS success_at_deadline, round(count(*) FILTER (WHERE exact AND valid AND ms <= d) / nullif(sum(ms) / 60000, 0), 6) AS useful_per_minute"

@@ -127,11 +127,15 @@ def or_top_per_group(spark, sf_dir):
     return d.join(first, "doc_id", "left").orderBy(F.coalesce("lead", F.lit(1)), "h", "doc_id").limit(50).select("doc_id")
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT doc_id, source, lang, row_number() OVER (ORDER BY sha256('6:' || doc_id), doc_id) AS i FROM documents),
+walk AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS cl, []::VARCHAR[] AS tl, NULL::BIGINT AS doc_id, NULL::VARCHAR AS source, NULL::VARCHAR AS lang, NULL::VARCHAR AS state
+UNION ALL SELECT i, CASE WHEN state = 'taken' THEN list_append(cl, source) ELSE cl END, CASE WHEN state = 'taken' THEN list_append(tl, lang) ELSE tl END, doc_id, source, lang, state FROM
+  (SELECT r.*, walk.cl, walk.tl, CASE WHEN len(cl) = 30 THEN 'cut' WHEN len([x for x in cl if x = r.source]) >= 3 THEN 'cluster_full' WHEN len([x for x in tl if x = r.lang]) >= 10 THEN 'template_full' ELSE 'taken' END AS state FROM walk JOIN r ON r.i = walk.i + 1))
+SELECT doc_id, source, lang, state FROM walk WHERE i > 0""")
 def sm_capped_select(spark, sf_dir):
-    """Seeded walk under two caps: three a source, a quarter of the most a language."""
+    """Seeded walk under two caps, three a source and ten a language, up to 30 rows; at least 20 of five sources, or it fails. Why the others were skipped is told."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", _h(6).alias("h"))
-    return ordering.capped_select(d, ["h", "doc_id"], "source", "lang", 3, 10, 30).select("doc_id", "source", "lang", "taken")
+    return ordering.capped_select(d, ["h", "doc_id"], "source", "lang", 3, 10, 30, 20, 5).select("doc_id", "source", "lang", "state")
 
 
 STRATA = "SELECT doc_id, unnest(['lang:' || lang, 'source:' || source, 'size:' || floor(ln(n_chars + 1))::INT]) AS stratum FROM documents"
@@ -142,10 +146,14 @@ def _strata(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", _h(8).alias("h"), F.explode(s).alias("stratum"))
 
 
-@query()
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, sha256('8:' || doc_id) AS h, list(stratum) AS st FROM ({STRATA}) GROUP BY doc_id),
+walk AS (SELECT 0::BIGINT AS round, []::VARCHAR[] AS got, NULL::BIGINT AS doc_id UNION ALL
+  (SELECT walk.round + 1, list_concat(walk.got, d.st), d.doc_id FROM walk, d WHERE len([x for x in d.st if NOT list_contains(walk.got, x)]) > 0 ORDER BY len([x for x in d.st if NOT list_contains(walk.got, x)]) DESC, d.h, d.doc_id LIMIT 1)),
+c AS (SELECT doc_id, 'cover' AS kind FROM walk WHERE round > 0), o AS (SELECT doc_id, row_number() OVER (ORDER BY h, doc_id) AS k FROM d WHERE doc_id NOT IN (SELECT doc_id FROM c)),
+u AS (SELECT * FROM c UNION ALL SELECT doc_id, 'fill' FROM o WHERE k <= 100 - (SELECT count(*) FROM c)) SELECT doc_id, kind, row_number() OVER (ORDER BY doc_id) AS pos FROM u""")
 def sm_cover(spark, sf_dir):
-    """Greedy cover of all strata, ties by hash."""
-    return ordering.greedy_cover(_strata(spark, sf_dir).withColumnRenamed("doc_id", "row_id"), 200).select(F.col("row_id").alias("doc_id"), "round")
+    """Greedy cover of all strata, ties by hash, filled up by hash to 100 rows, in source order."""
+    return ordering.greedy_cover(_strata(spark, sf_dir).withColumnRenamed("doc_id", "row_id"), 100).select(F.col("row_id").alias("doc_id"), "kind", "pos")
 
 
 @query(f"SELECT stratum, count(*) AS documents FROM ({STRATA}) GROUP BY stratum")
@@ -177,7 +185,10 @@ def sm_split_prompt_byte(spark, sf_dir):
     return p.select("conv_id", (F.conv(F.substring(F.sha2(F.lower("p"), 256), 1, 2), 16, 10).cast("int") % 10 == 0).alias("held_out"))
 
 
-@query()
+@query("""WITH RECURSIVE l AS (SELECT DISTINCT doc_id, x AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) WHERE length(x) > 40),
+m AS (SELECT line, min(doc_id) AS a FROM l GROUP BY line), e AS (SELECT DISTINCT a, doc_id AS b FROM l JOIN m USING (line) WHERE a <> doc_id), both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+cc(node, label) USING KEY (node) AS (SELECT doc_id, doc_id FROM documents UNION SELECT u.node, min(v.label) FROM recurring.cc u JOIN both_ways w ON w.a = u.node JOIN cc v ON v.node = w.b WHERE v.label < u.label GROUP BY u.node)
+SELECT node AS doc_id, label, CASE WHEN ('0x' || substr(sha256(label::VARCHAR), 1, 8))::BIGINT % 100 < 10 THEN 'eval' ELSE 'train' END AS side FROM cc""")
 def sm_split_components(spark, sf_dir):
     """Documents that share a line of over 40 characters move together."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("l")).filter(F.length("l") > 40).select("doc_id", F.sha2("l", 256).alias("key")).distinct()

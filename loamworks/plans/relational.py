@@ -102,14 +102,17 @@ def jn_oracle_candidates(spark, sf_dir):
     return c.filter((F.size("g") > 0) & (F.size("p") > 0)).select("case_id", F.size(F.array_except("g", "p")).cast("long").alias("missing"))
 
 
-SEEN = "t AS (SELECT conv_id, turn, role, right(text, 400) AS tail FROM conversations)"
+SEEN = "t AS (SELECT doc_id, lang, source, right(text, 400) AS tail FROM documents), tr AS (SELECT * FROM t WHERE doc_id % 5 <> 0)"
 
 
-@query(f"WITH {SEEN} SELECT conv_id, turn FROM t WHERE conv_id % 5 = 0 AND EXISTS (SELECT 1 FROM t x WHERE x.conv_id % 5 <> 0 AND x.tail = t.tail AND x.role = t.role)")
+@query(f"WITH {SEEN} SELECT doc_id, EXISTS (SELECT 1 FROM tr WHERE tr.tail = t.tail AND tr.lang = t.lang AND tr.source = t.source) AS same_arguments FROM t WHERE doc_id % 5 = 0 AND EXISTS (SELECT 1 FROM tr WHERE tr.tail = t.tail AND tr.lang = t.lang)")
 def jn_semi_seen(spark, sf_dir):
-    """Held-out turns whose last 400 characters and role occur in the training conversations."""
-    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.right("text", F.lit(400)).alias("tail"))
-    return t.filter("conv_id % 5 = 0").join(t.filter("conv_id % 5 <> 0"), ["tail", "role"], "left_semi").select("conv_id", "turn")
+    """Held-out rows whose last 400 characters (observation) and lang (tool) occur in training rows; the second pass asks for the same source (arguments) too."""
+    t = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.sha2(F.right("text", F.lit(400)), 256).alias("tail"))
+    train = t.filter("doc_id % 5 <> 0").select("tail", "lang", "source").distinct()
+    seen = t.filter("doc_id % 5 = 0").join(train.select("tail", "lang").distinct(), ["tail", "lang"], "left_semi")
+    same = train.withColumn("hit", F.lit(True))
+    return seen.join(same, ["tail", "lang", "source"], "left").select("doc_id", F.coalesce("hit", F.lit(False)).alias("same_arguments"))
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem t WHERE l_orderkey % 10 = 0 AND NOT EXISTS (SELECT 1 FROM lineitem x WHERE x.l_orderkey % 10 <> 0 AND x.l_partkey = t.l_partkey AND x.l_suppkey = t.l_suppkey AND x.l_returnflag = t.l_returnflag)")

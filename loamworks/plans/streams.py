@@ -8,7 +8,7 @@ from ..functions import text as tx
 from ..registry import Register
 from ..sources.stages import table
 from ..streaming import jobs
-from .corpus import EMAIL_SQL, REASON, SQUEEZED
+from .corpus import FLAGS, REASON, REASONS, SQUEEZED
 from .dedup import ENTRY
 
 QUERIES = query = Register()
@@ -31,17 +31,35 @@ def ss_resume_source(spark, sf_dir):
     return got.groupBy("source").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"))
 
 
-@query("""SELECT strftime(time_bucket(INTERVAL 1 day, ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n, count(*) FILTER (WHERE value <= 50) AS on_time, count(*) FILTER (WHERE value <= 50 AND event_id % 3 <> 0 AND event_type <> 'error') AS successes
-FROM events GROUP BY 1, time_bucket(INTERVAL 1 day, ts) HAVING time_bucket(INTERVAL 1 day, ts) + INTERVAL 1 day <= (SELECT max(ts) FROM events) - INTERVAL 1 hour""")
+def _in_time(spark, sf_dir):
+    """Events in three parts by time, then a late part: every 40th event of the first third, long behind the watermark by then."""
+    e = table(spark, sf_dir, "events")
+    low, high = e.agg(F.min("ts").cast("timestamp").cast("double"), F.max("ts").cast("timestamp").cast("double")).first()
+    third = F.least(F.floor((F.col("ts").cast("timestamp").cast("double") - low) * 3 / max(high - low, 1e-9)), F.lit(2))
+    late = (third == 0) & (F.col("event_id") % 40 == 0)
+    return jobs.arriving(spark, [e.filter((third == i) & ~late) for i in range(3)] + [e.filter(late)])
+
+
+#: Events that aren't late: a third is a third of the time between the first and the last event.
+ON_TIME = "b AS (SELECT min(epoch(ts)) AS low, max(epoch(ts)) AS high FROM events), ev AS (SELECT events.* FROM events, b WHERE NOT (least(floor((epoch(ts) - low) * 3 / greatest(high - low, 1e-9)), 2) = 0 AND event_id % 40 = 0))"
+
+
+@query(f"""WITH {ON_TIME} SELECT strftime(time_bucket(INTERVAL 1 day, ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n, count(*) FILTER (WHERE value <= 50) AS on_time, count(*) FILTER (WHERE value <= 50 AND event_id % 3 <> 0 AND event_type <> 'error') AS successes
+FROM ev GROUP BY 1, time_bucket(INTERVAL 1 day, ts) HAVING time_bucket(INTERVAL 1 day, ts) + INTERVAL 1 day <= (SELECT max(ts) FROM ev) - INTERVAL 1 hour""")
 def ss_deadline_window(spark, sf_dir):
-    return jobs.Job(spark, "windows").append(jobs.deadline_windows(jobs.source(spark, sf_dir, "events", 100_000), 50.0))
+    """Daily windows over four micro-batches; the last brings rows behind the watermark, which are dropped. A second run on the checkpoint adds nothing."""
+    job, events = jobs.Job(spark, "windows"), _in_time(spark, sf_dir)
+    for _ in range(2):
+        out = job.append(jobs.deadline_windows(events, 50.0))
+    return out
 
 
-@query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 hours THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+@query(f"""WITH {ON_TIME}, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 hours THEN 0 ELSE 1 END AS new FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g)
-SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS steps, round(sum(value), 4) AS total FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 6 hours <= (SELECT max(ts) FROM events) - INTERVAL 1 hour""")
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS steps, round(sum(value), 4) AS total FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 6 hours <= (SELECT max(ts) FROM ev) - INTERVAL 1 hour""")
 def ss_sessions(spark, sf_dir):
-    return jobs.Job(spark, "sessions").append(jobs.sessions(jobs.source(spark, sf_dir, "events", 100_000)))
+    """Sessions of users over the same four micro-batches; late rows open none."""
+    return jobs.Job(spark, "sessions").append(jobs.sessions(_in_time(spark, sf_dir)))
 
 
 @query("""WITH s AS (SELECT source, sum(n_chars)::BIGINT AS served FROM documents GROUP BY source), t AS (SELECT *, sum(served) OVER () / count(*) OVER () AS entitled FROM s)
@@ -59,15 +77,9 @@ def ss_mixture_state(spark, sf_dir):
     return t.select("source", "served", F.round("gap", 4).alias("deficit"), (F.col("gap") == F.max("gap").over(w)).alias("next"))
 
 
-@query(f"SELECT d.doc_id, (SELECT count(*) FROM (SELECT DISTINCT {ENTRY} AS entry FROM benchmark) e WHERE contains(d.t, e.entry)) AS entries, private FROM (SELECT doc_id, {ENTRY} AS t, regexp_matches(text, '{EMAIL_SQL}') AS private FROM documents) d")
+@query(f"""WITH r AS (SELECT doc_id, {ENTRY} AS t, {FLAGS} FROM documents), h AS (SELECT r.*, (SELECT count(*) FROM (SELECT DISTINCT {ENTRY} AS entry FROM benchmark) e WHERE contains(r.t, e.entry)) AS entries FROM r)
+SELECT doc_id, entries, concat_ws(',', {", ".join(f"CASE WHEN {k} THEN '{k}' END" for k in REASONS)}) AS reasons, entries = 0 AND NOT ({" OR ".join(REASONS)}) AS kept FROM h""")
 def ss_screen(spark, sf_dir):
-    """Arriving documents against the static denylist and for e-mail addresses."""
-    from ..operators import filters
-
+    """Arriving documents against the static denylist and all privacy rules."""
     deny = table(spark, sf_dir, "benchmark").select(F.lower(tx.squeeze(F.col("text"))).alias("entry"))
-
-    def each(batch):
-        private = batch.select("doc_id", F.array_contains(filters.privacy_reasons(F.col("text")), "email").alias("private"))
-        return jobs.screen(batch, deny).drop("private").join(private, "doc_id")
-
-    return jobs.Job(spark, "screen").batches(jobs.source(spark, sf_dir, "documents"), each).drop("batch")
+    return jobs.Job(spark, "screen").batches(jobs.source(spark, sf_dir, "documents"), lambda batch: jobs.screen(batch, deny)).drop("batch")

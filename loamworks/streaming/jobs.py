@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import contamination, filters
-from ..sources.stages import shared_dir
+from ..sources.stages import shared_dir, staged
 
 WATERMARK = "1 hour"
 
@@ -27,6 +27,14 @@ def source(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 4
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
+def arriving(spark: SparkSession, parts: list[DataFrame], files: int = 2) -> DataFrame:
+    """The parts as a stream, in the order given: each is written as files of its own, and a micro-batch takes one part."""
+    base = f"{shared_dir(spark)}/arriving-{uuid.uuid4().hex}"
+    for i, part in enumerate(parts):
+        part.repartition(files).write.option("maxRecordsPerFile", 0).parquet(f"{base}/part={i}")
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files).parquet(f"{base}/part=*")
+
+
 class Job:
     """Where a job keeps its output and its checkpoint; the same job object can be run again."""
 
@@ -74,7 +82,8 @@ def pool(documents: DataFrame) -> DataFrame:
 
 
 def screen(batch: DataFrame, denylist: DataFrame) -> DataFrame:
-    """A batch of documents against a static denylist and the privacy rules."""
-    d = batch.select("doc_id", F.size(filters.privacy_reasons(F.col("text"))).alias("privacy"), F.lower(tx.squeeze(F.col("text"))).alias("t")).persist()
-    hits = contamination.contained(d, denylist).groupBy("doc_id").agg(F.count("*").alias("entries"))
-    return d.join(hits, "doc_id", "left").select("doc_id", F.coalesce("entries", F.lit(0)).alias("entries"), (F.col("privacy") > 0).alias("private"))
+    """A batch of documents against a static denylist and the privacy rules: entries found, reasons, and whether the document stays."""
+    d = staged(batch.select("doc_id", filters.privacy_reasons(F.col("text")).alias("reasons"), F.lower(tx.squeeze(F.col("text"))).alias("t")), "batch")
+    hits = contamination.contained(d, denylist).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("entries"))
+    j = d.join(hits.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").withColumn("entries", F.coalesce("entries", F.lit(0)))
+    return j.select("doc_id", "entries", F.array_join("reasons", ",").alias("reasons"), ((F.col("entries") == 0) & (F.size("reasons") == 0)).alias("kept"))

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loamworks.functions import text as tx
+from loamworks.functions.quantiles import quantiles
 from loamworks.functions.ranks import global_rank, rank_within
 from loamworks.operators import contamination, dedup, filters, ordering, rendering, retrieval, sampling
 from loamworks.operators.scoring import pass_hat, same_calls, sign_test
@@ -42,8 +43,73 @@ def test_source_family_and_prompts(spark):
 
 def test_code_like(spark):
     code = "import os\nx = {\n};\nconst y = 1\n"
-    got = spark.createDataFrame([(code, "a"), ("plain text", "b.py"), ("plain text", "b")], "t string, s string").select(filters.code_like(F.col("t"), F.col("s")).alias("c")).collect()
-    assert [r.c for r in got] == [True, True, False]
+    rows = [(code, "a", None, True), ("plain text", "b.py", None, True), ("plain text", "b", None, False), ("t", "dir/App.VUE", None, True), ("t", "data.json", None, False), ("t", "https://x.org/a/b.ts?raw=1", None, True), ("t", "https://x.org.py/a", None, False), ("t", "hf://GitHub-files", None, True), ("t", "x", "StarCoder en", True), (None, None, None, False), ("t", ".py", None, False)]
+    df = spark.createDataFrame(rows, "t string, s string, p string, want boolean")
+    got = df.select(filters.code_like(F.col("t"), F.col("s"), F.col("p")).alias("c"), "want").collect()
+    assert [r.c for r in got] == [r.want for r in got]
+
+
+def test_groups_with_any_reason_go_whole(spark):
+    rows = [("a", ["email"]), ("a", []), ("b", []), (None, []), ("c", ["ssn", "email"]), ("b", [])]
+    df = spark.createDataFrame(rows, "g string, r array<string>")
+    assert Counter(r.g for r in filters.exclude_groups(df, "g", F.col("r")).collect()) == {"b": 2, None: 1}
+    assert Counter(r.g for r in filters.exclude_groups(df.union(spark.createDataFrame([(None, ["ssn"])], df.schema)), "g", F.col("r")).collect()) == {"b": 2}
+
+
+def test_exact_winners_of_nulls_ties_and_repeats(spark):
+    rows = [("x", 3, "s"), ("x", 1, "s"), ("x", 1, "s"), ("x", None, "b"), (None, 5, "q"), (None, 4, "q"), (None, 4, "q"), ("y", None, None), ("y", None, None)]
+    df = spark.createDataFrame(rows, "digest string, i int, s string")
+    assert sorted(map(tuple, dedup.exact_winners(df, ["i", "s"]).collect()), key=str) == sorted([("x", None, "b"), (None, 4, "q"), ("y", None, None)], key=str)
+    assert dedup.exact_winners(df.limit(0), ["i"]).count() == 0
+
+
+def plain_walk(nodes, distance=3, share=0.95):
+    """nodes [(able, signature, set)] in rank order -> whether each is kept, as told: gone iff an earlier kept one matches."""
+    kept = []
+    for i, (able, sig, s) in enumerate(nodes):
+        gone = able and any(k and nodes[j][0] and bin(sig ^ nodes[j][1]).count("1") <= distance and len(s & nodes[j][2]) >= share * len(s | nodes[j][2]) for j, k in enumerate(kept))
+        kept.append(not gone)
+    return kept
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_near_walk_equals_the_plain_one_with_equal_signatures(spark, seed):
+    """Few signatures, many sets under each: chains, stars, copies and sets that only meet under another's signature."""
+    rnd = random.Random(seed)
+    base = [set(rnd.sample(range(10_000), 60)) for _ in range(3)]
+    sigs = [rnd.getrandbits(64) for _ in range(3)]
+    nodes = []
+    for _ in range(90):
+        b = rnd.randrange(3)
+        s = set(base[b])
+        for _ in range(rnd.randint(0, 5)):
+            s.discard(rnd.choice(sorted(s)))
+            s.add(20_000 + rnd.randrange(6))
+        sig = sigs[b] ^ sum(1 << k for k in rnd.sample(range(64), rnd.choice((0, 0, 0, 1, 2, 5))))
+        nodes.append((rnd.random() < 0.9, sig, frozenset(s)))
+    signed = lambda x: x - 2**63 * 2 if x >= 2**63 else x
+    rows = [(i, able, sig >> 32, sig & 0xFFFFFFFF, sorted(s), str(sorted(s))) for i, (able, sig, s) in enumerate(nodes)]
+    # Equal sets have equal signatures, as those computed from them do.
+    first = {}
+    rows = [(i, a, *first.setdefault(k, (hi, lo)), s, k) for i, a, hi, lo, s, k in rows]
+    nodes = [(a, (hi << 32) | lo, frozenset(s)) for _, a, hi, lo, s, _ in rows]
+    df = spark.createDataFrame(rows, "rank long, able boolean, sim_hi long, sim_lo long, hashes array<long>, set_id string").repartition(5)
+    got = {r["rank"]: r.kept for r in dedup.near_keep(df).collect()}
+    want = plain_walk(nodes)
+    assert [got[i] for i in range(len(nodes))] == want and 5 < sum(want) < 85
+
+
+def test_signatures_of_texts(spark):
+    from hashlib import sha256
+
+    texts = [" ".join(f"w{i}" for i in range(40)), "one", "", None, "A b  c d e F g"]
+    got = dedup.signatures(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")).orderBy("doc_id").collect()
+    for r, t in zip(got, texts):
+        toks = (t or "").lower().split()
+        s = {" ".join(toks[i : i + 5]) for i in range(len(toks) - 4)} or ({" ".join(toks)} if toks else set())
+        hs = [int.from_bytes(sha256(x.encode()).digest()[:8], "big") for x in s]
+        sim = sum((2 * sum(h >> b & 1 for h in hs) >= len(hs)) << b for b in range(64)) if hs else 0
+        assert (r.sim_hi << 32 | r.sim_lo) == sim and max(r.features, 0) == len(hs) and sorted(h % 2**64 for h in r.hashes or []) == sorted(hs)
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -69,9 +135,9 @@ def test_near_duplicates_chain(spark):
 def test_band_pairs_find_all_within_three_bits(spark):
     rnd = random.Random(5)
     base = [rnd.getrandbits(64) for _ in range(30)]
-    sigs = base + [b ^ sum(1 << k for k in rnd.sample(range(64), rnd.randint(1, 4))) for b in base for _ in range(2)]
+    sigs = base + base[:3] + [b ^ sum(1 << k for k in rnd.sample(range(64), rnd.randint(1, 4))) for b in base for _ in range(2)]
     df = spark.createDataFrame([(i, s >> 32, s & 0xFFFFFFFF) for i, s in enumerate(sigs)], "rank long, sim_hi long, sim_lo long")
-    want = {(i, j) for i in range(len(sigs)) for j in range(i + 1, len(sigs)) if 0 < bin(sigs[i] ^ sigs[j]).count("1") <= 3}
+    want = {(i, j) for i in range(len(sigs)) for j in range(i + 1, len(sigs)) if bin(sigs[i] ^ sigs[j]).count("1") <= 3}
     assert sorted((r.a, r.b) for r in dedup.band_pairs(df).collect()) == sorted(want)
 
 
@@ -81,18 +147,21 @@ def test_components_and_sides(spark):
     assert {r.row_id: r.label for r in got} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5} and all(len({r.side for r in got if r.label == k}) == 1 for k in (1, 5))
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(4))
 def test_capped_select_equals_the_walk(spark, seed):
     rnd = random.Random(seed)
-    rows = [(i, f"h{rnd.random()}", rnd.randint(0, 6), rnd.randint(0, 3)) for i in range(60)]
-    c, t, taken = Counter(), Counter(), []
+    rows = [(i, f"h{rnd.random()}", rnd.choice((None, 1, 2, 3, 4, 5, 6)), rnd.choice((0, 0, 0, 1, None))) for i in range(60)]
+    c, t, state, n, most = Counter(), Counter(), {}, 0, 18 if seed else 500
     for i, _, a, b in sorted(rows, key=lambda r: r[1]):
-        if c[a] < 4 and t[b] < 6 and len(taken) < 18:
-            c[a] += 1
-            t[b] += 1
-            taken.append(i)
-    got = ordering.capped_select(spark.createDataFrame(rows, "i long, h string, a int, b int"), ["h"], "a", "b", 4, 6, 18)
-    assert sorted(r.i for r in got.collect() if r.taken) == sorted(taken)
+        state[i] = "cut" if n == most else "cluster_full" if c[a] >= 4 else "template_full" if t[b] >= 8 else "taken"
+        if state[i] == "taken":
+            c[a], t[b], n = c[a] + 1, t[b] + 1, n + 1
+    df = spark.createDataFrame(rows, "i long, h string, a int, b int")
+    assert {r.i: r.state for r in ordering.capped_select(df, ["h", "i"], "a", "b", 4, 8, most, n, len(+c)).collect()} == state
+    if not seed:
+        with pytest.raises(ValueError):
+            ordering.capped_select(df, ["h", "i"], "a", "b", 4, 8, most, n + 1)
+        assert ordering.capped_select(df.limit(0), ["h", "i"], "a", "b", 4, 8, most).count() == 0
 
 
 def test_greedy_cover_equals_the_loop(spark):
@@ -107,8 +176,10 @@ def test_greedy_cover_equals_the_loop(spark):
         best = min(sets, key=lambda i: (-len(sets[i] & left), h[i], i))
         want.append(best)
         left -= sets[best]
+    fill = sorted((i for i in sets if i not in want), key=lambda i: (h[i], i))[: 20 - len(want)]
     df = spark.createDataFrame(rows, "row_id long, h string, stratum string")
-    assert [r.row_id for r in ordering.greedy_cover(df, 40).orderBy("round").collect()] == want
+    got = ordering.greedy_cover(df, 20).orderBy("pos").collect()
+    assert [(r.row_id, r.kind) for r in got] == sorted([(i, "cover") for i in want] + [(i, "fill") for i in fill]) and [r.pos for r in got] == list(range(1, 21))
     with pytest.raises(ValueError):
         ordering.greedy_cover(df, 1)
 
@@ -127,17 +198,68 @@ def test_quota_order_and_spread(spark):
 
 
 def test_containment_inside_words_and_short_entries(spark):
-    docs = spark.createDataFrame([(1, "xhello big worldy"), (2, "hello"), (3, "nothing"), (4, None)], "doc_id long, t string")
-    entries = spark.createDataFrame([("hello big world",), ("hello",), ("o",), ("",)], "entry string")
-    got = {(r.doc_id, r.entry) for r in contamination.contained(docs, entries).collect()}
-    assert got == {(1, "hello big world"), (1, "hello"), (1, "o"), (2, "hello"), (2, "o"), (3, "o")}
+    docs = [(1, "xhello big worldy"), (2, "hello"), (3, "nothing"), (4, None), (None, "big o world"), (5, ""), (6, "a b"), (6, "llo a")]
+    entries = ["hello big world", "hello", "o", "", "lo", "a b", "big o", "o big", " a", "world and more of it"]
+    for limit in (contamination.BROADCAST_ENTRIES, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(contamination, "BROADCAST_ENTRIES", limit)
+            got = {(r.doc_id, r.entry) for r in contamination.contained(spark.createDataFrame(docs, "doc_id long, t string"), spark.createDataFrame([(e,) for e in entries], "entry string")).collect()}
+        assert got == {(d, e) for d, t in docs for e in entries if e and e in (t or "")}
+
+
+def test_screening_records_the_first_entry_short_before_long(spark):
+    """One entry of eight shingles and more, a short one, and one that two documents share; a copy with a tenth of its shingles lost."""
+    long = " ".join(f"word{i}" for i in range(64))
+    near = " ".join(f"word{i}" if i != 30 else "other" for i in range(64))
+    far = " ".join(f"word{i}" if i not in (20, 40) else "other" for i in range(64))
+    docs = [(1, f"lead {long} tail"), (2, near), (3, far), (4, "say The  Answer, please"), (5, f"the answer , {long}"), (6, None), (7, "clean text only"), (8, "z " + long.upper())]
+    entries = [(long,), ("The answer,",), ("",), ("z z z word0 word1 word2 word3 word4 word5 word6 word7 word8 word9",), (None,)]
+    first, audit = contamination.screen(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(entries, "text string"))
+    z = entries[3][0]
+    assert {(r.doc_id, r.kind, r.entry) for r in first.collect()} == {(1, "long", long), (2, "long", long), (4, "short", "the answer ,"), (5, "short", "the answer ,"), (8, "long", long)} and z > long
+    a = audit.first()
+    assert (a.input_documents, a.retained_documents, a.removed_documents, a.entries, a.short_entries, a.matched_entries) == (8, 3, 5, 3, 1, 2) and a.candidate_checks >= 5
 
 
 def test_ngram_and_cosine_topk(spark):
-    items = spark.createDataFrame([(1, "the quick brown fox"), (2, "quick brown foxes run"), (3, "unrelated words only"), (4, "")], "item_id long, text string")
-    q = spark.createDataFrame([(9, "The Quick Brown Fox")], "query_id long, text string")
-    got = [(r.item_id, r.score) for r in retrieval.ngram_topk(q, items, 2).orderBy("rank").collect()]
-    assert got[0] == (1, 1.0) and got[1][0] == 2 and 0 < got[1][1] < 1
+    import zlib
+    from math import sqrt
+
+    texts = ["the quick brown fox", "quick brown foxes run", "unrelated words only", "", None, "The Quick  Brown Fox", "é中文 quick"] + [f"fox number {i} of the brown ones" for i in range(30)]
+    asked = {9: "The Quick Brown Fox", 10: "number 7 fox", 11: None, 12: "中文"}
+
+    def vector(t):
+        t = f" {t.lower()} "
+        return Counter(zlib.crc32(t[i : i + n].encode()) % 8192 for n in (3, 4, 5) for i in range(len(t) - n + 1))
+
+    want = set()
+    for q, t in asked.items():
+        if t is not None:
+            a, scores = vector(t), []
+            for i, x in enumerate(texts):
+                b = vector(x) if x is not None else {}
+                dot = sum(a[d] * b.get(d, 0) for d in a)
+                if dot:
+                    scores.append((-round(dot / sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values())), 6), i))
+            want |= {(q, i, r + 1, -s) for r, (s, i) in enumerate(sorted(scores)[:4])}
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").repartition(3)
+    queries = spark.createDataFrame(list(asked.items()), "query_id long, text string")
+    for block in (1000, 2):
+        assert {(r.query_id, r.item_id, r["rank"], r.score) for r in retrieval.ngram_topk(queries, items, 4, block=block).collect()} == want
+    assert retrieval.ngram_topk(queries.limit(0), items, 4).count() == 0
+
+
+def test_quantiles_of_hot_tied_and_null_keys(spark):
+    import numpy as np
+
+    rnd = random.Random(4)
+    rows = [(rnd.choice(("hot", "hot", "hot", None, "k")), rnd.choice((None, 1.0, 1.0, 2.5, rnd.random()))) for _ in range(500)] + [("one", 7.0), ("none", None)]
+    got = {r.k: (r.a, r.b, r.c) for r in quantiles(spark.createDataFrame(rows, "k string, v double"), "k", "v", {"a": 0.5, "b": 0.9, "c": 1.0}).collect()}
+    values = defaultdict(list)
+    for k, v in rows:
+        if v is not None:
+            values[k].append(v)
+    assert {k: pytest.approx(tuple(np.quantile(v, [0.5, 0.9, 1.0]))) for k, v in values.items()} == got
 
 
 def test_packing_covers_everything(spark):
@@ -182,6 +304,7 @@ def test_global_rank_and_split(spark):
     df = spark.createDataFrame(rows, "i long, v long").repartition(6)
     want = {i: k + 1 for k, (i, _) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
     assert {r.i: r.pos for r in global_rank(df, ["v", "i"], "pos").collect()} == want
+    assert {r.i: r.before for r in global_rank(df, ["i"], "before", F.lit(1).cast("long")).collect()} == {i: i for i, _ in rows}
     total = global_rank(df, ["i"], "before", F.col("v"))
     assert {r.i: r.before for r in total.collect()} == {i: sum(v for j, v in rows if j < i) for i, _ in rows}
     n = Counter(r.split for r in sampling.exact_split(df, "i", 0.05, 1).collect())
