@@ -8,8 +8,9 @@ could make a pair of lower or equal rank (a fixed set of pieces, found from the
 order is that of the library's queue. When no sequence has a pair, the surviving symbols are counted; a character
 without a piece counts its UTF-8 bytes.
 
-Counts of pre-tokens are kept from batch to batch up to CACHE entries; this changes time, not results.
-Nulls: a null text is empty and has no tokens. Empty table: an empty result. Repeated rows count each; no other column
+Counts of pre-tokens are kept from batch to batch up to CACHE entries and CACHE_CHARS characters; this changes time, not results.
+Nulls: a null text is empty and has no tokens. Very long texts are counted whole. Ties (pairs of one rank) merge from the left.
+Empty table: an empty result. Repeated rows count each; no other column
 than doc_id and text is read. A lone surrogate can't occur in a Parquet string.
 """
 
@@ -27,7 +28,7 @@ from . import common
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
-CACHE = 400_000
+CACHE, CACHE_CHARS = 400_000, 40_000_000
 SPACE = "▁"
 NONE = np.int64(1 << 40)
 
@@ -74,6 +75,7 @@ class Merger:
         order = np.argsort(keys)
         self.keys, self.made = keys[order], np.array(made, np.int64)[order]
         self.counts: dict[str, int] = {}
+        self.chars = 0
 
     @staticmethod
     def _run_table(sizes: set[int]) -> np.ndarray:
@@ -159,9 +161,12 @@ class Merger:
         """2 * tokens + bare for every pre-token; those not known yet are merged together."""
         known = self.counts
         new = list({p for p in parts if p not in known})
-        if len(known) + len(new) > CACHE:
+        chars = sum(map(len, new))
+        if len(known) + len(new) > CACHE or self.chars + chars > CACHE_CHARS:
             known.clear()
             new = list(set(parts))
+            self.chars, chars = 0, sum(map(len, new))
+        self.chars += chars
         for at in range(0, len(new), 50_000):
             some = new[at : at + 50_000]
             n, bare = self.merge([p if p[:1] == "\n" else SPACE + p for p in some])

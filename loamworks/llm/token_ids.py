@@ -32,8 +32,8 @@ from . import common
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
-#: Words whose ids are kept (about 150 bytes each).
-CACHE = 1_000_000
+#: Words whose ids are kept (about 150 bytes each), and characters of all of them.
+CACHE, CACHE_CHARS = 1_000_000, 60_000_000
 MARKS = (".", ",", ";", ":", "?", "!")
 SEGMENT_IDS = 4_000_000
 LANES, STEPS = 32, 512
@@ -66,7 +66,7 @@ class Encoder:
         self.known: dict[str, int] = {}
         self.flat = np.empty(1 << 20, np.uint32)
         self.at = np.zeros(2 * CACHE + 1, np.int64)
-        self.used = 0
+        self.used = self.chars = 0
 
     def _keep(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
         n = len(self.known)
@@ -75,6 +75,7 @@ class Encoder:
         self.flat[self.used : self.used + len(ids)] = ids
         self.at[n + 1 : n + 1 + len(words)] = self.used + ends
         self.used += len(ids)
+        self.chars += sum(map(len, words))
         self.known.update(zip(words, range(n, n + len(words))))
 
     def _learn(self, new: list[str]) -> None:
@@ -126,7 +127,7 @@ class Encoder:
         missing = np.flatnonzero(k < 0)
         if len(missing):
             new = list({parts[i] for i in missing})
-            if len(self.known) + len(new) > CACHE:
+            if len(self.known) + len(new) > CACHE or self.chars + sum(map(len, new)) > CACHE_CHARS:
                 self.reset()
                 new, missing = list(set(parts)), np.arange(len(parts))
                 if 2 * len(new) > len(self.at):

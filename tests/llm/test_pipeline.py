@@ -50,3 +50,39 @@ def test_stages_equal_plain_forms(spark, sf):
     assert max(loads.values()) - min(loads.values()) <= 1
     run = corpus_pipeline.run(spark, sf_dir).collect()
     assert Counter((r.doc_id, r["size"], r.text_crc32) for r in run) == Counter((r.doc_id, r["size"], r.text_crc32) for r in final)
+
+
+CLASHES = "d s t th drop n row times like k m copy key_ grp shard slot size comp _d _th first".split()
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_take_awkward_tables(spark, tmp_path, stage):
+    """Nulls in every column, empty and very long texts, ties, repeats, clashing columns, and no rows at all."""
+    item = " ".join(f"q{i}" for i in range(9_000, 9_030))
+    items = [(1, item), (None, None), (2, ""), (3, "one two"), (4, "no such words are in any")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame(cases.awkward() + [(None,) * 7, (None,) * 7], cases.DOCS)
+    docs = docs.selectExpr("*", *[f"'x' AS `{c}`" for c in CLASHES])
+    run = dict(corpus_pipeline.STAGES)[stage]
+    rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    out = run(spark, docs, str(tmp_path))
+    got = Counter(r.doc_id for r in out.collect())
+    if stage == "sharding":
+        assert got == Counter(d for d, *_ in rows) and out.columns == ["doc_id", "size", "text_crc32", "shard", "slot"]
+        loads = Counter(r.shard for r in out.collect())
+        assert max(loads.values()) - min(loads[s] for s in range(16)) <= 1
+    else:
+        assert out.columns == docs.columns and all(r.comp == "x" and r._th == "x" for r in out.collect())
+        if stage == "quality rules":
+            want = Counter(d for (d, *_, kept), n in plain_rules(rows).items() for _ in range(n * kept))
+        elif stage == "n-gram Jaccard join":
+            want = Counter([1, 2, 3, 4, 6, 10, 20, 21, 22, 23, None])
+        elif stage == "benchmark decontamination":
+            want = Counter(d for d, *_ in rows if d != 20)
+        else:
+            want = Counter()
+            for r in mixing.plan(docs).collect():
+                want[r.doc_id] += r.copies
+            want = +want
+        assert got == want
+    assert run(spark, docs.limit(0), str(tmp_path)).count() == 0
