@@ -219,5 +219,13 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), "matches")
 
 
+_FOLDED = "[translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') for x in coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), [])]"
+#: All alignments of items and documents that share enough words, and all windows of each.
+SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, sha256(text) AS sha, {_FOLDED} AS w FROM documents), i AS (SELECT row_number() OVER () AS k, item_id, {_FOLDED} AS w FROM benchmark),
+dw AS (SELECT r, len(w) AS m, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p FROM d), iw AS (SELECT k, len(w) AS n, least(len(w), {WINDOW}) AS size, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS q FROM i),
+c AS (SELECT r, k, p - q AS diag, any_value(m) AS m, any_value(n) AS n, any_value(size) AS size, list(q) AS qs FROM dw JOIN iw USING (word) GROUP BY r, k, p - q HAVING count(*) >= any_value(size) - any_value(size) // {SHARE}),
+s AS (SELECT *, unnest(generate_series(greatest(0, -diag), least(n, m - diag) - size)) AS place FROM c),
+g AS (SELECT r, k, diag, any_value(size) AS size, any_value(qs) AS qs, min(place) AS low, max(place) AS high FROM s WHERE len([q for q in qs if q >= place AND q < place + size]) >= size - size // {SHARE} GROUP BY r, k, diag)
+SELECT doc_id, item_id, min(diag + low) AS start_word, max(diag + high + size) AS end_word, max(len([q for q in qs if q >= low AND q < high + size])) AS matches FROM g JOIN d USING (r) JOIN i USING (k) GROUP BY doc_id, sha, item_id"""
 QUERIES = {"op2_decontaminate": op2_decontaminate}
-ORACLES = {}
+ORACLES = {"op2_decontaminate": SQL}

@@ -313,5 +313,16 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(common.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+#: All pairs of sets that share a shingle; for small tables.
+SQL = r"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, [translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') for x in coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])] AS w FROM documents),
+s AS (SELECT DISTINCT r, unnest([array_to_string(w[i:i + 4], ' ') for i in generate_series(1, greatest(len(w) - 4, 1))]) AS s FROM d WHERE len(w) > 0),
+n AS (SELECT r, count(*) AS n, sha256(string_agg(s, chr(10) ORDER BY s)) AS set_id FROM s GROUP BY r),
+v AS (SELECT set_id, any_value(n) AS n, min(r) AS r, min(doc_id) AS least FROM n JOIN d USING (r) GROUP BY set_id),
+x AS (SELECT v.r, n, s FROM v JOIN s USING (r)),
+e AS (SELECT a.r AS a, b.r AS b FROM x a JOIN x b ON a.s = b.s AND a.r < b.r GROUP BY a.r, b.r HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+cc(node, label) USING KEY (node) AS (SELECT r, r FROM v UNION SELECT u.node, min(o.label) FROM recurring.cc u JOIN both_ways w ON w.a = u.node JOIN cc o ON o.node = w.b WHERE o.label < u.label GROUP BY u.node),
+k AS (SELECT label, min(least) AS component_id FROM cc JOIN v ON v.r = cc.node GROUP BY label)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, CASE WHEN n.n IS NULL THEN d.doc_id ELSE component_id END AS component_id FROM d LEFT JOIN n USING (r) LEFT JOIN v USING (set_id) LEFT JOIN cc ON cc.node = v.r LEFT JOIN k USING (label)"""
 QUERIES = {"op4_ngram_join": op4_ngram_join}
-ORACLES = {}
+ORACLES = {"op4_ngram_join": SQL}

@@ -155,5 +155,21 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "left_words", F.size("drop_lines").alias("n_lines_removed"), "kept")
 
 
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text, coalesce(sha256(text), '') AS sha, coalesce({_WORDS.format("text")}, []) AS w FROM documents),
+l AS (SELECT r, source, sha, x, {_WORDS.format("x")} AS lw FROM (SELECT r, source, sha, unnest(string_split(text, chr(10))) AS x FROM d)),
+n AS (SELECT r, source, sha, x, len(lw) AS nw, array_to_string([translate(y, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') for y in lw], ' ') AS norm FROM l WHERE len(lw) > 0),
+hosts AS (SELECT source, count(DISTINCT sha) AS docs FROM d GROUP BY source),
+c AS (SELECT source, norm, count(DISTINCT sha) AS n FROM n GROUP BY source, norm),
+gone AS (SELECT n.r, count(*) AS lines, sum(n.nw) AS words FROM n JOIN c ON c.norm = n.norm AND c.source IS NOT DISTINCT FROM n.source JOIN hosts ON hosts.source IS NOT DISTINCT FROM n.source
+  WHERE c.n > least(CASE WHEN n.nw >= {LONG_WORDS} THEN {LONG_DOCS} ELSE {MIN_DOCS} END, greatest(2, {SMALL_SHARE} * hosts.docs)) GROUP BY n.r),
+dup AS (SELECT r, count(*) - count(DISTINCT x) AS dups FROM n GROUP BY r),
+g AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t FROM (SELECT r, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d WHERE len(w) >= 3)),
+h AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, t) >= 2),
+rep AS (SELECT r, count(DISTINCT i + k) AS words FROM h, (VALUES (0), (1), (2)) v(k) GROUP BY r),
+b AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum([length(x) for x in w]), 0)::BIGINT AS word_chars, coalesce(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')), 0) AS n_symbols, coalesce(dups, 0) AS n_dup_lines,
+  coalesce(rep.words, 0) AS n_repeat_words, len(w) - coalesce(gone.words, 0)::BIGINT AS left_words, coalesce(lines, 0) AS n_lines_removed FROM d LEFT JOIN dup USING (r) LEFT JOIN rep USING (r) LEFT JOIN gone USING (r)),
+f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM b)
+SELECT *, NOT base_failed AND left_words >= {MIN_LEFT} * n_words AS kept FROM f"""
 QUERIES = {"op3_quality_rules": op3_quality_rules}
-ORACLES = {}
+ORACLES = {"op3_quality_rules": SQL}

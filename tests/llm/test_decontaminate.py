@@ -26,13 +26,14 @@ def holds(d, t):
 
 
 def plain(docs, items):
-    """All windows of all pairs that share two consecutive words (which all matches of two words or more do)."""
+    """All windows of all pairs that share as many consecutive words as a match must have."""
     split = [(i, fold(t)) for i, t in items]
-    grams = [{tuple(w[k : k + 2]) for k in range(max(1, len(w) - 1))} for _, w in split]
+    least = lambda n: 3 if n >= 10 else 2 if n >= 5 else n
+    grams = [{tuple(w[k : k + least(len(w))]) for k in range(len(w) - least(len(w)) + 1)} if w else set() for _, w in split]
     out = set()
     for d, t in docs:
         w = fold(t)
-        own = {tuple(w[k : k + 2]) for k in range(len(w) - 1)} | {(x,) for x in w}
+        own = {tuple(w[k : k + n]) for n in (1, 2, 3, 4) for k in range(len(w) - n + 1)}
         out |= {(d, i) for (i, x), g in zip(split, grams) if own & g and holds(w, x)}
     return out
 
