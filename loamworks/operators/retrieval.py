@@ -6,11 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import let
-
 #: Vectors a block, on average: what a task holds at once is two blocks.
 BLOCK = 512
 #: Queries of n-grams that tasks hold at once, at most about: 64 MB as a dense matrix of 8,192 dimensions.
@@ -52,55 +50,55 @@ def cosine_topk(queries: DataFrame, items: DataFrame, k: int, exclude_self: bool
     return found.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
 
 
-def _dims(text: Column, dims: int, sizes: tuple[int, ...]) -> Column:
-    """The hashed n-grams of a lower-cased text between two spaces, as an array with repeats; null for a null text."""
-    # Characters first become an array; shifted copies of it are zipped, which is linear in the text's length.
-    def grams(c: Column) -> Column:
-        out = []
-        for n in sizes:
-            count = F.greatest(F.size(c) - (n - 1), F.lit(0))
-            g = F.slice(c, F.lit(1), count)
-            for j in range(2, n + 1):
-                g = F.zip_with(g, F.slice(c, F.lit(j), count), lambda x, y: F.concat(x, y))
-            out.append(g)
-        return F.transform(F.concat(*out), lambda g: F.pmod(F.crc32(g.cast("binary")), F.lit(dims)).cast("int"))
+_CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    _CRC = np.where(_CRC & 1, (_CRC >> 1) ^ np.uint32(0xEDB88320), _CRC >> 1)
+
 
-    return let(F.split(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), ""), grams)
+def gram_vector(text: str, dims: int, sizes: tuple[int, ...]) -> np.ndarray:
+    """Unit vector of a text's character n-grams (between two spaces), each at the crc32 of its UTF-8 bytes modulo dims.
+
+    The checksums of all n-grams of a size are made at once, byte by byte.
+    """
+    data = np.frombuffer(f" {text} ".encode(), np.uint8)
+    first = np.flatnonzero((data & 0xC0) != 0x80)
+    ends = np.append(first[1:], len(data))
+    v = np.zeros(dims)
+    for n in sizes:
+        start, end = first[: max(len(first) - n + 1, 0)], ends[n - 1 :]
+        crc = np.full(len(start), 0xFFFFFFFF, np.uint32)
+        for k in range(int((end - start).max(initial=0))):
+            on = np.flatnonzero(start + k < end)
+            crc[on] = _CRC[(crc[on] ^ data[start[on] + k]) & 255] ^ (crc[on] >> 8)
+        v += np.bincount(((crc ^ np.uint32(0xFFFFFFFF)) % np.uint32(dims)).astype(np.int64), minlength=dims)
+    return v / max(np.linalg.norm(v), 1e-30)
 
 
 def ngram_topk(queries: DataFrame, items: DataFrame, k: int, dims: int = 8192, sizes: tuple[int, ...] = (3, 4, 5), block: int = NGRAM_QUERIES) -> DataFrame:
     """queries(query_id, text), items(item_id, text) -> query_id, item_id, score, rank by cosine of hashed character n-grams.
 
     All queries against all items, in blocks of `block` queries: a block is a dense matrix (8 bytes a dimension) that goes to
-    the tasks; an item's n-grams are hashed by the JVM, counted where they are and multiplied by the block. Only each task's best
-    k items a query are shuffled. Null texts have no n-grams, and score nothing.
+    the tasks; an item becomes a vector where it is and is multiplied by the block. Only each task's best k items a query
+    are shuffled. Null texts have no n-grams, and score nothing.
     """
     spark = items.sparkSession
-    q = queries.select("query_id", F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
-    n = q.count()
-    q = q.withColumn("_part", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-2 * n // block)))))  # about half a block each
-    t = items.select("item_id", _dims(F.col("text"), dims, sizes).alias("d")).filter("d IS NOT NULL")
+    q = queries.select("query_id", F.lower(F.col("text").cast("string")).alias("text")).filter("text IS NOT NULL")
+    parts = max(1, -(-2 * q.count() // block))  # about half a block each
+    t = items.select("item_id", F.lower(F.col("text").cast("string")).alias("text")).filter("text IS NOT NULL")
     found = None
-    for part in range(max(1, -(-2 * n // block))):
-        rows = q.filter(F.col("_part") == part).select("query_id", _dims(F.col("text"), dims, sizes).alias("d")).collect()  # bounded by the block
-        if not rows:
-            continue
-        matrix = np.array([_unit(np.array(r.d), dims) for r in rows])
-        shared = spark.sparkContext.broadcast((np.array([r.query_id for r in rows]), matrix))
-        best = t.mapInPandas(_best(shared, k, dims), "query_id long, item_id long, score double")
-        found = best if found is None else found.unionByName(best)
+    for part in range(parts):
+        rows = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).collect()  # bounded by the block
+        if rows:
+            shared = spark.sparkContext.broadcast((np.array([r.query_id for r in rows]), np.array([gram_vector(r.text, dims, sizes) for r in rows])))
+            best = t.mapInPandas(_best(shared, k, dims, sizes), "query_id long, item_id long, score double")
+            found = best if found is None else found.unionByName(best)
     if found is None:
         found = spark.createDataFrame([], "query_id long, item_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))
     return found.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
 
 
-def _unit(at: np.ndarray, dims: int) -> np.ndarray:
-    v = np.bincount(at, minlength=dims).astype(float)
-    return v / max(np.linalg.norm(v), 1e-30)
-
-
-def _best(shared, k: int, dims: int):
+def _best(shared, k: int, dims: int, sizes: tuple[int, ...]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         qid, matrix = shared.value
         kept = pd.DataFrame({"query_id": [], "item_id": [], "score": []})
@@ -108,7 +106,7 @@ def _best(shared, k: int, dims: int):
             for a in range(0, len(pdf), 256):
                 part = pdf.iloc[a : a + 256]
                 ids = part["item_id"].to_numpy()
-                s = np.round(matrix @ np.array([_unit(d, dims) for d in part["d"]]).T, 6)
+                s = np.round(matrix @ np.array([gram_vector(x, dims, sizes) for x in part["text"]]).T, 6)
                 order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
                 row = np.repeat(np.arange(len(qid)), order.shape[1])
                 new = pd.DataFrame({"query_id": qid[row], "item_id": ids[order.reshape(-1)], "score": s[row, order.reshape(-1)]})

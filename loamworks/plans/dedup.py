@@ -88,10 +88,12 @@ def dd_jaccard_verify(spark, sf_dir):
 
 
 def _ranked(spark, sf_dir):
-    """Documents in the order of processing: longest first, then text hash, id and source; whether near deduplication applies."""
+    """Documents in the order of processing: longest first, then text hash, id and source; whether near deduplication applies. Shingles are made once."""
     d = signed(spark, sf_dir).withColumn("code", filters.code_like(F.col("text"), F.col("source"))).withColumn("sha", F.sha2("text", 256)).drop("text")
-    d = d.withColumn("able", ~F.col("code") & (F.col("features") >= 8))
-    return global_rank(d, [F.desc("n_chars"), "sha", "doc_id", "source"], "rank")
+    d = staged(d.withColumn("able", ~F.col("code") & (F.col("features") >= 8)).withColumn("row", F.monotonically_increasing_id()), "near-signed")
+    order = [F.desc("n_chars"), "sha", "doc_id", "source"]
+    ranks = global_rank(d.select("row", "n_chars", "sha", "doc_id", "source"), [*order, "row"], "rank").select("row", "rank")
+    return staged(d.drop("n_chars", "sha", "source").join(ranks.hint("merge"), "row").drop("row"), "near-ranked")
 
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, sha256(text), doc_id, source) - 1 AS near_rank FROM documents")
@@ -113,7 +115,7 @@ res AS (SELECT o.*, NOT list_contains((SELECT arg_max(gone, i) FROM walk), rank)
 @query(f"WITH RECURSIVE {WALK} SELECT doc_id, rank, kept FROM res")
 def dd_near(spark, sf_dir):
     """Greedy near deduplication in rank order: a document goes iff an earlier kept one matches it."""
-    ranked = staged(_ranked(spark, sf_dir), "near-ranked")
+    ranked = _ranked(spark, sf_dir)
     return dedup.near_keep(ranked).join(ranked.select("rank", "doc_id").hint("merge"), "rank").select("doc_id", "rank", "kept")
 
 
@@ -121,7 +123,7 @@ def dd_near(spark, sf_dir):
 (SELECT count(*) FROM near JOIN res ON rank = a WHERE kept) AS candidate_checks, (SELECT count(*) FROM e JOIN res ON rank = a WHERE kept) AS matches""")
 def dd_near_audit(spark, sf_dir):
     """What the walk kept and removed, and how many later documents its kept ones are compared with (within 3 bits) and match."""
-    ranked = staged(_ranked(spark, sf_dir), "near-ranked")
+    ranked = _ranked(spark, sf_dir)
     kept = staged(dedup.near_keep(ranked), "near-kept")
     able = ranked.filter("able")
     # Members of a set are counted, not paired: later members for each kept node and set.

@@ -10,7 +10,7 @@ from ..functions.ranks import global_rank, rank_within
 from ..operators import ordering, sampling
 from ..operators.retrieval import ngram_topk
 from ..registry import Register
-from ..sources.stages import staged, table
+from ..sources.stages import spread, staged, table
 from .corpus import SQUEEZED
 
 QUERIES = query = Register()
@@ -259,4 +259,4 @@ def sm_weighted_categories(spark, sf_dir):
 def or_topk_ngram(spark, sf_dir):
     """The five documents nearest to every twentieth benchmark item by hashed character n-grams."""
     q = table(spark, sf_dir, "benchmark").filter("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "text")
-    return ngram_topk(q, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text"), 5)
+    return ngram_topk(q, spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text")), 5)
