@@ -80,15 +80,17 @@ def band_keys(nodes: DataFrame, max_distance: int = 3) -> DataFrame:
     return rows.join(shared.hint("merge"), "key", "left_semi")
 
 
-def band_pairs(nodes: DataFrame, max_distance: int = 3) -> DataFrame:
-    """Pairs (a, b) of ranks, a before b, that differ in at most max_distance bits; equal signatures are pairs too.
+def band_pairs(nodes: DataFrame, max_distance: int = 3, lead: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of ranks, a before b, that differ in at most max_distance bits; equal signatures are pairs too. With
+    lead(rank), pairs of each of these nodes a with all others b.
 
     The join is on three bands at a time, where one on a narrow band would meet a fixed share of all signatures. A pair is
     taken under its first common bands only. Nodes are to be distinct sets, so that copies make no pairs.
     """
     rows = band_keys(nodes, max_distance)
-    a, b = (rows.select(F.col("rank").alias(s), F.col("sim_hi").alias(f"{s}_hi"), F.col("sim_lo").alias(f"{s}_lo"), "band", "key") for s in "ab")
-    near = a.join(b.hint("merge"), ["band", "key"]).filter((F.col("a") < F.col("b")) & (hamming(F.col("a_hi"), F.col("a_lo"), F.col("b_hi"), F.col("b_lo")) <= max_distance))
+    a, b = (x.select(F.col("rank").alias(s), F.col("sim_hi").alias(f"{s}_hi"), F.col("sim_lo").alias(f"{s}_lo"), "band", "key") for x, s in ((rows if lead is None else rows.join(lead.hint("merge"), "rank", "left_semi"), "a"), (rows, "b")))
+    order = F.col("a") < F.col("b") if lead is None else F.col("a") != F.col("b")
+    near = a.join(b.hint("merge"), ["band", "key"]).filter(order & (hamming(F.col("a_hi"), F.col("a_lo"), F.col("b_hi"), F.col("b_lo")) <= max_distance))
     first = F.coalesce(*[F.when((_part("a_hi", hi) == _part("b_hi", hi)) & (_part("a_lo", lo) == _part("b_lo", lo)), i) for i, (hi, lo) in enumerate(_masks(max_distance))])
     return near.filter(first == F.col("band")).select("a", "b", "a_hi", "a_lo", "b_hi", "b_lo")
 

@@ -129,8 +129,7 @@ def dd_near_audit(spark, sf_dir):
     # Members of a set are counted, not paired: later members for each kept node and set.
     nodes = able.groupBy("set_id").agg(F.min("rank").alias("rank"), F.first("sim_hi").alias("sim_hi"), F.first("sim_lo").alias("sim_lo"), F.first("hashes").alias("hashes"))
     nodes = staged(nodes, "near-nodes")
-    pairs = dedup.band_pairs(nodes).select("a", "b")
-    both = dedup.jaccard(pairs.join(kept.filter("kept").select(F.col("rank").alias("a")).hint("merge"), "a", "left_semi").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")).join(kept.filter("kept").select(F.col("rank").alias("a")).hint("merge"), "a", "left_semi")), nodes)
+    both = dedup.jaccard(dedup.band_pairs(nodes, lead=kept.filter("kept").select("rank")), nodes)
     own = kept.filter("kept").join(nodes.select("rank").hint("merge"), "rank", "left_semi").select(F.col("rank").alias("a"), F.col("rank").alias("b"), F.lit(1.0).alias("jaccard"))
     members = able.select("set_id", F.col("rank").alias("member")).join(nodes.select("set_id", F.col("rank").alias("b")).hint("merge"), "set_id")
     met = both.union(own).join(members.hint("merge"), "b").filter(F.col("member") > F.col("a"))

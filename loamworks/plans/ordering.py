@@ -255,7 +255,17 @@ def sm_weighted_categories(spark, sf_dir):
     return sampling.top_per_group(e, ["event_type"], ["h", "event_id"], 300).select("event_id", "event_type")
 
 
-@query()
+#: crc32 in SQL, from its table, for each distinct n-gram; then sparse vectors by dimension.
+NGRAMS = """WITH tab AS (SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+x AS (SELECT 'd' AS side, doc_id AS id, ' ' || lower(text) || ' ' AS t FROM documents UNION ALL SELECT 'q', item_id, ' ' || lower(text) || ' ' FROM benchmark WHERE item_id % 20 = 0),
+g AS (SELECT side, id, g, count(*) AS c FROM (SELECT side, id, unnest([substr(t, i, n) for i in generate_series(1, length(t) - n + 1)]) AS g FROM x, (VALUES (3), (4), (5)) v(n) WHERE length(t) >= n) GROUP BY ALL),
+h AS (SELECT g, xor(list_reduce(list_prepend(4294967295, [('0x' || substr(hex(encode(g)), 2 * k - 1, 2))::BIGINT for k in generate_series(1, octet_length(encode(g)))]), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 8192 AS dim FROM (SELECT DISTINCT g FROM g), tab),
+v AS (SELECT side, id, dim, sum(c)::DOUBLE AS c FROM g JOIN h USING (g) GROUP BY side, id, dim), n AS (SELECT side, id, sqrt(sum(c * c)) AS norm FROM v GROUP BY side, id),
+s AS (SELECT q.id AS query_id, d.id AS item_id, sum(q.c * d.c) AS dot FROM v q JOIN v d USING (dim) WHERE q.side = 'q' AND d.side = 'd' GROUP BY q.id, d.id)
+SELECT query_id, item_id, round(dot / (a.norm * b.norm), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(dot / (a.norm * b.norm), 6) DESC, item_id) AS rank FROM s JOIN n a ON a.side = 'q' AND a.id = query_id JOIN n b ON b.side = 'd' AND b.id = item_id QUALIFY rank <= 5"""
+
+
+@query(NGRAMS)
 def or_topk_ngram(spark, sf_dir):
     """The five documents nearest to every twentieth benchmark item by hashed character n-grams."""
     q = table(spark, sf_dir, "benchmark").filter("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "text")

@@ -134,8 +134,8 @@ def jn_topk_cosine(spark, sf_dir):
 def agg_bounded_groups(spark, sf_dir):
     """Counts of the first eight groups by name; the rest folded into one."""
     g = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
-    k = F.row_number().over(Window.orderBy("source"))  # one row a group
-    return g.withColumn("k", k).groupBy(F.when(F.col("k") <= 8, F.col("source")).otherwise("__other__").alias("grp")).agg(F.sum("n").alias("documents"))
+    first = F.broadcast(g.select(F.col("source").alias("grp")).orderBy("grp").limit(8))
+    return g.join(first, F.col("source").eqNullSafe(F.col("grp")), "left").groupBy(F.coalesce("grp", F.lit("__other__")).alias("grp")).agg(F.sum("n").alias("documents"))
 
 
 CHUNKS = ", ".join(f"(sum(('0x' || substr(h, {15 * i + 1}, 15))::BIGINT::HUGEINT) % 1152921504606846976)::BIGINT AS sum{i}, bit_xor(('0x' || substr(h, {15 * i + 1}, 15))::BIGINT) AS xor{i}" for i in range(4))
