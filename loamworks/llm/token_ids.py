@@ -20,7 +20,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,8 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 #: Words whose ids are kept (about 150 bytes each), and characters of all of them.
 CACHE, CACHE_CHARS = 1_000_000, 60_000_000
-MARKS = (".", ",", ";", ":", "?", "!")
+#: A run of these behind a letter is a pre-token of its own (no apostrophe: it may begin a contraction).
+MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 SEGMENT_IDS = 4_000_000
 LANES, STEPS = 32, 512
 BITS = 18
@@ -56,7 +57,6 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         vocab = self.tok.get_vocab(with_added_tokens=True)
-        self.marks = {c: self.tok.encode(c, add_special_tokens=False).ids[0] for c in MARKS}
         #: Tokens that begin with the byte of a space or a newline: with these a word begins.
         self.begins = np.zeros(max(vocab.values()) + 1, bool)
         self.begins[[i for t, i in vocab.items() if t[:1] in ("Ġ", "Ċ")]] = True
@@ -67,6 +67,7 @@ class Encoder:
         self.flat = np.empty(1 << 20, np.uint32)
         self.at = np.zeros(2 * CACHE + 1, np.int64)
         self.used = self.chars = 0
+        self.tails: dict[str, list[int]] = {}
 
     def _keep(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
         n = len(self.known)
@@ -79,18 +80,29 @@ class Encoder:
         self.known.update(zip(words, range(n, n + len(words))))
 
     def _learn(self, new: list[str]) -> None:
-        """A word with one mark behind a letter is its bare word's ids and the mark's: the pre-tokenizer always cuts there."""
-        marked = [p for p in new if p[-1:] in MARKS and p[-2:-1].isalpha()]
+        """A word with marks behind a letter is its bare word's ids and those of the marks: the pre-tokenizer always cuts there."""
+        marked, bare = [], []
+        for p in new:
+            b = p.rstrip(MARKS)
+            if b and b != p and b[-1].isalpha():
+                marked.append(p)
+                bare.append(b)
         if marked:
-            bare = [p[:-1] for p in marked]
             self._library(list({p for p in bare if p not in self.known}))
+            tails = [p[len(b) :] for p, b in zip(marked, bare)]
+            more = list({x for x in tails if x not in self.tails})
+            for x, e in zip(more, self.tok.encode_batch_fast(more, add_special_tokens=False)):
+                self.tails[x] = e.ids
             k = np.array([self.known[p] for p in bare], np.int64)
             size = self.at[k + 1] - self.at[k]
-            ends = np.cumsum(size + 1)
+            behind = [self.tails[x] for x in tails]
+            length = np.fromiter(map(len, behind), np.int64, len(behind))
+            ends = np.cumsum(size + length)
             ids = np.empty(int(ends[-1]), np.uint32)
             of = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-            ids[np.repeat(ends - size - 1, size) + of] = self.flat[np.repeat(self.at[k], size) + of]
-            ids[ends - 1] = [self.marks[p[-1]] for p in marked]
+            ids[np.repeat(ends - size - length, size) + of] = self.flat[np.repeat(self.at[k], size) + of]
+            of = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+            ids[np.repeat(ends - length, length) + of] = np.fromiter(chain.from_iterable(behind), np.uint32, int(length.sum()))
             self._keep(marked, ids, ends)
         self._library([p for p in new if p not in self.known])
 
@@ -116,8 +128,9 @@ class Encoder:
         for i, t in enumerate(texts):
             if not t:
                 continue
-            if " ".join(t.split()) == t.replace("\n", " ") and "\0" not in t and not any(s in t for s in self.special):
-                p = t.replace("\n", " \n").split(" ")
+            p = t.replace("\n", " \n").split(" ")
+            # White space is regular if no part is empty, and if there is none but spaces and newlines.
+            if "" not in p and "\n" not in p and len("".join(t.split())) == len(t) - t.count(" ") - t.count("\n") and "\0" not in t and not any(s in t for s in self.special):
                 p[0] = "\0" + p[0]
                 count[i] = len(p)
                 parts += p
