@@ -152,7 +152,7 @@ def clean(docs: DataFrame, **options) -> DataFrame:
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = verdicts(common.table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "left_words", F.size("drop_lines").alias("n_lines_removed"), "kept")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "left_words", F.size("drop_lines").cast("long").alias("n_lines_removed"), "kept")
 
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
