@@ -24,6 +24,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -56,6 +57,7 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.spaced = [s for s in self.special if s.split() != [s]]
         vocab = self.tok.get_vocab(with_added_tokens=True)
         #: Tokens that begin with the byte of a space or a newline: with these a word begins.
         self.begins = np.zeros(max(vocab.values()) + 1, bool)
@@ -120,33 +122,45 @@ class Encoder:
                 raise ValueError("the pre-tokenizer doesn't cut before single spaces and newlines")
             self._keep(some, ids, ends)
 
+    def _regular(self, word: str) -> bool:
+        """Whether a part between spaces is a word: not empty, and no white space, NUL or special string in it but the mark in front."""
+        bare = word[1:] if word[:1] in ("\0", "\n") else word
+        return bare.split() == [bare] and "\0" not in bare and not any(s in bare for s in self.special)
+
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids with END_ID behind each text, ids of each text with it)."""
-        parts: list[str] = []
+        some = np.array([i for i, t in enumerate(texts) if t], np.int64)
+        # Arrow parts the texts at spaces and finds the distinct words; a text's first word, without a space before it, is marked by NUL.
+        split = pc.split_pattern(pa.array(["\0" + texts[i].replace("\n", " \n") for i in some], pa.string()), " ")
+        words = split.values.dictionary_encode()
+        distinct, index = words.dictionary.to_pylist(), words.indices.to_numpy().astype(np.int64)
+        sizes = np.diff(split.offsets.to_numpy()).astype(np.int64)
+        of = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        odd = np.zeros(len(distinct), bool)
+        unknown = np.flatnonzero(of < 0)
+        odd[unknown] = [not self._regular(distinct[j]) for j in unknown]
+        row = np.repeat(np.arange(len(some)), sizes)
+        aside = np.zeros(len(some), bool)
+        aside[row[odd[index]]] = True
+        aside |= [any(x in texts[i] for x in self.spaced) for i in some] if self.spaced else False
+        whole = {int(i): np.array(self.tok.encode_batch_fast([texts[i]], add_special_tokens=False)[0].ids, np.uint32) for i in some[aside]}
         count = np.zeros(len(texts), np.int64)
-        whole: dict[int, np.ndarray] = {}
-        for i, t in enumerate(texts):
-            if not t:
-                continue
-            p = t.replace("\n", " \n").split(" ")
-            # White space is regular if no part is empty, and if there is none but spaces and newlines.
-            if "" not in p and "\n" not in p and len("".join(t.split())) == len(t) - t.count(" ") - t.count("\n") and "\0" not in t and not any(s in t for s in self.special):
-                p[0] = "\0" + p[0]
-                count[i] = len(p)
-                parts += p
-            else:
-                whole[i] = np.array(self.tok.encode_batch_fast([t], add_special_tokens=False)[0].ids, np.uint32)
-        k = np.fromiter(map(self.known.get, parts, repeat(-1)), np.int64, len(parts))
-        missing = np.flatnonzero(k < 0)
-        if len(missing):
-            new = list({parts[i] for i in missing})
-            if len(self.known) + len(new) > CACHE or self.chars + sum(map(len, new)) > CACHE_CHARS:
+        count[some] = np.where(aside, 0, sizes)
+        index = index[~aside[row]]
+        needed = np.zeros(len(distinct), bool)
+        needed[index] = True
+        new = np.flatnonzero(needed & (of < 0))
+        if len(new):
+            fresh = [distinct[j] for j in new]
+            if len(self.known) + len(new) > CACHE or self.chars + sum(map(len, fresh)) > CACHE_CHARS:
                 self.reset()
-                new, missing = list(set(parts)), np.arange(len(parts))
+                new = np.flatnonzero(needed)
+                fresh = [distinct[j] for j in new]
                 if 2 * len(new) > len(self.at):
                     self.at = np.zeros(2 * len(new) + 1, np.int64)
-            self._learn(new)
-            k[missing] = [self.known[parts[i]] for i in missing]
+            self._learn(fresh)
+            of[new] = [self.known[p] for p in fresh]
+        k = of[index]
         size = self.at[k + 1] - self.at[k]
         ends = np.cumsum(size)
         words = self.flat[np.repeat(self.at[k] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
