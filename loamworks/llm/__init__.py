@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sharding", "mixing", "chat_format", "quality_rules", "ngram_join", "decontaminate", "token_counts", "token_ids", "html_extract", "quality_crf", "collocations", "token_alignment")
+MODULES = ("sharding", "mixing", "chat_format", "quality_rules", "ngram_join", "decontaminate", "token_counts", "token_ids", "html_extract", "quality_crf", "collocations", "token_alignment", "language_id")
 
 
 def queries() -> dict:
