@@ -115,7 +115,7 @@ class Units:
             known, code = np.zeros(len(h), bool), h
         if self.tail is not None:
             rest = np.flatnonzero(~known)
-            known[rest] = _has(self.tail, h[rest].view(U), TAIL_BITS)
+            known[rest] = _has(self.tail, h[rest], TAIL_BITS)
         return code, known
 
     def hashes(self, code: np.ndarray) -> np.ndarray:
