@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import quantiles
 from ..operators import resampling
+from ..operators.actions import DECAY, NEAR, SIMILAR, stream_score
 from ..operators.retrieval import cosine_topk
 from ..operators.scoring import name_overlap, pass_hat, ratio, same_calls, sign_test
 from ..registry import Register
 from ..sources.stages import table
-from .standins import CALLS, LATENCY, SCORED, TRIALS, attempts, calls, cases, scored, trials
+from .standins import ACTIONS, CALLS, LATENCY, SCORED, TRIALS, actions, attempts, calls, cases, scored, trials
 
 QUERIES = query = Register()
+#: A score within this of 1 is a success.
+CLOSE = 1e-6
 CASES = f"""{CALLS}, cs AS (SELECT case_id, coalesce(list([name, args::VARCHAR] ORDER BY pos) FILTER (WHERE side = 'gold'), []) AS gold, coalesce(list([name, args::VARCHAR] ORDER BY pos) FILTER (WHERE side = 'pred'), []) AS pred FROM calls GROUP BY case_id)"""
 EXACT = "list_sort(gold) = list_sort(pred)"
 
@@ -125,32 +128,54 @@ def ev_mobile_stream(spark, sf_dir):
     return per.agg(F.sum("n").alias("expected"), ratio(F.sum("t"), F.sum("n")).alias("tool_accuracy"), ratio(F.sum("e"), F.sum("n")).alias("exact_accuracy"), F.count_if("whole").alias("exact_trajectories"))
 
 
-STREAM = f"""{CASES}, st AS (SELECT case_id, gold, pred, CASE WHEN len(pred) > len(gold) THEN len(gold) / len(pred) ELSE 1 END AS penalty, list_contains([g[1] for g in gold], pred[1][1]) AS first FROM cs WHERE len(gold) > 0 AND len(pred) > 0),
-typed AS (SELECT case_id, penalty, first, gold[i][1] AS type, CASE WHEN i <= len(pred) AND gold[i][1] = pred[i][1] THEN exp(-0.5 * abs(gold[i][2]::INT - pred[i][2]::INT)) ELSE 0 END AS s FROM (SELECT *, unnest(generate_series(1, len(gold))) AS i FROM st)),
-pt AS (SELECT case_id, type, any_value(first) AS first, CASE WHEN any_value(first) THEN avg(s) * any_value(penalty) ELSE 0 END AS s FROM typed GROUP BY case_id, type), sc AS (SELECT case_id, any_value(first) AS first, avg(s) AS total FROM pt GROUP BY case_id)"""
-
-
-def _stream(spark, sf_dir):
-    c = cases(spark, sf_dir).filter((F.size("gold") > 0) & (F.size("pred") > 0))
-    penalty = F.when(F.size("pred") > F.size("gold"), F.size("gold") / F.size("pred")).otherwise(F.lit(1.0))
-    first = F.array_contains(F.transform("gold", lambda g: g["name"]), F.element_at("pred", 1)["name"])
-    c = c.select("case_id", "pred", penalty.alias("penalty"), first.alias("first"), F.posexplode("gold").alias("i", "g")).withColumn("p", F.try_element_at("pred", F.col("i") + 1))
-    s = F.when(F.col("g.name") == F.col("p.name"), F.exp(-0.5 * F.abs(F.col("g.args") - F.col("p.args")))).otherwise(0.0)
-    per = c.groupBy("case_id", F.col("g.name").alias("type")).agg(F.first("first").alias("first"), (F.avg(s) * F.first("penalty")).alias("s"))
-    return per.withColumn("s", F.when(F.col("first"), F.col("s")).otherwise(0.0))
-
-
-@query(f"WITH {STREAM} SELECT case_id, first, round(total, 6) AS total FROM sc")
+_STRIP = r"regexp_replace(lower(coalesce({}, '')), '^\s+|\s+$', '', 'g')"
+_WAY = lambda a, w: f"coalesce(sign({a})::INT, CASE WHEN lower(trim({w})) IN ('up', 'positive', 'right') THEN 1 WHEN lower(trim({w})) IN ('down', 'negative', 'left') THEN -1 ELSE coalesce(sign(TRY_CAST(trim({w}) AS DOUBLE))::INT, 0) END, 0)"
+STREAM = rf"""{ACTIONS}, keyed AS (SELECT * EXCLUDE (type, key), lower(type) AS t, CASE WHEN lower(type) = 'hotkey' AND key <> 'Enter' THEN ['ctrl', lower(key)] ELSE [lower(key)] END AS keys FROM acts),
+e AS (SELECT *, (t = 'press' OR t = 'hotkey' AND side = 'gold') AND len(keys) = 1 AND keys[1] IN ('enter', 'return') AS enter FROM keyed),
+w AS (SELECT *, enter AND coalesce(lag(t) OVER o = 'write', false) AS gone, t = 'write' AND coalesce(lead(enter) OVER o, false) AS entered FROM e WINDOW o AS (PARTITION BY case_id, side ORDER BY pos)),
+m AS (SELECT * EXCLUDE (pos, text), row_number() OVER (PARTITION BY case_id, side ORDER BY pos) AS pos, text || CASE WHEN entered THEN chr(10) ELSE '' END AS text FROM w WHERE NOT gone),
+n AS (SELECT case_id, count(*) FILTER (WHERE side = 'gold') AS n_gold, count(*) FILTER (WHERE side = 'pred') AS n_pred, max(t) FILTER (WHERE side = 'gold' AND pos = 1) AS g1, max(status) FILTER (WHERE side = 'gold' AND pos = 1) AS gs,
+  max(t) FILTER (WHERE side = 'pred' AND pos = 1) AS p1, max(status) FILTER (WHERE side = 'pred' AND pos = 1) AS ps, list(t) FILTER (WHERE side = 'gold') AS kinds FROM m GROUP BY case_id),
+c AS (SELECT *, n_pred = 0 AS empty_, CASE WHEN n_pred > n_gold THEN n_gold / n_pred ELSE 1.0 END AS penalty, n_pred > 0 AND CASE WHEN g1 = 'terminate' THEN p1 = 'terminate' ELSE list_contains(kinds, p1) END AS first FROM n),
+v AS (SELECT g.case_id, g.t, CASE WHEN p.t IS NULL OR p.t <> g.t THEN 0
+  WHEN g.t IN ('click', 'doubleclick') THEN CASE WHEN g.boxed AND p.x BETWEEN g.x - 0.005 AND g.x - 0.005 + 0.05 AND p.y BETWEEN g.y - 0.005 AND g.y - 0.005 + 0.05 OR sqrt((p.x - g.x) ** 2 + (p.y - g.y) ** 2) <= {NEAR} THEN 1 ELSE exp(-{DECAY} * (sqrt((p.x - g.x) ** 2 + (p.y - g.y) ** 2) - {NEAR})) END
+  WHEN g.t = 'write' THEN least(1, (1 - levenshtein({_STRIP.format("p.text")}, {_STRIP.format("g.text")}) / greatest(length({_STRIP.format("p.text")}), length({_STRIP.format("g.text")}))) / {SIMILAR})
+  WHEN g.t IN ('press', 'hotkey') THEN (p.keys = g.keys)::INT
+  WHEN g.t = 'scroll' THEN CASE WHEN {_WAY("g.amount", "g.way")} <> 0 AND {_WAY("g.amount", "g.way")} <> {_WAY("p.amount", "p.way")} THEN 0 WHEN g.amount IS NOT NULL AND p.amount IS NOT NULL THEN CASE WHEN greatest(abs(g.amount), abs(p.amount)) = 0 THEN 1 ELSE least(abs(g.amount), abs(p.amount)) / greatest(abs(g.amount), abs(p.amount)) END ELSE ({_WAY("g.amount", "g.way")} = {_WAY("p.amount", "p.way")})::INT END
+  WHEN g.t = 'wait' THEN (p.seconds = g.seconds)::INT ELSE 0 END AS s FROM m g LEFT JOIN m p ON p.case_id = g.case_id AND p.side = 'pred' AND p.pos = g.pos WHERE g.side = 'gold'),
+ty AS (SELECT case_id, t AS type, CASE WHEN first THEN avg(s) * any_value(penalty) ELSE 0 END AS score FROM v JOIN c USING (case_id) WHERE NOT empty_ AND g1 <> 'terminate' AND (t <> 'terminate' OR NOT first) GROUP BY case_id, t, first
+  UNION ALL SELECT case_id, 'terminate', CASE WHEN p1 = 'terminate' AND ps = gs THEN penalty ELSE 0 END FROM c WHERE NOT empty_ AND g1 = 'terminate'),
+raw AS (SELECT case_id, count(*) FILTER (WHERE side = 'gold') AS g, count(*) FILTER (WHERE side = 'pred') AS p FROM acts GROUP BY case_id),
+sc AS (SELECT case_id, coalesce(total, 0) AS total, first, CASE WHEN empty_ THEN 1 ELSE penalty END AS penalty, CASE WHEN empty_ THEN g ELSE n_gold END AS n_gold, CASE WHEN empty_ THEN p ELSE n_pred END AS n_pred FROM c JOIN raw USING (case_id) LEFT JOIN (SELECT case_id, avg(score) AS total FROM ty GROUP BY case_id) USING (case_id))"""
+
+
+def _streams(spark, sf_dir):
+    return actions(spark, sf_dir).select("case_id", stream_score(F.col("gold"), F.col("pred")).alias("s")).select("case_id", "s.*")
+
+
+@query(f"WITH {STREAM} SELECT case_id, first, round(total, 6) AS total, round(penalty, 6) AS penalty, n_gold, n_pred FROM sc")
 def ev_agent_stream(spark, sf_dir):
-    """Score of each stream: gate on the first type, penalty for predicting too many, means per type, then over types."""
-    return _stream(spark, sf_dir).groupBy("case_id").agg(F.first("first").alias("first"), F.round(F.avg("s"), 6).alias("total"))
+    """Score of each stream of screen actions: a write and the enter behind it merged, gate on the first type, penalty for predicting too many, means per type, then over types.
+
+    A case without predictions scores 0.
+    """
+    n = lambda c: F.col(c).cast("long").alias(c)
+    return _streams(spark, sf_dir).select("case_id", "first", F.round("total", 6).alias("total"), F.round("penalty", 6).alias("penalty"), n("n_gold"), n("n_pred"))
 
 
-@query(f"WITH {STREAM} SELECT 'all' AS type, count(*) AS n, round(avg(total), 6) AS score, round(avg(first::INT), 6) AS first_rate FROM sc UNION ALL SELECT type, count(*), round(avg(s), 6), round(avg(first::INT), 6) FROM pt GROUP BY type")
+@query(f"""WITH {STREAM} SELECT 'all' AS type, count(*) AS n, round(avg(total), 6) AS score, round(avg((total >= 1 - {CLOSE})::INT), 6) AS success_rate, round(avg((total = 1)::INT), 6) AS exact_rate, round(avg(first::INT), 6) AS first_rate, round(avg(penalty), 6) AS penalty, round(avg(n_gold), 6) AS n_gold, round(avg(n_pred), 6) AS n_pred FROM sc
+UNION ALL SELECT type, count(*), round(avg(score), 6), NULL, NULL, NULL, NULL, NULL, NULL FROM ty GROUP BY type""")
 def ev_agent_summary(spark, sf_dir):
-    per = _stream(spark, sf_dir)
-    total = per.groupBy("case_id").agg(F.first("first").alias("first"), F.avg("s").alias("s")).select(F.lit("all").alias("type"), "s", "first")
-    return total.union(per.select("type", "s", "first")).groupBy("type").agg(F.count("*").alias("n"), F.round(F.avg("s"), 6).alias("score"), F.round(F.avg(F.col("first").cast("int")), 6).alias("first_rate"))
+    """Means over all streams, and of each action type's scores over the streams that ask for it."""
+    s = _streams(spark, sf_dir)
+    mean = lambda c: F.round(F.avg(c), 6)
+    total = F.struct(F.lit("all").alias("type"), F.col("total").alias("score"), "total", "first", "penalty", "n_gold", "n_pred")
+    each = F.transform("by_type", lambda t: F.struct(t["type"], t["score"], *[F.lit(None).cast(k).alias(c) for c, k in (("total", "double"), ("first", "boolean"), ("penalty", "double"), ("n_gold", "int"), ("n_pred", "int"))]))
+    r = s.select(F.inline(F.concat(F.array(total), each)))
+    return r.groupBy("type").agg(
+        F.count("*").alias("n"), mean("score").alias("score"), mean((F.col("total") >= 1 - CLOSE).cast("int")).alias("success_rate"), mean((F.col("total") == 1).cast("int")).alias("exact_rate"),
+        mean(F.col("first").cast("int")).alias("first_rate"), mean("penalty").alias("penalty"), mean("n_gold").alias("n_gold"), mean("n_pred").alias("n_pred"),
+    )
 
 
 @query(f"""WITH {TRIALS}, t AS (SELECT task_id, bool_or(success) FILTER (WHERE run = 1) AS one, bool_or(success) AS any_run, bool_and(success) AS every FROM trials WHERE run <= 4 GROUP BY task_id)
@@ -161,12 +186,12 @@ def ev_pass_at_k(spark, sf_dir):
     return t.agg(F.count("*").alias("tasks"), m("one").alias("pass_at_1"), m("some").alias("pass_at_4"), m("every").alias("pass_all_4"))
 
 
-@query(f"""WITH {TRIALS}, t AS (SELECT task_id, count(*) AS n, count(*) FILTER (WHERE success) AS s FROM trials WHERE NOT infra GROUP BY task_id), k AS (SELECT unnest(generate_series(1, least((SELECT min(n) FROM t), 8))) AS k)
+@query(f"""WITH {TRIALS}, t AS (SELECT task_id, count(*) AS n, count(*) FILTER (WHERE success) AS s FROM trials WHERE NOT infra GROUP BY task_id), k AS (SELECT unnest(generate_series(1, (SELECT min(n) FROM t))) AS k)
 SELECT k, count(*) AS tasks, round(avg(list_product([greatest(s - i, 0) / (n - i) for i in generate_series(0, k - 1)])), 6) AS pass_hat FROM t, k GROUP BY k""")
 def ev_pass_hat_k(spark, sf_dir):
-    """Unbiased pass^k for k up to the smallest task (8 at most here), infrastructure errors left out."""
+    """Unbiased pass^k for k up to the smallest task, infrastructure errors left out."""
     t = trials(spark, sf_dir).filter("NOT infra").groupBy("task_id").agg(F.count("*").alias("n"), F.count_if("success").alias("s"))
-    top = t.agg(F.least(F.min("n"), F.lit(8)).alias("top"))
+    top = t.agg(F.min("n").alias("top"))
     j = t.crossJoin(F.broadcast(top)).select("n", "s", F.explode(F.sequence(F.lit(1).cast("long"), "top")).alias("k"))  # one row
     return j.groupBy("k").agg(F.count("*").alias("tasks"), F.round(F.avg(pass_hat(F.col("s"), F.col("n"), F.col("k"))), 6).alias("pass_hat"))
 

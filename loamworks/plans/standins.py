@@ -3,6 +3,7 @@
 CALLS   one row per gold or predicted call of a case: an order is a case, its lines are calls.
 TRIALS  one row per run of a task: users are tasks, events are runs.
 LATENCY one row per attempt of a case: users are cases, values are latencies.
+ACTIONS one row per gold or predicted screen action of a case, as CALLS; keys and texts of predictions differ by fixed arithmetic.
 SCORED  one row per document and arm, with likelihood, tokens and bytes by fixed arithmetic.
 """
 
@@ -16,6 +17,23 @@ from ..sources.stages import table
 CALLS = """calls AS (SELECT l_orderkey AS case_id, 'gold' AS side, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos, l_returnflag || l_linestatus AS name, l_quantity::BIGINT AS args FROM lineitem
   UNION ALL SELECT l_orderkey, 'pred', row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey, l_suppkey, l_extendedprice), CASE WHEN l_partkey % 13 = 0 THEN 'XX' ELSE l_returnflag || l_linestatus END,
   l_quantity::BIGINT + (l_suppkey % 7 = 0)::INT FROM lineitem WHERE l_suppkey % 10 <> 0)"""
+_TYPE = "CASE WHEN l_partkey % 11 = 0 THEN 'terminate' WHEN l_partkey % 8 = 0 THEN 'click' WHEN l_partkey % 8 = 1 THEN 'write' WHEN l_partkey % 8 IN (2, 3) THEN 'press' WHEN l_partkey % 8 = 4 THEN 'hotkey' WHEN l_partkey % 8 = 5 THEN 'scroll' WHEN l_partkey % 8 = 6 THEN 'wait' ELSE 'doubleClick' END"
+_GOLD = {
+    "type": _TYPE, "x": "l_quantity / 50", "y": "l_discount * 10", "text": "concat('Order ', CAST(l_orderkey AS STRING), ' ', l_returnflag)",
+    "key": "CASE WHEN l_suppkey % 3 = 0 THEN 'Enter' WHEN l_suppkey % 3 = 1 THEN 'return' ELSE 'escape' END", "amount": "CASE WHEN l_partkey % 3 > 0 THEN l_quantity * (l_suppkey % 2 * 2 - 1) END", "way": "CASE WHEN l_partkey % 3 = 0 THEN CASE WHEN l_suppkey % 2 = 0 THEN 'Up' ELSE ' down ' END END",
+    "seconds": "CAST(l_linenumber AS DOUBLE)", "status": "CASE WHEN l_suppkey % 2 = 0 THEN 'success' ELSE 'failure' END", "boxed": "l_partkey % 5 = 0",
+}
+_PRED = _GOLD | {
+    "type": f"CASE WHEN l_partkey % 13 = 0 THEN 'wait' WHEN l_partkey % 7 = 0 THEN upper({_TYPE}) ELSE {_TYPE} END", "x": "l_quantity / 50 + l_suppkey % 5 / 100.0", "y": "l_discount * 10 + l_partkey % 3 / 250.0",
+    "text": "CASE l_suppkey % 4 WHEN 0 THEN concat('Order ', CAST(l_orderkey AS STRING), ' ', l_returnflag) WHEN 1 THEN concat(' ORDER ', CAST(l_orderkey AS STRING), ' ', l_returnflag, ' ') WHEN 2 THEN concat('Order ', l_returnflag) ELSE 'other' END",
+    "key": "CASE WHEN l_suppkey % 3 = 0 THEN 'enter' WHEN l_suppkey % 3 = 1 THEN 'Return' ELSE 'tab' END", "amount": "CASE WHEN l_partkey % 3 = 1 THEN l_quantity * (l_suppkey % 2 * 2 - 1) / 2 END", "way": "CASE WHEN l_partkey % 3 <> 1 THEN CASE WHEN l_suppkey % 2 = 0 THEN '2.5' ELSE 'LEFT' END END",
+    "seconds": "CAST(l_linenumber + CASE WHEN l_suppkey % 7 = 0 THEN 1 ELSE 0 END AS DOUBLE)", "status": "CASE WHEN l_suppkey % 2 = 0 THEN 'success' ELSE 'FAILURE' END", "boxed": "false",
+}
+_TIES = "l_linenumber, l_partkey, l_suppkey, l_extendedprice"
+_as = lambda fields, spark=False: ", ".join(f"{x if spark else x.replace('AS STRING', 'AS VARCHAR')} AS {n}" for n, x in fields.items())
+#: Predictions lack every tenth supplier's lines and have every 17th part's twice.
+ACTIONS = f"""acts AS (SELECT l_orderkey AS case_id, 'gold' AS side, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_TIES}) AS pos, {_as(_GOLD)} FROM lineitem
+  UNION ALL SELECT l_orderkey, 'pred', row_number() OVER (PARTITION BY l_orderkey ORDER BY {_TIES}, copy), {_as(_PRED)} FROM (SELECT *, unnest(generate_series(0, (l_partkey % 17 = 0)::INT)) AS copy FROM lineitem WHERE l_suppkey % 10 <> 0))"""
 TRIALS = """trials AS (SELECT user_id AS task_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run, event_type = 'purchase' AS success, event_type = 'error' AS infra,
   CASE WHEN event_type = 'purchase' THEN 1.0 ELSE value / 1000 END AS reward, value AS seconds, event_type AS service FROM events)"""
 LATENCY = "attempts AS (SELECT event_id, user_id AS case_id, event_type AS family, value AS ms, event_id % 3 <> 0 AS exact, event_type <> 'error' AS valid FROM events)"
@@ -42,6 +60,24 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("case_id").agg(gather("gold").alias("gold"), gather("pred").alias("pred"))
 
 
+def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """case_id with its gold and predicted screen actions as arrays in order of position, gathered in one shuffle."""
+    l = table(spark, sf_dir, "lineitem")
+    twice = l.filter("l_suppkey % 10 <> 0").withColumn("copy", F.explode(F.expr("sequence(0, CASE WHEN l_partkey % 17 = 0 THEN 1 ELSE 0 END)")))
+    ties = [c.strip() for c in _TIES.split(",")]
+    box = "CASE WHEN boxed THEN array(named_struct('left', x - 0.005D, 'top', y - 0.005D, 'width', 0.05D, 'height', 0.05D)) END"
+    key = "CASE WHEN lower(type) = 'hotkey' AND key <> 'Enter' THEN array('ctrl', key) ELSE array(key) END"
+    struct = f"named_struct('type', type, 'x', x, 'y', y, 'text', text, 'keys', {key}, 'amount', amount, 'way', way, 'seconds', seconds, 'status', status, 'boxes', {box})"
+
+    def side(df: DataFrame, name: str, fields: dict[str, str]) -> DataFrame:
+        df = df.select("l_orderkey", F.struct(*ties, "copy").alias("at"), *[F.expr(x).alias(n) for n, x in fields.items()])
+        return df.select(F.col("l_orderkey").alias("case_id"), F.lit(name).alias("side"), "at", F.expr(struct).alias("action"))
+
+    both = side(l.withColumn("copy", F.lit(0)), "gold", _GOLD).unionByName(side(twice, "pred", _PRED))
+    gather = lambda s: F.transform(F.sort_array(F.collect_list(F.when(F.col("side") == s, F.struct("at", "action")))), lambda x: x["action"])
+    return both.groupBy("case_id").agg(gather("gold").alias("gold"), gather("pred").alias("pred"))
+
+
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     run = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
