@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import contamination, filters, sampling
+from ..operators import arguments, contamination, filters, sampling
 from ..registry import Register
 from ..sources.stages import spread, staged, table
 from .corpus import REASON, SQUEEZED
 from .dedup import COVER
+from .standins import SKELETON, SLOTS, nested, prompts
 
 QUERIES = query = Register()
 PROMPT = r"sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))))"
@@ -63,13 +64,30 @@ def so_assert_disjoint(spark, sf_dir):
     return s.select("rule", "prompts", "eval_prompts", "shared", (ok & (F.col("shared") == 0)).alias("ok"))
 
 
-@query("""WITH v AS (SELECT event_type, user_id % 10 = 0 AS e, key || '=' || json_extract_string(props, '$.' || key) AS slot FROM (SELECT event_type, user_id, props, unnest(json_keys(props)) AS key FROM events)),
-s AS (SELECT event_type, slot, bool_or(e) AS e, bool_or(NOT e) AS t FROM v GROUP BY ALL) SELECT event_type, count(*) FILTER (WHERE e) AS eval_slots, count(*) FILTER (WHERE t) AS train_slots, count(*) FILTER (WHERE e AND t) AS shared FROM s GROUP BY event_type""")
+@query(rf"""WITH RECURSIVE {SLOTS}, v AS (SELECT 'slot' AS leg, event_type || '.' || path AS name, user_id % 10 = 0 AS e, sha256(type || ':' || lower(trim(regexp_replace(leaf, '\s+', ' ', 'g')))) AS h FROM slots JOIN events USING (event_id)),
+t AS (SELECT conv_id, conv_id % 10 = 0 AS e, arg_min({PROMPT}, turn) FILTER (WHERE role = 'user') AS p, sha256(string_agg(coalesce(role, '') || chr(31) || coalesce(text, ''), chr(30) ORDER BY turn)) AS s FROM conversations GROUP BY conv_id),
+f AS (SELECT * FROM v UNION ALL SELECT 'all slots', '', e, h FROM v UNION ALL SELECT 'prompt', '', e, p FROM t WHERE p IS NOT NULL UNION ALL SELECT 'row', '', e, s FROM t),
+g AS (SELECT leg, name, h, bool_or(e) AS e, bool_or(NOT e) AS t FROM f GROUP BY ALL)
+SELECT leg, name, count(*) FILTER (WHERE e) AS n_eval, count(*) FILTER (WHERE t) AS n_train, count(*) FILTER (WHERE e AND t) AS shared FROM g GROUP BY ALL""")
 def so_slot_audit(spark, sf_dir):
-    """Typed slot values of the evaluation side that training rows use too."""
-    e = table(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 10 == 0).alias("e"), F.explode(F.from_json("props", "map<string,string>")).alias("k", "v"))
-    s = e.groupBy("event_type", F.concat_ws("=", "k", "v").alias("slot")).agg(F.bool_or("e").alias("e"), F.bool_or(~F.col("e")).alias("t"))
-    return s.groupBy("event_type").agg(F.count_if("e").alias("eval_slots"), F.count_if("t").alias("train_slots"), F.count_if(F.col("e") & F.col("t")).alias("shared"))
+    """What the two sides of a split share: typed slot values by slot and in all, first prompts, whole conversations.
+
+    Slots are the leaves of nested arguments under the call's name; text counts in lower case with squeezed spaces.
+    """
+    e = nested(spark, sf_dir).select("event_type", (F.col("user_id") % 10 == 0).alias("e"), "args")
+    slots = arguments.leaf_slots(e, "args").select(F.concat_ws(".", "event_type", "path").alias("name"), "e", F.sha2(F.concat_ws(":", "type", F.lower(tx.squeeze(F.col("leaf")))), 256).alias("h"))
+    # Of each slot's value the sides it occurs on, before anything else meets.
+    slots = slots.groupBy("name", "h").agg(F.bool_or("e").alias("e"), F.bool_or(~F.col("e")).alias("t"))
+    turns = table(spark, sf_dir, "conversations").withColumn("p", F.when(F.col("role") == "user", _prompt()))
+    said = F.concat_ws("\x1f", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    c = turns.groupBy("conv_id").agg(F.min_by("p", F.when(F.col("p").isNotNull(), F.col("turn"))).alias("p"), F.sort_array(F.collect_list(F.struct("turn", said.alias("said")))).alias("all"))
+    c = c.select((F.col("conv_id") % 10 == 0).alias("e"), "p", F.sha2(F.array_join(F.transform("all", lambda x: x["said"]), "\x1e"), 256).alias("s"))
+    side = [F.col("e"), (~F.col("e")).alias("t")]
+    rows = slots.select(F.lit("slot").alias("leg"), "name", "h", "e", "t").unionByName(slots.select(F.lit("all slots").alias("leg"), F.lit("").alias("name"), "h", "e", "t"))
+    for leg, key in (("prompt", "p"), ("row", "s")):
+        rows = rows.unionByName(c.filter(F.col(key).isNotNull()).select(F.lit(leg).alias("leg"), F.lit("").alias("name"), F.col(key).alias("h"), *side))
+    g = rows.groupBy("leg", "name", "h").agg(F.bool_or("e").alias("e"), F.bool_or("t").alias("t"))
+    return g.groupBy("leg", "name").agg(F.count_if("e").alias("n_eval"), F.count_if("t").alias("n_train"), F.count_if(F.col("e") & F.col("t")).alias("shared"))
 
 
 @query(f"WITH p AS (SELECT conv_id, {PROMPT} AS h FROM conversations WHERE role = 'user') SELECT count(*) AS prompts, count(*) FILTER (WHERE h IN (SELECT h FROM p WHERE conv_id % 10 <> 0)) AS leaked FROM p WHERE conv_id % 10 = 0")
@@ -79,33 +97,32 @@ def so_subset_leak(spark, sf_dir):
     return p.filter("conv_id % 10 = 0").join(train, "h", "left").agg(F.count("*").alias("prompts"), F.count("hit").alias("leaked"))
 
 
-@query("""WITH t AS (SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '[0-9]+', '<arg>', 'g'), '\\s+', ' ', 'g') || '|' || p_brand AS skeleton FROM part),
-s AS (SELECT sha256(skeleton) AS template, bool_or(p_partkey % 10 = 0) AS e, bool_or(p_partkey % 10 <> 0) AS t FROM t GROUP BY 1) SELECT count(*) FILTER (WHERE e) AS templates, count(*) FILTER (WHERE e AND t) AS leaked FROM s""")
-def so_template_leak(spark, sf_dir):
-    """Skeletons with their arguments replaced, compared across the sides."""
-    skeleton = F.concat(F.regexp_replace(F.regexp_replace(F.lower("p_name"), "[0-9]+", "<arg>"), r"\s+", " "), F.lit("|"), "p_brand")
-    s = table(spark, sf_dir, "part").groupBy(F.sha2(skeleton, 256).alias("template")).agg(F.bool_or(F.col("p_partkey") % 10 == 0).alias("e"), F.bool_or(F.col("p_partkey") % 10 != 0).alias("t"))
-    return s.agg(F.count_if("e").alias("templates"), F.count_if(F.col("e") & F.col("t")).alias("leaked"))
+SCREENED = f"tp AS (SELECT sha256({SKELETON}) AS template, bool_or(user_id % 10 = 0) AS e, bool_or(user_id % 10 <> 0) AS t FROM events GROUP BY 1)"
+
 
+def _templates(spark, sf_dir):
+    """Per template the sides of the split that have it."""
+    t = arguments.templates(prompts(spark, sf_dir), "prompt", "args", "names")
+    return t.groupBy("template").agg(F.bool_or(F.col("user_id") % 10 == 0).alias("e"), F.bool_or(F.col("user_id") % 10 != 0).alias("t"))
 
-TEMPLATE = r"trim(regexp_replace(regexp_replace(lower({t}), '[0-9]+', '<arg>', 'g'), '\s+', ' ', 'g'))"
+
+@query(f"WITH {SCREENED} SELECT count(*) FILTER (WHERE e) AS templates, count(*) FILTER (WHERE e AND t) AS leaked FROM tp")
+def so_template_leak(spark, sf_dir):
+    """Prompts without their calls' argument values, with the names called, compared across the sides."""
+    return _templates(spark, sf_dir).agg(F.count_if("e").alias("templates"), F.count_if(F.col("e") & F.col("t")).alias("leaked"))
 
 
-@query(f"""{COVER}, ln AS (SELECT DISTINCT lang, {TEMPLATE.format(t="x")} AS template FROM (SELECT lang, unnest(string_split(text, chr(10))) AS x FROM documents)),
-it AS (SELECT item_id, {TEMPLATE.format(t="text")} AS template FROM benchmark), tm AS (SELECT ln.lang, count(DISTINCT item_id) AS n FROM ln JOIN it USING (template) GROUP BY ln.lang)
-SELECT lang AS training_table, count(DISTINCT c.item_id) AS matched_items, count(DISTINCT c.doc_id) AS matched_documents, any_value(coalesce(tm.n, 0)) AS matched_templates, count(DISTINCT c.item_id) + any_value(coalesce(tm.n, 0)) = 0 AS ok FROM documents LEFT JOIN c USING (doc_id) LEFT JOIN tm USING (lang) GROUP BY lang""")
+@query(f"""{COVER}, {SCREENED} SELECT lang AS training_table, count(DISTINCT c.item_id) AS matched_items, count(DISTINCT c.doc_id) AS matched_documents, 0::BIGINT AS matched_templates, count(DISTINCT c.item_id) = 0 AS ok FROM documents LEFT JOIN c USING (doc_id) GROUP BY lang
+UNION ALL SELECT 'calls', 0, 0, count(*) FILTER (WHERE e AND t), count(*) FILTER (WHERE e AND t) = 0 FROM tp""")
 def so_fresh_slice(spark, sf_dir):
-    """A fresh slice (benchmark) against each training table (language): items that a document covers, and items whose template (digits replaced) is a line of one. A table with any isn't ok."""
+    """A fresh slice against each training table: documents of a language by the benchmark items they cover, the table with calls by templates. A table with any isn't ok."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     c = staged(contamination.shingle_cover(docs, items).withColumnRenamed("doc_id", "_d"), "fresh")
     d = docs.select("doc_id", F.col("lang").alias("training_table")).join(c.hint("merge"), F.col("doc_id") == F.col("_d"), "left")
     d = d.groupBy("training_table").agg(F.count_distinct("item_id").alias("matched_items"), F.count_distinct("_d").alias("matched_documents"))
-    template = lambda t: F.trim(F.regexp_replace(F.regexp_replace(F.lower(t), "[0-9]+", "<arg>"), r"\s+", " "))
-    wanted = staged(items.select("item_id", template(F.col("text")).alias("template")), "templates")
-    lines = docs.select("lang", F.explode(F.split("text", "\n")).alias("x")).select("lang", template(F.col("x")).alias("template"))
-    t = lines.join(wanted.hint("merge"), "template").groupBy("lang").agg(F.count_distinct("item_id").alias("matched_templates"))
-    j = d.join(F.broadcast(t), F.col("training_table").eqNullSafe(F.col("lang")), "left").withColumn("matched_templates", F.coalesce("matched_templates", F.lit(0)))  # a row a table
-    return j.select("training_table", "matched_items", "matched_documents", "matched_templates", (F.col("matched_items") + F.col("matched_templates") == 0).alias("ok"))
+    zero = F.lit(0).cast("long")
+    called = _templates(spark, sf_dir).agg(F.count_if(F.col("e") & F.col("t")).alias("matched_templates")).select(F.lit("calls").alias("training_table"), zero.alias("matched_items"), zero.alias("matched_documents"), "matched_templates")
+    return d.withColumn("matched_templates", zero).unionByName(called).withColumn("ok", F.col("matched_items") + F.col("matched_templates") == 0)
 
 
 @query(f"SELECT conv_id, turn FROM conversations WHERE role = 'user' AND {PROMPT} NOT IN (SELECT {PROMPT} FROM conversations WHERE role = 'user' AND conv_id % 20 = 0)")

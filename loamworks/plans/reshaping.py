@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import rendering
+from ..operators import arguments, rendering
 from ..registry import Register
 from ..sources.stages import table
 from .corpus import TOKENS
+from .standins import SLOTS, nested
 
 QUERIES = query = Register()
 ROW = 2048
@@ -106,15 +107,31 @@ def tx_enrich(spark, sf_dir):
     return r.select("conv_id", "level", F.replace(form, F.lit("{}"), body).alias("text"))
 
 
-CALLTEXT = """c AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'I will run {"name": "' || event_type || '", "arguments": ' || props || '} now' WHEN 1 THEN 'call ' || event_type || '(user=' || user_id || ')' ELSE 'nothing to call' END AS t, event_type, props, user_id FROM events)"""
+_ARGS = """concat('{"a":[1,{"b":"', event_type, '"}],"user":', user_id, '}')"""
+#: Texts with calls made from events, by event_id % 8, and what each holds: a nested object in prose; two calls; calls inside another object; arguments as text;
+#: a broken object and a bare name; name(key=value) with quotes and nesting; a broken object and a whole one; none.
+_TEXTS = (
+    (f"""concat('I will run {{"name": "', event_type, '", "arguments": ', {_ARGS}, '}} now')""", 1, "event_type", _ARGS, "'json'", 0),
+    (f"""concat('{{"tool": "first", "args": {{}}}} then {{"function": "', event_type, '", "parameters": ', {_ARGS}, '}}')""", 2, "'first'", "'{}'", "'json'", 0),
+    (f"""concat('{{"tool_calls": [{{"name": "', event_type, '", "arguments": ', {_ARGS}, '}}, {{"name": "second"}}]}}')""", 2, "event_type", _ARGS, "'json'", 0),
+    (f"""concat('{{"name": "', event_type, '", "arguments": "', replace({_ARGS}, '"', concat(chr(92), '"')), '"}}')""", 1, "event_type", _ARGS, "'json'", 0),
+    ("""concat('{"name": "', event_type, '", "arguments": {oops}}')""", 1, "event_type", "'{}'", "'name'", 1),
+    ("""concat('[', event_type, '(user=', user_id, ', tags=["a", (1)], who="x, (y)", on=True, "last")]')""", 1, "event_type", """concat('{"4":"last","on":true,"tags":"[', chr(92), '"a', chr(92), '", (1)]","user":', user_id, ',"who":"x, (y)"}')""", "'plain'", 0),
+    (f"""concat('{{bad}} and "{{" {{"name": "', event_type, '", "arguments": ', {_ARGS}, '}}')""", 1, "event_type", _ARGS, "'json'", 1),
+    ("'nothing to call'", 0, "CAST(NULL AS STRING)", "CAST(NULL AS STRING)", "CAST(NULL AS STRING)", 0),
+)
 
 
-@query(f"""WITH {CALLTEXT} SELECT event_id, CASE event_id % 3 WHEN 2 THEN NULL ELSE event_type END AS name, CASE event_id % 3 WHEN 0 THEN 'json' WHEN 1 THEN 'plain' ELSE 'none' END AS kind FROM c""")
+def _by_text(place: int) -> str:
+    return "CASE event_id % 8 " + " ".join(f"WHEN {i} THEN {t[place]}" for i, t in enumerate(_TEXTS)) + " END"
+
+
+@query(f"SELECT event_id, {_by_text(1)}::BIGINT AS calls, {_by_text(2)} AS name, {_by_text(3)} AS args, {_by_text(4)} AS kind, {_by_text(5)}::BIGINT AS failures FROM events".replace("AS STRING", "AS VARCHAR"))
 def tx_parse_calls(spark, sf_dir):
-    """Calls read out of free text made from events: JSON objects, then name(arguments)."""
-    k = F.col("event_id") % 3
-    t = F.when(k == 0, F.concat(F.lit('I will run {"name": "'), "event_type", F.lit('", "arguments": '), "props", F.lit("} now"))).when(k == 1, F.concat(F.lit("call "), "event_type", F.lit("(user="), "user_id", F.lit(")"))).otherwise("nothing to call")
-    return table(spark, sf_dir, "events").select("event_id", rendering.parse_calls(t).alias("c")).select("event_id", "c.name", "c.kind")
+    """Calls read out of free text: how many, the first one's name, arguments and spelling, and the objects that aren't JSON."""
+    c = table(spark, sf_dir, "events").select("event_id", arguments.parse_calls(F.expr(_by_text(0))).alias("c"))
+    first = F.get("c.calls", F.lit(0))
+    return c.select("event_id", F.size("c.calls").cast("long").alias("calls"), first["name"].alias("name"), first["args"].alias("args"), first["kind"].alias("kind"), F.col("c.failures").cast("long").alias("failures"))
 
 
 @query()
@@ -129,10 +146,7 @@ def tx_page_text(spark, sf_dir):
     return rendering.page_text(table(spark, sf_dir, "pages"), 20_000)
 
 
-@query("SELECT event_id, key, json_extract_string(props, '$.' || key) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)")
+@query(f"WITH RECURSIVE {SLOTS} SELECT event_id, path, type, leaf FROM slots")
 def tx_slot_values(spark, sf_dir):
-    """Leaf (path, value) rows of JSON arguments."""
-    e = table(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string,string>").alias("m"))
-    return e.select("event_id", F.explode("m").alias("key", "value"))
-
-
+    """Leaf (path, type, value) rows of nested arguments."""
+    return arguments.leaf_slots(nested(spark, sf_dir).select("event_id", "args"), "args")

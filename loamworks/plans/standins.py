@@ -1,6 +1,7 @@
 """Evaluation inputs derived from the shared tables: each as a Spark DataFrame and as the SQL of the same rows.
 
 CALLS   one row per gold or predicted call of a case: an order is a case, its lines are calls.
+NESTED  nested arguments of an event as JSON text; PROMPT a prompt that spells some of them.
 TRIALS  one row per run of a task: users are tasks, events are runs.
 LATENCY one row per attempt of a case: users are cases, values are latencies.
 ACTIONS one row per gold or predicted screen action of a case, as CALLS; keys and texts of predictions differ by fixed arithmetic.
@@ -36,6 +37,17 @@ ACTIONS = f"""acts AS (SELECT l_orderkey AS case_id, 'gold' AS side, row_number(
   UNION ALL SELECT l_orderkey, 'pred', row_number() OVER (PARTITION BY l_orderkey ORDER BY {_TIES}, copy), {_as(_PRED)} FROM (SELECT *, unnest(generate_series(0, (l_partkey % 17 = 0)::INT)) AS copy FROM lineitem WHERE l_suppkey % 10 <> 0))"""
 TRIALS = """trials AS (SELECT user_id AS task_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run, event_type = 'purchase' AS success, event_type = 'error' AS infra,
   CASE WHEN event_type = 'purchase' THEN 1.0 ELSE value / 1000 END AS reward, value AS seconds, event_type AS service FROM events)"""
+#: Over events, in either engine.
+NESTED = """concat('{"page": ', props, ', "user": {"id": ', user_id, ', "tags": ["', event_type, '", {"deep": [[2.5, null], true]}]}, "none": null, "empty": {}, "note": "User ', user_id % 7, '"}')"""
+#: Leaves of NESTED; to be used in WITH RECURSIVE.
+SLOTS = f"""open_ AS (SELECT event_id, '' AS path, ({NESTED})::JSON AS j FROM events
+  UNION ALL SELECT o.event_id, CASE WHEN json_type(o.j) = 'ARRAY' THEN o.path WHEN o.path = '' THEN e.key::VARCHAR ELSE o.path || '.' || e.key END, e.value FROM open_ o, json_each(o.j) e WHERE json_type(o.j) IN ('OBJECT', 'ARRAY')),
+slots AS (SELECT event_id, path, CASE json_type(j) WHEN 'VARCHAR' THEN 'str' WHEN 'BOOLEAN' THEN 'bool' WHEN 'DOUBLE' THEN 'float' ELSE 'int' END AS type, j::VARCHAR AS leaf FROM open_ WHERE json_type(j) NOT IN ('OBJECT', 'ARRAY', 'NULL'))"""
+_ENDS = "CASE event_id % 3 WHEN 0 THEN 'now' WHEN 1 THEN 'please' ELSE concat('at ', event_id % 5) END"
+PROMPT = f"""concat('In ', event_type, ' show USER ', user_id % 7, ', page ', {{k}}, ' to ', user_id, ' ', {_ENDS})"""
+#: Its tokens with the argument values out of them, and the names of its calls, in order.
+SKELETON = """concat('in <arg> show <arg> , page <arg> to <arg> ', CASE event_id % 3 WHEN 0 THEN 'now' WHEN 1 THEN 'please' ELSE concat('at ', CASE WHEN event_id % 5 IN (user_id, CAST(props->>'k' AS BIGINT)) THEN '<arg>' ELSE CAST(event_id % 5 AS VARCHAR) END) END,
+  chr(10), CASE WHEN event_id % 2 = 0 THEN event_type WHEN event_type < 'notify' THEN concat(event_type, chr(31), 'notify') ELSE concat('notify', chr(31), event_type) END)"""
 LATENCY = "attempts AS (SELECT event_id, user_id AS case_id, event_type AS family, value AS ms, event_id % 3 <> 0 AS exact, event_type <> 'error' AS valid FROM events)"
 SCORED = """scored AS (SELECT doc_id, source AS grp, arm, n_chars AS bytes, n_chars // 4 + 1 AS tokens, round(n_chars * CASE arm WHEN 'a' THEN 0.70 ELSE 0.65 END + (doc_id * (CASE arm WHEN 'a' THEN 7 ELSE 5 END)) % 23, 4) AS nll,
   (n_chars // 4 + 1) * (1 + doc_id % 3 + (arm = 'b')::INT) // 8 AS correct FROM documents, (VALUES ('a'), ('b')) arms(arm))"""
@@ -78,6 +90,17 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("case_id").agg(gather("gold").alias("gold"), gather("pred").alias("pred"))
 
 
+def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with their nested arguments as VARIANT."""
+    return table(spark, sf_dir, "events").withColumn("args", F.parse_json(F.expr(NESTED)))
+
+
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, user_id, prompt, args (VARIANT) and names of the calls that it asks for, of each event."""
+    both = "CASE event_id % 4 WHEN 1 THEN array(event_type, 'notify') WHEN 3 THEN array('notify', event_type) ELSE array(event_type) END"
+    return nested(spark, sf_dir).select(F.col("event_id").alias("id"), "user_id", F.expr(PROMPT.format(k="get_json_object(props, '$.k')")).alias("prompt"), "args", F.expr(both).alias("names"))
+
+
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     run = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
