@@ -1,11 +1,11 @@
 """Quality rules: lines that too many documents of a host share are removed, and documents they leave depleted rejected.
 
 Every line with a word is hashed in normal form (folded words, white space ignored). For each host (column `source`) a
-line's distinct documents are counted; a document is its text, so that copies of one aren't several (by_row=True counts
-rows with different ids instead). A line is above the limit when more than min_docs documents of its host hold it (long_docs,
-if it has LONG_WORDS words or more), or, in a small host, more than two and more than small_share of all its documents. The
-limit never grows beyond min_docs, so that a line is judged alike in a large and in a huge host, and no host is too small for
-one. Lines above it go from all documents. A document is depleted, and rejected, when fewer than min_left of its words
+line's distinct documents are counted: rows of different id or text, as the query does (by_row=True), or different texts, as the pipeline
+does, where copies of one page are no reason to lose it. A line is above the limit when more than min_docs documents of its host hold
+it (long_docs, if it has LONG_WORDS words or more). With small_share a small host has a limit too: more than two documents and
+more than that share of all it has; the query has none. No limit grows beyond min_docs, so that a line is judged alike in a
+large and in a huge host. Lines above it go from all documents. A document is depleted, and rejected, when fewer than min_left of its words
 remain. Documents that fail the base rules (under 50 words, or over half of the words in repeated three-word windows) are
 rejected too.
 
@@ -90,13 +90,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("th", F.xxhash64("text"))
 
 
-def _lines_above(stats: DataFrame, min_docs: int, small_share: float, long_docs: int, by_row: bool) -> DataFrame:
+def _lines_above(stats: DataFrame, min_docs: int, small_share: float | None, long_docs: int, by_row: bool) -> DataFrame:
     """(source, line) of the lines above their limit."""
     each = ["source", "doc_id", "th"] if by_row else ["source", "th"]
     lines = stats.select(*each, F.explode(F.array_distinct("line_hash")).alias("line")).groupBy(*each, "line").agg(F.lit(1).alias("one"))
     counts = lines.groupBy("source", "line").agg(F.count("*").alias("n")).filter("n > 2")
     limit = F.when(F.col("line").bitwiseAND(1) == 1, F.lit(min(min_docs, long_docs))).otherwise(F.lit(min_docs))
     counts = common.materialise(counts.withColumn("above", F.col("n") > limit), "rules-counts")
+    if small_share is None:
+        return counts.filter("above").select("source", "line")
     # Only hosts of few documents have a limit of their own.
     hosts = stats.groupBy(*each).agg(F.lit(1).alias("one")).groupBy(F.col("source").alias("host")).agg(F.count("*").alias("docs"))
     hosts = common.materialise(hosts.filter(F.col("docs") * small_share < min_docs), "rules-hosts")
@@ -114,7 +116,7 @@ def _lines_above(stats: DataFrame, min_docs: int, small_share: float, long_docs:
     return counts.filter("above").select("source", "line").unionByName(small.select("source", "line"))
 
 
-def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, small_share: float = SMALL_SHARE, min_left: float = MIN_LEFT, long_docs: int = LONG_DOCS, by_row: bool = False) -> DataFrame:
+def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, small_share: float | None = SMALL_SHARE, min_left: float = MIN_LEFT, long_docs: int = LONG_DOCS, by_row: bool = False) -> DataFrame:
     """docs(doc_id, source, text) -> per row the base columns, base_failed, drop_lines (numbers from 0), left_words, kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     stats = common.materialise(_keyed(docs).mapInArrow(_stats, _STATS), "rules-stats")
@@ -151,18 +153,16 @@ def clean(docs: DataFrame, **options) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = verdicts(common.table(spark, sf_dir, "documents"))
+    out = verdicts(common.table(spark, sf_dir, "documents"), small_share=None, by_row=True)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "left_words", F.size("drop_lines").cast("long").alias("n_lines_removed"), "kept")
 
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text, coalesce(sha256(text), '') AS sha, coalesce({_WORDS.format("text")}, []) AS w FROM documents),
-l AS (SELECT r, source, sha, x, {_WORDS.format("x")} AS lw FROM (SELECT r, source, sha, unnest(string_split(text, chr(10))) AS x FROM d)),
-n AS (SELECT r, source, sha, x, len(lw) AS nw, array_to_string([translate(y, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') for y in lw], ' ') AS norm FROM l WHERE len(lw) > 0),
-hosts AS (SELECT source, count(DISTINCT sha) AS docs FROM d GROUP BY source),
-c AS (SELECT source, norm, count(DISTINCT sha) AS n FROM n GROUP BY source, norm),
-gone AS (SELECT n.r, count(*) AS lines, sum(n.nw) AS words FROM n JOIN c ON c.norm = n.norm AND c.source IS NOT DISTINCT FROM n.source JOIN hosts ON hosts.source IS NOT DISTINCT FROM n.source
-  WHERE c.n > least(CASE WHEN n.nw >= {LONG_WORDS} THEN {LONG_DOCS} ELSE {MIN_DOCS} END, greatest(2, {SMALL_SHARE} * hosts.docs)) GROUP BY n.r),
+l AS (SELECT r, doc_id, source, sha, x, {_WORDS.format("x")} AS lw FROM (SELECT r, doc_id, source, sha, unnest(string_split(text, chr(10))) AS x FROM d)),
+n AS (SELECT r, doc_id, source, sha, x, len(lw) AS nw, array_to_string([translate(y, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') for y in lw], ' ') AS norm FROM l WHERE len(lw) > 0),
+c AS (SELECT source, norm, count(DISTINCT [doc_id::VARCHAR, sha]) AS n FROM n GROUP BY source, norm),
+gone AS (SELECT n.r, count(*) AS lines, sum(n.nw) AS words FROM n JOIN c ON c.norm = n.norm AND c.source IS NOT DISTINCT FROM n.source WHERE c.n > CASE WHEN n.nw >= {LONG_WORDS} THEN {LONG_DOCS} ELSE {MIN_DOCS} END GROUP BY n.r),
 dup AS (SELECT r, count(*) - count(DISTINCT x) AS dups FROM n GROUP BY r),
 g AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t FROM (SELECT r, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d WHERE len(w) >= 3)),
 h AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, t) >= 2),

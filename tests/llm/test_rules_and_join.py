@@ -33,7 +33,7 @@ def plain_rules(rows, min_docs=quality_rules.MIN_DOCS, small_share=quality_rules
         for i, x in enumerate((t or "").split("\n")):
             w = len(cases.words(x))
             limit = min(min_docs, long_docs) if w >= quality_rules.LONG_WORDS else min_docs
-            if w and len(at[s, norm(x)]) > min(limit, max(2, small_share * len(hosts[s]))):
+            if w and len(at[s, norm(x)]) > (limit if small_share is None else min(limit, max(2, small_share * len(hosts[s])))):
                 gone += w
                 drop.append(i)
         failed = n < 50 or 100 * rep > 50 * n
@@ -46,7 +46,7 @@ def spark_rules(docs, **o):
     return Counter((r.doc_id, r.source, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, tuple(r.drop_lines), r.kept) for r in got)
 
 
-@pytest.mark.parametrize("o", [dict(), dict(min_docs=2), dict(min_docs=5, by_row=True, min_left=0.8)])
+@pytest.mark.parametrize("o", [dict(), dict(min_docs=2), dict(min_docs=5, by_row=True, min_left=0.8), dict(min_docs=5, by_row=True, small_share=None)])
 def test_rules_on_real_documents(spark, o):
     docs = cases.documents(spark, "sf0.01")
     rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
