@@ -36,7 +36,7 @@ TAIL_BITS = 1 << 27
 #: Side of a tile; a tile with a pair for every DENSE cells is counted as a dense array.
 SIDE_BITS, DENSE = 9, 8
 #: Pairs a task holds before it counts them.
-BUFFER = 3_000_000
+BUFFER = 1_500_000
 SALTS = 64
 _LEFT, _RIGHT, _SIGN = U(0xD1B54A32D192ED03), U(0x8CB92BA72F3D8DD7), U(1 << 63)
 _KIND = np.zeros(256, np.uint8)
