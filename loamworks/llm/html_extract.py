@@ -5,13 +5,16 @@ that group others (div, section, nav ...) leave WINDOW empty lines at their ends
 line weighs its text's length; link text, copyright notices and menus of bare labels weigh nothing. Weights are summed over
 blocks of WINDOW lines. The page's own distribution sets the threshold: the mean of its blocks with text, SURGE at most. Text
 begins at the first surge (a line from which a block reaches the threshold) and ends at the dive (a block without weight)
-behind the last surge; all between is kept, short lines and stretches too. A first-level heading above the surge, without a
-gap between, is the text's first line.
+behind the last surge; all between is kept, short lines and stretches too.
 
-Names and tags only settle what lengths can't: containers that are boilerplate by their element or by a whole name in their
-class, id, role or label (adverts, forms, reader comments ...) are left out, unless they hold half of the page's text or of
-its articles'; headings, paragraphs, items and cells never are. If there is a surge in an article or main element, all text of
-such elements is kept, and none outside. If no text is left, names and forms don't count.
+Names and tags are prior weights. Containers that are boilerplate by their element or by a whole name in their class, id,
+role or label (adverts, forms, reader comments ...) weigh less than nothing, so that the text dives where they stand, unless they
+hold half of the page's text or of its articles'; headings, paragraphs, items and cells never do. Article and main elements are
+candidates: those under one parent are whole if their lines in surging blocks weigh at least as much as all such lines outside; otherwise
+the text outside wins, and those that aren't in its home go. The home of the text is the innermost container that holds more than
+half of the surging weight (sections belong to what they are in). From its first-level heading or first sentence to its last
+sentence, short lines of the home stay, if nothing about the site (footer, menu ...) comes before. If no text is left, names
+and forms don't count.
 
 Nulls: null or empty html gives an empty text; a page without text too. Broken markup never fails: a container that isn't
 closed skips only its own tag, and script, style or a comment without an end takes the rest of the page, as in a browser.
@@ -70,7 +73,8 @@ GROUPS = frozenset("article aside center details div fieldset footer form header
 #: Elements about the site, and such words: text ends there, unless there is a surge behind them.
 SITE_TAGS = frozenset("nav footer menu header head title".split())
 SITE_WORDS = frozenset("nav navbar navigation menu menus breadcrumb breadcrumbs masthead topbar footer foot pagination pager copyright".split()) | HEADER_WORDS
-_NOTICE = re.compile(r"(©|\(c\)|copyright\b)", re.I)
+#: A notice of rights: it begins with the sign or the word, is short, and has a sign, a year or the phrase.
+_NOTICE = re.compile(r"(?=.{1,200}$)(©|\(c\)|copyright\b(?=.*(©|\(c\)|\b(19|20)\d\d\b|rights reserved)))", re.I)
 _LABEL = re.compile(r"\S+( \S+)?(?<![.?!:;,…])")
 _EMPTY = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _SPACES = re.compile(r"\s+")
@@ -129,13 +133,20 @@ class Line(NamedTuple):
     text: str
     #: Number of the article or main element it is in, 0 for none.
     main: int
+    #: Below zero in a container that is boilerplate.
     weight: int
     #: A few words without an end mark, in no heading.
     label: bool
     title: bool
+    #: The containers it is in, from the outermost.
+    path: tuple[int, ...] = ()
+    #: Part of what is about the site, behind which no text is resumed.
+    site: bool = False
 
 
 GAP = Line("", 0, 0, False, False)
+#: Containers of the path. A section is part of what it is in.
+BOXES = frozenset("article aside center details div dl fieldset figure form footer header main menu nav table".split())
 
 
 def to_lines(page: str, by_name: bool = True) -> list[Line]:
@@ -143,7 +154,9 @@ def to_lines(page: str, by_name: bool = True) -> list[Line]:
     lines: list[Line] = []
     piece: list[str] = []
     linked: list[str] = []
-    skips: list[list] = []  # the open boilerplate container: tag, depth, whether it leaves a gap
+    skip: list = []  # the open element without text of the article: tag, depth
+    low: list[list] = []  # the open boilerplate containers: tag, depth, whether they are about the site
+    path: list[tuple[str, int]] = []
     mains: list[str] = []
     number = seen = links = 0
     heading = ""
@@ -152,8 +165,10 @@ def to_lines(page: str, by_name: bool = True) -> list[Line]:
         if piece:
             text = _plain(piece)
             if text:
-                weight = 0 if _NOTICE.match(text) else len(text) - len(_plain(linked))
-                lines.append(Line(text, number if mains else 0, max(weight, 0), not heading and bool(_LABEL.fullmatch(text)), heading == "h1"))
+                weight = 0 if _NOTICE.match(text) else max(len(text) - len(_plain(linked)), 0)
+                if low:
+                    weight = -len(text)
+                lines.append(Line(text, number if mains else 0, weight, not heading and bool(_LABEL.fullmatch(text)), heading == "h1", tuple(i for _, i in path), any(x[2] for x in low)))
             piece.clear()
             linked.clear()
 
@@ -162,6 +177,11 @@ def to_lines(page: str, by_name: bool = True) -> list[Line]:
         if links:
             linked.append(text)
 
+    def leave(name: str) -> None:
+        if name in BOXES and any(t == name for t, _ in path):
+            while path.pop()[0] != name:
+                pass
+
     at = 0
     tokens = list(_TOKEN.finditer(page))
     names = [((m[3] or m[6] or "").lower(), (m[2] if m[3] else m[5]) == "/") for m in tokens]
@@ -170,16 +190,16 @@ def to_lines(page: str, by_name: bool = True) -> list[Line]:
     attrs = [m[4] or m[7] or "" for m in tokens]
     holds = None
     for i, (m, (name, close)) in enumerate(zip(tokens, names)):
-        if not skips and m.start() > at:
+        if not skip and m.start() > at:
             add(page[at : m.start()])
         at = m.end()
         if not name:
             continue
-        if skips:
-            if name == skips[-1][0]:
-                skips[-1][1] += -1 if close else 1
-                if not skips[-1][1] and skips.pop()[2]:
-                    lines += [GAP] * WINDOW
+        if skip:
+            if name == skip[0]:
+                skip[1] += -1 if close else 1
+                if not skip[1]:
+                    skip = []
             continue
         if name == "br":
             add(" ")
@@ -191,29 +211,48 @@ def to_lines(page: str, by_name: bool = True) -> list[Line]:
             links, heading = 0, ""
         elif name == "a":
             links = 0 if close else closes[i]
+        if low and name == low[-1][0]:
+            low[-1][1] += -1 if close else 1
+            if not low[-1][1]:
+                if low.pop()[2]:
+                    lines += [GAP] * WINDOW
+                leave(name)
+                continue
         if close:
-            if name in MAIN_TAGS and name in mains:
+            leave(name)
+            if name in MAIN_TAGS and name in mains and not low:
                 while mains.pop() != name:
                     pass
-            if i in groups:
+            if i in groups and not low:
                 lines += [GAP] * WINDOW
             continue
-        if _boilerplate(name, attrs[i], bool(mains), by_name):
-            skip = bool(closes[i])
+        named = not low and _boilerplate(name, attrs[i], bool(mains), by_name)
+        if named:
+            gone = bool(closes[i])
             words = _words(attrs[i])
             comments = bool(words & COMMENT_WORDS)
-            if skip and (name in WRAPPERS or name in CONTAINERS) and not (comments and mains):
+            if gone and (name in WRAPPERS or name in CONTAINERS) and not (comments and mains):
                 holds = holds or _holding(page, tokens, names, closes, attrs)
-                skip = not holds(i, comments and name != "article")
-            if skip:
-                if name not in INLINE_SKIPS:
-                    end()
-                skips.append([name, 1, name in SITE_TAGS or name not in INLINE_SKIPS and bool(words & SITE_WORDS)])
-            if skip or name not in MAIN_TAGS:
-                if i in groups and not skip:
+                gone = not holds(i, comments and name != "article")
+            if gone and (name in INLINE_SKIPS or name in ("head", "title")):
+                skip = [name, 1]
+                if name in SITE_TAGS:
                     lines += [GAP] * WINDOW
                 continue
-        if i in groups or name == "h1":
+            if gone:
+                end()
+                low.append([name, 1, name in SITE_TAGS or bool(words & SITE_WORDS)])
+        elif low and name in INLINE_SKIPS and closes[i]:
+            skip = [name, 1]
+            continue
+        if name in BOXES and closes[i]:
+            path.append((name, i))
+        if low or named:
+            if not low and i in groups:
+                lines += [GAP] * WINDOW
+            if low or name not in MAIN_TAGS:
+                continue
+        if i in groups and lines[-WINDOW:] != [GAP] * WINDOW or name == "h1":
             lines += [GAP] * WINDOW
         if name in HEADINGS:
             heading = name
@@ -222,7 +261,7 @@ def to_lines(page: str, by_name: bool = True) -> list[Line]:
                 seen += 1
                 number = seen
             mains.append(name)
-    if not skips and at < len(page):
+    if not skip and at < len(page):
         add(page[at:])
     end()
     return lines
@@ -270,7 +309,7 @@ def blocks(lines: list[Line]) -> list[int]:
     return n
 
 
-def body(lines: list[Line]) -> tuple[int, int]:
+def span(lines: list[Line]) -> tuple[int, int]:
     """The lines from the first surge to the last dive, as (first, behind the last); (0, 0) if there is no text."""
     n = blocks(lines)
     sums = [sum(n[i : i + WINDOW]) for i in range(len(n))]
@@ -293,17 +332,69 @@ def body(lines: list[Line]) -> tuple[int, int]:
     return first, last + 1
 
 
+def _surging(lines: list[Line]) -> list[int]:
+    """Weight of each line that lies in a block that reaches the threshold, else 0."""
+    n = blocks(lines)
+    sums = [sum(n[i : i + WINDOW]) for i in range(len(n))]
+    full = [x for x in sums if x]
+    threshold = min(SURGE, sum(full) / len(full)) if full else 0
+    return [x if x and max(sums[max(0, i - WINDOW + 1) : i + 1]) >= threshold else 0 for i, x in enumerate(n)]
+
+
+def body(every: list[Line]) -> list[int]:
+    """Numbers of the lines that are text."""
+    at = [i for i, x in enumerate(every) if x.weight >= 0]
+    lines = [every[i] for i in at]
+    first, stop = span(lines)
+    if first == stop:
+        return []
+    surging = _surging(lines)
+    # Article and main elements by the container they are in.
+    parents: dict[int, tuple[int, ...]] = {}
+    for x in lines:
+        if x.main and x.text:
+            parents[x.main] = min(parents.get(x.main, x.path), x.path, key=len)
+    group = {m: p[:-1] for m, p in parents.items()}
+    weight: dict[tuple[int, ...], int] = {}
+    for x, n in zip(lines, surging):
+        if x.main in group:
+            weight[group[x.main]] = weight.get(group[x.main], 0) + n
+    total = sum(surging)
+    if weight:
+        best = max(weight, key=lambda p: weight[p])
+        if 2 * weight[best] >= total:
+            return [i for i, x in zip(at, lines) if x.text and x.main and group[x.main] == best]
+    home: tuple[int, ...] = ()
+    while True:
+        inner: dict[tuple[int, ...], int] = {}
+        for x, n in zip(lines, surging):
+            if n and len(x.path) > len(home) and x.path[: len(home)] == home:
+                inner[x.path[: len(home) + 1]] = inner.get(x.path[: len(home) + 1], 0) + n
+        most = max(inner, key=lambda p: inner[p], default=None)
+        if most is None or 2 * inner[most] <= total:
+            break
+        home = most
+    inside = [x.path[: len(home)] == home and not (x.main and home == ()) for x in lines]
+    sentence = [x.weight > 0 and not x.label and not x.title for x in lines]
+    site = [i for i, x in enumerate(every) if x.site]
+    after = min((i for i in site if i > at[stop - 1]), default=len(every))
+    before = max((i for i in site if i < at[first]), default=-1)
+    above = [j for j in range(first) if inside[j] and at[j] > before]
+    titles = [j for j in above if lines[j].title]
+    start = min(titles or [j for j in above if sentence[j]], default=first)
+    end = max((j for j in range(stop, len(lines)) if inside[j] and sentence[j] and at[j] < after), default=stop - 1) + 1
+    kept = [j for j in range(start, end) if inside[j] or first <= j < stop]
+    # Articles that lost, outside of the home.
+    return [at[j] for j in kept if lines[j].text and (not lines[j].main or home and lines[j].path[: len(home)] == home)]
+
+
 def extract(page: str | None) -> str:
     if not page:
         return ""
     lines = to_lines(page)
-    if not any(x.text for x in lines):
+    if not any(x.text and x.weight >= 0 for x in lines):
         lines = to_lines(page, False)
-    first, stop = body(lines)
-    text = [x for x in lines[first:stop] if x.text]
-    if any(x.main for x in text):
-        text = [x for x in lines if x.main]
-    return "\n\n".join(x.text for x in text)
+    return "\n\n".join(lines[i].text for i in body(lines) if lines[i].text)
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
