@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +14,9 @@ from ..sources.stages import staged
 
 #: Entries up to which a denylist is broadcast; beyond, candidates come from a shuffled join on an anchor.
 BROADCAST_ENTRIES = 100_000
+#: Characters of all entries up to which one automaton holds them (about 100 MB a worker).
+AUTOMATON_CHARS = 1_000_000
+_automata: dict[str, object] = {}
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -22,8 +29,52 @@ def _grams(text: Column, size: int) -> Column:
     return F.array_distinct(out)
 
 
-def contained(docs: DataFrame, entries: DataFrame, text: str = "t") -> DataFrame:
-    """(doc_id, entry) for entries that occur in a document's text as a substring.
+def _automaton(key: str, entries: list[str]):
+    """All entries as one automaton (goto and failure links), built once a worker."""
+    if key not in _automata:
+        import ahocorasick
+
+        made = ahocorasick.Automaton()
+        for i, entry in enumerate(entries):
+            made.add_word(entry, i)
+        made.make_automaton()
+        _automata.clear()
+        _automata[key] = made
+    return _automata[key]
+
+
+def _matches(key: str, shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries = shared.value
+        for batch in batches:
+            found = _automaton(key, entries) if entries else None
+            rows, which = [], []
+            for i, text in enumerate(batch.column("_t").to_pylist()):
+                hits = {j for _, j in found.iter(text)} if text and found else ()
+                rows += [i] * len(hits)
+                which += [entries[j] for j in hits]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(which, pa.string())], ["doc_id", "entry"])
+
+    return run
+
+
+def contained(docs: DataFrame, entries: DataFrame, text: str = "t", most: int = AUTOMATON_CHARS) -> DataFrame:
+    """(doc_id, entry) for entries that occur in a document's text as a substring, each pair once.
+
+    Entries of at most `most` characters in all are one automaton, which every text passes once, whole. More of them meet the texts in joins on
+    anchors. Null and empty texts and entries match nothing.
+    """
+    entries = staged(entries.select(F.col("entry").cast("string").alias("entry")).distinct().filter("entry <> ''"), "denied")
+    if (entries.agg(F.sum(F.length("entry")).alias("n")).first()["n"] or 0) > most:
+        return _by_anchors(docs, entries, text)
+    shared = docs.sparkSession.sparkContext.broadcast(sorted(r.entry for r in entries.collect()))  # `most` characters
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    hits = docs.select("doc_id", F.col(text).alias("_t")).mapInArrow(_matches(uuid.uuid4().hex, shared), f"doc_id {kind}, entry string")
+    return staged(hits.distinct(), "denied-hits")
+
+
+def _by_anchors(docs: DataFrame, entries: DataFrame, text: str) -> DataFrame:
+    """contained() for entries of any number.
 
     Candidates share the longest of the entry's inner words (whole words even inside a document), as an equi-join of ids and
     words; an entry of fewer than three words has its first characters, three at most, as anchor instead. Texts are
@@ -32,7 +83,7 @@ def contained(docs: DataFrame, entries: DataFrame, text: str = "t") -> DataFrame
     words = F.split("entry", " ")
     inner = F.slice(words, 2, F.size(words) - 2)
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    entries = staged(entries.select("entry").distinct().filter("entry <> ''").withColumn("anchor", F.when(F.size(words) >= 3, longest)).withColumn("size", F.when(F.col("anchor").isNull(), F.least(F.length("entry"), F.lit(3)))), "entries")
+    entries = staged(entries.withColumn("anchor", F.when(F.size(words) >= 3, longest)).withColumn("size", F.when(F.col("anchor").isNull(), F.least(F.length("entry"), F.lit(3)))), "entries")
     d = docs.select("doc_id", F.col(text).alias("_t"))
     hint = "broadcast" if entries.count() <= BROADCAST_ENTRIES else "merge"
     tokens = d.select("doc_id", F.explode(F.array_distinct(F.split("_t", " "))).alias("anchor"))

@@ -200,11 +200,12 @@ def test_quota_order_and_spread(spark):
 def test_containment_inside_words_and_short_entries(spark):
     docs = [(1, "xhello big worldy"), (2, "hello"), (3, "nothing"), (4, None), (None, "big o world"), (5, ""), (6, "a b"), (6, "llo a")]
     entries = ["hello big world", "hello", "o", "", "lo", "a b", "big o", "o big", " a", "world and more of it"]
-    for limit in (contamination.BROADCAST_ENTRIES, 0):
+    for limit, most in ((0, contamination.AUTOMATON_CHARS), (contamination.BROADCAST_ENTRIES, 0), (0, 0)):
         with pytest.MonkeyPatch.context() as m:
             m.setattr(contamination, "BROADCAST_ENTRIES", limit)
-            got = {(r.doc_id, r.entry) for r in contamination.contained(spark.createDataFrame(docs, "doc_id long, t string"), spark.createDataFrame([(e,) for e in entries], "entry string")).collect()}
+            got = {(r.doc_id, r.entry) for r in contamination.contained(spark.createDataFrame(docs, "doc_id long, t string"), spark.createDataFrame([(e,) for e in entries], "entry string"), most=most).collect()}
         assert got == {(d, e) for d, t in docs for e in entries if e and e in (t or "")}
+    assert contamination.contained(spark.createDataFrame(docs, "doc_id long, t string"), spark.createDataFrame([("",)], "entry string")).count() == 0
 
 
 def test_screening_records_the_first_entry_short_before_long(spark):
