@@ -120,20 +120,3 @@ def rank_nodes(nodes: DataFrame, tasks: DataFrame, budget: int) -> DataFrame:
     w = Window.partitionBy("page_id").orderBy(F.desc("phrase"), F.desc("own"), F.desc("above"), F.desc("acts"), "node")
     j = j.withColumns({"rank": F.row_number().over(w), "used": F.sum(F.octet_length("text") + 1).over(w)})
     return j.filter(F.col("used") <= budget).select("page_id", "node", "tag", "rank", "own")
-
-
-CALL_JSON = r'(\{[^{}]*"(?:name|tool|function)"\s*:\s*"[^"]*"[^{}]*(?:\{[^{}]*\}[^{}]*)?\})'
-CALL_PLAIN = r"([A-Za-z_]\w*)\(([^()]*)\)"
-
-
-def parse_calls(text: Column) -> Column:
-    """struct<name, args, kind> of the first call in a text: a JSON object in one of three spellings, else name(arguments)."""
-    found = F.regexp_extract(text, CALL_JSON, 1)
-    name = F.coalesce(*[F.get_json_object(found, f"$.{k}") for k in ("name", "tool", "function")])
-    args = F.coalesce(F.get_json_object(found, "$.arguments"), F.get_json_object(found, "$.parameters"), F.lit("{}"))
-    plain = F.regexp_extract(text, CALL_PLAIN, 1)
-    return (
-        F.when(name.isNotNull(), F.struct(name.alias("name"), args.alias("args"), F.lit("json").alias("kind")))
-        .when(plain != "", F.struct(plain.alias("name"), F.regexp_extract(text, CALL_PLAIN, 2).alias("args"), F.lit("plain").alias("kind")))
-        .otherwise(F.struct(F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("args"), F.lit("none").alias("kind")))
-    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import arguments, contamination, filters, sampling
 from ..registry import Register
+from ..sources.pools import Winners
 from ..sources.stages import spread, staged, table
 from .corpus import REASON, SQUEEZED
 from .dedup import COVER
@@ -183,15 +184,19 @@ def snk_filtered(spark, sf_dir):
     return sinks.json_lines(kept).agg(F.count("*").alias("rows"), F.sum("n_chars").alias("chars"), F.count_distinct("doc_id").alias("ids"), F.bit_xor(tx.hash60(F.col("doc_id"), F.sha2("text", 256))).alias("fingerprint"), F.sum(F.octet_length("text")).alias("bytes"))
 
 
-@query(f"WITH {SIDES} SELECT count(DISTINCT digest) AS pool_rows, 0::BIGINT AS added_again FROM d")
+@query(f"""WITH {SIDES}, b AS (SELECT 0 AS batch, digest FROM d WHERE doc_id % 2 = 0 UNION ALL SELECT 1, digest FROM d WHERE doc_id % 3 > 0 UNION ALL SELECT 2, digest FROM d WHERE doc_id % 3 > 0), f AS (SELECT digest, min(batch) AS first FROM b GROUP BY digest)
+SELECT k::BIGINT AS batch, count(digest) AS added, (SELECT count(*) FROM f WHERE first <= k) AS pool_rows FROM (SELECT unnest([0, 1, 2]) AS k) LEFT JOIN f ON first = k GROUP BY k""")
 def snk_append_pool(spark, sf_dir):
-    """New rows appended to a pool by fingerprint; a second run adds none."""
-    from ..sources import sinks
-
+    """New rows appended to a pool by fingerprint: even documents, then a batch that overlaps them, then that batch again."""
     d = _keys(spark, sf_dir).select("digest", "doc_id")
-    pool = sinks.append_new(None, d, "digest", ["doc_id"])
-    again = sinks.new_rows(pool, d, "digest", ["doc_id"]).agg(F.count("*").alias("added_again"))
-    return pool.agg(F.count("*").alias("pool_rows")).crossJoin(F.broadcast(again))
+    pool = Winners(spark, "digest string, doc_id long", "digest", ["doc_id"], buckets=16)
+    batches = [d.filter("doc_id % 2 = 0"), *[d.filter("doc_id % 3 > 0")] * 2]
+    added = [pool.upsert(batch, k)["added"] for k, batch in enumerate(batches)]
+    rows = None
+    for k, n in enumerate(added):
+        one = pool.current(k).agg(F.count("*").alias("pool_rows")).select(F.lit(k).cast("long").alias("batch"), F.lit(n).cast("long").alias("added"), "pool_rows")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
 
 
 VERIFIED = """v AS (SELECT c.conv_id, CASE WHEN conv_id % 10 = 0 THEN 'not_train' WHEN bool_and(role <> 'assistant') THEN 'no_assistant' WHEN bool_or(role NOT IN ('system', 'user', 'assistant')) THEN 'bad_role' WHEN bool_or(coalesce(text, '') = '') THEN 'empty_turn' END AS reject_reason FROM conversations c GROUP BY c.conv_id)"""

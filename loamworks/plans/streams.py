@@ -35,6 +35,8 @@ def _in_time(spark, sf_dir):
     """Events in three parts by time, then a late part: every 40th event of the first third, long behind the watermark by then."""
     e = table(spark, sf_dir, "events")
     low, high = e.agg(F.min("ts").cast("timestamp").cast("double"), F.max("ts").cast("timestamp").cast("double")).first()
+    if low is None:
+        return jobs.arriving(spark, [e])
     third = F.least(F.floor((F.col("ts").cast("timestamp").cast("double") - low) * 3 / max(high - low, 1e-9)), F.lit(2))
     late = (third == 0) & (F.col("event_id") % 40 == 0)
     return jobs.arriving(spark, [e.filter((third == i) & ~late) for i in range(3)] + [e.filter(late)])

@@ -1,13 +1,12 @@
-"""Sinks: partitioned views, canonical JSON lines, append-only pools."""
+"""Sinks: partitioned views, canonical JSON lines."""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .stages import shared_dir, staged
+from .stages import shared_dir
 
 
 def _path(df: DataFrame, name: str) -> str:
@@ -28,16 +27,3 @@ def json_lines(df: DataFrame, path: str | None = None) -> DataFrame:
     ordered.write.json(path)
     return df.sparkSession.read.schema(ordered.schema).option("mode", "FAILFAST").json(path)
 
-
-def new_rows(pool: DataFrame, rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """First row by `order` of every key that the pool lacks."""
-    rest = [c for c in rows.columns if c != key]
-    firsts = rows.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
-    return firsts.join(pool.select(key), key, "left_anti")
-
-
-def append_new(pool: DataFrame | None, rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The pool with its new rows; adding the same rows again changes nothing."""
-    empty = rows.limit(0) if pool is None else pool
-    added = new_rows(empty, rows, key, order)
-    return staged(added if pool is None else pool.unionByName(added), "pool")

@@ -48,15 +48,30 @@ class Job:
         return self.spark.read.schema(df.schema).parquet(self.out)
 
     def batches(self, df: DataFrame, each: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
-        """each(batch) is written to the batch's own folder; read back with the column `batch`."""
+        """each(batch) is written to the batch's own folder; read back with the column `batch`. Without any batch there are no rows."""
+        seen = []
 
         def write(batch: DataFrame, k: int) -> None:
             each(batch).write.mode("overwrite").parquet(f"{self.out}/batch={k}")
+            seen.append(k)
 
         q = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", self.checkpoint).trigger(availableNow=True).start()
         q.awaitTermination()
+        if not seen:
+            return each(self.spark.createDataFrame([], df.schema)).limit(0).withColumn("batch", F.lit(0))
         return self.spark.read.parquet(self.out)
 
+    def each(self, df: DataFrame, do: Callable[[DataFrame, int], None]) -> int:
+        """do(batch, its number) for every micro-batch; the last one's number, -1 if there was none."""
+        seen = [-1]
+
+        def run(batch: DataFrame, k: int) -> None:
+            do(batch, k)
+            seen.append(k)
+
+        df.writeStream.foreachBatch(run).option("checkpointLocation", self.checkpoint).trigger(availableNow=True).start().awaitTermination()
+        return max(seen)
+
 
 def timed(events: DataFrame, delay: str = WATERMARK) -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)

@@ -7,12 +7,13 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from loamworks import registry
 from loamworks.functions import text as tx
 from loamworks.functions.quantiles import quantiles
 from loamworks.functions.ranks import global_rank, rank_within
 from loamworks.operators import contamination, dedup, filters, ordering, rendering, retrieval, sampling
 from loamworks.operators.scoring import pass_hat, same_calls, sign_test
-from loamworks.sources import sinks
+from loamworks.sources.pools import Winners
 
 
 def test_quality_reasons(spark):
@@ -281,12 +282,6 @@ def test_page_nodes_and_ranking(spark):
     assert rendering.page_text(pages, 10).collect()[0].text == "Menu Buy n"
 
 
-def test_parse_calls(spark):
-    texts = ['x {"tool": "go", "parameters": {"a": 1}} y', "run f(a=1, b) z", "none"]
-    got = [r.c.asDict() for r in spark.createDataFrame([(t,) for t in texts], "t string").select(rendering.parse_calls(F.col("t")).alias("c")).collect()]
-    assert [(g["name"], g["args"], g["kind"]) for g in got] == [("go", '{"a":1}', "json"), ("f", "a=1, b", "plain"), (None, None, "none")]
-
-
 def test_scoring_columns(spark):
     from math import comb
 
@@ -313,12 +308,32 @@ def test_global_rank_and_split(spark):
     assert global_rank(df.limit(0), ["i"], "pos").count() == 0
 
 
-def test_pool_appends_once(spark):
-    rows = spark.createDataFrame([("a", 2), ("a", 1), ("b", 3)], "k string, i long")
-    pool = sinks.append_new(None, rows, "k", ["i"])
-    assert {(r.k, r.i) for r in pool.collect()} == {("a", 1), ("b", 3)}
-    more = sinks.append_new(pool, rows.union(spark.createDataFrame([("c", 9)], rows.schema)), "k", ["i"])
-    assert {(r.k, r.i) for r in more.collect()} == {("a", 1), ("b", 3), ("c", 9)}
+def test_winners_over_batches_replays_and_failures(spark):
+    """Winners equal those of all rows at once; only touched buckets are written; a batch run again, or after a failed attempt, changes nothing."""
+    import os
+
+    pool = Winners(spark, "k string, i long, v string", "k", ["i", "v"], buckets=8)
+    rnd = random.Random(8)
+    seen, batches = [], [[(rnd.choice(["a", "b", "c", None, f"k{rnd.randrange(9)}"]), rnd.randrange(50), f"v{rnd.randrange(9)}") for _ in range(n)] for n in (40, 0, 30)] + [[("a", 0, "v")]]
+    schema = "k string, i long, v string"
+    for n, batch in enumerate(batches):
+        known = {r[0] for r in seen}
+        df = spark.createDataFrame(batch, schema)
+        if n == 2:  # an attempt that wrote other rows and died before its list
+            spark.createDataFrame([("a", -1, "x", 1, 0)], pool.stored.replace("batch long, ", "")).write.partitionBy("bucket").parquet(f"{pool.path}/rows/batch=2")
+        told = [pool.upsert(df, n) for _ in range(2)]
+        seen += batch
+        assert told[0] == told[1] and told[0]["added"] == len({r[0] for r in batch} - known)
+        want = {(k, *min((i, v) for x, i, v in seen if x == k), sum(x == k for x, _, _ in seen)) for k in {r[0] for r in seen}}
+        assert {tuple(r) for r in pool.current(n).collect()} == want
+    assert len([d for d in os.listdir(f"{pool.path}/rows/batch=3") if d.startswith("bucket=")]) == told[0]["buckets"] == 1
+
+
+def test_streams_of_empty_tables(spark, tmp_path):
+    for name in ("events", "documents", "benchmark"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("ss_deadline_window", "ss_sessions", "ss_screen", "ss_pool", "dd_upsert_min"):
+        assert registry.queries()[name](spark, str(tmp_path)).count() == 0, name
 
 
 def test_rank_within_hot_and_null_keys(spark):
