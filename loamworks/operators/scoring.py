@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -46,3 +46,26 @@ def sign_test(wins: Column, losses: Column) -> Column:
 
     tail = F.aggregate(F.sequence(F.lit(0).cast("long"), (wins + losses).cast("long")), start, step)["sum"]
     return F.when(n == 0, 1.0).otherwise(F.least(tail, F.lit(1.0)))
+
+
+def gate_table(metrics: DataFrame, group: str, gates: DataFrame) -> DataFrame:
+    """metrics(group, a column each), gates(gate, metric, comparator, threshold) -> group, gate, comparator, threshold, observed, passed, ready.
+
+    Comparators are >=, <= and ==; another one fails the query. A null observation fails >= and <= and equals a null threshold only. A
+    group is ready if all its gates pass. Gates are a list that people write, so they are broadcast.
+    """
+    names = [c for c in metrics.columns if c != group]
+    long = metrics.select(group, F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("observed")) for c in names])).alias("x")).select(group, "x.*")
+    o, t, c = F.col("observed"), F.col("threshold"), F.col("comparator")
+    passed = F.when(c == ">=", F.coalesce(o >= t, F.lit(False))).when(c == "<=", F.coalesce(o <= t, F.lit(False))).when(c == "==", o.eqNullSafe(t)).otherwise(F.raise_error("unsupported comparator"))
+    j = long.join(F.broadcast(gates), "metric").withColumn("passed", passed)
+    ready = F.bool_and("passed").over(Window.partitionBy(group))  # as many rows as there are gates
+    return j.select(group, "gate", "comparator", "threshold", "observed", "passed", ready.alias("ready"))
+
+
+def oracle_candidates(gold: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
+    """gold(key, g), candidates(key, p) -> key, missing (names of g that p lacks, joined), complete. A key on one side only fails the query."""
+    j = gold.join(candidates, key, "full_outer")
+    both = F.assert_true(F.col("g").isNotNull() & F.col("p").isNotNull(), "tasks and candidates don't match").isNull()
+    lacks = F.array_sort(F.array_except("g", "p"))
+    return j.filter(both).select(key, F.array_join(lacks, ",").alias("missing"), (F.size(lacks) == 0).alias("complete"))

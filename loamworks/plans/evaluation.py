@@ -9,7 +9,7 @@ from ..functions.quantiles import quantiles
 from ..operators import resampling
 from ..operators.actions import DECAY, NEAR, SIMILAR, stream_score
 from ..operators.retrieval import cosine_topk
-from ..operators.scoring import name_overlap, pass_hat, ratio, same_calls, sign_test
+from ..operators.scoring import gate_table, name_overlap, pass_hat, ratio, same_calls, sign_test
 from ..registry import Register
 from ..sources.stages import table
 from .standins import ACTIONS, CALLS, LATENCY, SCORED, TRIALS, actions, attempts, calls, cases, scored, trials
@@ -35,17 +35,24 @@ def ev_name_prf(spark, sf_dir):
     return s.select(ratio(c, p).alias("precision"), ratio(c, g).alias("recall"), ratio(2 * c, g + p).alias("f1"))
 
 
-@query(f"""WITH {CASES} SELECT count(*) AS cases, round(avg(({EXACT})::INT), 6) AS action_exact, round(avg((len(pred) > 0)::INT), 6) AS produced,
-  round(avg(({EXACT})::INT) FILTER (WHERE len(gold) > 1), 6) AS parallel_exact, round(avg((len(pred) = 0)::INT) FILTER (WHERE len(gold) = 1), 6) AS abstained_on_single,
-  round(avg((gold[1] = pred[1])::INT) FILTER (WHERE gold[1][1] = pred[1][1]), 6) AS args_given_name FROM cs""")
+@query(f"""WITH {CASES}, k AS (SELECT *, ({EXACT})::INT AS exact, (gold = pred)::INT AS response, len([p for p in pred if p[1] = 'XX']) = 0 AS formed, len([p for p in pred if p[2]::INT > 50]) = 0 AS fits,
+  (list_sort([g[1] for g in gold]) = list_sort([p[1] for p in pred]))::INT AS names FROM cs)
+SELECT count(*) AS cases, round(avg(exact), 6) AS action_exact, round(avg(response), 6) AS response_exact, round(avg((len(pred) > 0)::INT), 6) AS produced, round(avg(formed::INT), 6) AS format_valid, round(avg((formed AND fits)::INT) FILTER (WHERE len(pred) > 0), 6) AS schema_valid,
+  round(avg(names), 6) AS name_exact, round(avg(exact) FILTER (WHERE len(gold) > 1), 6) AS parallel_exact, round(avg(exact) FILTER (WHERE len([g for g in gold if g[2]::INT >= 10]) > 0), 6) AS multi_argument_exact,
+  round(avg((len(pred) = 0)::INT) FILTER (WHERE len(gold) = 1), 6) AS abstained_on_single, round(avg((gold[1] = pred[1])::INT) FILTER (WHERE gold[1][1] = pred[1][1]), 6) AS args_given_name FROM k""")
 def ev_scorecard(spark, sf_dir):
-    """One aggregate of conditional means."""
+    """One aggregate of conditional means. A response is exact in order too; `XX` is no known name, arguments above 50 break the schema, and two digits are two arguments."""
+    names = lambda c: F.array_sort(F.transform(c, lambda x: x["name"]))
     c = cases(spark, sf_dir).withColumn("exact", same_calls(F.col("gold"), F.col("pred")).cast("int"))
+    plain = lambda c: F.transform(c, lambda x: F.struct(x["name"], x["args"]))
+    c = c.withColumns({"response": (plain("gold") == plain("pred")).cast("int"), "formed": ~F.exists("pred", lambda x: x["name"] == "XX"), "fits": ~F.exists("pred", lambda x: x["args"] > 50), "names": (names("gold") == names("pred")).cast("int")})
     g, p = F.try_element_at("gold", F.lit(1)), F.try_element_at("pred", F.lit(1))
-    mean = lambda x, cond: F.round(F.avg(F.when(cond, x)), 6)
+    mean = lambda x, cond=F.lit(True): F.round(F.avg(F.when(cond, x)), 6)
+    exact = F.col("exact")
     return c.agg(
-        F.count("*").alias("cases"), F.round(F.avg("exact"), 6).alias("action_exact"), F.round(F.avg((F.size("pred") > 0).cast("int")), 6).alias("produced"), mean(F.col("exact"), F.size("gold") > 1).alias("parallel_exact"),
-        mean((F.size("pred") == 0).cast("int"), F.size("gold") == 1).alias("abstained_on_single"), mean((g["args"] == p["args"]).cast("int"), g["name"] == p["name"]).alias("args_given_name"),
+        F.count("*").alias("cases"), mean(exact).alias("action_exact"), mean(F.col("response")).alias("response_exact"), mean((F.size("pred") > 0).cast("int")).alias("produced"), mean(F.col("formed").cast("int")).alias("format_valid"),
+        mean((F.col("formed") & F.col("fits")).cast("int"), F.size("pred") > 0).alias("schema_valid"), mean(F.col("names")).alias("name_exact"), mean(exact, F.size("gold") > 1).alias("parallel_exact"),
+        mean(exact, F.exists("gold", lambda x: x["args"] >= 10)).alias("multi_argument_exact"), mean((F.size("pred") == 0).cast("int"), F.size("gold") == 1).alias("abstained_on_single"), mean((g["args"] == p["args"]).cast("int"), g["name"] == p["name"]).alias("args_given_name"),
     )
 
 
@@ -178,12 +185,15 @@ def ev_agent_summary(spark, sf_dir):
     )
 
 
-@query(f"""WITH {TRIALS}, t AS (SELECT task_id, bool_or(success) FILTER (WHERE run = 1) AS one, bool_or(success) AS any_run, bool_and(success) AS every FROM trials WHERE run <= 4 GROUP BY task_id)
-SELECT count(*) AS tasks, round(avg(one::INT), 6) AS pass_at_1, round(avg(any_run::INT), 6) AS pass_at_4, round(avg(every::INT), 6) AS pass_all_4 FROM t""")
+@query(f"""WITH {TRIALS}, t AS (SELECT task_id, 's' || task_id % 5 AS service, bool_or(success) FILTER (WHERE run = 1) AS one, bool_or(success) AS any_run, bool_and(success) AS every, avg(success::INT) AS rate FROM trials WHERE run <= 4 GROUP BY task_id HAVING count(*) = 4)
+SELECT coalesce(service, 'all') AS service, count(*) AS tasks, round(avg(one::INT), 6) AS pass_at_1, round(avg(any_run::INT), 6) AS pass_at_4, round(avg(every::INT), 6) AS pass_all_4, round(avg(rate), 6) AS mean_run_rate FROM t GROUP BY ROLLUP (service)""")
 def ev_pass_at_k(spark, sf_dir):
-    t = trials(spark, sf_dir).filter("run <= 4").groupBy("task_id").agg(F.bool_or(F.when(F.col("run") == 1, F.col("success"))).alias("one"), F.bool_or("success").alias("some"), F.bool_and("success").alias("every"))
-    m = lambda c: F.round(F.avg(F.col(c).cast("int")), 6)
-    return t.agg(F.count("*").alias("tasks"), m("one").alias("pass_at_1"), m("some").alias("pass_at_4"), m("every").alias("pass_all_4"))
+    """First run, any and all of four runs, for each service and over all tasks, each task alike. A task with fewer runs fails the query."""
+    t = trials(spark, sf_dir).filter("run <= 4").groupBy("task_id").agg(F.bool_or(F.when(F.col("run") == 1, F.col("success"))).alias("one"), F.bool_or("success").alias("some"), F.bool_and("success").alias("every"), F.avg(F.col("success").cast("int")).alias("rate"), F.count("*").alias("runs"))
+    t = t.withColumn("service", F.when(F.assert_true(F.col("runs") == 4, "a task lacks runs").isNull(), F.concat(F.lit("s"), (F.col("task_id") % 5).cast("string"))))
+    m = lambda c: F.round(F.avg(F.col(c).cast("double")), 6)
+    r = t.withColumns({c: F.col(c).cast("int") for c in ("one", "some", "every")}).rollup("service").agg(F.count("*").alias("tasks"), m("one").alias("pass_at_1"), m("some").alias("pass_at_4"), m("every").alias("pass_all_4"), m("rate").alias("mean_run_rate"))
+    return r.withColumn("service", F.coalesce("service", F.lit("all")))
 
 
 @query(f"""WITH {TRIALS}, t AS (SELECT task_id, count(*) AS n, count(*) FILTER (WHERE success) AS s FROM trials WHERE NOT infra GROUP BY task_id), k AS (SELECT unnest(generate_series(1, (SELECT min(n) FROM t))) AS k)
@@ -278,14 +288,21 @@ def ev_group_advantage(spark, sf_dir):
     return t.join(g, "task_id").select("event_id", F.round((F.col("reward") - F.col("m")) / (F.col("s") + 1e-6), 4).alias("advantage"))
 
 
-@query(f"""WITH {LATENCY}, m AS (SELECT family, avg(exact::INT) AS exact, avg(ms) AS mean_ms, nullif(count(*) FILTER (WHERE NOT valid), 0) AS invalid FROM attempts GROUP BY family)
-SELECT family, coalesce(exact >= 0.66, false) AS exact_ok, coalesce(mean_ms <= 60, false) AS latency_ok, coalesce(invalid <= 1000000, false) AS invalid_ok, coalesce(exact >= 0.66, false) AND coalesce(mean_ms <= 60, false) AND coalesce(invalid <= 1000000, false) AS pass FROM m""")
+#: gate, metric, comparator, threshold.
+GATES = (("exact", "exact", ">=", 0.66), ("latency", "mean_ms", "<=", 60.0), ("invalid", "invalid", "<=", 1e6), ("families", "others", "==", 0.0), ("unseen", "unseen", "<=", 1.0), ("unset", "unseen", "==", None))
+
+
+@query(f"""WITH {LATENCY}, m AS (SELECT family, avg(exact::INT) AS exact, avg(ms) AS mean_ms, nullif(count(*) FILTER (WHERE NOT valid), 0)::DOUBLE AS invalid, (count(DISTINCT family) - 1)::DOUBLE AS others, NULL::DOUBLE AS unseen FROM attempts GROUP BY family),
+g AS (SELECT * FROM (VALUES {", ".join(f"('{g}', '{m}', '{c}', {'NULL' if t is None else t}::DOUBLE)" for g, m, c, t in GATES)}) v(gate, metric, comparator, threshold)),
+j AS (SELECT family, gate, comparator, threshold, CASE metric WHEN 'exact' THEN exact WHEN 'mean_ms' THEN mean_ms WHEN 'invalid' THEN invalid WHEN 'others' THEN others ELSE unseen END AS observed FROM m, g),
+p AS (SELECT *, CASE comparator WHEN '>=' THEN coalesce(observed >= threshold, false) WHEN '<=' THEN coalesce(observed <= threshold, false) ELSE observed IS NOT DISTINCT FROM threshold END AS passed FROM j)
+SELECT family, gate, comparator, threshold, round(observed, 6) AS observed, passed, bool_and(passed) OVER (PARTITION BY family) AS ready FROM p""")
 def ev_gate_table(spark, sf_dir):
-    """Metrics against gates; a null observation fails."""
-    m = attempts(spark, sf_dir).groupBy("family").agg(F.avg(F.col("exact").cast("int")).alias("exact"), F.avg("ms").alias("mean_ms"), F.nullif(F.count_if(~F.col("valid")), F.lit(0)).alias("invalid"))
-    gates = {"exact_ok": F.col("exact") >= 0.66, "latency_ok": F.col("mean_ms") <= 60, "invalid_ok": F.col("invalid") <= 1_000_000}
-    out = m.select("family", *[F.coalesce(g, F.lit(False)).alias(k) for k, g in gates.items()])
-    return out.withColumn("pass", F.col("exact_ok") & F.col("latency_ok") & F.col("invalid_ok"))
+    """Metrics of each family against a table of gates; a null observation fails >= and <=, and equals a null threshold only."""
+    x = attempts(spark, sf_dir)
+    m = x.groupBy("family").agg(F.avg(F.col("exact").cast("int")).alias("exact"), F.avg("ms").alias("mean_ms"), F.nullif(F.count_if(~F.col("valid")), F.lit(0)).cast("double").alias("invalid"), (F.count_distinct("family") - 1).cast("double").alias("others"))
+    m = m.withColumn("unseen", F.lit(None).cast("double"))
+    return gate_table(m, "family", spark.createDataFrame(GATES, "gate string, metric string, comparator string, threshold double")).withColumn("observed", F.round("observed", 6))
 
 
 @query(f"""WITH {TRIALS}, c AS (SELECT task_id AS candidate, avg(success::INT) AS seq, avg(reward) AS tok, avg(seconds) AS loss, count(*) AS steps FROM trials GROUP BY task_id), b AS (SELECT avg(success::INT) AS seq, avg(reward) AS tok, avg(seconds) AS loss FROM trials)

@@ -9,6 +9,7 @@ from ..functions import text as tx
 from ..functions.ranks import global_rank
 from ..operators import sampling
 from ..operators.retrieval import cosine_topk
+from ..operators.scoring import oracle_candidates
 from ..registry import Register
 from ..sources.stages import table
 from .corpus import SQUEEZED, TOKENS
@@ -95,11 +96,15 @@ def jn_paired_arms(spark, sf_dir):
     return p.select("doc_id", "grp", F.when(F.assert_true(F.col("n") == 2, "unpaired document").isNull(), F.round(F.col("x") - F.col("y"), 4)).alias("delta"), "tokens")
 
 
-@query(f"WITH {CALLS}, g AS (SELECT case_id, list(DISTINCT name) AS names FROM calls WHERE side = 'gold' GROUP BY 1), p AS (SELECT case_id, list(DISTINCT name) AS names FROM calls WHERE side = 'pred' GROUP BY 1) SELECT case_id, len([x for x in g.names if NOT list_contains(p.names, x)]) AS missing FROM g JOIN p USING (case_id)")
+@query(f"WITH {CALLS}, t AS (SELECT case_id, coalesce(list(DISTINCT name) FILTER (WHERE side = 'gold'), []) AS g, coalesce(list(DISTINCT name) FILTER (WHERE side = 'pred'), []) AS p FROM calls GROUP BY 1) SELECT case_id, array_to_string(list_sort([x for x in g if NOT list_contains(p, x)]), ',') AS missing, len([x for x in g if NOT list_contains(p, x)]) = 0 AS complete FROM t")
 def jn_oracle_candidates(spark, sf_dir):
-    """Gold names against candidate names per task: how many the candidates lack."""
-    c = calls(spark, sf_dir).groupBy("case_id").agg(F.collect_set(F.when(F.col("side") == "gold", F.col("name"))).alias("g"), F.collect_set(F.when(F.col("side") == "pred", F.col("name"))).alias("p"))
-    return c.filter((F.size("g") > 0) & (F.size("p") > 0)).select("case_id", F.size(F.array_except("g", "p")).cast("long").alias("missing"))
+    """Gold names against each task's candidate names: the names that the candidates lack. A task on one side only fails the query."""
+    c = calls(spark, sf_dir)
+    gold = c.filter("side = 'gold'").groupBy("case_id").agg(F.collect_set("name").alias("g"))
+    found = c.filter("side = 'pred'").groupBy("case_id").agg(F.collect_set("name").alias("p"))
+    # A task without predictions has candidates all the same: none.
+    candidates = gold.select("case_id").join(found, "case_id", "left").select("case_id", F.coalesce("p", F.array().cast("array<string>")).alias("p"))
+    return oracle_candidates(gold, candidates, "case_id")
 
 
 SEEN = "t AS (SELECT doc_id, lang, source, right(text, 400) AS tail FROM documents), tr AS (SELECT * FROM t WHERE doc_id % 5 <> 0)"
@@ -158,9 +163,11 @@ def agg_set_fp(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.array_sort(F.collect_set("source")).alias("m")).select("lang", F.size("m").cast("long").alias("members"), F.sha2(F.array_join("m", "\n"), 256).alias("fingerprint"))
 
 
-@query(f"WITH {D}, {FROZEN} SELECT split, count(*) AS documents, count(DISTINCT identity) AS identities, count(DISTINCT frozen_sha) AS contents FROM z GROUP BY split")
+@query(f"WITH {D}, {FROZEN} SELECT split, count(*) AS documents, count(DISTINCT identity) AS identities, count(DISTINCT frozen_sha) AS contents, bit_xor(('0x' || substr(sha256(identity::VARCHAR), 1, 15))::BIGINT) AS id_fingerprint, bit_xor(('0x' || substr(sha256(identity || ':' || frozen_sha), 1, 15))::BIGINT) AS content_fingerprint FROM z GROUP BY split")
 def agg_split_counts(spark, sf_dir):
-    return _frozen(_docs(spark, sf_dir)).groupBy("split").agg(F.count("*").alias("documents"), F.count_distinct("identity").alias("identities"), F.count_distinct("frozen_sha").alias("contents"))
+    """Documents of each split, distinct identities and contents, and fingerprints of both that no order changes."""
+    i, c = F.col("identity"), F.col("frozen_sha")
+    return _frozen(_docs(spark, sf_dir)).groupBy("split").agg(F.count("*").alias("documents"), F.count_distinct(i).alias("identities"), F.count_distinct(c).alias("contents"), F.bit_xor(tx.hash60(i)).alias("id_fingerprint"), F.bit_xor(tx.hash60(i, c)).alias("content_fingerprint"))
 
 
 @query("SELECT source, sum(octet_length(encode(text)) + ceil(octet_length(encode(text)) / 2048.0)::BIGINT)::BIGINT AS tokens FROM documents GROUP BY source")

@@ -62,12 +62,12 @@ def tx_mask_names(spark, sf_dir):
     return e.select("event_id", F.col("event_type").alias("name"), F.lit("original").alias("variant")).union(masked)
 
 
-@query("""WITH t AS (SELECT DISTINCT p_brand AS tool FROM part), u AS (SELECT DISTINCT l_orderkey AS k, p_brand AS tool FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 10 = 0),
+@query("""WITH t AS (SELECT DISTINCT p_brand AS tool FROM part), u AS (SELECT DISTINCT l_orderkey AS k, p_brand AS tool FROM lineitem JOIN part ON p_partkey = l_partkey),
 c AS (SELECT k, t.tool, u2.tool IS NOT NULL AS used, row_number() OVER (PARTITION BY k ORDER BY (u2.tool IS NULL)::INT, sha256(k || ':' || t.tool), t.tool) AS i FROM (SELECT DISTINCT k FROM u) CROSS JOIN t LEFT JOIN u u2 USING (k, tool))
 SELECT k AS row_id, string_agg(tool, ',' ORDER BY tool) AS catalog, count(*) FILTER (WHERE used) AS used FROM c WHERE i <= 12 GROUP BY k""")
 def tx_attach_catalog(spark, sf_dir):
     """Rows get the tools they use and seeded distractors up to twelve. The catalogue is the set of brands, of bounded size."""
-    l = table(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("p_partkey"))
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("p_partkey"))
     p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("tool"))
     used = l.join(p, "p_partkey").groupBy("k").agg(F.collect_set("tool").alias("mine"))
     tools = p.agg(F.array_sort(F.collect_set("tool")).alias("all"))

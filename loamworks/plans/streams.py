@@ -46,7 +46,7 @@ def _in_time(spark, sf_dir):
 ON_TIME = "b AS (SELECT min(epoch(ts)) AS low, max(epoch(ts)) AS high FROM events), ev AS (SELECT events.* FROM events, b WHERE NOT (least(floor((epoch(ts) - low) * 3 / greatest(high - low, 1e-9)), 2) = 0 AND event_id % 40 = 0))"
 
 
-@query(f"""WITH {ON_TIME} SELECT strftime(time_bucket(INTERVAL 1 day, ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n, count(*) FILTER (WHERE value <= 50) AS on_time, count(*) FILTER (WHERE value <= 50 AND event_id % 3 <> 0 AND event_type <> 'error') AS successes
+@query(f"""WITH {ON_TIME} SELECT strftime(time_bucket(INTERVAL 1 day, ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n, count(*) FILTER (WHERE value <= 50) AS on_time, count(*) FILTER (WHERE value <= 50 AND event_id % 3 <> 0 AND event_type <> 'error') AS successes, quantile_disc(value, 0.5) AS p50
 FROM ev GROUP BY 1, time_bucket(INTERVAL 1 day, ts) HAVING time_bucket(INTERVAL 1 day, ts) + INTERVAL 1 day <= (SELECT max(ts) FROM ev) - INTERVAL 1 hour""")
 def ss_deadline_window(spark, sf_dir):
     """Daily windows over four micro-batches; the last brings rows behind the watermark, which are dropped. A second run on the checkpoint adds nothing."""
