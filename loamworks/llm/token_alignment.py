@@ -40,7 +40,7 @@ SPACE = "▁"
 #: Pairs whose counts are broadcast (17 bytes each).
 HOT = 2_000_000
 #: Parts of texts whose groups are kept in a worker, and characters of all of them.
-CACHE, CACHE_CHARS = 300_000, 10_000_000
+CACHE, CACHE_CHARS = 400_000, 12_000_000
 CHUNK_CHARS = 1_500_000
 #: Groups with more links than this are expanded by their distinct ids.
 LONG_GROUP = 4096
@@ -71,28 +71,35 @@ class Aligned(NamedTuple):
     weight: np.ndarray
 
 
-def coalesce(a: list[np.ndarray], b: list[np.ndarray], size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(id, text, whether of B, group) of all tokens of A and B, ordered by group, A first; size_*: bytes of each id's token."""
-    ids, texts, kinds, starts, ends = [], [], [], [], []
-    total = np.array([size_a[x].sum() for x in a], np.int64)
-    first = np.cumsum(total) - total
-    for kind, (of, size) in enumerate(((a, size_a), (b, size_b))):
-        n = np.fromiter(map(len, of), np.int64, len(of))
-        x = np.concatenate(of) if len(of) else np.empty(0, np.int64)
-        text = np.repeat(np.arange(len(of)), n)
-        end = np.cumsum(size[x])
-        # A text's tokens of both kinds lie one after the other from the text's first byte.
-        before = np.append(0, end)[np.cumsum(n) - n]
-        end = end + (first - before)[text] if len(x) else end
-        ids.append(x)
-        texts.append(text)
-        kinds.append(np.full(len(x), kind))
-        starts.append(end - size[x])
-        ends.append(end)
-    ids, texts, kinds, starts, ends = map(np.concatenate, (ids, texts, kinds, starts, ends))
-    order = np.lexsort((kinds, starts))
+class Flat(NamedTuple):
+    """Ids of several texts, one after the other, and how many each has."""
+
+    ids: np.ndarray
+    n: np.ndarray
+
+    @classmethod
+    def of(cls, parts: list[np.ndarray]) -> Flat:
+        return cls(np.concatenate(parts) if parts else np.empty(0, np.int64), np.fromiter(map(len, parts), np.int64, len(parts)))
+
+    def sums(self, size: np.ndarray) -> np.ndarray:
+        """Sum of a table's values over each text's ids."""
+        return np.diff(np.append(0, np.cumsum(size[self.ids]))[np.append(0, np.cumsum(self.n))])
+
+
+def coalesce(a: Flat, b: Flat, size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(id, text, whether of B, group) of all tokens of A and B, ordered by group, A first; size_*: bytes of each id's token.
+
+    Both sides spell the same bytes, so that the texts lie one after the other for A and for B alike.
+    """
+    ids = np.concatenate([a.ids, b.ids])
+    texts = np.concatenate([np.repeat(np.arange(len(x.n)), x.n) for x in (a, b)])
+    kinds = np.repeat([0, 1], [len(a.ids), len(b.ids)])
+    sizes = np.concatenate([size_a[a.ids], size_b[b.ids]])
+    ends = np.concatenate([np.cumsum(sizes[: len(a.ids)]), np.cumsum(sizes[len(a.ids) :])])
+    order = np.lexsort((kinds, ends - sizes))
+    starts = (ends - sizes)[order]
     reached = np.maximum.accumulate(ends[order]) if len(order) else order
-    group = np.cumsum(np.append(0, starts[order][1:] >= reached[:-1])) if len(order) else order
+    group = np.cumsum(np.append(0, starts[1:] >= reached[:-1])) if len(order) else order
     inner = np.lexsort((kinds[order], group))
     order = order[inner]
     return ids[order], texts[order], kinds[order], group[inner]
@@ -145,8 +152,8 @@ class Aligner:
     def _ids_b(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x, np.int64) for x in self.b.encode(texts, num_threads=1)]
 
-    def align(self, a: list[np.ndarray], b: list[np.ndarray]) -> Aligned:
-        n = len(a)
+    def align(self, a: Flat, b: Flat) -> Aligned:
+        n = len(a.n)
         ids, text, kind, group = coalesce(a, b, self.size_a, self.size_b)
         count = lambda of: np.bincount(text[of], minlength=n)
         first = np.flatnonzero(np.diff(group, prepend=-1))
@@ -202,31 +209,31 @@ class Aligner:
         for i, t in enumerate(texts):
             if not t or not self._spells(a[i], b[i], " " + t):
                 a[i] = b[i] = none
-        return self.align(a, b)
+        return self.align(Flat.of(a), Flat.of(b))
 
-    def _cut(self, ids: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
-        return np.split(ids, np.flatnonzero(begins[ids])[1:])
+    @staticmethod
+    def _cut(ids: np.ndarray, begins: np.ndarray) -> Flat:
+        """Ids of joined parts, cut where a token begins a part."""
+        first = np.flatnonzero(begins[ids])
+        return Flat(ids, np.diff(np.append(first, len(ids))))
 
     def _learn(self, parts: list[str]) -> list[str]:
         """Encode and coalesce parts not known yet; returns those that can't be taken apart from their text."""
         odd = []
         for at in range(0, len(parts), 5000):
             some = parts[at : at + 5000]
-            joined = "".join(p if p[0] == "\n" else " " + p for p in some)
+            joined = "".join([p if p[0] == "\n" else " " + p for p in some])
             # B puts a space in front of its text. Before a newline it stands alone, and goes.
             a, b = self._ids_a([joined])[0], self._ids_b([joined[1:] if joined[0] == " " else joined])[0]
-            a, b = self._cut(a, self.begins_a), self._cut(b, self.begins_b)
-            if joined[0] == "\n":
-                b = b[1:]
-            if not len(a) == len(b) == len(some):
-                odd += some
-                continue
-            good = [i for i, p in enumerate(some) if self._spells(a[i], b[i], p if p[0] == "\n" else " " + p)]
-            if len(good) < len(some):
-                odd += [p for i, p in enumerate(some) if i not in set(good)]
-                some, a, b = [some[i] for i in good], [a[i] for i in good], [b[i] for i in good]
-            if some:
+            a, b = self._cut(a, self.begins_a), self._cut(b[1:] if joined[0] == "\n" else b, self.begins_b)
+            size = np.fromiter((len(p.encode()) + (p[0] != "\n") for p in some), np.int64, len(some))
+            fits = len(a.n) == len(b.n) == len(some) and (a.sums(self.size_a) == size).all() and (b.sums(self.size_b) == size).all()
+            if fits and self._spells(a.ids, b.ids, joined):
                 self._keep(some, self.align(a, b))
+            elif len(some) > 1:
+                odd += self._learn(some[: len(some) // 2]) + self._learn(some[len(some) // 2 :])
+            else:
+                odd += some
         return odd
 
     def _keep(self, parts: list[str], x: Aligned) -> None:
