@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from hashlib import blake2b
 from itertools import combinations
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ..functions import text as tx
-from ..sources.stages import staged
+from ..sources.stages import release, shared_dir, staged
 
 
 def exact_winners(df: DataFrame, order: list[str], key: str = "digest") -> DataFrame:
@@ -112,7 +113,9 @@ def near_walk(nodes: DataFrame, max_distance: int = 3, min_jaccard: float = 0.95
     """
     state = staged(band_keys(nodes, max_distance), "near-state")
     sets = staged(nodes.select("rank", "hashes").join(state.select("rank").distinct().hint("merge"), "rank", "left_semi"), "near-sets")
-    gone = state.select("rank").limit(0)
+    # Each round's ranks are a folder of one table, so that the plan of the result doesn't grow with the rounds.
+    spark, path, turn = nodes.sparkSession, f"{shared_dir(nodes.sparkSession)}/near-gone-{uuid.uuid4().hex}", 0
+    kind = state.select("rank").schema
     while state.limit(1).count():
         lead = state.groupBy("key").agg(F.min("rank").alias("lead"), F.min_by(F.struct("sim_hi", "sim_lo"), "rank").alias("w"))
         met = state.join(lead.hint("merge"), "key")
@@ -120,13 +123,14 @@ def near_walk(nodes: DataFrame, max_distance: int = 3, min_jaccard: float = 0.95
         kept = met.groupBy("rank").agg(F.min(F.col("rank") == F.col("lead")).alias("first")).filter("first").select("rank")
         pairs = met.filter((F.col("rank") != F.col("lead")) & (F.col("distance") <= max_distance)).select(F.col("lead").alias("a"), F.col("rank").alias("b")).distinct()
         pairs = pairs.join(kept.select(F.col("rank").alias("a")).hint("merge"), "a", "left_semi")
-        hit = staged(jaccard(pairs, sets).filter(F.col("jaccard") >= min_jaccard).select(F.col("b").alias("rank")).distinct(), "near-hit")
-        gone = gone.union(hit)
-        decided = kept.union(hit)
+        jaccard(pairs, sets).filter(F.col("jaccard") >= min_jaccard).select(F.col("b").alias("rank")).distinct().write.parquet(f"{path}/turn={turn}")
+        decided = kept.union(spark.read.schema(kind).parquet(f"{path}/turn={turn}"))
         left = state.join(decided.hint("merge"), "rank", "left_anti")
         shared = left.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-        state = staged(left.join(shared.hint("merge"), "key", "left_semi"), "near-state")
-    return gone
+        before, state, turn = state, staged(left.join(shared.hint("merge"), "key", "left_semi"), "near-state"), turn + 1
+        release(before, met)
+    release(state, sets)
+    return spark.read.schema(kind).parquet(*[f"{path}/turn={i}" for i in range(turn)]) if turn else spark.createDataFrame([], kind)
 
 
 def near_keep(docs: DataFrame, max_distance: int = 3, min_jaccard: float = 0.95) -> DataFrame:
@@ -140,26 +144,6 @@ def near_keep(docs: DataFrame, max_distance: int = 3, min_jaccard: float = 0.95)
     return docs.select("rank").join(out.hint("merge"), "rank", "left").select("rank", F.col("_gone").isNull().alias("kept"))
 
 
-def greedy_keep(nodes: DataFrame, pairs: DataFrame, rounds: int = 200) -> DataFrame:
-    """nodes(rank), pairs(a < b) -> (rank, kept): a node goes iff an earlier kept node is its pair.
-
-    Rounds: undecided nodes without an undecided earlier neighbour are kept, later neighbours of kept nodes go. The first
-    undecided node is always decided, and long chains alone need many rounds.
-    """
-    state = staged(nodes.select("rank", F.lit(None).cast("boolean").alias("kept")).join(pairs.select(F.col("b").alias("rank")).union(pairs.select(F.col("a").alias("rank"))).distinct(), "rank", "left_semi"), "greedy")
-    pairs = staged(pairs.select("a", "b"), "greedy-pairs")
-    for _ in range(rounds):
-        a = state.select(F.col("rank").alias("a"), F.col("kept").alias("a_kept"))
-        seen = pairs.join(a.hint("merge"), "a").groupBy(F.col("b").alias("rank")).agg(F.bool_or(F.coalesce("a_kept", F.lit(False))).alias("hit"), F.bool_or(F.col("a_kept").isNull()).alias("waits"))
-        kept = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("hit", F.lit(False)), F.lit(False)).when(~F.coalesce("waits", F.lit(False)), F.lit(True))
-        state = staged(state.join(seen.hint("merge"), "rank", "left").select("rank", kept.alias("kept")), "greedy")
-        if not state.filter("kept IS NULL").limit(1).count():
-            break
-    else:
-        raise RuntimeError("not settled")
-    return nodes.join(state.hint("merge"), "rank", "left").withColumn("kept", F.coalesce("kept", F.lit(True)))
-
-
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges(a, b) -> (node, label): label is the smallest node reachable. Min-label propagation with label jumping."""
     both = staged(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")

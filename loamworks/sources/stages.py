@@ -27,7 +27,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read back: iterative jobs cut their lineage with it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._written_to = path
+    return back
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete what staged() wrote for frames that nothing reads any more; frames made from them don't count, give the staged ones."""
+    for df in frames:
+        path = getattr(df, "_written_to", None)
+        if path:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -113,26 +113,6 @@ def test_signatures_of_texts(spark):
         assert (r.sim_hi << 32 | r.sim_lo) == sim and max(r.features, 0) == len(hs) and sorted(h % 2**64 for h in r.hashes or []) == sorted(hs)
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_greedy_keep_equals_the_walk(spark, seed):
-    rnd = random.Random(seed)
-    n = 40
-    pairs = sorted({tuple(sorted(rnd.sample(range(n), 2))) for _ in range(70)})
-    kept = []
-    for i in range(n):
-        if not any((j, i) in pairs for j in kept):
-            kept.append(i)
-    got = dedup.greedy_keep(spark.range(n).withColumnRenamed("id", "rank"), spark.createDataFrame(pairs, "a long, b long"))
-    assert sorted(r["rank"] for r in got.collect() if r.kept) == kept
-
-
-def test_near_duplicates_chain(spark):
-    """Of a chain A~B~C with A and C apart, B goes and C stays."""
-    pairs = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
-    got = dedup.greedy_keep(spark.range(1, 4).withColumnRenamed("id", "rank"), pairs)
-    assert {r["rank"]: r.kept for r in got.collect()} == {1: True, 2: False, 3: True}
-
-
 def test_band_pairs_find_all_within_three_bits(spark):
     rnd = random.Random(5)
     base = [rnd.getrandbits(64) for _ in range(30)]
