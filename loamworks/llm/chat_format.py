@@ -6,7 +6,9 @@ turn is lost. A turn is written as  <s>[role]\\n text </s> ; inside roles and te
 so that no control string can come from a text, and reading back is exact.
 
 Nulls: a null text is empty, a null role reads back as the empty role; a null conv_id is a conversation of its own,
-null turns come first. Ties in turn are ordered by role and text, and repeated rows stay repeated. Empty table: no examples.
+null turns come first. Ties in turn are ordered by role and text, and repeated rows stay repeated. Empty table: no examples. Very long
+texts are written whole. Other columns aren't read, whatever their names. The query adds a conversation -1 of its own; rows of the table
+with that id would be turns of it.
 """
 
 from __future__ import annotations

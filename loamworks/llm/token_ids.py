@@ -11,7 +11,7 @@ out of 2**18 each), checkpoints (per block LANES u64 states, u32 first word, u32
 of all before. Segments are rows of a Parquet table with the index of their documents (doc_ids, lengths) beside them.
 
 Nulls: a null text is empty (its end id only); null doc_ids come first. Ties in doc_id are ordered by text hash, repeated
-rows stay repeated. Empty table: no segments. Other columns are ignored.
+rows stay repeated. Very long texts are encoded whole, one at a time. Empty table: no segments. Other columns are ignored.
 """
 
 from __future__ import annotations
