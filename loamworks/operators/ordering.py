@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import global_rank, rank_within
@@ -142,3 +142,22 @@ def component_sides(members: DataFrame, row: str, key: str, percent: int) -> Dat
     rows = members.select(row).distinct().join(labels.withColumnRenamed("node", row).hint("merge"), row, "left").withColumn("label", F.coalesce("label", row))
     side = F.conv(F.substring(F.sha2(F.col("label").cast("string"), 256), 1, 8), 16, 10).cast("long") % 100 < percent
     return rows.select(row, "label", F.when(side, "eval").otherwise("train").alias("side"))
+
+
+def serve(sources: Column, draws: int) -> Column:
+    """sources: array of (source, a, b), weights at the first and the last draw -> array of (source, target, served) after all draws.
+
+    Every draw adds its weights to what each source is owed (target) and serves one unit to the largest deficit; deficits closer than 1e-9
+    tie, and the first source wins. One row holds all sources: there is a weight for each in a configuration.
+    """
+    start = F.transform(sources, lambda s: F.struct(s["source"].alias("source"), s["a"].alias("a"), s["b"].alias("b"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("served")))
+
+    def draw(state: Column, step: Column) -> Column:
+        owed = F.transform(state, lambda s: s.withField("target", s["target"] + s["a"] + (s["b"] - s["a"]) * step / F.lit(max(draws - 1, 1))))
+        # Bound once a draw: each is used for all sources.
+        picked = F.transform(F.array(owed), lambda o: F.struct(o.alias("o"), F.array_max(F.transform(o, lambda s: s["target"] - s["served"])).alias("most")))
+        picked = F.transform(picked, lambda x: F.struct(x["o"].alias("o"), F.array_position(F.transform(x["o"], lambda s: s["target"] - s["served"] >= x["most"] - 1e-9), F.lit(True)).alias("at")))
+        return F.transform(picked, lambda x: F.transform(x["o"], lambda s, i: s.withField("served", s["served"] + (i + 1 == x["at"]).cast("long"))))[0]
+
+    done = F.aggregate(F.sequence(F.lit(0), F.lit(draws - 1)), start, draw)
+    return F.transform(done, lambda s: F.struct(s["source"].alias("source"), s["target"].alias("target"), s["served"].alias("served")))

@@ -233,16 +233,24 @@ def sm_shuffle(spark, sf_dir):
     return global_rank(table(spark, sf_dir, "documents").select("doc_id", _h(16).alias("h")), ["h", "doc_id"], "pos").select("doc_id", "pos")
 
 
-@query("""WITH s AS (SELECT source, count(*) / (SELECT count(*) FROM documents) AS a, sum(n_chars) / (SELECT sum(n_chars) FROM documents) AS b FROM documents GROUP BY source), t AS (SELECT unnest(generate_series(0, 10)) AS step)
-SELECT step, source, round(a + (b - a) * step / 10.0, 6) AS weight, round(sum(a + (b - a) * step / 10.0) OVER (PARTITION BY source ORDER BY step) - a * (step + 1), 6) AS surplus FROM s, t""")
+#: Draws that the schedule serves.
+DRAWS = 400
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT source, count(*) / (SELECT count(*) FROM documents) AS a, sum(n_chars) / (SELECT sum(n_chars) FROM documents) AS b FROM documents WHERE source IS NOT NULL GROUP BY source),
+l AS (SELECT list(source ORDER BY source) AS names, list(a ORDER BY source) AS a, list(b ORDER BY source) AS b FROM s),
+r AS (SELECT 0 AS step, list_transform(a, lambda x: 0.0::DOUBLE) AS target, list_transform(a, lambda x: 0::BIGINT) AS served FROM l
+  UNION ALL SELECT step + 1, target, list_transform(served, lambda x, i: x + (i = pick)::INT) FROM (SELECT step, target, served, list_position(list_transform(target, lambda x, i: x - served[i] >= list_max(list_transform(target, lambda y, j: y - served[j])) - 1e-9), true) AS pick
+    FROM (SELECT step, served, list_transform(target, lambda x, i: x + a[i] + (b[i] - a[i]) * step / {DRAWS - 1}) AS target FROM r, l WHERE step < {DRAWS}))),
+z AS (SELECT unnest(names) AS source, unnest(target) AS target, unnest(served) AS served FROM r, l WHERE step = {DRAWS})
+SELECT source, round(target, 6) AS target, served, round(served / {DRAWS}, 6) AS share, round(target - served, 6) AS deficit FROM z""")
 def sm_mixture_schedule(spark, sf_dir):
-    """Shares move linearly from documents' to characters' shares over eleven steps; the surplus over a constant share is reported."""
-    s = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("c"))
+    """Draws served one by one to the source that is owed most, while weights move from documents' to characters' shares; ties go to the first by name."""
+    s = table(spark, sf_dir, "documents").filter("source IS NOT NULL").groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("c"))
     w = Window.partitionBy()  # one row a source
-    s = s.select("source", (F.col("n") / F.sum("n").over(w)).alias("a"), (F.col("c") / F.sum("c").over(w)).alias("b")).select("*", F.explode(F.sequence(F.lit(0), F.lit(10))).alias("step"))
-    weight = F.col("a") + (F.col("b") - F.col("a")) * F.col("step") / 10
-    served = F.sum(weight).over(Window.partitionBy("source").orderBy("step"))
-    return s.select(F.col("step").cast("long").alias("step"), "source", F.round(weight, 6).alias("weight"), F.round(served - F.col("a") * (F.col("step") + 1), 6).alias("surplus"))
+    s = s.select("source", (F.col("n") / F.sum("n").over(w)).alias("a"), (F.col("c") / F.sum("c").over(w)).alias("b"))
+    one = s.agg(F.array_sort(F.collect_list(F.struct("source", "a", "b"))).alias("s"))
+    return one.select(F.inline(ordering.serve(F.col("s"), DRAWS))).select("source", F.round("target", 6).alias("target"), "served", F.round(F.col("served") / DRAWS, 6).alias("share"), F.round(F.col("target") - F.col("served"), 6).alias("deficit"))
 
 
 @query("""WITH e AS (SELECT event_id, event_type, ('0x' || substr(sha256('17:' || event_id), 1, 15))::BIGINT AS h, CASE event_type WHEN 'purchase' THEN 0.5 WHEN 'error' THEN 0.0 ELSE 0.1 END AS w FROM events),

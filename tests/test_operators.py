@@ -327,3 +327,17 @@ def test_rank_within_hot_and_null_keys(spark):
     got = rank_within(df, "k", ["o"], "before", "sum", F.col("v")).collect()
     assert sorted((r.o, r.before, r.sum) for r in got) == sorted((r[1], sum(x[2] for x in g[:i]), sum(x[2] for x in g)) for g in groups.values() for i, r in enumerate(g))
     assert rank_within(df.limit(0), "k", ["o"], "rank", "n").count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_serving_equals_the_plain_loop(spark, seed):
+    rnd = random.Random(seed)
+    a, b = ([x / sum(w) for x in w] for w in ([rnd.randint(0, 5) + (i == 0) for i in range(5)] for _ in range(2)))
+    target, served, n = [0.0] * 5, [0] * 5, 60
+    for step in range(n):
+        target = [t + x + (y - x) * step / (n - 1) for t, x, y in zip(target, a, b)]
+        owed = [t - s for t, s in zip(target, served)]
+        served[next(i for i, d in enumerate(owed) if d >= max(owed) - 1e-9)] += 1
+    one = spark.createDataFrame([([(f"s{i}", x, y) for i, (x, y) in enumerate(zip(a, b))],)], "s array<struct<source: string, a: double, b: double>>")
+    got = one.select(F.inline(ordering.serve(F.col("s"), n))).collect()
+    assert [r.served for r in got] == served and [r.target for r in got] == pytest.approx(target)
