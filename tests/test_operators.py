@@ -13,6 +13,7 @@ from loamworks.functions.quantiles import quantiles
 from loamworks.functions.ranks import global_rank, rank_within
 from loamworks.operators import contamination, dedup, filters, ordering, rendering, retrieval, sampling
 from loamworks.operators.scoring import pass_hat, same_calls, sign_test
+from loamworks.sources import sinks
 from loamworks.sources.pools import Winners
 
 
@@ -341,3 +342,11 @@ def test_serving_equals_the_plain_loop(spark, seed):
     one = spark.createDataFrame([([(f"s{i}", x, y) for i, (x, y) in enumerate(zip(a, b))],)], "s array<struct<source: string, a: double, b: double>>")
     got = one.select(F.inline(ordering.serve(F.col("s"), n))).collect()
     assert [r.served for r in got] == served and [r.target for r in got] == pytest.approx(target)
+
+
+def test_views_sum_up_to_their_parent(spark):
+    df = spark.createDataFrame([(1, "a", 5), (2, "b", None), (3, "c", 7), (4, None, 1), (4, "a", 5)], "i long, k string, n long")
+    got = sinks.grouped_views(df, "k", {"x": ("a", "b")}, "view", ["n"]).groupBy("view").count().collect()
+    assert {r.view: r["count"] for r in got} == {"x": 3, "c": 1, "none": 1}
+    with pytest.raises(ValueError):
+        sinks.grouped_views(df, "k", {"x": ("a",), "y": ("a",)}, "view", [])
