@@ -57,7 +57,7 @@ class _Nodes(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in self.SKIP:
             self.hidden += 1
-        self.nodes.append([tag, self.open[-1] if self.open else -1, [], bool(self.hidden)])
+        self.nodes.append([tag, list(self.open), [], bool(self.hidden)])
         if tag not in ("br", "hr", "img", "input", "meta", "link"):
             self.open.append(len(self.nodes) - 1)
 
@@ -82,19 +82,19 @@ def _parse(page: str | None) -> list[list]:
 
 
 def page_nodes(pages: DataFrame) -> DataFrame:
-    """pages(page_id, html) -> page_id, node, parent, tag, text: one row per element with text of its own or an interactive tag."""
+    """pages(page_id, html) -> page_id, node, ancestors, tag, text: one row per element with text of its own or an interactive tag, numbered in page order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for i, page in zip(pdf["page_id"], pdf["html"]):
-                for k, (tag, parent, text, hidden) in enumerate(_parse(page)):
+                for k, (tag, ancestors, text, hidden) in enumerate(_parse(page)):
                     t = " ".join("".join(text).split())
                     if not hidden and (t or tag in ("a", "button", "input", "select", "textarea")):
-                        rows.append((i, k, parent, tag, t))
-            yield pd.DataFrame(rows, columns=["page_id", "node", "parent", "tag", "text"])
+                        rows.append((i, k, ancestors, tag, t))
+            yield pd.DataFrame(rows, columns=["page_id", "node", "ancestors", "tag", "text"])
 
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, node long, parent long, tag string, text string")
+    return pages.select("page_id", "html").mapInPandas(run, "page_id long, node long, ancestors array<long>, tag string, text string")
 
 
 def page_text(pages: DataFrame, limit: int) -> DataFrame:
@@ -104,19 +104,23 @@ def page_text(pages: DataFrame, limit: int) -> DataFrame:
 
 
 def rank_nodes(nodes: DataFrame, tasks: DataFrame, budget: int) -> DataFrame:
-    """Nodes of each page within a byte budget, best first by (phrase hit, own overlap, parent overlap, interactive), back in page order.
+    """Nodes of each page within a byte budget, best first by (phrase hit, own overlap, overlap of all ancestors, interactive), and their place in page order.
 
-    tasks(page_id, task). The budget is filled by a running sum over the ranking; a node that doesn't fit ends it.
+    tasks(page_id, task). Overlap counts the task's distinct words. The budget is filled by a running sum over the ranking; a node that doesn't
+    fit ends it. A page without a task has no rows; ties go by page order.
     """
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"(?U)\W+"), lambda w: w != ""))
-    nodes = staged(nodes, "nodes")  # pages are parsed once
-    parents = nodes.select("page_id", F.col("node").alias("parent"), words(F.col("text")).alias("up"))
-    j = nodes.join(tasks.hint("merge"), "page_id").join(parents.hint("merge"), ["page_id", "parent"], "left")
-    goal = words(F.col("task"))
+    both = nodes.join(tasks.hint("merge"), "page_id").withColumn("hits", F.array_intersect(words(F.col("text")), words(F.col("task"))))
+    both = staged(both, "nodes")  # pages are parsed once
+    # What the ancestors say of the task: only those that say something meet their descendants.
+    said = both.filter(F.size("hits") > 0).select("page_id", F.col("node").alias("over"), F.col("hits").alias("up"))
+    under = both.select("page_id", "node", F.explode("ancestors").alias("over")).join(said.hint("merge"), ["page_id", "over"])
+    above = under.groupBy("page_id", "node").agg(F.size(F.array_distinct(F.flatten(F.collect_list("up")))).alias("above"))
+    j = both.join(above.hint("merge"), ["page_id", "node"], "left")
     j = j.select(
-        "page_id", "node", "tag", "text", F.contains(F.lower("text"), F.lower("task")).cast("int").alias("phrase"), F.size(F.array_intersect(words(F.col("text")), goal)).alias("own"),
-        F.coalesce(F.size(F.array_intersect("up", goal)), F.lit(0)).alias("above"), F.col("tag").isin("a", "button", "input", "select", "textarea").cast("int").alias("acts"),
+        "page_id", "node", "tag", "text", F.contains(F.lower("text"), F.lower("task")).cast("int").alias("phrase"), F.size("hits").alias("own"), F.coalesce("above", F.lit(0)).alias("above"),
+        F.col("tag").isin("a", "button", "input", "select", "textarea").cast("int").alias("acts"),
     )
     w = Window.partitionBy("page_id").orderBy(F.desc("phrase"), F.desc("own"), F.desc("above"), F.desc("acts"), "node")
-    j = j.withColumns({"rank": F.row_number().over(w), "used": F.sum(F.octet_length("text") + 1).over(w)})
-    return j.filter(F.col("used") <= budget).select("page_id", "node", "tag", "rank", "own")
+    j = j.withColumns({"rank": F.row_number().over(w), "used": F.sum(F.octet_length("text") + 1).over(w)}).filter(F.col("used") <= budget)
+    return j.withColumn("place", F.row_number().over(Window.partitionBy("page_id").orderBy("node"))).select("page_id", "node", "tag", "rank", "own", "above", "place")

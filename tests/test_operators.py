@@ -350,3 +350,41 @@ def test_views_sum_up_to_their_parent(spark):
     assert {r.view: r["count"] for r in got} == {"x": 3, "c": 1, "none": 1}
     with pytest.raises(ValueError):
         sinks.grouped_views(df, "k", {"x": ("a",), "y": ("a",)}, "view", [])
+
+
+def test_ranking_counts_all_ancestors_and_restores_page_order(spark):
+    rnd = random.Random(12)
+    task, pages, want = "red shoes size nine", [], {}
+    for page in range(40):
+        nodes, html = [], []
+
+        def build(above, depth):
+            mine = len(nodes)
+            tag = rnd.choice(["div", "p", "a"]) if depth else "div"
+            text = " ".join(rnd.choice([*task.split(), "blue", "hat", task]) for _ in range(rnd.randrange(4)))
+            nodes.append((tag, above, text))
+            html.append(f"<{tag}>{text}")
+            for _ in range(rnd.randrange(4) if depth < 4 else 0):
+                build([*above, mine], depth + 1)
+            html.append(f"</{tag}>")
+
+        build([], 0)
+        pages.append((page, "".join(html)))
+        goal, said = set(task.split()), [set(t.split()) & set(task.split()) for _, _, t in nodes]
+        keys = []
+        for k, (tag, above, text) in enumerate(nodes):
+            if text or tag == "a":
+                over = set().union(*[said[x] for x in above]) if above else set()
+                keys.append((-(task in text), -len(said[k]), -len(over & goal), -(tag == "a"), k, len(text) + 1, tag))
+        used, kept = 0, []
+        for rank, key in enumerate(sorted(keys), 1):
+            used += key[5]
+            if used > 120:
+                break
+            kept.append((key[4], key[6], rank, -key[1], -key[2]))
+        want[page] = [(*x, i) for i, x in enumerate(sorted(kept), 1)]
+    df = spark.createDataFrame(pages, "page_id long, html string")
+    got = defaultdict(list)
+    for r in rendering.rank_nodes(rendering.page_nodes(df), df.select("page_id", F.lit(task).alias("task")), 120).orderBy("page_id", "node").collect():
+        got[r.page_id].append((r.node, r.tag, r["rank"], r.own, r.above, r.place))
+    assert got == {k: v for k, v in want.items() if v}
