@@ -188,16 +188,25 @@ def prj_source_family(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", filters.source_family(F.col("url")).alias("family"))
 
 
-# RE2 has no lookaround, so the SQL tests the character before and after with groups.
-EMAIL_SQL = r"(?i)(^|[^A-Z0-9._%+-])[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}($|[^A-Z0-9.-])"
-CARDS = r"[regexp_replace(x, '[^0-9]', '', 'g') for x in regexp_extract_all(regexp_replace(text, '[0-9]{20,}', 'x', 'g'), '[0-9](?:[ -]?[0-9]){12,18}(?:[^0-9]|$)')]"
+# RE2 has no lookaround, so the SQL tests the character before and after with groups. Its case folding and its white space aren't
+# Java's: A-Z are made small first, and white space is spelled out. Card numbers may follow each other, or other digits, with one
+# space between, so a group behind them would take what the next one begins with: every run of digits is put in angle brackets, which
+# are where numbers may begin and end.
+SMALL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+EMAIL_SQL = r"(^|[^a-z0-9._%+-])[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}($|[^a-z0-9.-])"
+CARDS = r"[regexp_replace(x, '[^0-9]', '', 'g') for x in regexp_extract_all(regexp_replace(text, '([0-9]+)', '<\1>', 'g'), '<[0-9](?:(?:>[ -]<)?[0-9]){12,18}>')]"
 LUHN = "[x for x in {c} if list_sum([CASE WHEN (length(x) - i) % 2 = 1 THEN (CASE WHEN x[i]::INT > 4 THEN x[i]::INT * 2 - 9 ELSE x[i]::INT * 2 END) ELSE x[i]::INT END for i in generate_series(1, length(x))]) % 10 = 0 AND length(replace(x, x[1], '')) > 0]"
 
 
-PHONE_SQL = filters.PHONE
-SECRET_SQL = filters.SECRET.replace("'", "''")
+def _re2(pattern: str) -> str:
+    spelled = pattern.removeprefix("(?i)").replace(r"(?<![\p{L}\p{Nd}_])", r"(?:^|[^\p{L}\p{Nd}_])")
+    return spelled.replace(r"[^\s", r"[^ \t\n\x0B\f\r").replace(r"\s", r"[ \t\n\x0B\f\r]").replace("'", "''")
+
+
+PHONE_SQL = _re2(filters.PHONE)
+SECRET_SQL = _re2(filters.SECRET)
 REASONS = ("email", "labeled_phone", "labeled_secret", "payment_card", "ssn")
-FLAGS = rf"""regexp_matches(text, '{EMAIL_SQL}') AS email, regexp_matches(text, '{PHONE_SQL}') AS labeled_phone, regexp_matches(text, '{SECRET_SQL}') AS labeled_secret,
+FLAGS = rf"""regexp_matches({SMALL}, '{EMAIL_SQL}') AS email, regexp_matches({SMALL}, '{PHONE_SQL}') AS labeled_phone, regexp_matches({SMALL}, '{SECRET_SQL}') AS labeled_secret,
   len({LUHN.replace("{c}", CARDS)}) > 0 AS payment_card, regexp_matches(text, '(^|[^0-9])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}($|[^0-9])') AS ssn"""
 
 
