@@ -33,7 +33,7 @@ TEXTS = {
 }
 
 
-@pytest.mark.parametrize("name", ["flt_privacy", "flt_privacy_group"])
+@pytest.mark.parametrize("name", ["flt_privacy", "flt_privacy_group", "ss_screen"])
 def test_query_and_sql_agree_on_touching_numbers(spark, tmp_path, name):
     docs = spark.createDataFrame([(i, t, f"s{i}", 0) for i, t in enumerate(TEXTS) if t is not None], "doc_id long, text string, source string, n_chars long")
     docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
