@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
+from hashlib import sha256
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 HASH_DIGITS = 15
 
@@ -73,6 +76,53 @@ def with_shingles(df: DataFrame, size: int, text: str = "text", out: str = "s")
     return df.withColumn("_tokens", tokens(F.col(text))).withColumn(out, shingles(F.col("_tokens"), size)).drop("_tokens")
 
 
+#: Characters that a Python function works on and gives back at a time.
+PIECE = 1 << 20
+
+
+def pieces(texts: pd.Series) -> Iterator[list]:
+    """The texts in lists of about PIECE characters, so that what is made of them doesn't grow with the batch."""
+    part, held = [], 0
+    for x in texts:
+        part.append(x)
+        held += len(x or "")
+        if held >= PIECE:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
+def shingle_hashes(joined: str | None, size: int) -> np.ndarray:
+    """The first 64 bits of the sha256 of each distinct shingle of a text given as its tokens joined by spaces, in no order.
+
+    A shingle is a stretch of that text, so none is put together.
+    """
+    data = (joined or "").encode()
+    if not data:
+        return np.zeros(0, ">i8")
+    gaps = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
+    if len(gaps) + 1 < size:
+        return np.frombuffer(sha256(data).digest()[:8], ">i8")
+    starts, ends = np.append(0, gaps + 1)[: len(gaps) + 2 - size].tolist(), np.append(gaps, len(data))[size - 1 :].tolist()
+    return np.frombuffer(b"".join([sha256(x).digest()[:8] for x in {data[a:b] for a, b in zip(starts, ends)}]), ">i8")
+
+
+def hashed_shingles(text: Column, size: int) -> Column:
+    """The 64-bit hashes of a text's distinct shingles (of shingles()), sorted as signed numbers.
+
+    Making and hashing them as column functions takes several times as long, hence the UDF.
+    """
+
+    @F.pandas_udf(ArrayType(LongType()))
+    def hashes(joined: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in joined:
+            for part in pieces(batch):
+                yield pd.Series([np.sort(shingle_hashes(x, size).astype(np.int64)) for x in part])
+
+    return hashes(F.array_join(tokens(text), " "))
+
+
 @F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """NFKC normalisation, which Spark has no function for."""

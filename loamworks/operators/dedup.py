@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from hashlib import blake2b
 from itertools import combinations
 
@@ -29,32 +30,37 @@ def exact_winners(df: DataFrame, order: list[str], key: str = "digest") -> DataF
     return df.join(firsts, same, "left_semi").dropDuplicates([key, *order])
 
 
-_SIGNED = StructType([StructField("hi", LongType()), StructField("lo", LongType()), StructField("hashes", ArrayType(LongType())), StructField("set_id", StringType())])
+_SIGNED = StructType([StructField("features", LongType()), StructField("hi", LongType()), StructField("lo", LongType()), StructField("hashes", ArrayType(LongType())), StructField("set_id", StringType())])
 
 
-@F.pandas_udf(_SIGNED)
-def _signature(features: pd.Series) -> pd.DataFrame:
-    """Of features given as 16 hex digits each, one behind the other: majority bits as two halves, the sorted 64-bit values, and a digest of these."""
-    sims, sets, ids = np.zeros((len(features), 2), np.int64), [], []
-    for i, f in enumerate(features):
-        raw = np.frombuffer(bytes.fromhex(f or ""), np.uint8).reshape(-1, 8)
-        if len(raw):
-            sims[i] = np.packbits(2 * np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64) >= len(raw)).view(">u4")
-        sets.append(np.unique(raw.view(">i8").ravel().astype(np.int64)))
-        ids.append(blake2b(sets[-1].tobytes(), digest_size=16).hexdigest())
-    return pd.DataFrame({"hi": sims[:, 0], "lo": sims[:, 1], "hashes": sets, "set_id": ids})
+def _signature(size: int, sets: bool):
+    @F.pandas_udf(_SIGNED)
+    def signature(joined: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        """Of texts given as joined tokens: number of shingles, majority bits as two halves, the sorted 64-bit values, and a digest of these."""
+        for batch in joined:
+            for part in tx.pieces(batch):
+                rows = []
+                for x in part:
+                    h = tx.shingle_hashes(x, size)
+                    ones = sum((np.unpackbits(h[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64) for i in range(0, len(h), 4096)), np.zeros(64, np.int64))
+                    hi, lo = np.packbits(2 * ones >= len(h)).view(">u4").tolist() if len(h) else (0, 0)
+                    s = np.unique(h.astype(np.int64)) if sets else None
+                    rows.append((len(h), hi, lo, s, blake2b(s.tobytes(), digest_size=16).hexdigest() if sets else None))
+                yield pd.DataFrame(rows, columns=_SIGNED.names)
 
+    return signature
 
-def signatures(docs: DataFrame, size: int = 5) -> DataFrame:
-    """docs(text, ...) with the number of shingles `features`, a 64-bit SimHash as two 32-bit halves sim_hi and sim_lo, the
-    shingles' 64-bit `hashes` (sorted), and `set_id`, a digest of these.
 
-    Each shingle votes with the first 64 bits of its sha256, which the JVM makes; a bit is set when at least half of the
-    votes are. Counting 64 bits of every shingle takes column functions about ten times as long as numpy, hence the UDF.
+def signatures(docs: DataFrame, size: int = 5, sets: bool = True) -> DataFrame:
+    """docs(text, ...) with the number of shingles `features`, a 64-bit SimHash as two 32-bit halves sim_hi and sim_lo and, unless
+    `sets` is false, the shingles' 64-bit `hashes` (sorted) and `set_id`, a digest of these.
+
+    Each shingle votes with the first 64 bits of its sha256; a bit is set when at least half of the votes are. Column functions
+    take about ten times as long as numpy, hence the UDF; it works through a batch in pieces.
     """
-    df = tx.with_shingles(docs, size)
-    df = df.withColumn("features", F.size("s").cast("long")).withColumn("_sim", _signature(F.array_join(F.transform("s", lambda x: F.substring(F.sha2(x, 256), 1, 16)), "")))
-    return df.withColumns({"sim_hi": F.col("_sim.hi"), "sim_lo": F.col("_sim.lo"), "hashes": F.col("_sim.hashes"), "set_id": F.col("_sim.set_id")}).drop("_sim", "s")
+    df = docs.withColumn("_sim", _signature(size, sets)(F.array_join(tx.tokens(F.col("text")), " ")))
+    out = {"features": "features", "sim_hi": "hi", "sim_lo": "lo"} | ({"hashes": "hashes", "set_id": "set_id"} if sets else {})
+    return df.withColumns({c: F.col(f"_sim.{x}") for c, x in out.items()}).drop("_sim")
 
 
 def hamming(a_hi: Column, a_lo: Column, b_hi: Column, b_lo: Column) -> Column:

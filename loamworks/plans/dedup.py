@@ -65,10 +65,10 @@ u AS (SELECT min(g.doc_id) AS id, any_value(sim_hi) AS sim_hi, any_value(sim_lo)
 SHARES = """i AS (SELECT p.a, p.b, count(*) AS n FROM p JOIN f x ON x.doc_id = p.a JOIN f y ON y.doc_id = p.b AND x.s = y.s GROUP BY p.a, p.b)"""
 
 
-def signed(spark, sf_dir):
+def signed(spark, sf_dir, sets=True):
     d = spread(table(spark, sf_dir, "documents")).select("doc_id", "n_chars", "text", "source")
     revised = d.filter("doc_id % 10 = 0").select(F.col("doc_id") + 1_000_000_000, F.col("n_chars") + 10, F.concat("text", F.lit(" Addendum.")), "source")
-    return dedup.signatures(d.union(revised))
+    return dedup.signatures(d.union(revised), sets=sets)
 
 
 def _set_nodes(spark, sf_dir):
@@ -80,7 +80,7 @@ def _set_nodes(spark, sf_dir):
 
 @query(f"WITH {SIGNATURES} SELECT doc_id, features, sim_hi, sim_lo FROM g")
 def dd_simhash(spark, sf_dir):
-    return signed(spark, sf_dir).select("doc_id", "features", "sim_hi", "sim_lo")
+    return signed(spark, sf_dir, sets=False).select("doc_id", "features", "sim_hi", "sim_lo")
 
 
 @query(f"WITH {SETS} SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.id < b.id AND {NEAR}")
