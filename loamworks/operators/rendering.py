@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,8 +48,9 @@ class _Nodes(HTMLParser):
 
     SKIP = frozenset(["script", "style", "head", "noscript", "template"])
 
-    def __init__(self) -> None:
+    def __init__(self, ancestors: bool = True) -> None:
         super().__init__(convert_charrefs=True)
+        self.ancestors = ancestors
         self.open: list[int] = []
         self.nodes: list[list] = []
         self.hidden = 0
@@ -57,7 +58,7 @@ class _Nodes(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in self.SKIP:
             self.hidden += 1
-        self.nodes.append([tag, list(self.open), [], bool(self.hidden)])
+        self.nodes.append([tag, list(self.open) if self.ancestors else [], [], bool(self.hidden)])
         if tag not in ("br", "hr", "img", "input", "meta", "link"):
             self.open.append(len(self.nodes) - 1)
 
@@ -74,32 +75,53 @@ class _Nodes(HTMLParser):
             self.nodes[self.open[-1]][2].append(data)
 
 
-def _parse(page: str | None) -> list[list]:
-    p = _Nodes()
+def _parse(page: str | None, ancestors: bool = True) -> list[list]:
+    p = _Nodes(ancestors)
     p.feed(page or "")
     p.close()
     return p.nodes
 
 
-def page_nodes(pages: DataFrame) -> DataFrame:
-    """pages(page_id, html) -> page_id, node, ancestors, tag, text: one row per element with text of its own or an interactive tag, numbered in page order."""
+#: Characters of pages whose nodes a task holds at a time.
+PAGE_PIECE = 1 << 20
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for i, page in zip(pdf["page_id"], pdf["html"]):
-                for k, (tag, ancestors, text, hidden) in enumerate(_parse(page)):
+
+def _node_batches(ancestors: bool):
+    names = ["page_id", "node", "ancestors", "tag", "text"]
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.string()]
+
+    def packed(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(names), kinds)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, held = [], 0
+            for i, page in zip(batch.column("page_id"), batch.column("html")):
+                i, page = i.as_py(), page.as_py()
+                for k, (tag, above, text, hidden) in enumerate(_parse(page, ancestors)):
                     t = " ".join("".join(text).split())
                     if not hidden and (t or tag in ("a", "button", "input", "select", "textarea")):
-                        rows.append((i, k, ancestors, tag, t))
-            yield pd.DataFrame(rows, columns=["page_id", "node", "ancestors", "tag", "text"])
+                        rows.append((i, k, above, tag, t))
+                held += len(page or "")
+                if held >= PAGE_PIECE:
+                    yield packed(rows)
+                    rows, held = [], 0
+            yield packed(rows)
+
+    return run
 
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, node long, ancestors array<long>, tag string, text string")
+
+def page_nodes(pages: DataFrame, ancestors: bool = True) -> DataFrame:
+    """pages(page_id, html) -> page_id, node, ancestors, tag, text: one row per element with text of its own or an interactive tag, numbered in page order.
+
+    Nodes are given out after about PAGE_PIECE characters of pages, whatever a batch holds. Without `ancestors` theirs are empty.
+    """
+    return pages.select("page_id", "html").mapInArrow(_node_batches(ancestors), "page_id long, node long, ancestors array<long>, tag string, text string")
 
 
 def page_text(pages: DataFrame, limit: int) -> DataFrame:
     """Visible text of a page, squeezed and bounded to `limit` characters."""
-    n = page_nodes(pages).filter("text <> ''").groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("node", "text"))).alias("n"))
+    n = page_nodes(pages, ancestors=False).filter("text <> ''").groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("node", "text"))).alias("n"))
     return n.select("page_id", F.substring(F.array_join("n.text", " "), 1, limit).alias("text"))
 
 
