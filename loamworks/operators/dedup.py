@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -11,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, ShortType, StringType, StructField, StructType
 
 from ..functions import text as tx
 from ..sources.stages import release, shared_dir, staged
@@ -79,10 +80,18 @@ def _part(col: str, mask: int) -> Column:
     return F.col(col).bitwiseAND(F.lit(mask).cast("long"))
 
 
-def band_keys(nodes: DataFrame, max_distance: int = 3) -> DataFrame:
-    """nodes(rank, sim_hi, sim_lo) -> one row for each three bands (about 32 bits), of keys that two nodes have: rank, sim_hi, sim_lo, band, key."""
-    keys = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), _part("sim_hi", hi), _part("sim_lo", lo)).alias("key")) for i, (hi, lo) in enumerate(_masks(max_distance))])
-    rows = nodes.select("rank", "sim_hi", "sim_lo", F.explode(keys).alias("x")).select("rank", "sim_hi", "sim_lo", "x.band", "x.key")
+def band_keys(nodes: DataFrame, max_distance: int = 3, min_jaccard: float | None = None) -> DataFrame:
+    """nodes(rank, sim_hi, sim_lo) -> one row for each three bands (about 32 bits), of keys that two nodes have: rank, sim_hi, sim_lo, band, key.
+
+    With min_jaccard, nodes have the size of their set too: a key is of one size cell, and a node is in its own cell and the next. Sets whose
+    sizes allow that similarity are in one cell or in neighbouring ones, so they still share keys; most others no longer do.
+    """
+    kept, cells = ["rank", "sim_hi", "sim_lo"], [F.lit(0)]
+    if min_jaccard is not None:
+        kept, own = [*kept, "size"], F.floor(F.log("size") / F.lit(-math.log(min_jaccard - 1e-6)))
+        cells = [own, own + 1]
+    keys = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), _part("sim_hi", hi), _part("sim_lo", lo), c).alias("key")) for i, (hi, lo) in enumerate(_masks(max_distance)) for c in cells])
+    rows = nodes.select(*kept, F.explode(keys).alias("x")).select(*kept, "x.band", "x.key")
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     return rows.join(shared.hint("merge"), "key", "left_semi")
 
@@ -110,41 +119,90 @@ def jaccard(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return j.select("a", "b", (n / (F.size("sa") + F.size("sb") - n)).alias("jaccard"))
 
 
-def near_walk(nodes: DataFrame, max_distance: int = 3, min_jaccard: float = 0.95) -> DataFrame:
-    """nodes(rank, sim_hi, sim_lo, hashes), distinct sets -> ranks of those that an earlier kept node matches.
+#: Ranks up to which a selection of sets is broadcast (8 bytes each); beyond, sets are shuffled to them.
+BROADCAST_RANKS = 1_000_000
+#: Counts that sketch a set: its members by their first six bits.
+CELLS = 64
+
+
+@F.pandas_udf(ArrayType(ShortType()))
+def _sketch(hashes: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in hashes:
+        yield pd.Series([np.minimum(np.bincount(h.view(np.uint64) >> np.uint64(58), minlength=CELLS), 32767).astype(np.int16) for h in (np.asarray(x, np.int64) for x in batch)])
+
+
+def _of_ranks(sets: DataFrame, ranks: DataFrame, key: str = "rank") -> DataFrame:
+    """Rows of sets whose key is in ranks(key), which has each once and is staged."""
+    few = ranks.limit(BROADCAST_RANKS + 1).count() <= BROADCAST_RANKS
+    return sets.join(ranks.hint("broadcast" if few else "merge"), key, "left_semi")
+
+
+def sketched(sets: DataFrame) -> DataFrame:
+    """sets(rank, hashes), staged -> rank, size, sketch; staged."""
+    return staged(sets.select("rank", F.size("hashes").alias("size"), _sketch("hashes").alias("sketch")), "near-sketches")
 
-    The walk in rank order, in rounds: an undecided node that is the first undecided under each of its band keys is kept (all
+
+def matching(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, min_jaccard: float) -> DataFrame:
+    """Of pairs(a, b) those whose sets(rank, hashes) are as similar as min_jaccard; exact.
+
+    Sizes and sketches bound how many members two sets can share, so that whole sets are brought only to pairs which both allow.
+    """
+    j = pairs.select("a", "b").join(sketches.select(F.col("rank").alias("a"), F.col("size").alias("na"), F.col("sketch").alias("ka")).hint("merge"), "a")
+    j = j.join(sketches.select(F.col("rank").alias("b"), F.col("size").alias("nb"), F.col("sketch").alias("kb")).hint("merge"), "b")
+    apart = F.aggregate(F.zip_with("ka", "kb", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
+    # Each member that only one set has moves one count by one: the sets differ in `apart` members at least, so they share at most this.
+    most = F.least(F.col("na"), F.col("nb"), (F.col("na") + F.col("nb") - apart) / 2)
+    able = staged(j.filter(most >= (min_jaccard - 1e-9) * (F.col("na") + F.col("nb") - most)).select("a", "b"), "near-able")
+    ranks = staged(able.select(F.col("a").alias("rank")).union(able.select("b")).distinct(), "near-able-ranks")
+    return jaccard(able, _of_ranks(sets, ranks)).filter(F.col("jaccard") >= min_jaccard).select("a", "b")
+
+
+def near_walk(nodes: DataFrame, sets: DataFrame, max_distance: int = 3, min_jaccard: float = 0.95) -> DataFrame:
+    """nodes(rank, row, sim_hi, sim_lo, size), distinct sets, and sets(row, hashes) -> ranks of those that an earlier kept node matches.
+
+    The walk in rank order, in rounds: an undecided node that is the first undecided under each of its keys (bands and size cell) is kept (all
     kept nodes before it have met it), meets the others under its keys, and those it matches go. So a group of near copies
-    costs a comparison for each kept node and member, as in the walk, and never all its pairs. State is ranks and keys.
+    costs a comparison for each kept node and member, as in the walk, and never all its pairs. State is ranks and keys; sets are read
+    for nodes that share a key, and shuffled for pairs that sizes and sketches allow.
     """
-    state = staged(band_keys(nodes, max_distance), "near-state")
-    sets = staged(nodes.select("rank", "hashes").join(state.select("rank").distinct().hint("merge"), "rank", "left_semi"), "near-sets")
+    nodes = staged(nodes, "near-nodes")
+    state = staged(band_keys(nodes, max_distance, min_jaccard), "near-state")
+    ids = staged(nodes.select("rank", "row").join(state.select("rank").distinct().hint("merge"), "rank", "left_semi"), "near-ids")
+    few = ids.limit(BROADCAST_RANKS + 1).count() <= BROADCAST_RANKS
+    sets = staged(sets.join(ids.hint("broadcast" if few else "merge"), "row").select("rank", "hashes"), "near-sets")
+    sketches = sketched(sets)
     # Each round's ranks are a folder of one table, so that the plan of the result doesn't grow with the rounds.
     spark, path, turn = nodes.sparkSession, f"{shared_dir(nodes.sparkSession)}/near-gone-{uuid.uuid4().hex}", 0
     kind = state.select("rank").schema
     while state.limit(1).count():
         lead = state.groupBy("key").agg(F.min("rank").alias("lead"), F.min_by(F.struct("sim_hi", "sim_lo"), "rank").alias("w"))
         met = state.join(lead.hint("merge"), "key")
-        met = staged(met.select("rank", "key", "lead", hamming(F.col("sim_hi"), F.col("sim_lo"), F.col("w.sim_hi"), F.col("w.sim_lo")).alias("distance")), "near-met")
+        met = staged(met.select("rank", "lead", hamming(F.col("sim_hi"), F.col("sim_lo"), F.col("w.sim_hi"), F.col("w.sim_lo")).alias("distance")), "near-met")
         kept = met.groupBy("rank").agg(F.min(F.col("rank") == F.col("lead")).alias("first")).filter("first").select("rank")
         pairs = met.filter((F.col("rank") != F.col("lead")) & (F.col("distance") <= max_distance)).select(F.col("lead").alias("a"), F.col("rank").alias("b")).distinct()
         pairs = pairs.join(kept.select(F.col("rank").alias("a")).hint("merge"), "a", "left_semi")
-        jaccard(pairs, sets).filter(F.col("jaccard") >= min_jaccard).select(F.col("b").alias("rank")).distinct().write.parquet(f"{path}/turn={turn}")
+        matching(pairs, sets, sketches, min_jaccard).select(F.col("b").alias("rank")).distinct().write.parquet(f"{path}/turn={turn}")
         decided = kept.union(spark.read.schema(kind).parquet(f"{path}/turn={turn}"))
         left = state.join(decided.hint("merge"), "rank", "left_anti")
         shared = left.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
         before, state, turn = state, staged(left.join(shared.hint("merge"), "key", "left_semi"), "near-state"), turn + 1
         release(before, met)
-    release(state, sets)
+    release(state, sets, sketches, ids, nodes)
     return spark.read.schema(kind).parquet(*[f"{path}/turn={i}" for i in range(turn)]) if turn else spark.createDataFrame([], kind)
 
 
-def near_keep(docs: DataFrame, max_distance: int = 3, min_jaccard: float = 0.95) -> DataFrame:
-    """docs(rank, able, sim_hi, sim_lo, hashes, set_id) -> rank, kept. Documents that aren't able stay; of equal sets only the first can."""
+def near_keep(docs: DataFrame, max_distance: int = 3, min_jaccard: float = 0.95, sets: DataFrame | None = None) -> DataFrame:
+    """docs(rank, able, sim_hi, sim_lo, hashes, set_id) -> rank, kept. Documents that aren't able stay; of equal sets only the first can.
+
+    With sets(row, hashes), docs have row and size instead of hashes.
+    """
+    if sets is None:
+        sets = docs.select(F.col("rank").alias("row"), "hashes")
+        docs = docs.select("rank", F.col("rank").alias("row"), "able", "sim_hi", "sim_lo", F.size("hashes").alias("size"), "set_id")
     able = docs.filter("able")
     firsts = able.groupBy("set_id").agg(F.min("rank").alias("_first"))
     nodes = able.join(firsts.select(F.col("_first").alias("rank")).hint("merge"), "rank", "left_semi")
-    gone = near_walk(nodes.select("rank", "sim_hi", "sim_lo", "hashes"), max_distance, min_jaccard)
+    gone = near_walk(nodes.select("rank", "row", "sim_hi", "sim_lo", "size"), sets, max_distance, min_jaccard)
     copies = able.select("rank", "set_id").join(firsts.hint("merge"), "set_id").filter(F.col("rank") != F.col("_first")).select("rank")
     out = gone.union(copies).withColumn("_gone", F.lit(True))
     return docs.select("rank").join(out.hint("merge"), "rank", "left").select("rank", F.col("_gone").isNull().alias("kept"))

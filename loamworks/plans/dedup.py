@@ -98,12 +98,12 @@ def dd_jaccard_verify(spark, sf_dir):
 
 
 def _ranked(spark, sf_dir):
-    """Documents in the order of processing: longest first, then text hash, id and source; whether near deduplication applies. Shingles are made once."""
+    """Documents in the order of processing: longest first, then text hash, id and source; whether near deduplication applies. With them, by row, their sets, written once."""
     d = signed(spark, sf_dir).withColumn("code", filters.code_like(F.col("text"), F.col("source"))).withColumn("sha", F.sha2("text", 256)).drop("text")
-    d = staged(d.withColumn("able", ~F.col("code") & (F.col("features") >= 8)).withColumn("row", F.monotonically_increasing_id()), "near-signed")
+    d = staged(d.withColumn("able", ~F.col("code") & (F.col("features") >= 8)).withColumn("size", F.size("hashes")).withColumn("row", F.monotonically_increasing_id()), "near-signed")
     order = [F.desc("n_chars"), "sha", "doc_id", "source"]
-    ranks = global_rank(d.select("row", "n_chars", "sha", "doc_id", "source"), [*order, "row"], "rank").select("row", "rank")
-    return staged(d.drop("n_chars", "sha", "source").join(ranks.hint("merge"), "row").drop("row"), "near-ranked")
+    narrow = d.drop("hashes", "features")
+    return staged(global_rank(narrow, [*order, "row"], "rank").drop("n_chars", "sha", "source"), "near-ranked"), d.select("row", "hashes")
 
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, sha256(text), doc_id, source) - 1 AS near_rank FROM documents")
@@ -125,25 +125,31 @@ res AS (SELECT o.*, NOT list_contains((SELECT arg_max(gone, i) FROM walk), rank)
 @query(f"WITH RECURSIVE {WALK} SELECT doc_id, rank, kept FROM res")
 def dd_near(spark, sf_dir):
     """Greedy near deduplication in rank order: a document goes iff an earlier kept one matches it."""
-    ranked = _ranked(spark, sf_dir)
-    return dedup.near_keep(ranked).join(ranked.select("rank", "doc_id").hint("merge"), "rank").select("doc_id", "rank", "kept")
+    ranked, sets = _ranked(spark, sf_dir)
+    return dedup.near_keep(ranked, sets=sets).join(ranked.select("rank", "doc_id").hint("merge"), "rank").select("doc_id", "rank", "kept")
 
 
 @query(f"""WITH RECURSIVE {WALK} SELECT (SELECT count(*) FROM res) AS documents, (SELECT count(*) FROM res WHERE kept) AS retained, (SELECT count(*) FROM res WHERE NOT kept) AS removed, (SELECT count(*) FROM res WHERE code) AS code_bypass,
 (SELECT count(*) FROM near JOIN res ON rank = a WHERE kept) AS candidate_checks, (SELECT count(*) FROM e JOIN res ON rank = a WHERE kept) AS matches""")
 def dd_near_audit(spark, sf_dir):
     """What the walk kept and removed, and how many later documents its kept ones are compared with (within 3 bits) and match."""
-    ranked = _ranked(spark, sf_dir)
-    kept = staged(dedup.near_keep(ranked), "near-kept")
+    ranked, sets = _ranked(spark, sf_dir)
+    kept = staged(dedup.near_keep(ranked, sets=sets), "near-kept")
     able = ranked.filter("able")
     # Members of a set are counted, not paired: later members for each kept node and set.
-    nodes = able.groupBy("set_id").agg(F.min("rank").alias("rank"), F.first("sim_hi").alias("sim_hi"), F.first("sim_lo").alias("sim_lo"), F.first("hashes").alias("hashes"))
-    nodes = staged(nodes, "near-nodes")
-    both = dedup.jaccard(dedup.band_pairs(nodes, lead=kept.filter("kept").select("rank")), nodes)
-    own = kept.filter("kept").join(nodes.select("rank").hint("merge"), "rank", "left_semi").select(F.col("rank").alias("a"), F.col("rank").alias("b"), F.lit(1.0).alias("jaccard"))
+    nodes = able.groupBy("set_id").agg(F.min_by(F.struct("row", "sim_hi", "sim_lo"), "rank").alias("x"), F.min("rank").alias("rank"))
+    nodes = staged(nodes.select("set_id", "rank", "x.*"), "near-nodes")
+    pairs = staged(dedup.band_pairs(nodes, lead=kept.filter("kept").select("rank")).select("a", "b"), "near-pairs")
+    met = staged(pairs.select(F.col("a").alias("rank")).union(pairs.select("b")).distinct(), "near-paired")
+    of = staged(nodes.select("rank", "row").join(met.hint("merge"), "rank", "left_semi"), "near-paired-rows")
+    few = of.limit(dedup.BROADCAST_RANKS + 1).count() <= dedup.BROADCAST_RANKS
+    paired = staged(sets.join(of.hint("broadcast" if few else "merge"), "row").select("rank", "hashes"), "near-paired-sets")
+    near = dedup.matching(pairs, paired, dedup.sketched(paired), 0.95).withColumn("near", F.lit(True))
+    both = pairs.join(near.hint("merge"), ["a", "b"], "left").select("a", "b", F.col("near").isNotNull().alias("near"))
+    own = kept.filter("kept").join(nodes.select("rank").hint("merge"), "rank", "left_semi").select(F.col("rank").alias("a"), F.col("rank").alias("b"), F.lit(True).alias("near"))
     members = able.select("set_id", F.col("rank").alias("member")).join(nodes.select("set_id", F.col("rank").alias("b")).hint("merge"), "set_id")
     met = both.union(own).join(members.hint("merge"), "b").filter(F.col("member") > F.col("a"))
-    checks = met.agg(F.count("*").alias("candidate_checks"), F.count_if(F.col("jaccard") >= 0.95).alias("matches"))
+    checks = met.agg(F.count("*").alias("candidate_checks"), F.count_if("near").alias("matches"))
     k = kept.join(ranked.select("rank", "code").hint("merge"), "rank")
     return k.agg(F.count("*").alias("documents"), F.count_if("kept").alias("retained"), F.count_if(~F.col("kept")).alias("removed"), F.count_if("code").alias("code_bypass")).crossJoin(F.broadcast(checks))
 
