@@ -131,7 +131,7 @@ def _sketch(hashes: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([np.minimum(np.bincount(h.view(np.uint64) >> np.uint64(58), minlength=CELLS), 32767).astype(np.int16) for h in (np.asarray(x, np.int64) for x in batch)])
 
 
-def _of_ranks(sets: DataFrame, ranks: DataFrame, key: str = "rank") -> DataFrame:
+def of_ranks(sets: DataFrame, ranks: DataFrame, key: str = "rank") -> DataFrame:
     """Rows of sets whose key is in ranks(key), which has each once and is staged."""
     few = ranks.limit(BROADCAST_RANKS + 1).count() <= BROADCAST_RANKS
     return sets.join(ranks.hint("broadcast" if few else "merge"), key, "left_semi")
@@ -154,7 +154,7 @@ def matching(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, min_jaccard
     most = F.least(F.col("na"), F.col("nb"), (F.col("na") + F.col("nb") - apart) / 2)
     able = staged(j.filter(most >= (min_jaccard - 1e-9) * (F.col("na") + F.col("nb") - most)).select("a", "b"), "near-able")
     ranks = staged(able.select(F.col("a").alias("rank")).union(able.select("b")).distinct(), "near-able-ranks")
-    return jaccard(able, _of_ranks(sets, ranks)).filter(F.col("jaccard") >= min_jaccard).select("a", "b")
+    return jaccard(able, of_ranks(sets, ranks)).filter(F.col("jaccard") >= min_jaccard).select("a", "b")
 
 
 def near_walk(nodes: DataFrame, sets: DataFrame, max_distance: int = 3, min_jaccard: float = 0.95) -> DataFrame:

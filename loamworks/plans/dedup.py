@@ -71,11 +71,16 @@ def signed(spark, sf_dir, sets=True):
     return dedup.signatures(d.union(revised), sets=sets)
 
 
-def _set_nodes(spark, sf_dir):
-    """Distinct sets of eight shingles or more, under their smallest document."""
-    d = staged(signed(spark, sf_dir).filter("features >= 8").select("doc_id", "set_id", "sim_hi", "sim_lo", "hashes"), "signatures")
-    first = d.groupBy("set_id").agg(F.min("doc_id").alias("rank"))
-    return d.join(first.hint("merge"), "set_id").filter(F.col("doc_id") == F.col("rank")).select("rank", "sim_hi", "sim_lo", "hashes").dropDuplicates(["rank"])
+def _set_nodes(spark, sf_dir, hashes=False):
+    """Distinct sets of eight shingles or more, under their smallest document; beside them, if asked for, the sets themselves by document.
+
+    Signatures are written before they are filtered (a filter under which they are made would make them twice), and nodes are found without the sets.
+    """
+    d = signed(spark, sf_dir).select("doc_id", "features", "set_id", "sim_hi", "sim_lo", *(["hashes"] if hashes else []))
+    d = staged(d, "signatures").filter("features >= 8").withColumnRenamed("doc_id", "rank")
+    first = d.groupBy("set_id").agg(F.min(F.struct("rank", "sim_hi", "sim_lo")).alias("m")).select("set_id", "m.*")
+    nodes = staged(first.dropDuplicates(["rank"]), "set-nodes")
+    return (nodes, d.select("rank", "set_id", "hashes")) if hashes else nodes
 
 
 @query(f"WITH {SIGNATURES} SELECT doc_id, features, sim_hi, sim_lo FROM g")
@@ -93,8 +98,12 @@ def dd_lsh_pairs(spark, sf_dir):
 SELECT p.a, p.b, round(coalesce(n, 0) / (x.features + y.features - coalesce(n, 0)), 6) AS jaccard, coalesce(n, 0) / (x.features + y.features - coalesce(n, 0)) >= 0.95 AS near FROM p LEFT JOIN i USING (a, b) JOIN u x ON x.id = p.a JOIN u y ON y.id = p.b""")
 def dd_jaccard_verify(spark, sf_dir):
     """Jaccard of the whole shingle sets of candidate pairs; 0.95 decides."""
-    nodes = staged(_set_nodes(spark, sf_dir), "set-nodes")
-    return dedup.jaccard(dedup.band_pairs(nodes), nodes).select("a", "b", F.round("jaccard", 6).alias("jaccard"), (F.col("jaccard") >= 0.95).alias("near"))
+    nodes, sets = _set_nodes(spark, sf_dir, hashes=True)
+    pairs = staged(dedup.band_pairs(nodes).select("a", "b"), "candidate-pairs")
+    # Whole sets are brought to the pairs only.
+    ranks = staged(pairs.select(F.col("a").alias("rank")).union(pairs.select("b")).distinct(), "candidate-ranks")
+    sets = dedup.of_ranks(sets, ranks).join(nodes.select("rank", "set_id").hint("merge"), ["rank", "set_id"], "left_semi").dropDuplicates(["rank"])
+    return dedup.jaccard(pairs, sets).select("a", "b", F.round("jaccard", 6).alias("jaccard"), (F.col("jaccard") >= 0.95).alias("near"))
 
 
 def _ranked(spark, sf_dir):
