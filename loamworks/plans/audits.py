@@ -118,7 +118,7 @@ UNION ALL SELECT 'calls', 0, 0, count(*) FILTER (WHERE e AND t), count(*) FILTER
 def so_fresh_slice(spark, sf_dir):
     """A fresh slice against each training table: documents of a language by the benchmark items they cover, the table with calls by templates. A table with any isn't ok."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    c = staged(contamination.shingle_cover(docs, items).withColumnRenamed("doc_id", "_d"), "fresh")
+    c = staged(contamination.shingle_cover(spread(docs), items).withColumnRenamed("doc_id", "_d"), "fresh")
     d = docs.select("doc_id", F.col("lang").alias("training_table")).join(c.hint("merge"), F.col("doc_id") == F.col("_d"), "left")
     d = d.groupBy("training_table").agg(F.count_distinct("item_id").alias("matched_items"), F.count_distinct("_d").alias("matched_documents"))
     zero = F.lit(0).cast("long")
