@@ -14,10 +14,11 @@ MIN_CHARS, MAX_CHARS, MAX_CONTROL, MAX_REPLACEMENT, MAX_REPETITION = 200, 2_000_
 
 #: What counts as personal data or a secret.
 EMAIL = r"(?i)(?<![A-Z0-9._%+-])[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}(?![A-Z0-9.-])"
-#: The word before `is`, `:` or `=` begins where no letter, digit or underscore of any script stands before it.
-SECRET = r"""(?i)(?<![\p{L}\p{Nd}_])(?:password|passwd|pwd|api[ _-]?key|access[ _-]?token|auth[ _-]?token|secret)(?:\s+is\s+|\s*[:=]\s*)["']?[^\s<>{}"']{4,}"""
+#: The word before `is`, `:` or `=` begins where no letter, digit or underscore of any script stands before it. Java looks back by
+#: half a character at letters beyond U+FFFF, so the pattern takes what stands before instead.
+SECRET = r"""(?i)(?:^|[^\p{L}\p{Nd}_])(?:password|passwd|pwd|api[ _-]?key|access[ _-]?token|auth[ _-]?token|secret)(?:\s+is\s+|\s*[:=]\s*)["']?[^\s<>{}"']{4,}"""
 SSN = r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)"
-PHONE = r"(?i)(?<![\p{L}\p{Nd}_])(?:phone|mobile|telephone|tel)(?:\s+is\s+|\s*[:=]\s*)\+?\d[\d ().-]{7,}\d"
+PHONE = r"(?i)(?:^|[^\p{L}\p{Nd}_])(?:phone|mobile|telephone|tel)(?:\s+is\s+|\s*[:=]\s*)\+?\d[\d ().-]{7,}\d"
 CARD = r"((?<!\d)(?:\d[ -]?){12,18}\d(?!\d))"
 
 #: Signs of source code, of which two make a text code-like.

@@ -199,8 +199,7 @@ LUHN = "[x for x in {c} if list_sum([CASE WHEN (length(x) - i) % 2 = 1 THEN (CAS
 
 
 def _re2(pattern: str) -> str:
-    spelled = pattern.removeprefix("(?i)").replace(r"(?<![\p{L}\p{Nd}_])", r"(?:^|[^\p{L}\p{Nd}_])")
-    return spelled.replace(r"[^\s", r"[^ \t\n\x0B\f\r").replace(r"\s", r"[ \t\n\x0B\f\r]").replace("'", "''")
+    return pattern.removeprefix("(?i)").replace(r"[^\s", r"[^ \t\n\x0B\f\r").replace(r"\s", r"[ \t\n\x0B\f\r]").replace("'", "''")
 
 
 PHONE_SQL = _re2(filters.PHONE)
@@ -217,15 +216,18 @@ def flt_privacy(spark, sf_dir):
     return d.select("doc_id", *[F.array_contains("r", k).alias(k) for k in REASONS])
 
 
-@query(f"""WITH r AS (SELECT doc_id, source || ':' || (doc_id % 50) AS grp, {FLAGS} FROM documents), g AS (SELECT grp, count(*) AS documents, {", ".join(f"count(*) FILTER (WHERE {k}) AS {k}" for k in REASONS)}, bool_or({" OR ".join(REASONS)}) AS excluded FROM r GROUP BY grp)
+@query(f"""WITH r AS (SELECT doc_id, source || ':' || (doc_id % 50) AS grp, {FLAGS} FROM documents), g AS (SELECT grp, count(*) AS documents, {", ".join(f"count(*) FILTER (WHERE {k}) AS {k}" for k in REASONS)}, bool_or(coalesce({" OR ".join(REASONS)}, false)) AS excluded FROM r GROUP BY grp)
 SELECT *, CASE WHEN excluded THEN 0 ELSE documents END AS retained FROM g""")
 def flt_privacy_group(spark, sf_dir):
-    """Whole groups (a source's documents with one remainder of doc_id by 50) go when any of their rows has a reason; rows and reasons of each group are counted."""
+    """Whole groups (a source's documents with one remainder of doc_id by 50) go when any of their rows has a reason; rows and reasons of each group are counted.
+
+    A null text has no reason; documents without a source are a group.
+    """
     grp = F.concat(F.col("source"), F.lit(":"), F.col("doc_id") % 50)
     d = staged(docs(spark, sf_dir).select(grp.alias("grp"), filters.privacy_reasons(F.col("text")).alias("r")), "reasons")
     counts = d.groupBy("grp").agg(F.count("*").alias("documents"), *[F.count_if(F.array_contains("r", k)).alias(k) for k in REASONS], F.bool_or(F.size("r") > 0).alias("excluded"))
-    kept = filters.exclude_groups(d, "grp", F.col("r")).groupBy("grp").agg(F.count("*").alias("n"))
-    return counts.join(kept.hint("merge"), "grp", "left").select("grp", "documents", *REASONS, "excluded", F.coalesce("n", F.lit(0)).alias("retained"))
+    kept = filters.exclude_groups(d, "grp", F.col("r")).groupBy(F.col("grp").alias("_grp")).agg(F.count("*").alias("n"))
+    return counts.join(kept.hint("merge"), F.col("grp").eqNullSafe(F.col("_grp")), "left").select("grp", "documents", *REASONS, "excluded", F.coalesce("n", F.lit(0)).alias("retained"))
 
 
 @query(rf"SELECT item_id, lower({SQUEEZED}) AS prompt FROM benchmark")
