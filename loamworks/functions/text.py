@@ -29,6 +29,11 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def folded(text: Column) -> Column:
+    """Squeezed text in lower case, character by character: what a part of a text becomes doesn't depend on what stands around it, as a final sigma's would."""
+    return F.lower(F.translate(squeeze(text), "Σİ", "σi"))
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased words, and every other non-space character by itself."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+|[^\w\s])"), F.lit(1))

@@ -9,7 +9,6 @@ from ..registry import Register
 from ..sources.stages import table
 from ..streaming import jobs
 from .corpus import FLAGS, REASON, REASONS, SQUEEZED
-from .dedup import ENTRY
 
 QUERIES = query = Register()
 
@@ -79,9 +78,13 @@ def ss_mixture_state(spark, sf_dir):
     return t.select("source", "served", F.round("gap", 4).alias("deficit"), (F.col("gap") == F.max("gap").over(w)).alias("next"))
 
 
-@query(f"""WITH r AS (SELECT doc_id, {ENTRY} AS t, {FLAGS} FROM documents), h AS (SELECT r.*, (SELECT count(*) FROM (SELECT DISTINCT {ENTRY} AS entry FROM benchmark) e WHERE contains(r.t, e.entry)) AS entries FROM r)
-SELECT doc_id, entries, concat_ws(',', {", ".join(f"CASE WHEN {k} THEN '{k}' END" for k in REASONS)}) AS reasons, entries = 0 AND NOT ({" OR ".join(REASONS)}) AS kept FROM h""")
+#: As tx.folded: white space of all scripts, where RE2's own is ASCII's.
+SEEN = r"lower(trim(regexp_replace(text, '[\t-\r\x{85}\p{Z}]+', ' ', 'g')))"
+
+
+@query(f"""WITH r AS (SELECT doc_id, {SEEN} AS t, {FLAGS} FROM documents), h AS (SELECT r.*, (SELECT count(*) FROM (SELECT DISTINCT {SEEN} AS entry FROM benchmark) e WHERE entry <> '' AND contains(r.t, e.entry)) AS entries FROM r)
+SELECT doc_id, entries, concat_ws(',', {", ".join(f"CASE WHEN {k} THEN '{k}' END" for k in REASONS)}) AS reasons, entries = 0 AND NOT coalesce({" OR ".join(REASONS)}, false) AS kept FROM h""")
 def ss_screen(spark, sf_dir):
-    """Arriving documents against the static denylist and all privacy rules."""
-    deny = table(spark, sf_dir, "benchmark").select(F.lower(tx.squeeze(F.col("text"))).alias("entry"))
+    """Arriving documents against the static denylist and all privacy rules. A null text has no reason; null and empty entries and texts match nothing."""
+    deny = table(spark, sf_dir, "benchmark").select(tx.folded(F.col("text")).alias("entry"))
     return jobs.Job(spark, "screen").batches(jobs.source(spark, sf_dir, "documents"), lambda batch: jobs.screen(batch, deny)).drop("batch")

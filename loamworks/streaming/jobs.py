@@ -100,7 +100,7 @@ def pool(documents: DataFrame) -> DataFrame:
 
 def screen(batch: DataFrame, denylist: DataFrame) -> DataFrame:
     """A batch of documents against a static denylist and the privacy rules: entries found, reasons, and whether the document stays."""
-    d = staged(batch.select("doc_id", filters.privacy_reasons(F.col("text")).alias("reasons"), F.lower(tx.squeeze(F.col("text"))).alias("t")), "batch")
+    d = staged(batch.select("doc_id", filters.privacy_reasons(F.col("text")).alias("reasons"), tx.folded(F.col("text")).alias("t")), "batch")
     hits = contamination.contained(d, denylist).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("entries"))
     j = d.join(hits.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").withColumn("entries", F.coalesce("entries", F.lit(0)))
     return j.select("doc_id", "entries", F.array_join("reasons", ",").alias("reasons"), ((F.col("entries") == 0) & (F.size("reasons") == 0)).alias("kept"))
