@@ -6,48 +6,81 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors a block, on average: what a task holds at once is two blocks.
-BLOCK = 512
+#: Vectors a block, on average: what a task holds at once is a batch of blocks, and k rows for each query it has met.
+BLOCK = 1024
 #: Queries of n-grams that tasks hold at once, at most about: 64 MB as a dense matrix of 8,192 dimensions.
 NGRAM_QUERIES = 1000
 
 
-def _blocks(df: DataFrame, out: str) -> DataFrame:
-    """Vectors packed into blocks of about BLOCK rows; each block is one row."""
-    n = max(1, -(-df.count() // BLOCK))
-    spread = max(1, min(n, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return df.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias(f"{out}_block")).agg(F.collect_list(F.struct(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))).alias(out)).repartition(spread)
+def _blocks(df: DataFrame, out: str, parts: int | None = None) -> DataFrame:
+    """Vectors packed into blocks of about BLOCK rows; each block is one row. They are dealt over `parts` partitions, for which small tables have smaller blocks, or one each."""
+    rows = df.count()
+    n = max(1, -(-rows // BLOCK), min(parts or 1, -(-rows // 128)))
+    return df.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias(f"{out}_block")).agg(F.collect_list(F.struct(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))).alias(out)).repartition(min(n, parts or n))
+
+
+def _matrix(block: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, vectors and their lengths."""
+    ids, v = block.field("id"), block.field("v")
+    if ids.null_count or v.null_count or len(np.unique(np.diff(v.offsets))) > 1:
+        raise ValueError("ids or embeddings are null, or embeddings differ in length")
+    m = v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1)
+    return ids.to_numpy().astype(np.int64), m, np.linalg.norm(m, axis=1)
+
+
+def _better(kept: tuple, new: tuple, k: int) -> tuple:
+    """The best k of each query (its place in the block), of (place, id, score); the smaller id is better among equals."""
+    place, ids, scores = (np.concatenate(x) for x in zip(kept, new))
+    order = np.lexsort((ids, -scores, place))
+    place, ids, scores = place[order], ids[order], scores[order]
+    few = np.arange(len(place)) - np.searchsorted(place, place) < k
+    return place[few], ids[few], scores[few]
 
 
 def cosine_topk(queries: DataFrame, items: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
     """queries(vec_id, embedding), items(vec_id, embedding) -> query_id, vec_id, score, rank: all queries against all items.
 
-    Blocks of queries meet blocks of items, each pair of blocks one matrix product, of which k candidates a query stay. So
-    what is shuffled grows with queries times item blocks, never with pairs of vectors; the blocks themselves are spread
-    before they meet, and pairs of blocks are handled where they arise.
+    Blocks of queries meet blocks of items, each pair of blocks one matrix product. A task keeps the best k items a query over all its pairs;
+    of a product only what reaches the k-th of them is rounded and ordered. Items are dealt over twice as many partitions as there are cores
+    and queries over one a block at most, so what is shuffled grows with queries times cores, never with pairs. The products are all pairs.
     """
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return _candidates(queries, items, k, exclude_self).withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for q, t in zip(pdf["q"], pdf["t"]):
-                qid, ids = np.array([x["id"] for x in q]), np.array([x["id"] for x in t])
-                a, b = (np.array([x["v"] for x in side], float) for side in (q, t))
-                s = (a @ b.T) / np.maximum(np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None], 1e-30)
-                s = np.round(s, 6)
-                if exclude_self:
-                    s[qid[:, None] == ids[None]] = -np.inf
-                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-                row = np.repeat(np.arange(len(qid)), order.shape[1])
-                out = pd.DataFrame({"query_id": qid[row], "vec_id": ids[order.reshape(-1)], "score": s[row, order.reshape(-1)]})
-                yield out[np.isfinite(out["score"])]
 
-    pairs = _blocks(items, "t").hint("shuffle_replicate_nl").crossJoin(_blocks(queries, "q")).select("q", "t")
-    found = pairs.mapInPandas(best, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
+def _candidates(queries: DataFrame, items: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """(query_id, vec_id, score): each task's best k items a query."""
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, tuple] = {}
+        for batch in batches:
+            q, t = (batch.column(c) for c in ("q", "t"))
+            for i, block in enumerate(batch.column("q_block").to_pylist()):
+                (qid, a, na), (ids, b, nb) = _matrix(q[i].values), _matrix(t[i].values)
+                s = (a @ b.T) / np.maximum(na[:, None] * nb[None], 1e-30)
+                if exclude_self:
+                    same = np.flatnonzero(np.isin(qid, ids))
+                    s[same] = np.where(qid[same, None] == ids[None], -np.inf, s[same])
+                _, mine, least = kept.get(block) or (qid, tuple(np.empty(0, x) for x in (np.int64, np.int64, float)), np.full(len(qid), -np.inf))
+                if np.isneginf(least).any() and len(ids) > k:
+                    least = np.fmax(least, np.partition(np.where(np.isnan(s), -np.inf, s), -k, axis=1)[:, -k])
+                place, at = np.nonzero(s >= (least - 2e-6)[:, None])  # least may be rounded, s isn't
+                score = s[place, at]
+                real = np.isfinite(score)
+                mine = _better(mine, (place[real], ids[at[real]], np.round(score[real], 6)), k)
+                least = np.where(np.bincount(mine[0], minlength=len(qid)) < k, -np.inf, np.inf)
+                np.minimum.at(least, mine[0], mine[2])
+                kept[block] = qid, mine, least
+        for qid, (place, ids, score), _ in kept.values():
+            yield pa.RecordBatch.from_arrays([pa.array(qid[place]), pa.array(ids), pa.array(score)], ["query_id", "vec_id", "score"])
+
+    cores = items.sparkSession.sparkContext.defaultParallelism
+    pairs = _blocks(items, "t", 2 * cores).hint("shuffle_replicate_nl").crossJoin(_blocks(queries, "q")).select("q_block", "q", "t")
+    return pairs.mapInArrow(best, "query_id long, vec_id long, score double")
 
 
 _CRC = np.arange(256, dtype=np.uint32)
