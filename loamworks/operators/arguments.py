@@ -16,6 +16,8 @@ from ..sources.stages import staged
 
 _CALL = StructType([StructField(c, StringType()) for c in ("name", "args", "kind")])
 CALLS = StructType([StructField("calls", ArrayType(_CALL)), StructField("failures", IntegerType())])
+#: Levels of nested arguments that a round opens.
+LEVELS = 4
 _BRACE = re.compile("[{}]")
 _DECODER = json.JSONDecoder()
 _NAMED = re.compile(r'"name"\s*:\s*"([^"]+)"')
@@ -140,24 +142,32 @@ def parse_calls(text: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 def leaf_slots(df: DataFrame, value: str, nulls: bool = False) -> DataFrame:
     """df with a row for each leaf of the VARIANT column `value`, in place of it: path, type (int, float, str, bool), leaf (JSON).
 
-    Containers are opened a level a round, as many rounds as they nest; each round is written. An object adds its key to the path, a list
+    Containers are opened LEVELS levels a round, as many rounds as they nest; each round is written. An object adds its key to the path, a list
     nothing; a bare value has the path `value`. Empty containers have no row, nor has a null value; null leaves have one if `nulls` (type null).
     """
     keys = [c for c in df.columns if c != value]
-    shape = F.schema_of_variant("_v")
-    inner = shape.startswith("OBJECT") | shape.startswith("ARRAY")
-    state = df.select(*keys, F.lit("").alias("path"), F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
+    state = df.select(*keys, F.lit("").alias("path"), F.col(value).alias("_v"))  # null values go at the end: a filter here is pushed below, and makes the values twice
     leaves = None
     while True:
-        state = staged((state if nulls else state.filter(~F.is_variant_null("_v"))).withColumn("_open", inner), "slots")
-        found = state.filter(~F.col("_open")).select(*keys, F.when(F.col("path") == "", "value").otherwise(F.col("path")).alias("path"), _leaf_type(shape).alias("type"), F.to_json("_v").alias("leaf"))
+        for _ in range(LEVELS):
+            state = _opened(state, keys)
+        # What wasn't opened is a leaf or empty; only now, when it is small, is its shape asked for.
+        shape = F.when(~F.col("_open"), F.schema_of_variant("_v"))
+        state = state.withColumn("_shape", shape).filter(F.col("_open") | F.col("_shape").isNotNull() & ~(F.col("_shape").startswith("OBJECT") | F.col("_shape").startswith("ARRAY") | (F.lit(not nulls) & (F.col("_shape") == "VOID"))))
+        whole = F.when(F.col("path") == "", "value").otherwise(F.col("path"))
+        state = staged(state.select(*keys, "path", F.when(F.col("_open"), F.col("_v")).alias("_v"), "_open", whole.alias("_path"), _leaf_type(F.col("_shape")).alias("type"), F.when(~F.col("_open"), F.to_json("_v")).alias("leaf")), "slots")
+        found = state.filter(~F.col("_open")).select(*keys, F.col("_path").alias("path"), "type", "leaf")
         leaves = found if leaves is None else leaves.unionByName(found)
-        opened = state.filter("_open")
-        if not opened.limit(1).count():
+        state = state.filter("_open").select(*keys, "path", "_v")
+        if not state.limit(1).count():
             return leaves
-        opened = opened.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_v").outer()))
-        path = F.when(F.col("key").isNull(), F.col("path")).when(F.col("path") == "", F.col("key")).otherwise(F.concat_ws(".", "path", "key"))
-        state = opened.select(*keys, path.alias("path"), F.col("value").alias("_v"))
+
+
+def _opened(state: DataFrame, keys: list[str]) -> DataFrame:
+    """Containers of state(*keys, path, _v) replaced by what they hold, with `_open`; other values, and empty containers, stay as they are, without."""
+    opened = state.select(*keys, "path", "_v").lateralJoin(state.sparkSession.tvf.variant_explode_outer(F.col("_v").outer()))
+    path = F.when(F.col("key").isNull(), F.col("path")).when(F.col("path") == "", F.col("key")).otherwise(F.concat_ws(".", "path", "key"))
+    return opened.select(*keys, path.alias("path"), F.coalesce("value", "_v").alias("_v"), F.col("pos").isNotNull().alias("_open"))
 
 
 def _leaf_type(shape: Column) -> Column:
