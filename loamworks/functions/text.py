@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from hashlib import sha256
@@ -39,6 +40,34 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+|[^\w\s])"), F.lit(1))
 
 
+#: Latin-1: signs that are tokens by themselves, the common and the rare ones, and white space beyond ASCII. Java's words, and its white space, are these characters' others.
+_SIGNS = [bytes([x]) for x in range(33, 127) if not chr(x).isalnum() and chr(x) != "_"]
+_RARE = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f\xa1-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf\xd7\xf7]")
+_SPACES = re.compile("[\x85\xa0]")
+_BEYOND = re.compile("[^\x00-\xff]")
+
+
+def token_text(text: Column) -> Column:
+    """What token_bytes() makes a text's joined tokens of: the text itself, or its tokens() where it has characters beyond Latin-1."""
+    return F.when(text.rlike(r"[^\x00-\xff]"), F.array_join(tokens(text), " ")).otherwise(text)
+
+
+def token_bytes(given: str | None) -> bytes:
+    """A text's tokens() joined by spaces, in UTF-8, of its token_text(); tokens so joined stay as they are."""
+    if not given or _BEYOND.search(given):
+        return (given or "").encode()
+    lower = given.lower()
+    if not lower.isascii():
+        lower = _SPACES.sub(" ", lower)
+    if _RARE.search(lower):
+        lower = _RARE.sub(r" \g<0> ", lower)
+    data = lower.encode()
+    for x in _SIGNS:
+        if x in data:
+            data = data.replace(x, b" " + x + b" ")
+    return b" ".join(data.split())
+
+
 def long_lines(text: Column, min_length: int = 20) -> Column:
     """Squeezed, lower-cased lines of at least min_length characters."""
     return F.filter(F.transform(F.split(text, "\n"), lambda x: F.lower(squeeze(x))), lambda x: F.length(x) >= min_length)
@@ -98,12 +127,12 @@ def pieces(texts: pd.Series) -> Iterator[list]:
         yield part
 
 
-def shingle_hashes(joined: str | None, size: int) -> np.ndarray:
+def shingle_hashes(joined: str | bytes | None, size: int) -> np.ndarray:
     """The first 64 bits of the sha256 of each distinct shingle of a text given as its tokens joined by spaces, in no order.
 
     A shingle is a stretch of that text, so none is put together.
     """
-    data = (joined or "").encode()
+    data = joined if isinstance(joined, bytes) else (joined or "").encode()
     if not data:
         return np.zeros(0, ">i8")
     gaps = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)

@@ -7,12 +7,13 @@ import uuid
 from collections.abc import Iterator
 from hashlib import blake2b
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, ShortType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, ShortType, StringType, StructField, StructType
 
 from ..functions import text as tx
 from ..sources.stages import release, shared_dir, staged
@@ -31,35 +32,41 @@ def exact_winners(df: DataFrame, order: list[str], key: str = "digest") -> DataF
     return df.join(firsts, same, "left_semi").dropDuplicates([key, *order])
 
 
-_SIGNED = StructType([StructField("features", LongType()), StructField("hi", LongType()), StructField("lo", LongType()), StructField("hashes", ArrayType(LongType())), StructField("set_id", StringType())])
+def _signature(size: int, sets: str | None):
+    kind = StructType([StructField("features", LongType()), StructField("hi", LongType()), StructField("lo", LongType())])
+    if sets:
+        kind = kind.add("hashes", ArrayType(LongType()) if sets == "array" else BinaryType()).add("set_id", StringType())
 
-
-def _signature(size: int, sets: bool):
-    @F.pandas_udf(_SIGNED)
-    def signature(joined: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        """Of texts given as joined tokens: number of shingles, majority bits as two halves, the sorted 64-bit values, and a digest of these."""
-        for batch in joined:
+    @F.pandas_udf(kind)
+    def signature(given: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        """Of token texts: number of shingles, majority bits as two halves, the sorted 64-bit values, and a digest of these."""
+        for batch in given:
             for part in tx.pieces(batch):
                 rows = []
                 for x in part:
-                    h = tx.shingle_hashes(x, size)
-                    ones = sum((np.unpackbits(h[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64) for i in range(0, len(h), 4096)), np.zeros(64, np.int64))
+                    h = tx.shingle_hashes(tx.token_bytes(x), size)
+                    ones = sum((np.unpackbits(h[i : i + 4096].view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.uint16) for i in range(0, len(h), 4096)), np.zeros(64, np.int64))
                     hi, lo = np.packbits(2 * ones >= len(h)).view(">u4").tolist() if len(h) else (0, 0)
-                    s = np.unique(h.astype(np.int64)) if sets else None
-                    rows.append((len(h), hi, lo, s, blake2b(s.tobytes(), digest_size=16).hexdigest() if sets else None))
-                yield pd.DataFrame(rows, columns=_SIGNED.names)
+                    row = (len(h), hi, lo)
+                    if sets:
+                        s = np.sort(h.astype(np.int64))  # several times as fast as np.unique()
+                        s = s[np.diff(s, prepend=~s[:1]) != 0]
+                        row = (*row, s if sets == "array" else s.tobytes(), blake2b(s.tobytes(), digest_size=16).hexdigest())
+                    rows.append(row)
+                yield pd.DataFrame(rows, columns=kind.names)
 
     return signature
 
 
-def signatures(docs: DataFrame, size: int = 5, sets: bool = True) -> DataFrame:
+def signatures(docs: DataFrame, size: int = 5, sets: bool = True, packed: bool = False) -> DataFrame:
     """docs(text, ...) with the number of shingles `features`, a 64-bit SimHash as two 32-bit halves sim_hi and sim_lo and, unless
-    `sets` is false, the shingles' 64-bit `hashes` (sorted) and `set_id`, a digest of these.
+    `sets` is false, the shingles' 64-bit `hashes` (sorted; an array, or its bytes if `packed`) and `set_id`, a digest of these.
 
     Each shingle votes with the first 64 bits of its sha256; a bit is set when at least half of the votes are. Column functions
-    take about ten times as long as numpy, hence the UDF; it works through a batch in pieces.
+    take about ten times as long as numpy, hence the UDF; it works through a batch in pieces. Arrays take several times as long
+    to write as their bytes.
     """
-    df = docs.withColumn("_sim", _signature(size, sets)(F.array_join(tx.tokens(F.col("text")), " ")))
+    df = docs.withColumn("_sim", _signature(size, ("packed" if packed else "array") if sets else None)(tx.token_text(F.col("text"))))
     out = {"features": "features", "sim_hi": "hi", "sim_lo": "lo"} | ({"hashes": "hashes", "set_id": "set_id"} if sets else {})
     return df.withColumns({c: F.col(f"_sim.{x}") for c, x in out.items()}).drop("_sim")
 
@@ -69,10 +76,10 @@ def hamming(a_hi: Column, a_lo: Column, b_hi: Column, b_lo: Column) -> Column:
 
 
 def _masks(max_distance: int) -> list[tuple[int, int]]:
-    """Masks (upper, lower half) of three of max_distance + 3 bands of 64 bits each. Signatures within max_distance bits share three bands at least."""
-    bands = max_distance + 3
+    """Masks (upper, lower half) of two of max_distance + 2 bands of 64 bits each. Signatures within max_distance bits share two bands at least."""
+    bands = max_distance + 2
     edges = [64 * i // bands for i in range(bands + 1)]
-    masks = [sum((1 << edges[k + 1]) - (1 << edges[k]) for k in three) for three in combinations(range(bands), 3)]
+    masks = [sum((1 << edges[k + 1]) - (1 << edges[k]) for k in two) for two in combinations(range(bands), 2)]
     return [(m >> 32, m & 0xFFFFFFFF) for m in masks]
 
 
@@ -81,10 +88,11 @@ def _part(col: str, mask: int) -> Column:
 
 
 def band_keys(nodes: DataFrame, max_distance: int = 3, min_jaccard: float | None = None) -> DataFrame:
-    """nodes(rank, sim_hi, sim_lo) -> one row for each three bands (about 32 bits), of keys that two nodes have: rank, sim_hi, sim_lo, band, key.
+    """nodes(rank, sim_hi, sim_lo), staged -> one row for each two bands (about 26 bits), of keys that two nodes have: rank, sim_hi, sim_lo, band, key.
 
     With min_jaccard, nodes have the size of their set too: a key is of one size cell, and a node is in its own cell and the next. Sets whose
     sizes allow that similarity are in one cell or in neighbouring ones, so they still share keys; most others no longer do.
+    Only the keys of all nodes are shuffled; rows are shuffled where very many keys are shared.
     """
     kept, cells = ["rank", "sim_hi", "sim_lo"], [F.lit(0)]
     if min_jaccard is not None:
@@ -92,18 +100,25 @@ def band_keys(nodes: DataFrame, max_distance: int = 3, min_jaccard: float | None
         cells = [own, own + 1]
     keys = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), _part("sim_hi", hi), _part("sim_lo", lo), c).alias("key")) for i, (hi, lo) in enumerate(_masks(max_distance)) for c in cells])
     rows = nodes.select(*kept, F.explode(keys).alias("x")).select(*kept, "x.band", "x.key")
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    return rows.join(shared.hint("merge"), "key", "left_semi")
+    return of_ranks(rows, staged(_shared(rows), "shared-keys"), "key")
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
 
 
 def band_pairs(nodes: DataFrame, max_distance: int = 3, lead: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b) of ranks, a before b, that differ in at most max_distance bits; equal signatures are pairs too. With
     lead(rank), pairs of each of these nodes a with all others b.
 
-    The join is on three bands at a time, where one on a narrow band would meet a fixed share of all signatures. A pair is
+    The join is on two bands at a time, where one on a narrow band would meet a fixed share of all signatures. A pair is
     taken under its first common bands only. Nodes are to be distinct sets, so that copies make no pairs.
     """
-    rows = band_keys(nodes, max_distance)
+    return key_pairs(band_keys(nodes, max_distance), max_distance, lead)
+
+
+def key_pairs(rows: DataFrame, max_distance: int = 3, lead: DataFrame | None = None) -> DataFrame:
+    """band_pairs() of nodes given by their band_keys()."""
     a, b = (x.select(F.col("rank").alias(s), F.col("sim_hi").alias(f"{s}_hi"), F.col("sim_lo").alias(f"{s}_lo"), "band", "key") for x, s in ((rows if lead is None else rows.join(lead.hint("merge"), "rank", "left_semi"), "a"), (rows, "b")))
     order = F.col("a") < F.col("b") if lead is None else F.col("a") != F.col("b")
     near = a.join(b.hint("merge"), ["band", "key"]).filter(order & (hamming(F.col("a_hi"), F.col("a_lo"), F.col("b_hi"), F.col("b_lo")) <= max_distance))
@@ -125,6 +140,13 @@ BROADCAST_RANKS = 1_000_000
 CELLS = 64
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def _unpacked(sets: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in sets:
+        for part in tx.pieces(batch):
+            yield pd.Series([np.frombuffer(x, np.int64) for x in part])
+
+
 @F.pandas_udf(ArrayType(ShortType()))
 def _sketch(hashes: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in hashes:
@@ -157,53 +179,124 @@ def matching(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, min_jaccard
     return jaccard(able, of_ranks(sets, ranks)).filter(F.col("jaccard") >= min_jaccard).select("a", "b")
 
 
-def near_walk(nodes: DataFrame, sets: DataFrame, max_distance: int = 3, min_jaccard: float = 0.95) -> DataFrame:
-    """nodes(rank, row, sim_hi, sim_lo, size), distinct sets, and sets(row, hashes) -> ranks of those that an earlier kept node matches.
+#: Pairs under shared keys that the walk meets at once: so many, and so many for each row of the keys.
+PAIRS, PAIRS_A_ROW = 2_000_000, 20
 
-    The walk in rank order, in rounds: an undecided node that is the first undecided under each of its keys (bands and size cell) is kept (all
-    kept nodes before it have met it), meets the others under its keys, and those it matches go. So a group of near copies
-    costs a comparison for each kept node and member, as in the walk, and never all its pairs. State is ranks and keys; sets are read
-    for nodes that share a key, and shuffled for pairs that sizes and sketches allow.
-    """
-    nodes = staged(nodes, "near-nodes")
-    state = staged(band_keys(nodes, max_distance, min_jaccard), "near-state")
-    ids = staged(nodes.select("rank", "row").join(state.select("rank").distinct().hint("merge"), "rank", "left_semi"), "near-ids")
+
+class NearState(NamedTuple):
+    """What a walk reads, staged: distinct sets (set_id, rank, row, sim_hi, sim_lo, size) by their first documents, the keys they share
+    (band_keys) and, of those that share one, the sets (rank, hashes) and sketches. Where they make few pairs, these (key_pairs) and
+    which of them match; sets and sketches are then of the nodes of pairs."""
+
+    nodes: DataFrame
+    keys: DataFrame
+    sets: DataFrame
+    sketches: DataFrame
+    pairs: DataFrame | None
+    edges: DataFrame | None
+
+
+def _pairs_under(keys: DataFrame) -> tuple[int, bool]:
+    """Rows of keys, and whether their nodes make few pairs."""
+    found = keys.groupBy("key").agg(F.count("*").alias("n")).agg(F.sum("n").alias("rows"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).first()
+    rows = found["rows"] or 0
+    return rows, (found["pairs"] or 0) <= PAIRS + PAIRS_A_ROW * rows
+
+
+def near_state(docs: DataFrame, sets: DataFrame, max_distance: int = 3, min_jaccard: float = 0.95) -> NearState:
+    """docs(rank, row, able, sim_hi, sim_lo, size, set_id) and sets(row, hashes, as arrays or packed) -> the state of the able ones."""
+    nodes = docs.filter("able").groupBy("set_id").agg(F.min(F.struct("rank", "row", "sim_hi", "sim_lo", "size")).alias("x"))
+    nodes = staged(nodes.select("set_id", "x.*"), "near-nodes")
+    keys = staged(band_keys(nodes, max_distance), "near-keys")
+    pairs = staged(key_pairs(keys, max_distance).select("a", "b"), "near-pairs") if _pairs_under(keys)[1] else None
+    met = keys.select("rank") if pairs is None else pairs.select(F.col("a").alias("rank")).union(pairs.select("b"))
+    ids = staged(nodes.select("rank", "row").join(met.distinct().hint("merge"), "rank", "left_semi"), "near-ids")
     few = ids.limit(BROADCAST_RANKS + 1).count() <= BROADCAST_RANKS
-    sets = staged(sets.join(ids.hint("broadcast" if few else "merge"), "row").select("rank", "hashes"), "near-sets")
+    sets = sets.join(ids.hint("broadcast" if few else "merge"), "row").select("rank", "hashes")
+    sets = staged(sets if isinstance(sets.schema["hashes"].dataType, ArrayType) else sets.withColumn("hashes", _unpacked("hashes")), "near-sets")
+    release(ids)
     sketches = sketched(sets)
+    edges = None if pairs is None else staged(matching(pairs, sets, sketches, min_jaccard), "near-edges")
+    return NearState(nodes, keys, sets, sketches, pairs, edges)
+
+
+def kept_pairs(state: NearState, kept: DataFrame, max_distance: int = 3, min_jaccard: float = 0.95) -> DataFrame:
+    """Pairs (a, b) within max_distance bits of nodes a in kept(rank) with all other nodes b, and whether they match, as `near`."""
+    if state.pairs is None:
+        pairs = staged(key_pairs(state.keys, max_distance, kept).select("a", "b"), "near-pairs")
+        near = matching(pairs, state.sets, state.sketches, min_jaccard)
+    else:
+        both, near = (x.union(x.select(F.col("b"), F.col("a"))) for x in (state.pairs, state.edges))
+        pairs = both.join(kept.select(F.col("rank").alias("a")).hint("merge"), "a", "left_semi")
+    near = near.withColumn("_near", F.lit(True)).hint("merge")
+    return pairs.join(near, ["a", "b"], "left").select("a", "b", F.col("_near").isNotNull().alias("near"))
+
+
+def near_walk(state: NearState, max_distance: int = 3, min_jaccard: float = 0.95) -> DataFrame:
+    """Ranks of the nodes that an earlier kept node matches.
+
+    Where nodes under shared keys make few pairs, all are met at once, and the walk goes in rounds over those that match. Else it
+    goes in rounds of leads first: an undecided node that is the first undecided under each of its keys (bands and size cell) is kept (all
+    kept nodes before it have met it), meets the others under its keys, and those it matches go. So a group of near copies
+    costs a comparison for each kept node and member, as in the walk, and never all its pairs. When such a round decides less than a
+    tenth of the rows, the nodes are mostly kept ones, which the walk compares all; then they are met at once too.
+    """
+    keys, edges, spark = state.keys, state.edges, state.keys.sparkSession
     # Each round's ranks are a folder of one table, so that the plan of the result doesn't grow with the rounds.
-    spark, path, turn = nodes.sparkSession, f"{shared_dir(nodes.sparkSession)}/near-gone-{uuid.uuid4().hex}", 0
-    kind = state.select("rank").schema
-    while state.limit(1).count():
-        lead = state.groupBy("key").agg(F.min("rank").alias("lead"), F.min_by(F.struct("sim_hi", "sim_lo"), "rank").alias("w"))
-        met = state.join(lead.hint("merge"), "key")
+    path, kind, turns = f"{shared_dir(spark)}/near-gone-{uuid.uuid4().hex}", keys.select("rank").schema, 0
+
+    def written(ranks: DataFrame) -> DataFrame:
+        nonlocal turns
+        ranks.distinct().write.parquet(f"{path}/turn={turns}")
+        turns += 1
+        return spark.read.schema(kind).parquet(f"{path}/turn={turns - 1}")
+
+    while edges is None:
+        ranks = keys.select("rank").distinct()
+        nodes = staged(state.nodes.select("rank", "sim_hi", "sim_lo", "size").join(ranks.hint("merge"), "rank", "left_semi"), "near-undecided")
+        cells = staged(band_keys(nodes, max_distance, min_jaccard), "near-cells")
+        lead = cells.groupBy("key").agg(F.min("rank").alias("lead"), F.min_by(F.struct("sim_hi", "sim_lo"), "rank").alias("w"))
+        met = cells.join(lead.hint("merge"), "key")
         met = staged(met.select("rank", "lead", hamming(F.col("sim_hi"), F.col("sim_lo"), F.col("w.sim_hi"), F.col("w.sim_lo")).alias("distance")), "near-met")
         kept = met.groupBy("rank").agg(F.min(F.col("rank") == F.col("lead")).alias("first")).filter("first").select("rank")
-        pairs = met.filter((F.col("rank") != F.col("lead")) & (F.col("distance") <= max_distance)).select(F.col("lead").alias("a"), F.col("rank").alias("b")).distinct()
-        pairs = pairs.join(kept.select(F.col("rank").alias("a")).hint("merge"), "a", "left_semi")
-        matching(pairs, sets, sketches, min_jaccard).select(F.col("b").alias("rank")).distinct().write.parquet(f"{path}/turn={turn}")
-        decided = kept.union(spark.read.schema(kind).parquet(f"{path}/turn={turn}"))
-        left = state.join(decided.hint("merge"), "rank", "left_anti")
-        shared = left.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-        before, state, turn = state, staged(left.join(shared.hint("merge"), "key", "left_semi"), "near-state"), turn + 1
-        release(before, met)
-    release(state, sets, sketches, ids, nodes)
-    return spark.read.schema(kind).parquet(*[f"{path}/turn={i}" for i in range(turn)]) if turn else spark.createDataFrame([], kind)
-
-
-def near_keep(docs: DataFrame, max_distance: int = 3, min_jaccard: float = 0.95, sets: DataFrame | None = None) -> DataFrame:
+        others = met.filter((F.col("rank") != F.col("lead")) & (F.col("distance") <= max_distance)).select(F.col("lead").alias("a"), F.col("rank").alias("b")).distinct()
+        others = others.join(kept.select(F.col("rank").alias("a")).hint("merge"), "a", "left_semi")
+        decided = kept.union(written(matching(others, state.sets, state.sketches, min_jaccard).select(F.col("b").alias("rank"))))
+        # Nodes that share no key of a cell match nothing.
+        left = keys.join(cells.select("rank").distinct().hint("merge"), "rank", "left_semi").join(decided.hint("merge"), "rank", "left_anti")
+        left = staged(left.join(_shared(left).hint("merge"), "key", "left_semi"), "near-keys")
+        rows, few = _pairs_under(left)
+        if few or rows > 0.9 * keys.count():
+            pairs = staged(key_pairs(left, max_distance).select("a", "b"), "near-pairs")
+            edges = staged(matching(pairs, state.sets, state.sketches, min_jaccard), "near-edges")
+            release(pairs)
+        release(nodes, cells, met, *([] if keys is state.keys else [keys]))
+        keys = left
+    if keys is not state.keys:
+        release(keys)
+    while edges.limit(1).count():
+        # Nodes that no undecided one comes before are kept, and what they match goes.
+        kept = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).hint("merge"), "a", "left_anti")
+        gone = written(edges.join(kept.hint("merge"), "a", "left_semi").select(F.col("b").alias("rank")))
+        left = edges.join(gone.select(F.col("rank").alias("b")).hint("merge"), "b", "left_anti").join(gone.select(F.col("rank").alias("a")).hint("merge"), "a", "left_anti")
+        before, edges = edges, staged(left.select("a", "b"), "near-edges")
+        if before is not state.edges:
+            release(before)
+    if edges is not state.edges:
+        release(edges)
+    return spark.read.schema(kind).parquet(*[f"{path}/turn={i}" for i in range(turns)]) if turns else spark.createDataFrame([], kind)
+
+
+def near_keep(docs: DataFrame, max_distance: int = 3, min_jaccard: float = 0.95, state: NearState | None = None) -> DataFrame:
     """docs(rank, able, sim_hi, sim_lo, hashes, set_id) -> rank, kept. Documents that aren't able stay; of equal sets only the first can.
 
-    With sets(row, hashes), docs have row and size instead of hashes.
+    With near_state() of docs, made for the same bounds, they need no more than rank and able.
     """
-    if sets is None:
-        sets = docs.select(F.col("rank").alias("row"), "hashes")
-        docs = docs.select("rank", F.col("rank").alias("row"), "able", "sim_hi", "sim_lo", F.size("hashes").alias("size"), "set_id")
-    able = docs.filter("able")
-    firsts = able.groupBy("set_id").agg(F.min("rank").alias("_first"))
-    nodes = able.join(firsts.select(F.col("_first").alias("rank")).hint("merge"), "rank", "left_semi")
-    gone = near_walk(nodes.select("rank", "row", "sim_hi", "sim_lo", "size"), sets, max_distance, min_jaccard)
-    copies = able.select("rank", "set_id").join(firsts.hint("merge"), "set_id").filter(F.col("rank") != F.col("_first")).select("rank")
+    if state is None:
+        row = docs.select("rank", F.col("rank").alias("row"), "able", "sim_hi", "sim_lo", F.size("hashes").alias("size"), "set_id")
+        state = near_state(row, docs.select(F.col("rank").alias("row"), "hashes"), max_distance, min_jaccard)
+    gone = near_walk(state, max_distance, min_jaccard)
+    copies = docs.filter("able").select("rank").join(state.nodes.select("rank").hint("merge"), "rank", "left_anti")
     out = gone.union(copies).withColumn("_gone", F.lit(True))
     return docs.select("rank").join(out.hint("merge"), "rank", "left").select("rank", F.col("_gone").isNull().alias("kept"))
 

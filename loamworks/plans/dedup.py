@@ -9,7 +9,7 @@ from ..functions.ranks import global_rank
 from ..operators import contamination, dedup, filters
 from ..registry import Register
 from ..sources.pools import Winners
-from ..sources.stages import spread, staged, table
+from ..sources.stages import release, spread, staged, table
 from ..streaming import jobs
 from .corpus import CODE, SQUEEZED, TOKENS
 
@@ -65,10 +65,10 @@ u AS (SELECT min(g.doc_id) AS id, any_value(sim_hi) AS sim_hi, any_value(sim_lo)
 SHARES = """i AS (SELECT p.a, p.b, count(*) AS n FROM p JOIN f x ON x.doc_id = p.a JOIN f y ON y.doc_id = p.b AND x.s = y.s GROUP BY p.a, p.b)"""
 
 
-def signed(spark, sf_dir, sets=True):
+def signed(spark, sf_dir, sets=True, packed=False):
     d = spread(table(spark, sf_dir, "documents")).select("doc_id", "n_chars", "text", "source")
     revised = d.filter("doc_id % 10 = 0").select(F.col("doc_id") + 1_000_000_000, F.col("n_chars") + 10, F.concat("text", F.lit(" Addendum.")), "source")
-    return dedup.signatures(d.union(revised), sets=sets)
+    return dedup.signatures(d.union(revised), sets=sets, packed=packed)
 
 
 def _set_nodes(spark, sf_dir, hashes=False):
@@ -107,12 +107,15 @@ def dd_jaccard_verify(spark, sf_dir):
 
 
 def _ranked(spark, sf_dir):
-    """Documents in the order of processing: longest first, then text hash, id and source; whether near deduplication applies. With them, by row, their sets, written once."""
-    d = signed(spark, sf_dir).withColumn("code", filters.code_like(F.col("text"), F.col("source"))).withColumn("sha", F.sha2("text", 256)).drop("text")
-    d = staged(d.withColumn("able", ~F.col("code") & (F.col("features") >= 8)).withColumn("size", F.size("hashes")).withColumn("row", F.monotonically_increasing_id()), "near-signed")
+    """Documents in the order of processing: longest first, then text hash, id and source; whether near deduplication applies. With them, what a walk reads."""
+    d = signed(spark, sf_dir, packed=True).withColumn("code", filters.code_like(F.col("text"), F.col("source"))).withColumn("sha", F.sha2("text", 256)).drop("text")
+    d = staged(d.withColumn("able", ~F.col("code") & (F.col("features") >= 8)).withColumn("size", (F.octet_length("hashes") / 8).cast("int")).withColumn("row", F.monotonically_increasing_id()), "near-signed")
     order = [F.desc("n_chars"), "sha", "doc_id", "source"]
     narrow = d.drop("hashes", "features")
-    return staged(global_rank(narrow, [*order, "row"], "rank").drop("n_chars", "sha", "source"), "near-ranked"), d.select("row", "hashes")
+    ranked = staged(global_rank(narrow, [*order, "row"], "rank").drop("n_chars", "sha", "source"), "near-ranked")
+    state = dedup.near_state(ranked, d.select("row", "hashes"))
+    release(d)
+    return ranked, state
 
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, sha256(text), doc_id, source) - 1 AS near_rank FROM documents")
@@ -134,27 +137,19 @@ res AS (SELECT o.*, NOT list_contains((SELECT arg_max(gone, i) FROM walk), rank)
 @query(f"WITH RECURSIVE {WALK} SELECT doc_id, rank, kept FROM res")
 def dd_near(spark, sf_dir):
     """Greedy near deduplication in rank order: a document goes iff an earlier kept one matches it."""
-    ranked, sets = _ranked(spark, sf_dir)
-    return dedup.near_keep(ranked, sets=sets).join(ranked.select("rank", "doc_id").hint("merge"), "rank").select("doc_id", "rank", "kept")
+    ranked, state = _ranked(spark, sf_dir)
+    return dedup.near_keep(ranked, state=state).join(ranked.select("rank", "doc_id").hint("merge"), "rank").select("doc_id", "rank", "kept")
 
 
 @query(f"""WITH RECURSIVE {WALK} SELECT (SELECT count(*) FROM res) AS documents, (SELECT count(*) FROM res WHERE kept) AS retained, (SELECT count(*) FROM res WHERE NOT kept) AS removed, (SELECT count(*) FROM res WHERE code) AS code_bypass,
 (SELECT count(*) FROM near JOIN res ON rank = a WHERE kept) AS candidate_checks, (SELECT count(*) FROM e JOIN res ON rank = a WHERE kept) AS matches""")
 def dd_near_audit(spark, sf_dir):
     """What the walk kept and removed, and how many later documents its kept ones are compared with (within 3 bits) and match."""
-    ranked, sets = _ranked(spark, sf_dir)
-    kept = staged(dedup.near_keep(ranked, sets=sets), "near-kept")
-    able = ranked.filter("able")
+    ranked, state = _ranked(spark, sf_dir)
+    kept = staged(dedup.near_keep(ranked, state=state), "near-kept")
+    able, nodes = ranked.filter("able"), state.nodes
     # Members of a set are counted, not paired: later members for each kept node and set.
-    nodes = able.groupBy("set_id").agg(F.min_by(F.struct("row", "sim_hi", "sim_lo"), "rank").alias("x"), F.min("rank").alias("rank"))
-    nodes = staged(nodes.select("set_id", "rank", "x.*"), "near-nodes")
-    pairs = staged(dedup.band_pairs(nodes, lead=kept.filter("kept").select("rank")).select("a", "b"), "near-pairs")
-    met = staged(pairs.select(F.col("a").alias("rank")).union(pairs.select("b")).distinct(), "near-paired")
-    of = staged(nodes.select("rank", "row").join(met.hint("merge"), "rank", "left_semi"), "near-paired-rows")
-    few = of.limit(dedup.BROADCAST_RANKS + 1).count() <= dedup.BROADCAST_RANKS
-    paired = staged(sets.join(of.hint("broadcast" if few else "merge"), "row").select("rank", "hashes"), "near-paired-sets")
-    near = dedup.matching(pairs, paired, dedup.sketched(paired), 0.95).withColumn("near", F.lit(True))
-    both = pairs.join(near.hint("merge"), ["a", "b"], "left").select("a", "b", F.col("near").isNotNull().alias("near"))
+    both = dedup.kept_pairs(state, kept.filter("kept").select("rank"))
     own = kept.filter("kept").join(nodes.select("rank").hint("merge"), "rank", "left_semi").select(F.col("rank").alias("a"), F.col("rank").alias("b"), F.lit(True).alias("near"))
     members = able.select("set_id", F.col("rank").alias("member")).join(nodes.select("set_id", F.col("rank").alias("b")).hint("merge"), "set_id")
     met = both.union(own).join(members.hint("merge"), "b").filter(F.col("member") > F.col("a"))
